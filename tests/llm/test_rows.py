@@ -1,0 +1,286 @@
+"""Operators that judge each row apart, packing, sharding and records, against brute force."""
+
+import hashlib
+import re
+import struct
+import zlib
+from collections import Counter, defaultdict
+
+import pytest
+
+from neuroloom.llm import binary_records, bpe, chat, hilbert, packing, pii, quality
+
+from .data import TEXTS, table
+
+P = pytest.importorskip("public_tokenizers")
+JSON, RANKS = P.path("byte_bpe_50k.json"), P.path("byte_bpe_50k.tiktoken")
+SF = "/root/testdata/sf0.001"
+
+
+@pytest.fixture(scope="module")
+def tokenizer():
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(JSON)
+    t.encode_special_tokens = True
+    return t
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    return table(spark, TEXTS)
+
+
+def texts(df):
+    return [(r.doc_id, r.text or "") for r in df.select("doc_id", "text").collect()]
+
+
+def pack_ids(ids):
+    return struct.pack(f"<{len(ids)}I", *ids)
+
+
+def both(spark, docs):
+    return [docs, spark.read.parquet(f"{SF}/documents.parquet"), docs.limit(0)]
+
+
+def test_packing(spark, docs, tokenizer):
+    for df in both(spark, docs):
+        got = packing.pack(df, JSON, with_ids=True).collect()
+        want = Counter((d, zlib.crc32(pack_ids(tokenizer.encode(t, add_special_tokens=False).ids + [1]))) for d, t in texts(df))
+        pieces, sequences = defaultdict(list), defaultdict(list)
+        for r in got:
+            assert zlib.crc32(pack_ids(r.ids)) == r.ids_crc32 and len(r.ids) == r.length
+            pieces[r.doc_id, r.doc_tokens, r.sequence_id - (r.start + 2047 - r.offset) // 2048, r.sequence_id * 2048 + r.offset - r.start].append(r)
+            sequences[r.sequence_id].append((r.offset, r.length))
+        found = Counter()
+        for (d, n, *_), rows in pieces.items():
+            rows.sort(key=lambda r: r.start)
+            ids = [x for r in rows for x in r.ids]
+            assert len(ids) == n and [r.start for r in rows] == [sum(x.length for x in rows[:i]) for i in range(len(rows))]
+            found[d, zlib.crc32(pack_ids(ids))] += 1
+        assert found == want
+        for s, spans in sequences.items():
+            at = 0
+            for o, n in sorted(spans):
+                assert o == at
+                at += n
+            assert at == 2048 or s == max(sequences)
+
+
+def test_records(spark, docs, tokenizer, tmp_path):
+    for k, df in enumerate(both(spark, docs)):
+        out = f"file://{tmp_path}/{k}"
+        got = binary_records.read_records(binary_records.write_records(df, out, JSON), out).collect()
+        assert Counter((r.doc_id, bytes(r.ids)) for r in got) == Counter((d, pack_ids(tokenizer.encode(t, add_special_tokens=False).ids + [0])) for d, t in texts(df))
+        at = 0
+        for r in sorted(got, key=lambda r: r.start):
+            assert r.start == at
+            at += len(r.ids) // 4
+        order = [r.doc_id if r.doc_id is not None else -1 for r in sorted(got, key=lambda r: r.start)]
+        assert order == sorted(order)
+
+
+def test_damage_is_found():
+    good = binary_records.frame(b"abc") + binary_records.frame(b"")
+    assert binary_records.unframe(good, 0) == (b"abc", 19) and binary_records.unframe(good, 19) == (b"", 35)
+    for i in range(19):
+        bad = bytearray(good)
+        bad[i] ^= 1
+        with pytest.raises((ValueError, struct.error)):
+            binary_records.unframe(bytes(bad), 0)
+
+
+def test_bpe(spark, docs):
+    import base64
+
+    import tiktoken
+
+    with open(RANKS, "rb") as f:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    enc = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    for df in both(spark, docs):
+        got = Counter((r.doc_id, r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in bpe.round_trip(df, RANKS).collect())
+        want = Counter()
+        for d, t in texts(df):
+            ids = enc.encode_ordinary(t)
+            want[d, len(ids), hashlib.sha256(pack_ids(ids)).hexdigest(), hashlib.sha256(t.encode()).hexdigest()] += 1
+        assert got == want
+    r = bpe.encoded(docs.where("doc_id = 2"), RANKS).first()
+    assert r.offsets[0] == 0 and r.offsets[-1] == len("one two three")
+
+
+def test_bpe_any_text():
+    import base64
+
+    import tiktoken
+    from hypothesis import given, settings
+    from hypothesis import strategies as st
+
+    with open(RANKS, "rb") as f:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    enc = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    m = bpe.merger(RANKS)
+
+    @settings(max_examples=400, deadline=None)
+    @given(st.lists(st.text(st.sampled_from("abrevltsd' \n\t é1२!—日"), max_size=30), max_size=4), st.integers(1, 40))
+    def run(some, chars):
+        assert [list(memoryview(x).cast("I")) for x in m.encode(some, chars)] == [enc.encode_ordinary(t) for t in some]
+
+    run()
+    long = "the" * 5000 + "!" * 300
+    assert list(memoryview(m.encode([long])[0]).cast("I")) == enc.encode_ordinary(long)
+
+
+def test_word_cache_any_text(tokenizer):
+    from hypothesis import given, settings
+    from hypothesis import strategies as st
+
+    from neuroloom.llm.wordcache import encoder
+
+    e = encoder(JSON)
+
+    @settings(max_examples=400, deadline=None)
+    @given(st.lists(st.text(st.sampled_from("ab' \n\t \x1cé1!日") | st.just("  "), max_size=30), max_size=4), st.integers(1, 40))
+    def run(some, chars):
+        assert e.encode(some, chars) == [pack_ids(tokenizer.encode(t, add_special_tokens=False).ids) for t in some]
+
+    run()
+
+
+EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
+IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
+PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
+
+
+def plain_spans(t):
+    out = [(m.start(), m.end(), 0) for m in EMAIL.finditer(t)]
+    out += [(m.start(), m.end(), 1) for m in IP.finditer(t) if all(int(x) <= 255 for x in m[0].split("."))]
+    digits = lambda m: re.sub("[^0-9]", "", m[0])
+    out += [(m.start(), m.end(), 2) for m in CARD.finditer(t) if 14 <= len(digits(m)) <= 19 and pii.luhn(digits(m))]
+    out += [(m.start(), m.end(), 3) for m in PHONE.finditer(t) if 10 <= len(digits(m)) <= 15]
+    return sorted(out, key=lambda s: (s[0], s[2]))
+
+
+def test_pii(spark, docs):
+    for df in both(spark, docs):
+        got = Counter(tuple(r)[:6] for r in pii.detect(df).collect())
+        want = Counter()
+        for d, t in texts(df):
+            s = plain_spans(t)
+            want[(d, *(sum(x[2] == k for x in s) for k in range(4)), hashlib.sha256(pii.joined(s).encode()).hexdigest())] += 1
+        assert got == want
+    assert pii.redact("x a@b.cd y", pii.spans("x a@b.cd y")) == "x <EMAIL> y"
+
+
+def test_pii_any_text():
+    from hypothesis import given, settings
+    from hypothesis import strategies as st
+
+    @settings(max_examples=600, deadline=None)
+    @given(st.text(st.sampled_from("aB1234567890..-- @@+() %é"), max_size=60))
+    def run(t):
+        assert [s for s in pii.spans(t) if s[2] < 4] == plain_spans(t)
+
+    run()
+
+
+def test_pii_added_kinds():
+    kinds = lambda t: [pii.KINDS[k] for _, _, k in pii.spans(t)]
+    assert "iban" in kinds("IBAN: GB82 WEST 1234 5698 7654 32 ok") and "iban" not in kinds("IBAN: GB83 WEST 1234 5698 7654 32 ok")
+    assert kinds("ssn 123-45-6789") == ["ssn"] and "login" in kinds("see https://bob:pw@host/x") and kinds("Account no. 12345678") == ["account"]
+    assert pii.spans("A clean text, with 3 numbers: 1 and 22.") == []
+
+
+def plain_quality(t):
+    words = [w for w in re.split(r"[\x20\x09-\x0D]+", t) if w]
+    lines = [x for x in t.split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+    windows = Counter(tuple(words[i : i + 5]) for i in range(len(words) - 4))
+    hit = {j for i in range(len(words) - 4) if windows[tuple(words[i : i + 5])] > 1 for j in range(i, i + 5)}
+    counts = (len(words), sum(map(len, words)), sum(c in "#*$%&|<>" for c in t), len(lines) - len(set(lines)), len(hit))
+    return (*counts, len(words) < 10 or 100 * len(hit) > 20 * len(words))
+
+
+def test_quality(spark, docs):
+    for df in both(spark, docs):
+        got = Counter((r.doc_id, r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed) for r in quality.judge(df).collect())
+        assert got == Counter((d, *plain_quality(t)) for d, t in texts(df))
+    clean = "The quick fox ran over the hill, and then it slept for a day.\nNobody saw it come home again that night."
+    assert quality.judged(clean, 0.3)[6:] == (True, clean)
+    nav = clean + "\nHome | News | About"
+    assert quality.judged(nav, 0.3)[6:] == (True, clean)
+    assert not quality.judged("a### b$$$ c%%% d*** e### f### g### h### i### j### k###", 0.3)[6]
+
+
+def test_hilbert_curve_is_a_path():
+    import numpy as np
+
+    for bits, dims in ((2, 2), (3, 2), (2, 3), (1, 4)):
+        cells = np.stack(np.meshgrid(*[np.arange(1 << bits)] * dims, indexing="ij"), -1).reshape(-1, dims)
+        order = hilbert.hilbert_index(cells, bits)
+        assert sorted(order) == list(range(len(cells)))
+        path = cells[np.argsort(order)]
+        assert (np.abs(np.diff(path, axis=0)).sum(1) == 1).all()
+
+
+def test_shards(spark, docs):
+    for df in both(spark, docs):
+        got = hilbert.shard(df).collect()
+        assert Counter((r.doc_id, r.size, r.text_crc32) for r in got) == Counter((d, len(t.encode()) + 1, zlib.crc32(t.encode())) for d, t in texts(df))
+        by = defaultdict(list)
+        for r in got:
+            assert r.law == "rows" and r.grown_shard is None and 0 <= r.shard < 16
+            by[r.shard].append(r.slot)
+        assert all(sorted(v) == list(range(len(v))) for v in by.values())
+        if got:
+            counts = [len(by.get(s, [])) for s in range(16)]
+            assert max(counts) - min(counts) <= 1
+
+
+def test_chat_round_trip():
+    from hypothesis import given, settings
+    from hypothesis import strategies as st
+
+    some = st.lists(st.sampled_from([*"\\#: \n<a", "</turn>", "###"]), max_size=12).map("".join)
+
+    @settings(max_examples=300, deadline=None)
+    @given(st.lists(st.tuples(some, some), max_size=4))
+    def run(turns):
+        assert chat.parse_turns("".join(chat.write_turn(r, t)[0] for r, t in turns)) == turns
+
+    run()
+
+
+def test_chat_layouts(spark):
+    import json
+
+    records = [
+        {"messages": [{"role": "user", "content": "q"}, {"role": "assistant", "content": "a"}]}, {"conversations": [{"from": "human", "value": "q"}, {"from": "gpt", "value": "a"}]},
+        {"prompt": "q", "completion": "a"}, {"prompt": "q", "response": "a", "extra": 1}, {"instruction": "q", "output": "a"}, {"instruction": "q", "input": "", "output": "a"},
+    ]
+    df = spark.createDataFrame([(i, json.dumps(r)) for i, r in enumerate(records)] + [(90, None), (91, "{"), (92, '{"x": 1}')], "id long, record string")
+    by = defaultdict(list)
+    for r in chat.canonical_records(df, "id", "record").collect():
+        by[r.conv_id].append((r.turn, r.role, r.text))
+    assert all(sorted(by[i]) == [(0, "user", "q"), (1, "assistant", "a")] for i in range(len(records)))
+    assert all(by[i] == [(None, None, None)] for i in (90, 91, 92))
+    nested = spark.createDataFrame([(1, [("user", "q"), ("assistant", None)])], "conv_id long, messages array<struct<role:string,content:string>>")
+    assert sorted((r.turn, r.role, r.text) for r in chat.canonical_turns(nested).collect()) == [(0, "user", "q"), (1, "assistant", "")]
+    with pytest.raises(ValueError):
+        chat.canonical_turns(spark.createDataFrame([(1,)], "x int"))
+
+
+def test_chat_query(spark):
+    import duckdb
+
+    got = sorted(tuple(r) for r in chat.op8_chat_format(spark, SF).collect())
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW conversations AS SELECT * FROM '{SF}/conversations.parquet'")
+    assert got == sorted(con.execute(chat.OP8_SQL).fetchall())
+
+
+def test_chat_odd_rows(spark):
+    df = spark.createDataFrame([(None, None, None, None), (None, 1, "assistant", "x" * 100_000), (1, 2, "user", ""), (1, 2, "user", "")], "conv_id long, turn long, role string, text string")
+    got = {r.conv_id: r for r in chat.digest(chat.format_chats(chat.canonical_turns(df))).collect()}
+    assert got[None].n_turns == 2 and got[None].loss_chars == 100_000 and got[1].n_turns == 2 and got[1].loss_chars == 0
+    assert chat.digest(chat.format_chats(chat.canonical_turns(df.limit(0)))).collect() == []
