@@ -41,7 +41,15 @@ def staged(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def texts_of(docs: DataFrame, *extra: str) -> DataFrame:
+def discard(table: DataFrame) -> None:
+    """Delete the files of a staged table that nothing reads any more."""
+    jvm = table.sparkSession.sparkContext._jvm
+    for f in table.inputFiles()[:1]:
+        folder = jvm.org.apache.hadoop.fs.Path(f).getParent()
+        folder.getFileSystem(table.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def texts_of(docs: DataFrame, *extra) -> DataFrame:
     """Only the columns an operator needs, so that further ones can't clash; null text is empty."""
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"), *extra)
 
