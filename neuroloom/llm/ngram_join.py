@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from .common import UPPER, parts, read, split_words, staged, texts_of
 from .components import components
 
-BUCKETS = 64
+BUCKETS = 128
 _MIX = (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)
 
 
@@ -48,7 +48,7 @@ class WordHashes(dict):
     def __missing__(self, word: bytes) -> int:
         import xxhash
 
-        if len(self) > 400_000:
+        if len(self) > 300_000:
             self.clear()
         h = xxhash.xxh64_intdigest(word)
         if len(word) <= 64:
@@ -73,8 +73,13 @@ def ngram_sets(texts: list[str], width: int, cache: WordHashes) -> list[np.ndarr
     return out
 
 
+def set_key(grams: np.ndarray) -> int | None:
+    return int.from_bytes(hashlib.blake2b(grams.tobytes(), digest_size=8).digest(), "little", signed=True) if len(grams) else None
+
+
 def bucket_counts(grams: np.ndarray) -> bytes:
-    return np.minimum(np.bincount((grams >> np.uint64(58)).astype(np.int64), minlength=BUCKETS), 65535).astype("<u2").tobytes()
+    """How many entries fall in each bucket; clipping at 255 keeps differences lower bounds."""
+    return np.minimum(np.bincount((grams >> np.uint64(57)).astype(np.int64), minlength=BUCKETS), 255).astype(np.uint8).tobytes()
 
 
 def row_hash():
@@ -82,7 +87,7 @@ def row_hash():
     return F.xxhash64(F.col("doc_id").cast("long"), "text", "lang", "source").alias("row")
 
 
-SETS = "doc_id long, row long, key long, n long, grams binary, counts binary, gram long, seen long"
+SETS = "doc_id long, row long, key long, n long, counts binary, gram long, seen long"
 
 
 def set_table(docs: DataFrame, width: int) -> DataFrame:
@@ -90,27 +95,26 @@ def set_table(docs: DataFrame, width: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache, names = WordHashes(), [f.split()[0] for f in SETS.split(", ")]
-        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.int64()]
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64()]
         block: list[np.ndarray] = []
         held = 0
 
         def common() -> pa.RecordBatch:
             g, c = np.unique(np.concatenate(block), return_counts=True) if block else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
             g, c = g[c > 2], c[c > 2]
-            cols = [pa.nulls(len(g), k) for k in kinds[:6]] + [pa.array(g.view(np.int64)), pa.array(c.astype(np.int64))]
+            cols = [pa.nulls(len(g), k) for k in kinds[:5]] + [pa.array(g.view(np.int64)), pa.array(c.astype(np.int64))]
             return pa.RecordBatch.from_arrays(cols, names)
 
         for b in batches:
             for at in range(0, b.num_rows, 500):
                 part = b.slice(at, 500)
                 sets = ngram_sets(part.column("text").to_pylist(), width, cache)
-                raw = [s.tobytes() for s in sets]
-                key = [int.from_bytes(hashlib.blake2b(x, digest_size=8).digest(), "little", signed=True) if x else None for x in raw]
-                n = pa.array([len(s) for s in sets], pa.int64())
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("row"), pa.array(key, kinds[2]), n, pa.array(raw, kinds[4]), pa.array([bucket_counts(s) for s in sets], kinds[5]), pa.nulls(len(sets), kinds[6]), pa.nulls(len(sets), kinds[7])], names)
+                keys = pa.array([set_key(s) for s in sets], pa.int64())
+                counts = pa.array([bucket_counts(s) for s in sets], pa.binary())
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("row"), keys, pa.array([len(s) for s in sets], pa.int64()), counts, pa.nulls(len(sets), pa.int64()), pa.nulls(len(sets), pa.int64())], names)
                 block += sets
                 held += sum(map(len, sets))
-                if held > 3_000_000:
+                if held > 2_000_000:
                     yield common()
                     block, held = [], 0
         yield common()
@@ -118,35 +122,37 @@ def set_table(docs: DataFrame, width: int) -> DataFrame:
     return texts_of(docs, row_hash()).mapInArrow(run, SETS)
 
 
-def prefixes(sets: DataFrame, percent: int, common: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """(gram, key, n): the first entries of every row under the shared order of columns."""
-    shared = sets.sparkSession.sparkContext.broadcast(common)
+def prefixes(docs: DataFrame, width: int, percent: int, common: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+    """(gram, key): the first entries of every row under the shared order of columns."""
+    shared = docs.sparkSession.sparkContext.broadcast(common)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         often, times = shared.value
         met: set[int] = set()
+        cache = WordHashes()
         for b in batches:
-            grams, keys, sizes = [], [], []
-            for key, n, raw in zip(b.column("key").to_pylist(), b.column("n").to_pylist(), b.column("grams").to_pylist()):
-                if key in met:
-                    continue
-                if len(met) < 2_000_000:
-                    met.add(key)
-                g = np.frombuffer(raw, "<u8")
-                if len(often):
-                    at = np.minimum(np.searchsorted(often, g), len(often) - 1)
-                    heat = np.where(often[at] == g, times[at], 0)
-                    if heat.any():
-                        g = g[np.argsort(heat, kind="stable")]
-                g = g[: n - (percent * n + 99) // 100 + 1]
-                grams.append(g)
-                keys.append(key)
-                sizes.append(len(g))
-            sizes = np.array(sizes, np.int64)
-            flat = np.concatenate(grams).view(np.int64) if grams else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(flat), pa.array(np.repeat(np.array(keys, np.int64), sizes))], ["gram", "key"])
-
-    return sets.select("key", "n", "grams").mapInArrow(run, "gram long, key long")
+            for at in range(0, b.num_rows, 500):
+                grams, keys, sizes = [np.zeros(0, np.uint64)], [], []
+                for g in ngram_sets(b.slice(at, 500).column("text").to_pylist(), width, cache):
+                    key = set_key(g)
+                    if key is None or key in met:  # copies in this split meet the same columns
+                        continue
+                    if len(met) < 1_000_000:
+                        met.add(key)
+                    n = len(g)
+                    if len(often):
+                        spot = np.minimum(np.searchsorted(often, g), len(often) - 1)
+                        heat = np.where(often[spot] == g, times[spot], 0)
+                        if heat.any():
+                            g = g[np.argsort(heat, kind="stable")]
+                    g = g[: n - (percent * n + 99) // 100 + 1]
+                    grams.append(g)
+                    keys.append(key)
+                    sizes.append(len(g))
+                flat = np.concatenate(grams).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(flat), pa.array(np.repeat(np.array(keys, np.int64), np.array(sizes, np.int64)))], ["gram", "key"])
+
+    return texts_of(docs).mapInArrow(run, "gram long, key long")
 
 
 def _whole_columns(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
@@ -170,17 +176,19 @@ def _whole_columns(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
 
 
 def meeting_pairs(shared: DataFrame, percent: int, near: int | None) -> DataFrame:
-    """(a, b), a < b: pairs that meet in a column, with differing labels, that sizes and bucket counts allow.
+    """(a, b): pairs that meet in a column, with differing labels, that sizes and bucket counts allow.
 
-    ``near``: for each row only the nearest of so many predecessors by size (the skeleton).  None:
+    ``near``: for each row one pair, with the nearest by bucket counts of so many predecessors by size in any column (the skeleton).  None:
     all pairs, found from the rows outside their column's commonest label, so that a column whose
     rows are nearly all of one component costs little.
     """
 
+    names = ["a", "b", "d"] if near else ["a", "b"]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in _whole_columns(batches):
             gram, key, n, label = (t[k].to_numpy() for k in ("gram", "key", "n", "label"))
-            counts = np.frombuffer(b"".join(t["counts"].to_pylist()), "<u2").reshape(-1, BUCKETS)
+            counts = np.frombuffer(b"".join(t["counts"].to_pylist()), np.uint8).reshape(-1, BUCKETS)
             column = np.cumsum(np.concatenate([[0], np.diff(gram) != 0])).astype(np.int64) << 40
             place = column + 100 * n  # rows are sorted by it
             row = np.arange(len(n))
@@ -208,28 +216,42 @@ def meeting_pairs(shared: DataFrame, percent: int, near: int | None) -> DataFram
                 x, y = x[differ], y[differ]
                 for s in range(0, len(x), 100_000):
                     p, q = x[s : s + 100_000], y[s : s + 100_000]
-                    d = np.abs(counts[p].astype(np.int32) - counts[q]).sum(1)
+                    d = np.abs(counts[p].astype(np.int16) - counts[q]).sum(1, dtype=np.int64)
                     ok = (100 + percent) * d <= (100 - percent) * (n[p] + n[q])
                     p, q, d = p[ok], q[ok], d[ok]
                     if near and len(p):
                         best = np.lexsort((d, p))
                         best = best[np.concatenate([[True], np.diff(p[best]) > 0])]
-                        p, q = p[best], q[best]
-                    if len(p):
-                        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(key[p], key[q])), pa.array(np.maximum(key[p], key[q]))], ["a", "b"])
+                        p, q, d = p[best], q[best], d[best]
+                        yield pa.RecordBatch.from_arrays([pa.array(key[p]), pa.array(key[q]), pa.array(d)], names)
+                    elif len(p):
+                        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(key[p], key[q])), pa.array(np.maximum(key[p], key[q]))], names)
 
     laid = shared.repartition(parts(shared), "gram").sortWithinPartitions("gram", "n", "key")
+    if near:
+        return laid.mapInArrow(run, "a long, b long, d long").groupBy("a").agg(F.min(F.struct("d", "b")).alias("best")).select("a", "best.b")
     return laid.mapInArrow(run, "a long, b long").dropDuplicates()
 
 
-def verified(pairs: DataFrame, sets: DataFrame, percent: int, broadcast_rows: int = 500_000) -> DataFrame:
-    """The pairs whose sets' exact overlap reaches the threshold."""
+def verified(pairs: DataFrame, docs: DataFrame, sets: DataFrame, width: int, percent: int, broadcast_rows: int = 500_000) -> DataFrame:
+    """The pairs whose sets' exact overlap reaches the threshold; only their documents' sets are made again."""
     pairs = staged(pairs, "ngram-pairs")
     keys = pairs.select(F.col("a").alias("key")).union(pairs.select("b")).dropDuplicates()
-    if keys.count() <= broadcast_rows:  # 8 bytes a key; else Spark joins by shuffle
-        keys = F.broadcast(keys)
-    rows = sets.select("key", "grams").join(keys, "key").dropDuplicates(["key"])
-    rows = staged(rows, "ngram-rows")
+    one = staged(sets.groupBy("key").agg(F.min("row").alias("row")).join(keys, "key", "left_semi").select("row"), "ngram-wanted")
+    if one.count() <= broadcast_rows:  # 8 bytes a row; else Spark joins by shuffle
+        one = F.broadcast(one)
+
+    def again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cache, met = WordHashes(), set()
+        for b in batches:
+            fresh = [r not in met and not met.add(r) for r in b.column("row").to_pylist()]  # wholly equal rows
+            b = b.filter(pa.array(fresh, pa.bool_()))
+            for at in range(0, b.num_rows, 500):
+                made = ngram_sets(b.slice(at, 500).column("text").to_pylist(), width, cache)
+                yield pa.RecordBatch.from_arrays([pa.array([set_key(g) for g in made], pa.int64()), pa.array([g.tobytes() for g in made], pa.binary())], ["key", "grams"])
+
+    wanted = texts_of(docs, row_hash()).join(one, "row", "left_semi").select("row", "text")
+    rows = staged(wanted.mapInArrow(again, "key long, grams binary"), "ngram-rows")
     both = pairs.join(rows.toDF("a", "ga"), "a").join(rows.toDF("b", "gb"), "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -260,15 +282,16 @@ def similar_documents(docs: DataFrame, width: int = 4, percent: int = 85, common
     grams = often["gram"].to_numpy().view(np.uint64)
     order = np.argsort(grams)
     filled = own.where("key IS NOT NULL")
-    met = prefixes(filled, percent, (grams[order], often["seen"].to_numpy()[order]))
+    met = prefixes(docs, width, percent, (grams[order], often["seen"].to_numpy()[order]))
     column = Window.partitionBy("gram")
     met = met.withColumn("lo", F.min("key").over(column)).withColumn("hi", F.max("key").over(column)).where("lo <> hi").select("gram", "key").dropDuplicates()
     row = filled.groupBy("key").agg(F.first("n").alias("n"), F.first("counts").alias("counts"))
     shared = staged(met.join(row, "key"), "ngram-shared")
-    skeleton = staged(verified(meeting_pairs(shared.withColumn("label", F.col("key")), percent, near), filled, percent), "ngram-links")
+    check = lambda pairs: staged(verified(pairs, docs, filled, width, percent), "ngram-links")
+    skeleton = check(meeting_pairs(shared.withColumn("label", F.col("key")), percent, near))
     label = components(skeleton).withColumnRenamed("id", "key")
     labelled = shared.join(label, "key", "left").select("gram", "key", "n", "counts", F.coalesce("component", "key").alias("label"))
-    rest = verified(meeting_pairs(labelled, percent, None), filled, percent)
+    rest = check(meeting_pairs(labelled, percent, None))
     final = components(skeleton.union(rest)).withColumnRenamed("id", "key")
     classes = own.where("key IS NOT NULL").groupBy("key").agg(F.min("doc_id").alias("least")).join(final, "key", "left").withColumn("component", F.coalesce("component", "key"))
     least = classes.groupBy("component").agg(F.min("least").alias("component_id"))
