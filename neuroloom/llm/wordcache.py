@@ -9,8 +9,7 @@ text with a space between two white-space characters is encoded whole.
 from __future__ import annotations
 
 import re
-
-import numpy as np
+from array import array
 
 #: A space at which cutting could split one white-space run: white space before and after it.
 IRREGULAR = re.compile(r"\s (?:\s|\Z)")
@@ -20,7 +19,7 @@ LONG = 48  # longer pieces are encoded each time, so that the cache's entries ar
 class WordEncoder:
     """``encode(texts)`` gives little-endian unsigned 32-bit ids of every text, as bytes."""
 
-    def __init__(self, path: str, entries: int = 500_000):
+    def __init__(self, path: str, entries: int = 800_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -30,19 +29,19 @@ class WordEncoder:
         self.first: dict[str, bytes] = {}
 
     def _ids(self, pieces: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
-
-    def _learn(self, cache: dict[str, bytes], wanted: set[str], lead: str) -> dict[str, bytes]:
-        """The pieces' ids; what is too long for the cache comes in the result alone."""
-        missing = [p for p in wanted if p not in cache]
-        if not missing:
-            return cache
-        found = dict(zip(missing, self._ids([lead + p for p in missing])))
-        if any(len(p) > LONG for p in missing):
-            cache.update((p, v) for p, v in found.items() if len(p) <= LONG)
-            return {p: found[p] if p in found else cache[p] for p in wanted}
-        cache.update(found)
-        return cache
+        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
+
+    def _look(self, cache: dict[str, bytes], pieces: list[list[str]], lead: str) -> list[list[bytes]]:
+        """The ids of each piece; those not met before are encoded in one call, and kept if short."""
+        found = [list(map(cache.get, p)) for p in pieces]
+        open_rows = [i for i, f in enumerate(found) if None in f]
+        if open_rows:
+            missing = list({p for i in open_rows for p, v in zip(pieces[i], found[i]) if v is None})
+            fresh = dict(zip(missing, self._ids([lead + p for p in missing])))
+            cache.update(fresh if max(map(len, missing)) <= LONG else {p: v for p, v in fresh.items() if len(p) <= LONG})
+            for i in open_rows:
+                found[i] = [fresh[p] if v is None else v for p, v in zip(pieces[i], found[i])]
+        return found
 
     def encode(self, texts: list[str], chars: int = 2_000_000) -> list[bytes]:
         out: list[bytes] = []
@@ -62,12 +61,9 @@ class WordEncoder:
             self.first.clear()
         cut = [None if IRREGULAR.search(t) else t.split(" ") for t in texts]
         whole = iter(self._ids([t for t, c in zip(texts, cut) if c is None]))
-        regular = [c for c in cut if c]
-        heads = {c[0] for c in regular}
-        tails = set().union(*[c[1:] for c in regular]) if regular else set()
-        first, spaced = self._learn(self.first, heads, ""), self._learn(self.spaced, tails, " ")
-        get = spaced.__getitem__
-        return [next(whole) if c is None else first[c[0]] + b"".join(map(get, c[1:])) for c in cut]
+        heads = iter(self._look(self.first, [c[:1] for c in cut if c], ""))
+        tails = iter(self._look(self.spaced, [c[1:] for c in cut if c], " "))
+        return [next(whole) if c is None else next(heads)[0] + b"".join(next(tails)) for c in cut]
 
 
 _MADE: dict[str, WordEncoder] = {}
