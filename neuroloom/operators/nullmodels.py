@@ -31,28 +31,34 @@ def _rewired(src, dst, weight, nodes, model, swaps, tries, rng):
                 seen[a, b] = None
         pairs = np.array(list(seen), np.int64).reshape(-1, 2)
         return pairs[:, 0], pairs[:, 1], rng.permutation(weight), n
-    where = {(a, b): i for i, (a, b) in enumerate(zip(src.tolist(), dst.tolist()))}
-    kind = lambda i: ((dst[i], src[i]) in where, *((np.sign(weight[i]), np.sign(weight[where[dst[i], src[i]]]) if (dst[i], src[i]) in where else 0) if model == "signed_pair" else ()))
-    for _ in range(swaps * tries):
-        if done >= swaps or n < 2:
+    src, dst, sign = src.tolist(), dst.tolist(), np.sign(weight).tolist()
+    where = {(a, b): i for i, (a, b) in enumerate(zip(src, dst))}
+
+    def kind(i: int) -> tuple:
+        back = where.get((dst[i], src[i]))
+        return (back is None, sign[i], back is not None and sign[back]) if model == "signed_pair" else (back is None,)
+
+    proposals = swaps * tries if n > 1 else 0
+    for start in range(0, proposals, 4096):
+        if done >= swaps:
             break
-        i, j = (int(x) for x in rng.integers(0, n, 2))
-        a, b, c, d = int(src[i]), int(dst[i]), int(src[j]), int(dst[j])
-        if len({a, b, c, d}) < 4 or (a, d) in where or (c, b) in where:
-            continue
-        moved = [(i, (a, d)), (j, (c, b))]
-        if model != "degree":
-            if kind(i) != kind(j) or (d, a) in where or (b, c) in where:
+        for i, j in rng.integers(0, n, (min(4096, proposals - start), 2)).tolist():
+            a, b, c, d = src[i], dst[i], src[j], dst[j]
+            if done >= swaps or a == b or a == c or a == d or b == c or b == d or c == d or (a, d) in where or (c, b) in where:
                 continue
-            if (b, a) in where:  # both pairs are mutual: their second arcs move too
-                moved += [(where[b, a], (b, c)), (where[d, c], (d, a))]
-        for e, _ in moved:
-            del where[int(src[e]), int(dst[e])]
-        for e, (x, y) in moved:
-            src[e], dst[e] = x, y
-            where[x, y] = e
-        done += len(moved) // 2
-    return src, dst, weight if model == "signed_pair" else rng.permutation(weight), done
+            moved = [(i, (a, d)), (j, (c, b))]
+            if model != "degree":
+                if kind(i) != kind(j) or (d, a) in where or (b, c) in where:
+                    continue
+                if (b, a) in where:  # both pairs are mutual: their second arcs move too
+                    moved += [(where[b, a], (b, c)), (where[d, c], (d, a))]
+            for e, _ in moved:
+                del where[src[e], dst[e]]
+            for e, (x, y) in moved:
+                src[e], dst[e] = x, y
+                where[x, y] = e
+            done += len(moved) // 2
+    return np.array(src), np.array(dst), weight if model == "signed_pair" else rng.permutation(weight), done
 
 
 def random_graphs(edges: DataFrame, nodes: DataFrame, model: str, replicas: int = 5, rounds: int = 10, tries: int = 20, seed: int = 3) -> DataFrame:
@@ -70,6 +76,8 @@ def random_graphs(edges: DataFrame, nodes: DataFrame, model: str, replicas: int
         s, d, w, done = _rewired(g["src"].to_numpy(), g["dst"].to_numpy(), g["weight"].to_numpy(), np.array(first["all_nodes"]), model, rounds * len(g), tries, rng)
         return pd.DataFrame({"session": first["session"], "stimulus": first["stimulus"], "rep": first["rep"], "src": s, "dst": d, "weight": w, "swaps": done})
 
+    groups = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = rows.repartition(groups, "session", "stimulus", "rep")  # many small groups: not to be coalesced
     return rows.groupBy("session", "stimulus", "rep").applyInPandas(run, SCHEMA)
 
 
