@@ -4,6 +4,9 @@ The vocabulary's pre-tokeniser never joins text across a space that is followed
 non-space (it splits " word" from what stands before).  So a text may be cut before each
 such space and the pieces encoded apart; their ids concatenate to the ids of the text.  A
 text with a space between two white-space characters is encoded whole.
+
+Splitting, numbering the distinct words of a block and putting their ids in the texts' order
+are Arrow kernels; only distinct words pass through Python.
 """
 
 from __future__ import annotations
@@ -11,8 +14,14 @@ from __future__ import annotations
 import re
 from array import array
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+
 #: A space at which cutting could split one white-space run: white space before and after it.
 IRREGULAR = re.compile(r"\s (?:\s|\Z)")
+#: Letters that end at punctuation or a line's end: the pre-tokeniser cuts there, too.
+STEM = re.compile(r"([A-Za-zÀ-ÖØ-öø-ɏ]+)([.,;:!?\n].*)", re.DOTALL)
 LONG = 48  # longer pieces are encoded each time, so that the cache's entries are small
 
 
@@ -26,24 +35,52 @@ class WordEncoder:
         self.tokenizer.encode_special_tokens = True
         self.entries = entries
         self.spaced: dict[str, bytes] = {}
-        self.first: dict[str, bytes] = {}
+        self.rests: dict[str, bytes] = {}
+        self.opens = np.zeros(self.tokenizer.get_vocab_size(), bool)  # tokens that begin with a space
+        for token, i in self.tokenizer.get_vocab().items():
+            self.opens[i] = token.startswith("Ġ")
 
     def _ids(self, pieces: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
 
-    def _look(self, cache: dict[str, bytes], pieces: list[list[str]], lead: str) -> list[list[bytes]]:
-        """The ids of each piece; those not met before are encoded in one call, and kept if short."""
-        found = [list(map(cache.get, p)) for p in pieces]
-        open_rows = [i for i, f in enumerate(found) if None in f]
-        if open_rows:
-            missing = list({p for i in open_rows for p, v in zip(pieces[i], found[i]) if v is None})
-            fresh = dict(zip(missing, self._ids([lead + p for p in missing])))
-            cache.update(fresh if max(map(len, missing)) <= LONG else {p: v for p, v in fresh.items() if len(p) <= LONG})
-            for i in open_rows:
-                found[i] = [fresh[p] if v is None else v for p, v in zip(pieces[i], found[i])]
+    def _spaced_ids(self, words: list[str]) -> list[bytes]:
+        """The ids of " " + word for each: encoded as one text, which is cut at the tokens that begin with a space."""
+        if any(not w or w[0].isspace() for w in words):  # spaces could join: apart
+            return self._ids([" " + w for w in words])
+        (joined,) = self._ids([" " + " ".join(words)])
+        edges = (4 * np.append(np.flatnonzero(self.opens[np.frombuffer(joined, "<u4")]), len(joined) // 4)).tolist()
+        if len(edges) != len(words) + 1:
+            return self._ids([" " + w for w in words])
+        return [joined[i:j] for i, j in zip(edges, edges[1:])]
+
+    def _fresh(self, cache: dict[str, bytes], words: list[str], ids_of) -> list[bytes]:
+        """The ids of each of ``words``; those not met before come from ``ids_of`` in one call, and are kept if short."""
+        missing = list({w for w in words if w not in cache})
+        if not missing:
+            return [cache[w] for w in words]
+        if len(cache) + len(missing) > self.entries:
+            missing = list(dict.fromkeys(words))
+            cache.clear()
+        made = dict(zip(missing, ids_of(missing)))
+        cache.update((w, v) for w, v in made.items() if len(w) <= LONG)
+        return [made[w] if w in made else cache[w] for w in words]
+
+    def _look(self, words: list[str]) -> list[bytes]:
+        """The ids of " " + word for each of these distinct words: its letters' and its rest's, each encoded once."""
+        found = list(map(self.spaced.get, words))
+        places = [i for i, v in enumerate(found) if v is None]
+        if not places:
+            return found
+        cut = [STEM.fullmatch(words[i]) for i in places]
+        heads = self._fresh(self.spaced, [m[1] if m else words[i] for i, m in zip(places, cut)], self._spaced_ids)
+        tails = iter(self._fresh(self.rests, [m[2] for m in cut if m], self._ids))
+        for i, m, v in zip(places, cut, heads):
+            found[i] = v + next(tails) if m else v
+            if m and len(words[i]) <= LONG:
+                self.spaced[words[i]] = found[i]
         return found
 
-    def encode(self, texts: list[str], chars: int = 2_000_000) -> list[bytes]:
+    def encode(self, texts: list[str], chars: int = 8_000_000) -> list[bytes]:
         out: list[bytes] = []
         block: list[str] = []
         size = 0
@@ -56,14 +93,27 @@ class WordEncoder:
         return out + self._block(block)
 
     def _block(self, texts: list[str]) -> list[bytes]:
-        if len(self.spaced) + len(self.first) > self.entries:
-            self.spaced.clear()
-            self.first.clear()
-        cut = [None if IRREGULAR.search(t) else t.split(" ") for t in texts]
-        whole = iter(self._ids([t for t, c in zip(texts, cut) if c is None]))
-        heads = iter(self._look(self.first, [c[:1] for c in cut if c], ""))
-        tails = iter(self._look(self.spaced, [c[1:] for c in cut if c], " "))
-        return [next(whole) if c is None else next(heads)[0] + b"".join(next(tails)) for c in cut]
+        odd = [IRREGULAR.search(t) is not None for t in texts]
+        whole = iter(self._ids([t for t, o in zip(texts, odd) if o]))
+        even = iter(self._cut([t for t, o in zip(texts, odd) if not o]))
+        return [next(whole if o else even) for o in odd]
+
+    def _cut(self, texts: list[str]) -> list[bytes]:
+        if not texts:
+            return []
+        split = pc.split_pattern(pa.array(texts, pa.large_string()), " ")
+        edges = split.offsets.to_numpy().astype(np.int64)
+        words = split.flatten().dictionary_encode()
+        codes = words.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        ids = self._look(words.dictionary.to_pylist())
+        first = edges[:-1]  # a text's first word has no space before it
+        distinct, place = np.unique(codes[first], return_inverse=True)
+        codes[first] = len(ids) + place
+        ids += self._ids(words.dictionary.take(pa.array(distinct)).to_pylist())
+        laid = pa.array(ids, pa.large_binary()).take(pa.array(codes))
+        at = np.frombuffer(laid.buffers()[1], "<i8", len(codes) + 1, 8 * laid.offset)[edges].tolist()
+        data = memoryview(laid.buffers()[2] or b"")
+        return [bytes(data[i:j]) for i, j in zip(at, at[1:])]
 
 
 _MADE: dict[str, WordEncoder] = {}
