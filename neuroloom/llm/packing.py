@@ -24,6 +24,23 @@ from .wordcache import encoder
 TOKENS = "doc_id long, split int, before long, n long, ids binary"
 
 
+def stored(flat: np.ndarray, n: np.ndarray) -> pa.Array:
+    """Documents' ids, ``n`` each, as bytes: two an id where all are below 65,536, else four."""
+    flat = flat.astype("<u2") if len(flat) and flat.max() < 1 << 16 else flat
+    edges = np.concatenate([[0], np.cumsum(n)]) * flat.itemsize
+    return pa.Array.from_buffers(pa.large_binary(), len(n), [None, pa.py_buffer(edges.astype("<i8")), pa.py_buffer(flat)]).cast(pa.binary())
+
+
+def loaded(ids: pa.Array, n: np.ndarray) -> np.ndarray:
+    """The ids of all these documents, one after another; a batch may hold both widths."""
+    edges = np.frombuffer(ids.buffers()[1], "<i4", len(ids) + 1, 4 * ids.offset)
+    wide = np.diff(edges) == 4 * n
+    data = np.frombuffer(ids.buffers()[2] or b"", np.uint8)
+    if wide.any() and not wide.all():
+        return np.concatenate([data[i:j].view("<u4" if w else "<u2").astype("<u4") for i, j, w in zip(edges, edges[1:], wide)])
+    return data[edges[0] : edges[-1]].view("<u4" if wide.any() else "<u2").astype("<u4")
+
+
 def tokenised(docs: DataFrame, tokenizer_path: str, end_id: int) -> DataFrame:
     """(doc_id, split, before, n, ids): every document's ids and the end id; ``before``: tokens before it in its split."""
 
@@ -31,11 +48,12 @@ def tokenised(docs: DataFrame, tokenizer_path: str, end_id: int) -> DataFrame:
         enc, end, before = encoder(tokenizer_path), np.array([end_id], "<u4").tobytes(), 0
         split = TaskContext.get().partitionId()
         for b in batches:
-            ids = [x + end for x in enc.encode(b.column("text").to_pylist())]
-            n = np.fromiter((len(x) // 4 for x in ids), np.int64, len(ids))
+            ids = enc.encode(b.column("text").to_pylist())
+            n = np.fromiter((len(x) // 4 + 1 for x in ids), np.int64, len(ids))
+            ids = stored(np.frombuffer(end.join([*ids, b""]), "<u4"), n)
             place = before + np.cumsum(n) - n
             before += int(n.sum())
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(np.full(len(n), split, np.int32)), pa.array(place), pa.array(n), pa.array(ids, pa.binary())], ["doc_id", "split", "before", "n", "ids"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(np.full(len(n), split, np.int32)), pa.array(place), pa.array(n), ids], ["doc_id", "split", "before", "n", "ids"])
 
     return texts_of(docs).mapInArrow(run, TOKENS)
 
@@ -68,17 +86,17 @@ def pack(docs: DataFrame, tokenizer_path: str, length: int = 2048, end_id: int =
             begin = np.maximum(sequence * length, place[row])
             end = np.minimum((sequence + 1) * length, (place + n)[row])
             start = begin - place[row]
-            ids = b.column("ids").to_pylist()
-            piece = [ids[r][4 * s : 4 * e] for r, s, e in zip(row.tolist(), start.tolist(), (end - place[row]).tolist())]
+            flat = loaded(b.column("ids"), n)
+            data = memoryview(flat).cast("B") if len(flat) else b""
+            edges = (4 * np.concatenate([[0], np.cumsum(end - begin)])).tolist()  # pieces follow each other as their documents do
             cols = {
                 "doc_id": b.column("doc_id").take(pa.array(row)), "start": pa.array(start), "length": pa.array(end - begin),
-                "ids_crc32": pa.array([zlib.crc32(x) for x in piece], pa.int64()), "doc_tokens": pa.array(n[row]),
+                "ids_crc32": pa.array([zlib.crc32(data[i:j]) for i, j in zip(edges, edges[1:])], pa.int64()), "doc_tokens": pa.array(n[row]),
                 "sequence_id": pa.array(sequence), "offset": pa.array(begin - sequence * length),
                 "boundary": pa.array((k > 0) | (sequence < lasts[row])),
             }
             if with_ids:
-                flat = np.frombuffer(b"".join(piece), "<i4")
-                cols["ids"] = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(end - begin)]).astype(np.int32)), pa.array(flat))
+                cols["ids"] = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(end - begin)]).astype(np.int32)), pa.array(flat.view("<i4")))
             yield pa.RecordBatch.from_arrays(list(cols.values()), list(cols))
 
     schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, boundary boolean"
