@@ -75,12 +75,12 @@ def write_records(docs: DataFrame, out: str, tokenizer_path: str, end_id: int =
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, end, part = encoder(tokenizer_path), np.array([end_id], "<u4").tobytes(), TaskContext.get().partitionId()
+        enc, end, part = encoder(tokenizer_path, 400_000), np.array([end_id], "<u4").tobytes(), TaskContext.get().partitionId()
         fs, base = _open(out)
         name = f"{base}/part-{part:07d}-{uuid.uuid4().hex}"
         records, tokens, at, index, sink = 0, 0, 0, [], None
-        for b in batches:
-            if b.num_rows and sink is None:
+        for b in (whole.slice(at, 500) for whole in batches for at in range(0, whole.num_rows, 500)):  # so that a batch's ids need not be in memory
+            if sink is None:
                 fs.create_dir(base, recursive=True)
                 sink = fs.open_output_stream(f"{name}.tmp")
             for d, ids in zip(b.column("doc_id").to_pylist(), enc.encode(b.column("text").to_pylist())):

@@ -116,14 +116,14 @@ class WordEncoder:
         return [bytes(data[i:j]) for i, j in zip(at, at[1:])]
 
 
-_MADE: dict[str, WordEncoder] = {}
+_MADE: dict[tuple[str, int], WordEncoder] = {}
 
 
-def encoder(path: str) -> WordEncoder:
+def encoder(path: str, entries: int = 800_000) -> WordEncoder:
     """One encoder for each file and worker process; reused by later tasks."""
-    if path not in _MADE:
+    if (path, entries) not in _MADE:
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        _MADE[path] = WordEncoder(path)
-    return _MADE[path]
+        _MADE[path, entries] = WordEncoder(path, entries)
+    return _MADE[path, entries]
