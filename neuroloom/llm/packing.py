@@ -41,13 +41,16 @@ def loaded(ids: pa.Array, n: np.ndarray) -> np.ndarray:
     return data[edges[0] : edges[-1]].view("<u4" if wide.any() else "<u2").astype("<u4")
 
 
-def tokenised(docs: DataFrame, tokenizer_path: str, end_id: int) -> DataFrame:
-    """(doc_id, split, before, n, ids): every document's ids and the end id; ``before``: tokens before it in its split."""
+def tokenised(docs: DataFrame, tokenizer_path: str, end_id: int, entries: int = 800_000) -> DataFrame:
+    """(doc_id, split, before, n, ids): every document's ids and the end id; ``before``: tokens before it in its split.
+
+    ``entries``: words whose ids a worker keeps, about 250 bytes each.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, end, before = encoder(tokenizer_path), np.array([end_id], "<u4").tobytes(), 0
+        enc, end, before = encoder(tokenizer_path, entries), np.array([end_id], "<u4").tobytes(), 0
         split = TaskContext.get().partitionId()
-        for b in batches:
+        for b in (whole.slice(at, 2500) for whole in batches for at in range(0, whole.num_rows, 2500)):
             ids = enc.encode(b.column("text").to_pylist())
             n = np.fromiter((len(x) // 4 + 1 for x in ids), np.int64, len(ids))
             ids = stored(np.frombuffer(end.join([*ids, b""]), "<u4"), n)
@@ -58,7 +61,7 @@ def tokenised(docs: DataFrame, tokenizer_path: str, end_id: int) -> DataFrame:
     return texts_of(docs).mapInArrow(run, TOKENS)
 
 
-def pack(docs: DataFrame, tokenizer_path: str, length: int = 2048, end_id: int = 1, with_ids: bool = False) -> DataFrame:
+def pack(docs: DataFrame, tokenizer_path: str, length: int = 2048, end_id: int = 1, with_ids: bool = False, entries: int = 800_000) -> DataFrame:
     """One row a piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, boundary; ``with_ids``: ids too.
 
     Null text counts as empty, so such a document is its end id alone.  A null doc_id stays null.
@@ -66,7 +69,7 @@ def pack(docs: DataFrame, tokenizer_path: str, length: int = 2048, end_id: int =
     An empty table gives no rows.  Only the last sequence is short of ``length``; its padding
     (``length`` less its pieces) is not a row.
     """
-    table = staged(tokenised(docs, tokenizer_path, end_id), "pack")
+    table = staged(tokenised(docs, tokenizer_path, end_id, entries), "pack")
     total, offsets = 0, []
     for split, n in sorted(table.groupBy("split").agg(F.sum("n")).collect()):  # one number an input split
         offsets.append((split, total))
