@@ -24,10 +24,10 @@ def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of sequences of 2048 tokens, with their ids."""
+    """Pieces of sequences of 2048 tokens, with their ids; few words are kept, as other stages share the workers' memory."""
     import public_tokenizers as P
 
-    return packing.pack(docs, P.path("byte_bpe_50k.json"), with_ids=True)
+    return packing.pack(docs, P.path("byte_bpe_50k.json"), with_ids=True, entries=100_000)
 
 
 STAGES = [("quality", quality_stage), ("near_duplicates", near_duplicates_stage), ("pii", pii_stage), ("packing", packing_stage)]
