@@ -49,8 +49,17 @@ def discard(table: DataFrame) -> None:
         folder.getFileSystem(table.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches of at most 2,000 rows and 16 MB, so that long texts don't fill a worker; a session's own lower bounds stay."""
+    for name, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", 2000), ("spark.sql.execution.arrow.maxBytesPerBatch", 16 << 20)):
+        now = spark.conf.get(name, "0")
+        if not now.isdigit() or not 0 < int(now) <= most:
+            spark.conf.set(name, str(most))
+
+
 def texts_of(docs: DataFrame, *extra) -> DataFrame:
     """Only the columns an operator needs, so that further ones can't clash; null text is empty."""
+    small_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"), *extra)
 
 
