@@ -52,7 +52,7 @@ def discard(table: DataFrame) -> None:
 def small_batches(spark: SparkSession) -> None:
     """Arrow batches of at most 2,000 rows and 16 MB, so that long texts don't fill a worker; a session's own lower bounds stay."""
     for name, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", 2000), ("spark.sql.execution.arrow.maxBytesPerBatch", 16 << 20)):
-        now = spark.conf.get(name, "0")
+        now = spark.conf.get(name).rstrip("b")
         if not now.isdigit() or not 0 < int(now) <= most:
             spark.conf.set(name, str(most))
 
