@@ -1,7 +1,7 @@
 """A hierarchical Pitman-Yor language model, sampled across a cluster.
 
-Restaurants: one for each context, where a context is the hash of the word before (``2**bits``
-classes, and one for the start of a text); all share one parent, the restaurant of words without
+Restaurants: one for each context, where a context is the word before (its 64-bit hash; at the start
+of a text that of the end token); all share one parent, the restaurant of words without
 context, whose base is uniform over the known words and one unknown.  The probability of word w
 in context u is
 
@@ -13,13 +13,14 @@ the tables of its children.
 Texts are read once, in blocks: a block's distinct (word, context) entries go to a bucket of the
 word's hash with their counts, and its tokens become numbers of those entries.  A word's entries,
 its customers in the parent and its tables there are all in one bucket, so seating needs nothing
-of other buckets but the tables and customers of each context (a vector of fixed size) and of the
-parent.  Each sweep of the sampler unseats every dish and reseats its customers by the Chinese
+of other buckets but the tables and customers of the contexts it has entries of and of the parent.
+The former are summed by buckets of the context's hash: each bucket of words sends its sums there and
+gets the totals back in the same order.  Each sweep of the sampler unseats every dish and reseats its customers by the Chinese
 restaurant's probabilities, all dishes of a bucket side by side.  Predictive probabilities are
 averaged over the sweeps after the first few and go back to the blocks that asked.
 
-Hot words are summed in their block first, and one word has no more entries than there are
-contexts, so no bucket depends on a word's frequency.
+Hot words are summed in their block first, and one word has no more entries than there are words
+met before it, so no bucket depends on a word's frequency; a hot context has one sum a bucket.
 """
 
 from __future__ import annotations
@@ -44,12 +45,22 @@ class Numbers(dict):
         return n
 
 
-REQUESTS = "kind int, block long, bucket int, a binary, b binary, c binary, d binary"
+REQUESTS = "kind int, block long, bucket int, a binary, b binary, c binary, d binary, e binary"
 
 
-def block_rows(block: int, docs: list, held: list[bool], texts: list[str], bits: int, buckets: int) -> list[tuple]:
-    """Kind 1, one for each bucket: word hashes, entries of each word, their contexts, their training counts.
-    Kind 0: doc_ids with a null mark and held_out, tokens of each text, the tokens' entry numbers."""
+def by_bucket(hashes: np.ndarray, buckets: int) -> np.ndarray:
+    """The order of hashes by bucket, then hash."""
+    return np.lexsort((hashes, hashes % np.uint64(buckets)))
+
+
+def cuts(hashes: np.ndarray, buckets: int) -> np.ndarray:
+    """Where each bucket starts among hashes in the order of ``by_bucket``."""
+    return np.searchsorted((hashes % np.uint64(buckets)).astype(np.int64), np.arange(buckets + 1))
+
+
+def block_rows(block: int, docs: list, held: list[bool], texts: list[str], buckets: int) -> list[tuple]:
+    """Kind 1, one for each bucket: word hashes, entries of each word, the contexts' hashes, each entry's context among them, training counts.
+    Kind 0: doc_ids with a null mark and held_out, tokens of each text, the tokens' entry numbers, entries of each word of all buckets."""
     import xxhash
 
     number = Numbers()
@@ -58,32 +69,32 @@ def block_rows(block: int, docs: list, held: list[bool], texts: list[str], bits:
     word = np.fromiter((x for t in tokens for x in t), np.int64, int(sizes.sum()))
     del tokens
     hashes = np.fromiter(map(xxhash.xxh64_intdigest, number), np.uint64, len(number))
-    order = np.lexsort((hashes, hashes % np.uint64(buckets)))  # by bucket, then hash
+    order = by_bucket(hashes, buckets)
     rank = np.empty(len(order), np.int64)
     rank[order] = np.arange(len(order))
-    hashes, word = hashes[order], rank[word]
-    contexts = (1 << bits) + 1
-    context = np.empty(len(word), np.int64)
-    context[1:] = (hashes[word[:-1]] >> np.uint64(64 - bits)).astype(np.int64)
-    context[np.cumsum(sizes) - sizes] = contexts - 1
-    code, entry = np.unique(word * contexts + context, return_inverse=True)
+    hashes, word, end, n = hashes[order], rank[word], rank[number[END]], len(order)
+    code = word * n
+    code[0] += end
+    code[1:] += word[:-1]  # a text's first word comes after the end of the text before
+    code, entry = np.unique(code, return_inverse=True)
     train = np.repeat(~np.array(held, bool), sizes)
     count = np.bincount(entry[train], minlength=len(code))
-    entry_word = code // contexts
-    at = np.searchsorted((hashes % np.uint64(buckets)).astype(np.int64), np.arange(buckets + 1))
-    per_word = np.bincount(entry_word, minlength=len(hashes))
+    entry_word, before = code // n, code % n
+    at = cuts(hashes, buckets)
+    per_word = np.bincount(entry_word, minlength=n).astype("<u4")
     edge = np.searchsorted(entry_word, at)
     out = []
     for k in range(buckets):
         w, e = slice(at[k], at[k + 1]), slice(edge[k], edge[k + 1])
         if at[k] < at[k + 1]:
-            out.append((1, block, k, hashes[w].tobytes(), per_word[w].astype("<u2").tobytes(), (code[e] % contexts).astype("<u2").tobytes(), count[e].astype("<u4").tobytes()))
+            places, place = np.unique(before[e], return_inverse=True)
+            out.append((1, block, k, hashes[w].tobytes(), per_word[w].tobytes(), hashes[places].tobytes(), place.astype("<u4").tobytes(), count[e].astype("<u4").tobytes()))
     ids = np.array([[d or 0, d is None, h] for d, h in zip(docs, held)], "<i8")
-    out.append((0, block, -1, ids.tobytes(), sizes.astype("<i8").tobytes(), entry.astype("<u4").tobytes(), None))
+    out.append((0, block, -1, ids.tobytes(), sizes.astype("<i8").tobytes(), entry.astype("<u4").tobytes(), per_word.tobytes(), None))
     return out
 
 
-def requests(docs: DataFrame, held_out, bits: int, buckets: int, tokens: int = 3_000_000) -> DataFrame:
+def requests(docs: DataFrame, held_out, buckets: int, tokens: int = 3_000_000) -> DataFrame:
     """``block_rows`` of blocks of about ``tokens`` tokens of each input split."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -91,8 +102,8 @@ def requests(docs: DataFrame, held_out, bits: int, buckets: int, tokens: int = 3
         docs, held, texts, size = [], [], [], 0
 
         def made() -> pa.RecordBatch:
-            cols = list(zip(*block_rows((split << 20) + blocks, docs, held, texts, bits, buckets)))
-            kinds = [pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.binary()]
+            cols = list(zip(*block_rows((split << 20) + blocks, docs, held, texts, buckets)))
+            kinds = [pa.int32(), pa.int64(), pa.int32(), *[pa.binary()] * 5]
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], [f.split()[0] for f in REQUESTS.split(", ")])
 
         for b in batches:
@@ -111,38 +122,70 @@ def requests(docs: DataFrame, held_out, bits: int, buckets: int, tokens: int = 3
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), held_out.alias("held")).mapInArrow(run, REQUESTS)
 
 
-def unpacked(row) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Word hashes, each entry's word (number in the row) and its context."""
+def unpacked(row) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Word hashes, each entry's word (number in the row), the contexts' hashes and each entry's context (number in the row)."""
     words = np.frombuffer(row["a"], "<u8")
-    return words, np.repeat(np.arange(len(words)), np.frombuffer(row["b"], "<u2")), np.frombuffer(row["c"], "<u2").astype(np.int64)
+    return words, np.repeat(np.arange(len(words)), np.frombuffer(row["b"], "<u4")), np.frombuffer(row["c"], "<u8"), np.frombuffer(row["d"], "<u4").astype(np.int64)
 
 
-STATE = "bucket int, words binary, per_word binary, contexts binary, counts binary, tables binary, roots binary, kept_tables array<binary>, kept_roots array<binary>, tables_of array<long>, customers_of array<long>, parent_tables long, parent_customers long, n_words long"
+STATE = "bucket int, words binary, per_word binary, places binary, place binary, counts binary, tables binary, roots binary, kept_tables array<binary>, kept_roots array<binary>, kept_totals array<binary>, customers_of binary, parent_tables long, parent_customers long, n_words long, tokens long"
 
 
-def _state_row(bucket, words, per_word, context, count, tables, roots, kept_tables, kept_roots, contexts) -> pd.DataFrame:
-    return pd.DataFrame([{
-        "bucket": bucket, "words": words.tobytes(), "per_word": per_word.astype("<u2").tobytes(), "contexts": context.astype("<u2").tobytes(), "counts": count.astype("<i8").tobytes(),
-        "tables": tables.astype("<i4").tobytes(), "roots": roots.astype("<i4").tobytes(), "kept_tables": kept_tables, "kept_roots": kept_roots,
-        "tables_of": np.bincount(context, tables, contexts).astype(np.int64), "customers_of": np.bincount(context, count, contexts).astype(np.int64),
-        "parent_tables": int(roots.sum()), "parent_customers": int(tables.sum()), "n_words": len(words),
-    }])
+def _moved(tables, roots) -> dict:
+    return {"tables": tables.astype("<i4").tobytes(), "roots": roots.astype("<i4").tobytes(), "parent_tables": int(roots.sum()), "parent_customers": int(tables.sum())}
 
 
-def merged(asked: DataFrame, contexts: int) -> DataFrame:
-    """One row a bucket: the training counts of its entries over all blocks, every dish at one table."""
+def merged(asked: DataFrame, width: int) -> DataFrame:
+    """One row a bucket: all contexts asked for (``places``), the training counts of its entries over all blocks, every dish at one table."""
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        got = [(*unpacked(r), np.frombuffer(r["d"], "<u4").astype(np.int64)) for _, r in rows.iterrows()]
-        words = np.unique(np.concatenate([w[np.unique(e[c > 0])] for w, e, _, c in got]))
-        code = np.concatenate([np.searchsorted(words, w[e[c > 0]]) * contexts + u[c > 0] for w, e, u, c in got])
+        got = [(*unpacked(r), np.frombuffer(r["e"], "<u4").astype(np.int64)) for _, r in rows.iterrows()]
+        words = np.unique(np.concatenate([w[np.unique(e[c > 0])] for w, e, _, _, c in got]))
+        places = np.unique(np.concatenate([p for _, _, p, _, _ in got]))
+        order = by_bucket(places, width)
+        rank = np.empty(len(order), np.int64)
+        rank[order] = np.arange(len(order))
+        code = np.concatenate([np.searchsorted(words, w[e[c > 0]]) * len(places) + rank[np.searchsorted(places, p)][u[c > 0]] for w, e, p, u, c in got])
         code, inverse = np.unique(code, return_inverse=True)
         count = np.bincount(inverse, np.concatenate([c[c > 0] for *_, c in got]), len(code)).astype(np.int64)
-        return _state_row(rows["bucket"].iloc[0], words, np.bincount(code // contexts, minlength=len(words)), code % contexts, count, np.ones(len(code)), np.ones(len(words)), [], [], contexts)
+        tables, roots = np.ones(len(code), np.int64), np.ones(len(words), np.int64)
+        return pd.DataFrame([{
+            "bucket": rows["bucket"].iloc[0], "words": words.tobytes(), "per_word": np.bincount(code // len(places), minlength=len(words)).astype("<u4").tobytes(),
+            "places": places[order].tobytes(), "place": (code % len(places)).astype("<u4").tobytes(), "counts": count.astype("<i8").tobytes(),
+            **_moved(tables, roots), "kept_tables": [], "kept_roots": [], "kept_totals": [], "customers_of": b"", "n_words": len(words), "tokens": int(count.sum()),
+        }])[[f.split()[0] for f in STATE.split(", ")]]
 
     return asked.groupBy("bucket").applyInPandas(run, STATE)
 
 
+SHARES = "bucket int, part int, places binary, tables binary, customers binary"
+
+
+def context_totals(state: DataFrame, width: int) -> DataFrame:
+    """For every bucket, in parts by the context's hash: tables and customers of its places over all buckets, in the order of its places."""
+
+    def shares(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in batches:
+            for _, r in rows.iterrows():
+                places, place = np.frombuffer(r["places"], "<u8"), np.frombuffer(r["place"], "<u4")
+                sums = [np.bincount(place, np.frombuffer(r[k], t), len(places)).astype("<i8") for k, t in (("tables", "<i4"), ("counts", "<i8"))]
+                at = cuts(places, width)
+                cut = [slice(a, b) for a, b in zip(at, at[1:])]
+                yield pd.DataFrame([(r["bucket"], j, places[c].tobytes(), *(x[c].tobytes() for x in sums)) for j, c in enumerate(cut) if c.start < c.stop], columns=[f.split()[0] for f in SHARES.split(", ")])
+
+    def summed(rows: pd.DataFrame) -> pd.DataFrame:
+        places, inverse = np.unique(np.frombuffer(b"".join(rows["places"]), "<u8"), return_inverse=True)
+        edge = np.cumsum(rows["places"].map(len).to_numpy() // 8)[:-1]
+        out = rows[["bucket", "part"]].copy()
+        for k in ("tables", "customers"):
+            total = np.bincount(inverse, np.frombuffer(b"".join(rows[k]), "<i8"), len(places)).astype("<i8")[inverse]
+            out[k] = [x.tobytes() for x in np.split(total, edge)]
+        return out
+
+    sent = state.select("bucket", "places", "place", "tables", "counts").mapInPandas(shares, SHARES)
+    return sent.repartition(width, "part").groupBy("part").applyInPandas(summed, "bucket int, part int, tables binary, customers binary")
+
+
 def seated(customers: np.ndarray, base: np.ndarray, others: np.ndarray, strength: float, discount: float, rng: np.random.Generator) -> np.ndarray:
     """Tables after seating each dish's customers one after another: ``others`` tables hold other dishes.
 
@@ -169,29 +212,29 @@ def seated(customers: np.ndarray, base: np.ndarray, others: np.ndarray, strength
     return tables
 
 
-def sweep(state: DataFrame, totals: dict, model: dict, keep: bool, seed: int) -> DataFrame:
-    contexts = model["contexts"]
+def sweep(state: DataFrame, contexts: DataFrame, totals: dict, model: dict, keep: bool, move: bool, seed: int) -> DataFrame:
+    """The state with its seating kept as a sample (``keep``) and then, with ``move``, all customers seated anew."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for rows in batches:
-            for _, r in rows.iterrows():
-                words, per_word = np.frombuffer(r["words"], "<u8"), np.frombuffer(r["per_word"], "<u2")
-                context, count = np.frombuffer(r["contexts"], "<u2").astype(np.int64), np.frombuffer(r["counts"], "<i8")
-                tables, roots = np.frombuffer(r["tables"], "<i4").astype(np.int64), np.frombuffer(r["roots"], "<i4").astype(np.int64)
-                word = np.repeat(np.arange(len(words)), per_word)
-                rng = np.random.default_rng([seed, int(r["bucket"])])
-                parent = parent_probability(np.bincount(word, tables, len(words)), roots, totals, model)
-                others = np.array(totals["tables_of"])[context] - tables
-                tables = seated(count, parent[word], others, model["strength"], model["discount"], rng)
-                own = np.bincount(word, tables, len(words)).astype(np.int64)
-                roots = seated(own, np.full(len(words), totals["uniform"]), totals["parent_tables"] - roots, model["parent_strength"], model["parent_discount"], rng)
-                kept_tables, kept_roots = list(r["kept_tables"]), list(r["kept_roots"])
-                if keep:
-                    kept_tables.append(tables.astype("<i4").tobytes())
-                    kept_roots.append(roots.astype("<i4").tobytes())
-                yield _state_row(r["bucket"], words, per_word, context, count, tables, roots, kept_tables, kept_roots, contexts)
-
-    return state.mapInPandas(run, STATE)
+    def run(rows: pd.DataFrame, shares: pd.DataFrame) -> pd.DataFrame:
+        r, shares = rows.iloc[0].to_dict(), shares.sort_values("part")
+        tables_of = np.frombuffer(b"".join(shares["tables"]), "<i8")
+        r["customers_of"] = b"".join(shares["customers"])
+        if keep:
+            for k, x in (("tables", r["tables"]), ("roots", r["roots"]), ("totals", tables_of.tobytes())):
+                r[f"kept_{k}"] = [*r[f"kept_{k}"], x]
+        if move:
+            n = len(r["words"]) // 8
+            word, place, count = np.repeat(np.arange(n), np.frombuffer(r["per_word"], "<u4")), np.frombuffer(r["place"], "<u4"), np.frombuffer(r["counts"], "<i8")
+            tables, roots = np.frombuffer(r["tables"], "<i4").astype(np.int64), np.frombuffer(r["roots"], "<i4").astype(np.int64)
+            rng = np.random.default_rng([seed, int(r["bucket"])])
+            parent = parent_probability(np.bincount(word, tables, n), roots, totals, model)
+            tables = seated(count, parent[word], tables_of[place] - tables, model["strength"], model["discount"], rng)
+            own = np.bincount(word, tables, n).astype(np.int64)
+            roots = seated(own, np.full(n, totals["uniform"]), totals["parent_tables"] - roots, model["parent_strength"], model["parent_discount"], rng)
+            r |= _moved(tables, roots)
+        return pd.DataFrame([r])
+
+    return state.groupBy("bucket").cogroup(contexts.groupBy("bucket")).applyInPandas(run, STATE)
 
 
 def parent_probability(customers, roots, totals: dict, model: dict):
@@ -199,59 +242,51 @@ def parent_probability(customers, roots, totals: dict, model: dict):
     return (customers - d * roots + (s + d * totals["parent_tables"]) * totals["uniform"]) / (s + totals["parent_customers"])
 
 
-def totals_of(state: DataFrame, contexts: int) -> dict:
-    """Sums over buckets: vectors as long as there are contexts, and scalars."""
-    one = state.agg(F.sum("parent_tables").alias("pt"), F.sum("parent_customers").alias("pc"), F.sum("n_words").alias("v")).first()
-    by = state.select(F.posexplode(F.arrays_zip("tables_of", "customers_of")).alias("u", "x")).groupBy("u").agg(F.sum("x.tables_of").alias("t"), F.sum("x.customers_of").alias("c")).collect()
-    t, c = [0] * contexts, [0] * contexts
-    for r in by:
-        t[r["u"]], c[r["u"]] = r["t"], r["c"]
-    return {"tables_of": t, "customers_of": c, "parent_tables": one["pt"] or 0, "parent_customers": one["pc"] or 0, "words": one["v"] or 0, "uniform": 1 / ((one["v"] or 0) + 1), "tokens": sum(c)}
+def totals_of(state: DataFrame) -> dict:
+    """Sums over buckets, of the parent and of the whole."""
+    one = state.agg(F.sum("parent_tables").alias("pt"), F.sum("parent_customers").alias("pc"), F.sum("n_words").alias("v"), F.sum("tokens").alias("n")).first()
+    return {"parent_tables": one["pt"] or 0, "parent_customers": one["pc"] or 0, "words": one["v"] or 0, "uniform": 1 / ((one["v"] or 0) + 1), "tokens": one["n"] or 0}
 
 
-ANSWER = "block long, bucket int, logp binary, count binary, ids binary, sizes binary, entries binary"
+ANSWER = "block long, bucket int, logp binary, count binary, ids binary, sizes binary, entries binary, per_word binary"
 
 
 def answers(asked: DataFrame, state: DataFrame, samples: list[dict], model: dict) -> DataFrame:
-    """For every block and bucket: each entry's log10 of the averaged predictive probability, and its word's training count."""
-    contexts = model["contexts"]
+    """For every block and bucket: each entry's log10 of the averaged predictive probability, and each word's training count."""
     strength, discount = model["strength"], model["discount"]
 
     def run(rows: pd.DataFrame, states: pd.DataFrame) -> pd.DataFrame:
-        r = states.iloc[0] if len(states) else None
-        if r is None:
-            words, code, count, word = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-        else:
-            words = np.frombuffer(r["words"], "<u8")
-            word = np.repeat(np.arange(len(words)), np.frombuffer(r["per_word"], "<u2"))
-            code, count = word * contexts + np.frombuffer(r["contexts"], "<u2"), np.frombuffer(r["counts"], "<i8")
-        of_word = np.bincount(word, count, len(words)).astype(np.int64)
+        r = states.iloc[0]
+        words, places, count = np.frombuffer(r["words"], "<u8"), np.frombuffer(r["places"], "<u8"), np.frombuffer(r["counts"], "<i8")
+        word = np.repeat(np.arange(len(words)), np.frombuffer(r["per_word"], "<u4"))
+        code = word * len(places) + np.frombuffer(r["place"], "<u4")
+        of_word = np.append(np.bincount(word, count, len(words)).astype("<i4"), np.int32(0))
+        customers_of = np.frombuffer(r["customers_of"], "<i8")
+        order = np.argsort(places)
         seats = []
         for i, totals in enumerate(samples):
-            tables = np.frombuffer(r["kept_tables"][i], "<i4") if r is not None else np.zeros(0)
-            roots = np.frombuffer(r["kept_roots"][i], "<i4") if r is not None else np.zeros(0)
+            tables, roots, tables_of = np.frombuffer(r["kept_tables"][i], "<i4"), np.frombuffer(r["kept_roots"][i], "<i4"), np.frombuffer(r["kept_totals"][i], "<i8")
             parent = parent_probability(np.bincount(word, tables, len(words)), roots, totals, model)
-            seats.append((np.append(count - discount * tables, 0.0), np.append(parent, parent_probability(0.0, 0.0, totals, model))))
+            seats.append((np.append(count - discount * tables, 0.0), np.append(parent, parent_probability(0.0, 0.0, totals, model)), strength + discount * tables_of))
         out = []
         for _, a in rows.iterrows():
-            w, entry, context = unpacked(a)
+            w, entry, asked_places, place = unpacked(a)
             at = np.minimum(np.searchsorted(words, w), max(len(words) - 1, 0))
             known = words[at] == w if len(words) else np.zeros(len(w), bool)
-            at = np.where(known, at, len(words))[entry]  # the last place is the unknown word's
-            want = at * contexts + context
+            found = np.where(known, at, len(words))  # the last place is the unknown word's
+            at = found[entry]
+            place = order[np.searchsorted(places, asked_places, sorter=order)][place]
+            want = at * len(places) + place
             seat = np.minimum(np.searchsorted(code, want), max(len(code) - 1, 0))
             seat = np.where(code[seat] == want, seat, len(code)) if len(code) else np.zeros(len(want), np.int64)
-            p = np.zeros(len(want))
-            for (own, parent), totals in zip(seats, samples):
-                t, c = np.array(totals["tables_of"], float)[context], np.array(totals["customers_of"], float)[context]
-                p += (own[seat] + (strength + discount * t) * parent[at]) / (strength + c)
-            out.append((a["block"], a["bucket"], np.log10(p / len(samples)).astype("<f4").tobytes(), np.append(of_word, 0)[at].astype("<i4").tobytes(), None, None, None))
+            p = sum(own[seat] + new[place] * parent[at] for own, parent, new in seats) / (strength + customers_of[place])
+            out.append((a["block"], a["bucket"], np.log10(p / len(samples)).astype("<f4").tobytes(), of_word[found].tobytes(), None, None, None, None))
         return pd.DataFrame(out, columns=[f.split()[0] for f in ANSWER.split(", ")])
 
     return asked.groupBy("bucket").cogroup(state.groupBy("bucket")).applyInPandas(run, ANSWER)
 
 
-def score(docs: DataFrame, held_out=None, bits: int = 8, strength: float = 5.0, discount: float = 0.7, parent_strength: float = 5.0, parent_discount: float = 0.6, burn: int = 1, samples: int = 2, seed: int = 11) -> DataFrame:
+def score(docs: DataFrame, held_out=None, strength: float = 5.0, discount: float = 0.7, parent_strength: float = 5.0, parent_discount: float = 0.6, burn: int = 1, samples: int = 2, seed: int = 11) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for every row.
 
     Null and empty texts are the end token alone.  A null doc_id counts as its text "" for the split.
@@ -260,28 +295,30 @@ def score(docs: DataFrame, held_out=None, bits: int = 8, strength: float = 5.0,
     """
     if held_out is None:
         held_out = F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), F.lit(7)) == 2
-    model = {"contexts": (1 << bits) + 1, "strength": strength, "discount": discount, "parent_strength": parent_strength, "parent_discount": parent_discount}
-    table = staged(requests(docs, held_out, bits, parts(docs)), "lm-blocks")
-    asked = table.where("kind = 1").repartition(parts(docs), "bucket")
-    state = staged(merged(asked, model["contexts"]), "lm-state")
-    totals, kept = totals_of(state, model["contexts"]), []
-    for i in range(burn + samples):
-        after = staged(sweep(state, totals, model, i >= burn, seed + i), "lm-state")
-        totals = totals_of(after, model["contexts"])
+    model = {"strength": strength, "discount": discount, "parent_strength": parent_strength, "parent_discount": parent_discount}
+    width = parts(docs)
+    buckets = 4 * width  # a bucket is a group in a worker's memory
+    table = staged(requests(docs, held_out, buckets), "lm-blocks")
+    asked = table.where("kind = 1").repartition(width, "bucket")
+    state = staged(merged(asked, width), "lm-state")
+    kept = []
+    for i in range(burn + samples + 1):
+        totals = totals_of(state)
+        if i > burn:
+            kept.append(totals)
+        after = staged(sweep(state, context_totals(state, width), totals, model, i > burn, i < burn + samples, seed + i), "lm-state")
         discard(state)
         state = after
-        if i >= burn:
-            kept.append(totals)
-    asked = table.where("kind = 1").drop("d").repartition(parts(docs), "bucket")
+    asked = table.where("kind = 1").drop("e").repartition(width, "bucket")
     replies = answers(asked, state, kept, model)
-    own = table.where("kind = 0").select("block", F.lit(-1).alias("bucket"), F.lit(None).cast("binary").alias("logp"), F.lit(None).cast("binary").alias("count"), F.col("a").alias("ids"), F.col("b").alias("sizes"), F.col("c").alias("entries"))
+    own = table.where("kind = 0").select("block", F.lit(-1).alias("bucket"), F.lit(None).cast("binary").alias("logp"), F.lit(None).cast("binary").alias("count"), F.col("a").alias("ids"), F.col("b").alias("sizes"), F.col("c").alias("entries"), F.col("d").alias("per_word"))
     tokens, v = totals["tokens"], totals["words"]
 
     def total(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("bucket")
         logp = np.frombuffer(b"".join(rows["logp"].iloc[1:]), "<f4").astype(np.float64)
-        count = np.frombuffer(b"".join(rows["count"].iloc[1:]), "<i4").astype(np.int64)
         own = rows.iloc[0]
+        count = np.repeat(np.frombuffer(b"".join(rows["count"].iloc[1:]), "<i4").astype(np.int64), np.frombuffer(own["per_word"], "<u4"))
         ids = np.frombuffer(own["ids"], "<i8").reshape(-1, 3)
         sizes, entries = np.frombuffer(own["sizes"], "<i8"), np.frombuffer(own["entries"], "<u4")
         base = np.log10((count + 1) / (tokens + v + 1))
@@ -293,7 +330,7 @@ def score(docs: DataFrame, held_out=None, bits: int = 8, strength: float = 5.0,
         })
 
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return own.unionByName(replies).repartition(parts(docs), "block").groupBy("block").applyInPandas(total, schema)
+    return own.unionByName(replies).repartition(width, "block").groupBy("block").applyInPandas(total, schema)
 
 
 def op4_language_model(spark, sf_dir: str) -> DataFrame:

@@ -134,6 +134,19 @@ def test_language_model_is_a_distribution(spark):
     assert 0 < firsts < 1 and all(0 < p < 1 for p in nexts.values()) and nexts["a"] > nexts["zzz"]
 
 
+def test_language_model_tells_contexts_apart(spark):
+    """Words whose hashes share the top byte are contexts of their own."""
+    import xxhash
+    from pyspark.sql import functions as F
+
+    top = lambda w: xxhash.xxh64_intdigest(w.encode()) >> 56
+    u = "w0"
+    v = next(w for i in range(1, 100_000) if top(w := f"w{i}") == top(u))
+    df = spark.createDataFrame([(i, f"{u} left" if i % 2 else f"{v} right") for i in range(60)] + [(100, f"{u} left"), (101, f"{u} right"), (102, f"{v} left"), (103, f"{v} right")], "doc_id long, text string")
+    got = {r.doc_id: r.score for r in language_model.score(df, F.col("doc_id") >= 100).collect()}
+    assert got[100] > got[101] + 1 and got[103] > got[102] + 1
+
+
 def test_seating_bounds():
     import numpy as np
 
