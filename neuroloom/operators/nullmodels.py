@@ -1,9 +1,10 @@
 """Random graphs that keep some property of each graph, one task a replica, and their checks.
 
 A rewiring chain is sequential, so replicas are the unit of distribution: every (graph, replica)
-is a group of its own with the graph's edge list, and its generator is seeded by both.  Proposals
-are bounded (``tries`` for each wanted swap), so a graph that can't be rewired ends too; each
-output row tells the swaps reached.
+is a group of its own with the graph's edge list, and its generator is seeded by both.  A chain goes
+on until the wanted swaps are reached; only a graph that no pair of edges can change any more, which
+is looked for once all pairs could have been proposed in vain, ends before.  Each output row tells the
+swaps reached.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from .sql import operator
 SCHEMA = "session string, stimulus string, rep int, src long, dst long, weight double, swaps long"
 
 
-def _rewired(src, dst, weight, nodes, model, swaps, tries, rng):
+def _rewired(src, dst, weight, nodes, model, swaps, rng):
     src, dst, weight, n = src.copy(), dst.copy(), weight.copy(), len(src)
     done = 0
     if model == "random":
@@ -31,37 +32,61 @@ def _rewired(src, dst, weight, nodes, model, swaps, tries, rng):
                 seen[a, b] = None
         pairs = np.array(list(seen), np.int64).reshape(-1, 2)
         return pairs[:, 0], pairs[:, 1], rng.permutation(weight), n
-    src, dst, sign = src.tolist(), dst.tolist(), np.sign(weight).tolist()
-    where = {(a, b): i for i, (a, b) in enumerate(zip(src, dst))}
+    ids, flat = np.unique(np.concatenate([src, dst]), return_inverse=True)
+    size, sign = len(ids), np.sign(weight).tolist()
+    src, dst = flat[:n].tolist(), flat[n:].tolist()
+    where = {a * size + b: i for i, (a, b) in enumerate(zip(src, dst))}
 
     def kind(i: int) -> tuple:
-        back = where.get((dst[i], src[i]))
-        return (back is None, sign[i], back is not None and sign[back]) if model == "signed_pair" else (back is None,)
-
-    proposals = swaps * tries if n > 1 else 0
-    for start in range(0, proposals, 4096):
-        if done >= swaps:
-            break
-        for i, j in rng.integers(0, n, (min(4096, proposals - start), 2)).tolist():
-            a, b, c, d = src[i], dst[i], src[j], dst[j]
-            if done >= swaps or a == b or a == c or a == d or b == c or b == d or c == d or (a, d) in where or (c, b) in where:
+        back = where.get(dst[i] * size + src[i])
+        return () if model == "degree" else (back is None,) if model == "pair" else (back is None, sign[i], back is not None and sign[back])
+
+    # Only edges of one kind swap, and no swap changes a kind: pairs are proposed within kinds, each pair as often as any other.
+    kinds: dict[tuple, list[int]] = {}
+    for i in range(n):
+        kinds.setdefault(kind(i), []).append(i)
+    members, count = np.array(sum(kinds.values(), [])), np.array([len(k) for k in kinds.values()])
+    first, pairs = np.cumsum(count) - count, int((count**2).sum())
+
+    def moves(i: int, j: int) -> tuple | None:
+        a, b, c, d = src[i], dst[i], src[j], dst[j]
+        if a * size + d in where or c * size + b in where or a == b or a == c or a == d or b == c or b == d or c == d:
+            return None
+        if model == "degree":
+            return (i, a, d), (j, c, b)
+        if d * size + a in where or b * size + c in where:
+            return None
+        back = where.get(b * size + a)
+        if back is None:
+            return (i, a, d), (j, c, b)
+        return (i, a, d), (j, c, b), (back, b, c), (where[d * size + c], d, a)  # both pairs are mutual: their second arcs move too
+
+    in_vain = 0
+    while done < swaps:
+        if in_vain >= pairs:
+            if not any(moves(i, j) for k in kinds.values() for i in k for j in k):
+                break
+            in_vain = 0
+        k = rng.choice(len(count), 4096, p=count**2 / pairs)
+        for i, j in members[first[k] + rng.integers(0, count[k], (2, 4096))].T.tolist():
+            if done >= swaps:
+                break
+            moved = moves(i, j)
+            if moved is None:
+                in_vain += 1
                 continue
-            moved = [(i, (a, d)), (j, (c, b))]
-            if model != "degree":
-                if kind(i) != kind(j) or (d, a) in where or (b, c) in where:
-                    continue
-                if (b, a) in where:  # both pairs are mutual: their second arcs move too
-                    moved += [(where[b, a], (b, c)), (where[d, c], (d, a))]
-            for e, _ in moved:
-                del where[src[e], dst[e]]
-            for e, (x, y) in moved:
+            in_vain = 0
+            for e, _, _ in moved:
+                del where[src[e] * size + dst[e]]
+            for e, x, y in moved:
                 src[e], dst[e] = x, y
-                where[x, y] = e
+                where[x * size + y] = e
             done += len(moved) // 2
-    return np.array(src), np.array(dst), weight if model == "signed_pair" else rng.permutation(weight), done
+    src, dst = ids[src], ids[dst]
+    return src, dst, weight if model == "signed_pair" else rng.permutation(weight), done
 
 
-def random_graphs(edges: DataFrame, nodes: DataFrame, model: str, replicas: int = 5, rounds: int = 10, tries: int = 20, seed: int = 3) -> DataFrame:
+def random_graphs(edges: DataFrame, nodes: DataFrame, model: str, replicas: int = 200, rounds: int = 100, seed: int = 3) -> DataFrame:
     """Replicas of every graph; ``model``: random (nodes and edges kept), degree, pair or signed_pair."""
     if model not in ("random", "degree", "pair", "signed_pair"):
         raise ValueError(model)
@@ -73,7 +98,7 @@ def random_graphs(edges: DataFrame, nodes: DataFrame, model: str, replicas: int
         g = g.sort_values(["src", "dst"])
         first = g.iloc[0]
         rng = np.random.default_rng([seed, int(first["rep"]), zlib.crc32(f"{first['session']}|{first['stimulus']}".encode())])
-        s, d, w, done = _rewired(g["src"].to_numpy(), g["dst"].to_numpy(), g["weight"].to_numpy(), np.array(first["all_nodes"]), model, rounds * len(g), tries, rng)
+        s, d, w, done = _rewired(g["src"].to_numpy(), g["dst"].to_numpy(), g["weight"].to_numpy(), np.array(first["all_nodes"]), model, rounds * len(g), rng)
         return pd.DataFrame({"session": first["session"], "stimulus": first["stimulus"], "rep": first["rep"], "src": s, "dst": d, "weight": w, "swaps": done})
 
     groups = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))

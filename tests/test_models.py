@@ -91,6 +91,15 @@ def test_rewiring_ends_on_full_graphs(spark):
     assert {r.swaps for r in nullmodels.random_graphs(full, nodes, "degree", replicas=1).collect()} == {0}
 
 
+def test_rewiring_reaches_all_swaps(spark):
+    """Where nearly all proposals are refused, and in as many replicas as the reference by default."""
+    gaps = {(0, 1), (2, 3)}
+    dense = graph(spark, [(a, b, 1) for a, b in permutations(range(7), 2) if (a, b) not in gaps])
+    nodes = spark.createDataFrame([(i, 0) for i in range(7)], "node long, area long")
+    assert {r.swaps for r in nullmodels.random_graphs(dense, nodes, "degree", replicas=2).collect()} == {100 * 40}
+    assert registry.queries()["signed_pair_graph"](spark, SF).select("rep").distinct().count() == 200
+
+
 def test_surrogates_keep_counts_and_windows(spark):
     df = load(spark, SF, "spikes")
     once = spikes.surrogates(df, samples=2)
