@@ -38,8 +38,8 @@ def _verified(spark, d):
 
 #: Iterative, random or with p-values: beyond SQL, held against invariants and brute force in tests.
 OTHERS = {
-    "surrogates": lambda s, d: spikes.surrogates(load(s, d, "spikes"), samples=2),
-    "ccg_corrected": lambda s, d: spikes.ccg_corrected(load(s, d, "spikes"), samples=2),
+    "surrogates": lambda s, d: spikes.surrogates(load(s, d, "spikes")),
+    "ccg_corrected": lambda s, d: spikes.ccg_corrected(load(s, d, "spikes")),
     "er_graph": _nulls("random"), "degree_graph": _nulls("degree"), "pair_graph": _nulls("pair"), "signed_pair_graph": _nulls("signed_pair"), "verify_null": _verified,
     "weak_components": lambda s, d: paths.weak_components(load(s, d, "edges")),
     "largest_wcc": lambda s, d: paths.largest_component(load(s, d, "edges")),
@@ -50,8 +50,8 @@ OTHERS = {
     "z_test_p": lambda s, d: stats.with_p_values(stats.z_test(edges=load(s, d, "edges"))),
     "rank_sum_p": lambda s, d: stats.with_p_values(stats.rank_sum(edges=load(s, d, "edges"))),
     "mean_interval": lambda s, d: stats.confidence_interval(load(s, d, "edges"), ["session", "stimulus"], "weight"),
-    "bootstrap_median": lambda s, d: stats.bootstrap_median(load(s, d, "edges"), ["session", "stimulus"], "weight", draws=1000),
-    "simulated_spikes": lambda s, d: simulate.izhikevich(s, [(0, 1, 10000.0, 3)], 2, trials=20),
+    "bootstrap_median": lambda s, d: stats.bootstrap_median(load(s, d, "edges"), ["session", "stimulus"], "weight"),
+    "simulated_spikes": lambda s, d: simulate.izhikevich(s, [(0, 1, 10000.0, 3)], 2),
     "random_delays": lambda s, d: simulate.random_delays(load(s, d, "edges").select("session", "stimulus", "src", "dst")),
     "random_adjacency": lambda s, d: simulate.random_adjacency(s, 50),
     "block_model": lambda s, d: simulate.block_model(s), "random_train": lambda s, d: simulate.random_train(s),

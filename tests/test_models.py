@@ -111,6 +111,17 @@ def test_surrogates_keep_counts_and_windows(spark):
     assert once.where("t < 0 or t >= 1440").count() == 0 and once.dropDuplicates().count() == once.count()
 
 
+def test_registered_sizes(spark):
+    """Registered queries run at their operators' own sizes."""
+    made = registry.queries()
+    assert made["surrogates"](spark, SF).select("sample").distinct().count() == 10
+    assert made["simulated_spikes"](spark, SF).agg(F.max("trial_id")).first()[0] == 39
+    full = stats.bootstrap_median(load(spark, SF, "edges"), ["session", "stimulus"], "weight", draws=10_000).collect()
+    assert sorted(map(tuple, made["bootstrap_median"](spark, SF).collect())) == sorted(map(tuple, full))
+    full = spikes.ccg_corrected(load(spark, SF, "spikes"), samples=10)
+    assert full.exceptAll(made["ccg_corrected"](spark, SF)).count() == 0
+
+
 def test_paths(spark, random_links):
     want = {}
     for s in range(14):
