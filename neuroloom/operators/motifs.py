@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from . import nullmodels
 from .sql import operator
 from .triad_table import table_sql, vocabulary, vocabulary_sql
 
@@ -33,7 +37,7 @@ z AS (SELECT session, stimulus, smt, count(*) AS n, sum(intensity) AS intensity,
 census AS (SELECT g.session, g.stimulus, vocab.smt, coalesce(n, 0) AS n, coalesce(intensity, 0) AS intensity, coalesce(coherence, 0) AS coherence FROM g CROSS JOIN vocab LEFT JOIN z ON z.session = g.session AND z.stimulus = g.stimulus AND z.smt = vocab.smt)"""
 motif_census = operator("motif_census", f"WITH {_CENSUS} SELECT session, stimulus, smt, n, round(intensity, 6) AS intensity, round(coherence, 6) AS coherence FROM census")
 
-# Z against replicas: here the graphs of the other sessions with the same stimulus.  A type absent in all
+# Z against the graphs of the other sessions with the same stimulus; against null models see NULL_Z.  A type absent in all
 # has mean and deviation 0; its deviation is then that of one 4 among zeros.
 _Z = f"""{_CENSUS},
 r AS (SELECT a.session, a.stimulus, a.smt, a.intensity, count(*) AS reps, avg(b.intensity) AS mean, stddev_samp(b.intensity) AS dev FROM census a JOIN census b ON a.stimulus = b.stimulus AND a.smt = b.smt AND a.session <> b.session GROUP BY a.session, a.stimulus, a.smt, a.intensity),
@@ -70,4 +74,36 @@ e AS (SELECT DISTINCT session, stimulus, least(a, b) AS a, greatest(a, b) AS b F
 g AS (SELECT DISTINCT session, stimulus FROM {{edges}})
 SELECT g.session, g.stimulus, CASE WHEN e.a IS NULL THEN 'rest' ELSE 'motif' END AS part, count(*) AS pairs, round(avg(r), 6) AS mean_r FROM g CROSS JOIN {{scorr}} s LEFT JOIN e ON e.session = g.session AND e.stimulus = g.stimulus AND e.a = s.i AND e.b = s.j GROUP BY g.session, g.stimulus, CASE WHEN e.a IS NULL THEN 'rest' ELSE 'motif' END""")
 
+# Z against a null model: the census of a graph and those of its replicas (with rep).  As above, a type absent in all
+# replicas has the deviation of one 4 among zeros; the stored form has the mean and deviation of one 5.
+_NULL_Z = """r AS (SELECT session, stimulus, smt, count(*) AS reps, avg(intensity) AS mean, stddev_samp(intensity) AS dev FROM {replicas} GROUP BY session, stimulus, smt),
+y AS (SELECT *, CASE WHEN mean = 0 AND dev = 0 THEN sqrt(16.0 / reps - 16.0 / (reps * reps)) ELSE dev END AS sd FROM r),
+zs AS (SELECT c.session, c.stimulus, c.smt, c.n, c.intensity, mean, sd, (c.intensity - mean) / nullif(sd, 0) AS z FROM {census} c JOIN y ON c.session = y.session AND c.stimulus = y.stimulus AND c.smt = y.smt WHERE sd > 0.000001)"""
+NULL_Z = {o.name: o for o in (
+    operator("null_zscore", f"WITH {_NULL_Z} SELECT session, stimulus, smt, round(intensity, 6) AS intensity, round(mean, 6) AS mean, round(sd, 6) AS deviation, round(z, 5) AS z FROM zs"),
+    operator("null_zscore_stored", """WITH
+b AS (SELECT session, stimulus, smt, avg(intensity) AS mean, stddev_pop(intensity) AS dev, count(*) AS reps, max(intensity) AS top FROM {replicas} GROUP BY session, stimulus, smt),
+q AS (SELECT c.session, c.stimulus, c.smt, (intensity - CASE WHEN top = 0 THEN 5.0 / reps ELSE mean END) / nullif(CASE WHEN top = 0 THEN sqrt(25.0 / reps - 25.0 / (reps * reps)) ELSE dev END, 0) AS z FROM {census} c JOIN b ON c.session = b.session AND c.stimulus = b.stimulus AND c.smt = b.smt
+  WHERE c.smt IN (SELECT smt FROM {replicas} WHERE n > 0 UNION SELECT smt FROM {census} WHERE n > 0))
+SELECT stimulus, smt, count(z) AS sessions, round(avg(z), 5) AS mean_z, round(stddev_samp(z), 5) AS std_z FROM q GROUP BY stimulus, smt"""),
+    operator("null_z_density", f"WITH {_NULL_Z} SELECT session, stimulus, count(*) AS types, round(avg(abs(z)), 5) AS mean_abs_z FROM zs GROUP BY session, stimulus"),
+    operator("null_mean_z", f"WITH {_NULL_Z} SELECT stimulus, smt, round(avg(z), 5) AS mean_z FROM zs GROUP BY stimulus, smt"),
+    operator("null_z_corr", f"""WITH {_NULL_Z}, a AS (SELECT stimulus, smt, avg(z) AS z FROM zs GROUP BY stimulus, smt)
+SELECT x.stimulus AS first, y.stimulus AS second, count(*) AS types, round(corr(x.z, y.z), 5) AS r FROM a x JOIN a y ON x.smt = y.smt AND x.stimulus <> y.stimulus GROUP BY x.stimulus, y.stimulus"""),
+)}
+
+
+def replica_census(replicas: DataFrame) -> DataFrame:
+    """The census of every replica of ``random_graphs``: session, stimulus, rep, smt, n, intensity, coherence."""
+    graphs = replicas.select("session", F.concat_ws(":", "rep", "stimulus").alias("stimulus"), "src", "dst", "weight").checkpoint()  # read several times, drawn once
+    rep, stimulus = F.substring_index("stimulus", ":", 1).cast("int"), F.expr("substr(stimulus, instr(stimulus, ':') + 1)")
+    return motif_census(edges=graphs).select("session", stimulus.alias("stimulus"), rep.alias("rep"), "smt", "n", "intensity", "coherence")
+
+
+def null_z(name: str, edges: DataFrame, nodes: DataFrame, model: str = "signed_pair", replicas: int = 200) -> DataFrame:
+    """One of ``NULL_Z`` for every graph against its own replicas."""
+    graphs = nullmodels.random_graphs(edges, nodes, model, replicas)
+    return NULL_Z[name](census=motif_census(edges=edges), replicas=replica_census(graphs))
+
+
 assert len(vocabulary()) == 132

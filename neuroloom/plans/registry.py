@@ -36,11 +36,16 @@ def _verified(spark, d):
     return nullmodels.verify(edges, nullmodels.random_graphs(edges, load(spark, d, "nodes"), "signed_pair"))
 
 
+def _null_z(name: str):
+    return lambda spark, d: motifs.null_z(name, load(spark, d, "edges"), load(spark, d, "nodes"))
+
+
 #: Iterative, random or with p-values: beyond SQL, held against invariants and brute force in tests.
 OTHERS = {
     "surrogates": lambda s, d: spikes.surrogates(load(s, d, "spikes")),
     "ccg_corrected": lambda s, d: spikes.ccg_corrected(load(s, d, "spikes")),
     "er_graph": _nulls("random"), "degree_graph": _nulls("degree"), "pair_graph": _nulls("pair"), "signed_pair_graph": _nulls("signed_pair"), "verify_null": _verified,
+    **{name: _null_z(name) for name in motifs.NULL_Z},
     "weak_components": lambda s, d: paths.weak_components(load(s, d, "edges")),
     "largest_wcc": lambda s, d: paths.largest_component(load(s, d, "edges")),
     "distances": lambda s, d: paths.distances(load(s, d, "edges")),

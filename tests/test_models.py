@@ -111,6 +111,20 @@ def test_surrogates_keep_counts_and_windows(spark):
     assert once.where("t < 0 or t >= 1440").count() == 0 and once.dropDuplicates().count() == once.count()
 
 
+def test_null_z_against_replicas(spark, random_links):
+    """M9 by hand from the replicas' motifs; a type absent everywhere has Z 0 and the deviation of one 4 among zeros."""
+    edges, nodes = graph(spark, random_links), spark.createDataFrame([(i, 0) for i in range(14)], "node long, area long")
+    reps = nullmodels.random_graphs(edges, nodes, "signed_pair", replicas=6)
+    sums = lambda g: Counter({r.smt: r.s for r in motifs.motif_intensity(edges=g).groupBy("smt").agg(F.sum("intensity").alias("s")).collect()})
+    own, drawn = sums(edges), [sums(reps.where(F.col("rep") == k)) for k in range(6)]
+    got = {r.smt: r for r in motifs.null_z("null_zscore", edges, nodes, replicas=6).collect()}
+    assert any(r.mean == 0 for r in got.values()) and any(abs(r.z) > 0.5 for r in got.values())
+    for smt, r in got.items():
+        x = [d[smt] for d in drawn]
+        sd = np.std(x, ddof=1) if any(x) else np.std([4, 0, 0, 0, 0, 0])
+        assert math.isclose(r.deviation, sd, abs_tol=1e-4) and math.isclose(r.z, (own[smt] - np.mean(x)) / sd, abs_tol=1e-3, rel_tol=1e-3)
+
+
 def test_registered_sizes(spark):
     """Registered queries run at their operators' own sizes."""
     made = registry.queries()
