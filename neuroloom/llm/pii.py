@@ -33,10 +33,11 @@ DIAL = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 
 CUES = {"iban": ("iban",), "ssn": ("ssn", "social security"), "account": ("account", "acct")}
 AFTER = {
-    "iban": re.compile(r"\W{0,3}([A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30})"),
-    "ssn": re.compile(r"(?: number| no\.?)?\W{0,3}([0-9]{3}-[0-9]{2}-[0-9]{4})(?![0-9-])", re.I),
-    "account": re.compile(r"(?: number| no\.?| #)?\W{0,3}([0-9]{8,17})(?![0-9-])", re.I),
+    "iban": re.compile(r"(?i:(?: number| no\.?)?(?: is)?)\W{0,3}([A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30})"),
+    "ssn": re.compile(r"(?: number| no\.?)?(?: is)?\W{0,3}([0-9]{3}-[0-9]{2}-[0-9]{4})(?![0-9-])", re.I),
+    "account": re.compile(r"(?: number| no\.?| #)?(?: is)?\W{0,3}([0-9]{8,17})(?![0-9-])", re.I),
 }
+LOWER = {k: k + 32 for k in range(65, 91)}  # A to Z only, so that offsets stay
 LOGIN = re.compile(r"([^\s/@:]{1,64}:[^\s/@]{1,128})@[A-Za-z0-9.-]+")
 
 
@@ -63,8 +64,7 @@ def automaton():
     a.add_word("://", ("scheme", 3))
     for kind, cues in CUES.items():
         for cue in cues:
-            for form in (cue, cue.upper(), cue.capitalize()):
-                a.add_word(form, (kind, len(form)))
+            a.add_word(cue, (kind, len(cue)))
     a.make_automaton()
     return a
 
@@ -80,7 +80,7 @@ def spans(text: str) -> list[tuple[int, int, int]]:
     out: list[tuple[int, int, int]] = []
     ends = [0] * len(KINDS)  # where the last match of each kind ended, kept or not
     last_digit = -2
-    for at, (kind, size) in _AC.iter(text):
+    for at, (kind, size) in _AC.iter(text.translate(LOWER)):
         if kind == "digit":
             if at >= ends[2]:
                 if m := DIGITS.match(text, at):

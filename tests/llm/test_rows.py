@@ -185,6 +185,15 @@ def test_pii_any_text():
     run()
 
 
+def test_pii_cues_in_any_case():
+    found = lambda t: [(pii.KINDS[k], t[a:b]) for a, b, k in pii.spans(t)]
+    for t in ("Social Security number 123-45-6789", "SSN is 123-45-6789", "İ Social Security No. is: 123-45-6789"):
+        assert found(t) == [("ssn", "123-45-6789")]
+    for t in ("account is 12345678", "Account Number is 12345678", "aCCt 12345678"):
+        assert ("account", "12345678") in found(t)
+    assert ("iban", "DE89370400440532013000") in found("IBAN is DE89370400440532013000")
+
+
 def test_pii_added_kinds():
     kinds = lambda t: [pii.KINDS[k] for _, _, k in pii.spans(t)]
     assert "iban" in kinds("IBAN: GB82 WEST 1234 5698 7654 32 ok") and "iban" not in kinds("IBAN: GB83 WEST 1234 5698 7654 32 ok")
