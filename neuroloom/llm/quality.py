@@ -2,7 +2,8 @@
 
 Each line is judged by punctuation, navigation and boilerplate rules; failing lines are removed;
 a document that so loses more than ``max_lost`` of its characters (in words) is rejected, as is
-one that fails the base rules on the uncleaned text.
+one that fails the base rules on the uncleaned text.  Licence lines are removed too, but count
+neither as lost nor as part of the document; one of nothing else is rejected.
 """
 
 from __future__ import annotations
@@ -23,6 +24,7 @@ PHRASES = (
     "licensed under", "released under the", "all rights reserved", "privacy policy", "cookie policy", "uses cookies",
     "terms of service", "terms of use", "enable javascript", "lorem ipsum", "click here to", "subscribe to our",
 )
+LICENCE = ("licensed under", "released under the", "all rights reserved")
 SPACE = str.maketrans("", "", " \t\n\x0b\x0c\r")
 
 
@@ -49,14 +51,24 @@ def repeat_words(ids: np.ndarray, width: int = 5) -> int:
     return int((np.cumsum(edge[:-1]) > 0).sum())
 
 
-def bad_line(line: str, marked: bool, phrased: bool) -> bool:
-    """Whether a line fails: navigation (separators are an eighth of its words), punctuation (marks are a tenth of its characters) or boilerplate (a stock phrase)."""
+FAILS, LICENSES = 1, 2
+
+
+def bad_line(line: str, marked: bool, phrased: bool) -> int:
+    """Whether a line fails: navigation (separators are an eighth of its words), punctuation (marks are a tenth of its characters) or
+    boilerplate (stock phrases are an eighth of its characters); LICENSES if by a licence's phrase alone."""
     words = line.split()
     if 8 * sum(w in SEPARATORS for w in words) >= max(1, len(words)):
-        return True
+        return FAILS
     if marked and 10 * sum(map(line.count, MARKS)) >= sum(map(len, words)) > 0:
-        return True
-    return phrased and any(p in line.lower() for p in PHRASES)
+        return FAILS
+    if not phrased:
+        return 0
+    low = " ".join(words).lower()
+    found = {p: low.count(p) * len(p) for p in PHRASES if p in low}
+    if 8 * sum(found.values()) < len(low) or not found:
+        return 0
+    return LICENSES if all(p in LICENCE for p in found) else FAILS
 
 
 def judged(text: str, max_lost: float) -> tuple[int, int, int, int, int, bool, bool, str]:
@@ -71,7 +83,7 @@ def judged(text: str, max_lost: float) -> tuple[int, int, int, int, int, bool, b
     phrased, marked = any(p in low for p in PHRASES), n_symbols > 0
     odd = marked or phrased or any(s in text for s in SEPARATORS)
     seen: set[str] = set()
-    good, duplicates, removed, lost = [], 0, 0, 0
+    good, duplicates, removed, lost, licence = [], 0, 0, 0, 0
     for line in text.split("\n"):
         if not line.strip(" \t\x0b\x0c\r"):
             good.append(line)
@@ -79,13 +91,16 @@ def judged(text: str, max_lost: float) -> tuple[int, int, int, int, int, bool, b
         again = line in seen
         seen.add(line)
         duplicates += again
-        if again or odd and bad_line(line, marked, phrased):
+        bad = FAILS if again else bad_line(line, marked, phrased) if odd else 0
+        if bad:
             removed += 1
-            lost += len(line) - sum(map(line.count, " \t\x0b\x0c\r"))
+            size = len(line) - sum(map(line.count, " \t\x0b\x0c\r"))
+            lost += size if bad == FAILS else 0
+            licence += size if bad == LICENSES else 0
         else:
             good.append(line)
     failed = n_words < 10 or 100 * repeated > 20 * n_words
-    kept = not failed and lost <= max_lost * word_chars
+    kept = not failed and word_chars > licence and lost <= max_lost * (word_chars - licence)
     return n_words, word_chars, n_symbols, duplicates, repeated, failed, kept, "\n".join(good) if removed else text
 
 

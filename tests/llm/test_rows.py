@@ -221,6 +221,16 @@ def test_quality(spark, docs):
     assert not quality.judged("a### b$$$ c%%% d*** e### f### g### h### i### j### k###", 0.3)[6]
 
 
+def test_quality_stock_phrases():
+    clean = "The quick fox ran over the hill, and then it slept for a day."
+    licence = "Licensed under the Apache License, Version 2.0."
+    assert quality.judged(f"{clean}\n{licence}", 0.3)[6:] == (True, clean)  # the licence goes, the text stays
+    long = f"{clean} " * 3 + "It read all rights reserved. " + " ".join(f"word{i}" for i in range(200))
+    assert quality.judged(long, 0.3)[6:] == (True, long)  # a phrase does not fail a long line
+    assert not quality.judged("\n".join(f"{licence} {i}" for i in range(4)), 0.3)[6]
+    assert not quality.judged(f"{clean}\nRead our privacy policy and our cookie policy and our terms of service here.", 0.3)[6]
+
+
 def test_hilbert_curve_is_a_path():
     import numpy as np
 
