@@ -17,7 +17,7 @@ of other buckets but the tables and customers of the contexts it has entries of
 The former are summed by buckets of the context's hash: each bucket of words sends its sums there and
 gets the totals back in the same order.  Each sweep of the sampler unseats every dish and reseats its customers by the Chinese
 restaurant's probabilities, all dishes of a bucket side by side.  Predictive probabilities are
-averaged over the sweeps after the first few and go back to the blocks that asked.
+averaged over ``samples`` sweeps after the first ``burn`` and go back to the blocks that asked.
 
 Hot words are summed in their block first, and one word has no more entries than there are words
 met before it, so no bucket depends on a word's frequency; a hot context has one sum a bucket.
