@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
+import re
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,10 +24,12 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, from ``spark.checkpoint.dir``.
 
-    Only where it is unset (tests, one machine) a local folder is made and set.
+    Only where it is unset on one machine (tests) a local folder is made and set; on a cluster that is an error.
     """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not re.fullmatch(r"local(\[[^,]*(,[^,]*)?\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = "file://" + os.path.join(tempfile.gettempdir(), "checkpoints")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -63,11 +68,34 @@ def texts_of(docs: DataFrame, *extra) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"), *extra)
 
 
+_LEAN = False
+
+
+def lean() -> None:
+    """Once in a worker: large blocks that are freed go back to the operating system at once, instead of staying with the process."""
+    global _LEAN
+    if not _LEAN:
+        _LEAN = True
+        pa.set_memory_pool(pa.system_memory_pool())
+        mallopt = getattr(ctypes.CDLL(None), "mallopt", None)  # of the GNU C library
+        if mallopt:
+            for option, value in ((-3, 1 << 20), (-1, 4 << 20), (-8, 2)):  # from where on blocks are mapped, what the heap keeps, arenas
+                mallopt(option, value)
+
+
+DOCUMENT = {"doc_id": "long", "text": "string", "lang": "string", "source": "string", "n_chars": "long"}
+
+
+def document_columns(docs: DataFrame) -> DataFrame:
+    """The columns of documents alone, in their types; those that the table lacks are null."""
+    return docs.select(*[(F.col(c) if c in docs.columns else F.lit(None)).cast(t).alias(c) for c, t in DOCUMENT.items()])
+
+
 def split_words(data: bytes) -> list[bytes]:
     """Maximal runs of bytes other than the six white-space bytes."""
     return data.split()
 
 
 def parts(df: DataFrame) -> int:
-    """Shuffle width: as the session asks, and not less than the input's own splits."""
+    """Shuffle width: as the session asks."""
     return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)

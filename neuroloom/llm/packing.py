@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import read, staged, texts_of
+from .common import lean, read, staged, texts_of
 from .wordcache import encoder
 
 TOKENS = "doc_id long, split int, before long, n long, ids binary"
@@ -41,27 +41,29 @@ def loaded(ids: pa.Array, n: np.ndarray) -> np.ndarray:
     return data[edges[0] : edges[-1]].view("<u4" if wide.any() else "<u2").astype("<u4")
 
 
-def tokenised(docs: DataFrame, tokenizer_path: str, end_id: int, entries: int = 800_000) -> DataFrame:
+def tokenised(docs: DataFrame, tokenizer_path: str, end_id: int, entries: int = 600_000, block: int = 8_000_000) -> DataFrame:
     """(doc_id, split, before, n, ids): every document's ids and the end id; ``before``: tokens before it in its split.
 
-    ``entries``: words whose ids a worker keeps, about 250 bytes each.
+    ``entries``: words whose ids a worker keeps, about 200 bytes each; ``block``: bytes of text it encodes at once.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, end, before = encoder(tokenizer_path, entries), np.array([end_id], "<u4").tobytes(), 0
-        split = TaskContext.get().partitionId()
-        for b in (whole.slice(at, 2500) for whole in batches for at in range(0, whole.num_rows, 2500)):
-            ids = enc.encode(b.column("text").to_pylist())
-            n = np.fromiter((len(x) // 4 + 1 for x in ids), np.int64, len(ids))
-            ids = stored(np.frombuffer(end.join([*ids, b""]), "<u4"), n)
-            place = before + np.cumsum(n) - n
-            before += int(n.sum())
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(np.full(len(n), split, np.int32)), pa.array(place), pa.array(n), ids], ["doc_id", "split", "before", "n", "ids"])
+        lean()
+        enc, before, split = encoder(tokenizer_path, entries), 0, TaskContext.get().partitionId()
+        for b in batches:
+            done = 0
+            for n, flat in enc.blocks(b.column("text"), block):
+                flat = np.insert(flat, np.cumsum(n), end_id)
+                n = n + 1
+                place = before + np.cumsum(n) - n
+                before += int(n.sum())
+                yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(done, len(n)), pa.array(np.full(len(n), split, np.int32)), pa.array(place), pa.array(n), stored(flat, n)], ["doc_id", "split", "before", "n", "ids"])
+                done += len(n)
 
     return texts_of(docs).mapInArrow(run, TOKENS)
 
 
-def pack(docs: DataFrame, tokenizer_path: str, length: int = 2048, end_id: int = 1, with_ids: bool = False, entries: int = 800_000) -> DataFrame:
+def pack(docs: DataFrame, tokenizer_path: str, length: int = 2048, end_id: int = 1, with_ids: bool = False, entries: int = 600_000, block: int = 8_000_000) -> DataFrame:
     """One row a piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, boundary; ``with_ids``: ids too.
 
     Null text counts as empty, so such a document is its end id alone.  A null doc_id stays null.
@@ -69,7 +71,7 @@ def pack(docs: DataFrame, tokenizer_path: str, length: int = 2048, end_id: int =
     An empty table gives no rows.  Only the last sequence is short of ``length``; its padding
     (``length`` less its pieces) is not a row.
     """
-    table = staged(tokenised(docs, tokenizer_path, end_id, entries), "pack")
+    table = staged(tokenised(docs, tokenizer_path, end_id, entries, block), "pack")
     total, offsets = 0, []
     for split, n in sorted(table.groupBy("split").agg(F.sum("n")).collect()):  # one number an input split
         offsets.append((split, total))
@@ -78,6 +80,7 @@ def pack(docs: DataFrame, tokenizer_path: str, length: int = 2048, end_id: int =
     places = F.broadcast(spark.createDataFrame(offsets, "split int, base long"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lean()
         for b in batches:
             n = b.column("n").to_numpy()
             place = b.column("base").to_numpy() + b.column("before").to_numpy()

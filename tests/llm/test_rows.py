@@ -21,9 +21,7 @@ SF = "/root/testdata/sf0.001"
 def tokenizer():
     from tokenizers import Tokenizer
 
-    t = Tokenizer.from_file(JSON)
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(JSON)
 
 
 @pytest.fixture(scope="module")
@@ -80,6 +78,21 @@ def test_records(spark, docs, tokenizer, tmp_path):
         assert order == sorted(order)
 
 
+def test_record_query_digests(spark, tokenizer):
+    """start, n_tokens and ids_crc32 of op7, against the tokenizer; wide ids survive, too."""
+    import numpy as np
+
+    rows = sorted((r.doc_id, r.text or "") for r in spark.read.parquet(f"{SF}/documents.parquet").collect())
+    at, want = 0, []
+    for d, t in rows:
+        ids = tokenizer.encode(t, add_special_tokens=False).ids + [0]
+        want.append((d, at, len(ids), zlib.crc32(pack_ids(ids))))
+        at += len(ids)
+    assert sorted(tuple(r) for r in binary_records.op7_binary_records(spark, SF).collect()) == want
+    for ids in ([1, 70_000, 3], [65_535], []):
+        assert binary_records.parsed(binary_records.payload_of(None, np.array(ids, "<u4"))) == (None, pack_ids(ids))
+
+
 def test_damage_is_found():
     good = binary_records.frame(b"abc") + binary_records.frame(b"")
     assert binary_records.unframe(good, 0) == (b"abc", 19) and binary_records.unframe(good, 19) == (b"", 35)
@@ -140,7 +153,7 @@ def test_word_cache_any_text(tokenizer):
     e = encoder(JSON)
 
     @settings(max_examples=400, deadline=None)
-    @given(st.lists(st.lists(st.sampled_from([*"ab' \n\t \x1cé1!日", "  "]), max_size=30).map("".join), max_size=4), st.integers(1, 40))
+    @given(st.lists(st.lists(st.sampled_from([*"ab' \n\t \x1cé1!日", "  ", "<|endoftext|>", *".,)\"&"]), max_size=30).map("".join), max_size=4), st.integers(1, 40))
     def run(some, chars):
         assert e.encode(some, chars) == [pack_ids(tokenizer.encode(t, add_special_tokens=False).ids) for t in some]
 
