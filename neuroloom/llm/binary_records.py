@@ -1,7 +1,7 @@
 """Token ids as length-delimited binary records with a separate offset index.
 
 Record:  u64 length | u32 masked crc32 of those 8 bytes | payload | u32 masked crc32 of the payload
-Payload: u8 (1: doc_id is null) | i64 doc_id | u32 ids ...
+Payload: u8 (1: doc_id is null; 2: ids are u32, else u16) | i64 doc_id | ids ...
 Index:   for each record u64 place in the data file, u64 payload length
 All little-endian.  The checksum is zlib's CRC-32, rotated by 15 bits and shifted by a constant,
 so that checksums of data which hold checksums stay sound.  The index lets a reader seek to
@@ -13,6 +13,7 @@ from __future__ import annotations
 import struct
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import parts, read, shared_dir, staged, texts_of
+from .common import lean, parts, read, shared_dir, staged, texts_of
 from .wordcache import encoder
 
 MASK = 0xA282EAD8
@@ -49,13 +50,15 @@ def unframe(data, at: int) -> tuple[bytes, int]:
     return payload, at + 16 + size
 
 
-def payload_of(doc_id: int | None, ids: bytes) -> bytes:
-    return ID.pack(doc_id is None, doc_id or 0) + ids
+def payload_of(doc_id: int | None, ids: np.ndarray) -> bytes:
+    wide = len(ids) > 0 and int(ids.max()) >= 1 << 16
+    return ID.pack((doc_id is None) + 2 * wide, doc_id or 0) + ids.astype("<u4" if wide else "<u2").tobytes()
 
 
 def parsed(payload: bytes) -> tuple[int | None, bytes]:
-    null, doc_id = ID.unpack_from(payload)
-    return None if null else doc_id, payload[ID.size :]
+    """The doc_id and the ids as little-endian unsigned 32-bit integers."""
+    marks, doc_id = ID.unpack_from(payload)
+    return None if marks & 1 else doc_id, np.frombuffer(payload, "<u4" if marks & 2 else "<u2", offset=ID.size).astype("<u4").tobytes()
 
 
 def _open(uri: str):
@@ -65,37 +68,43 @@ def _open(uri: str):
     return fs.FileSystem.from_uri(uri) if "://" in uri or uri.startswith("file:") else (fs.LocalFileSystem(), uri)
 
 
-def write_records(docs: DataFrame, out: str, tokenizer_path: str, end_id: int = 0) -> DataFrame:
+def write_records(docs: DataFrame, out: str, tokenizer_path: str, end_id: int = 0, entries: int = 300_000, block: int = 4_000_000) -> DataFrame:
     """Tokenise ``docs`` and write files of records in ascending doc_id order; returns the manifest.
 
     Manifest: part, data, index (file names), records, tokens.  Files sort by name as their
     doc_ids do.  Each task attempt writes under a name of its own and renames when done, and only
     the attempt whose row Spark keeps is in the manifest: lost executors leave nothing half read.
     Null doc_ids come first; rows with the same doc_id are adjacent, in order of their text's hash.
+    ``entries``: words whose ids a worker keeps; ``block``: bytes of text it encodes at once.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, end, part = encoder(tokenizer_path, 400_000), np.array([end_id], "<u4").tobytes(), TaskContext.get().partitionId()
+        lean()
+        enc, part = encoder(tokenizer_path, entries), TaskContext.get().partitionId()
         fs, base = _open(out)
         name = f"{base}/part-{part:07d}-{uuid.uuid4().hex}"
-        records, tokens, at, index, sink = 0, 0, 0, [], None
-        for b in (whole.slice(at, 500) for whole in batches for at in range(0, whole.num_rows, 500)):  # so that a batch's ids need not be in memory
+        records, tokens, at, index, sink = 0, 0, 0, array("Q"), None
+        for b in batches:
             if sink is None:
                 fs.create_dir(base, recursive=True)
                 sink = fs.open_output_stream(f"{name}.tmp")
-            for d, ids in zip(b.column("doc_id").to_pylist(), enc.encode(b.column("text").to_pylist())):
-                payload = payload_of(d, ids + end)
-                sink.write(frame(payload))
-                index += (at, len(payload))
-                at += 16 + len(payload)
-                records += 1
-                tokens += len(ids) // 4 + 1
+            ids_of = iter(b.column("doc_id").to_pylist())
+            for n, flat in enc.blocks(b.column("text"), block):
+                flat = np.insert(flat, np.cumsum(n), end_id)
+                edges = np.concatenate([[0], np.cumsum(n + 1)]).tolist()
+                for i, j in zip(edges, edges[1:]):
+                    payload = payload_of(next(ids_of), flat[i:j])
+                    sink.write(frame(payload))
+                    index.extend((at, len(payload)))
+                    at += 16 + len(payload)
+                records += len(n)
+                tokens += len(flat)
         if sink is None:
             return
         sink.close()
         fs.move(f"{name}.tmp", f"{name}.rec")
         with fs.open_output_stream(f"{name}.tmp") as f:
-            f.write(np.array(index, "<u8").tobytes())
+            f.write(np.frombuffer(index, np.uint64).astype("<u8").tobytes())
         fs.move(f"{name}.tmp", f"{name}.idx")
         yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "data": [f"{name}.rec"], "index": [f"{name}.idx"], "records": [records], "tokens": [tokens]})
 
@@ -104,7 +113,7 @@ def write_records(docs: DataFrame, out: str, tokenizer_path: str, end_id: int =
     return staged(laid.select("doc_id", "text").mapInArrow(run, "part int, data string, index string, records long, tokens long"), "records-manifest")
 
 
-def read_records(manifest: DataFrame, out: str, block: int = 8 << 20) -> DataFrame:
+def read_records(manifest: DataFrame, out: str, block: int = 4 << 20) -> DataFrame:
     """(doc_id, start, ids binary) of every record, each checked; ``start``: ids of all records before it."""
     spark, start, rows = manifest.sparkSession, 0, []
     for r in sorted(manifest.collect(), key=lambda r: r["part"]):  # one row a file
@@ -112,6 +121,7 @@ def read_records(manifest: DataFrame, out: str, block: int = 8 << 20) -> DataFra
         start += r["tokens"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lean()
         fs, _ = _open(out)
         for b in batches:
             for data, index, before in zip(*(b.column(k).to_pylist() for k in ("data", "index", "start"))):
