@@ -1,17 +1,22 @@
-"""N-gram Jaccard join: a masked, blocked product of the document by n-gram incidence matrix.
-
-Documents with equal n-gram sets are one row of the matrix (a class).  Of each row only a prefix
-of its entries, long enough for its size, can meet another row that is similar enough: columns
-are ordered rare first and a row's first ``n - ceil(t n) + 1`` entries are taken.  Rows meet in
-the columns of that restricted matrix.  A meeting pair is discarded when its sizes rule the
-threshold out, or when the difference of their bucket counts, which bounds the sets' symmetric
-difference from below, does.  For the pairs left the product's entries (overlaps) are
-accumulated over all columns, exactly.
-
-Only components are asked for, so the product is taken in two blocks.  The first takes for each
-row its few nearest predecessors in a column: a sparse skeleton that joins groups of near copies.
-The second takes every pair that meets in a column and is not yet in one component.  No link
-between different components is lost, and a large group of near copies costs no square of pairs.
+"""N-gram Jaccard join: a blocked sparse product of the document by n-gram incidence matrix.
+
+Documents with equal n-gram sets are one row of the matrix (a class).
+
+1. Of each row only a prefix of its entries, long enough for its size, can meet another row that
+   is similar enough: columns are ordered rare first and a row's first ``n - ceil(t n) + 1``
+   entries are taken.  Rows meet in the columns of that restricted matrix.  A meeting pair is
+   discarded when its sizes rule the threshold out, or when the difference of their bucket
+   counts, which bounds the sets' symmetric difference from below, does.  What is left joins rows
+   into candidate groups; each task returns a spanning forest, never pairs.
+2. The whole sets of a group's rows are brought together once, and the group's rows are multiplied
+   with themselves: overlap counts are accumulated over blocks of columns, and a pair is discarded
+   as soon as its count and what its rows have left cannot reach the bound that their sizes set.
+   Pairs that reach it are links; a task returns their spanning forest.
+
+Both steps work on blocks of bounded size.  A column or group beyond one block first takes each
+block by itself; what that leaves outside the unit's commonest component is then taken against all
+its blocks, each pair of blocks a task of its own.  So no link is lost, no task holds more than two
+blocks, and a large group of near copies costs no square of its rows.
 
 The order of columns may be any order that all rows share.  It puts the commonest n-grams last:
 a table of at most ``common`` n-grams, found by counting in blocks, has a fixed size and only
@@ -28,11 +33,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import UPPER, parts, read, split_words, staged, texts_of
-from .components import components
+from .common import UPPER, document_columns, lean, parts, read, staged, texts_of
+from .components import components, forest
 
 BUCKETS = 128
 _MIX = (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)
+_LOWER = np.frombuffer(UPPER, np.uint8)
+_BLANK = np.zeros(256, bool)
+_BLANK[[9, 10, 11, 12, 13, 32]] = True
+_KEPT = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -42,81 +51,116 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ x >> np.uint64(31)
 
 
-class WordHashes(dict):
-    """word -> 64-bit hash, cached."""
-
-    def __missing__(self, word: bytes) -> int:
-        import xxhash
-
-        if len(self) > 300_000:
-            self.clear()
-        h = xxhash.xxh64_intdigest(word)
-        if len(word) <= 64:
-            self[word] = h
-        return h
-
-
-def ngram_sets(texts: list[str], width: int, cache: WordHashes) -> list[np.ndarray]:
-    """Sorted distinct 64-bit n-gram hashes of each text; with fewer words, the sequence as one; without words, none."""
-    out = []
-    for t in texts:
-        words = split_words(t.encode().translate(UPPER))
-        if not words:
-            out.append(np.zeros(0, np.uint64))
-            continue
-        h = np.fromiter(map(cache.__getitem__, words), np.uint64, len(words))
-        k = min(width, len(h))
-        code = np.full(len(h) - k + 1, k, np.uint64)
-        for j in range(k):
-            code = mixed(code * np.uint64(_MIX[0]) + h[j : len(h) - k + 1 + j])
-        out.append(np.unique(code))
-    return out
+def word_hashes(data: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(64-bit hash of each word with A-Z lower-cased, number of words before each text and after the last).
 
-
-def set_key(grams: np.ndarray) -> int | None:
-    return int.from_bytes(hashlib.blake2b(grams.tobytes(), digest_size=8).digest(), "little", signed=True) if len(grams) else None
-
-
-def bucket_counts(grams: np.ndarray) -> bytes:
+    ``data``: bytes of texts laid end to end; ``edges``: where each begins, and the end.  All words
+    of a block advance eight bytes at a time, side by side.
+    """
+    blank = _BLANK[data]
+    inner = ~blank
+    start, stop = inner.copy(), inner.copy()
+    start[1:] &= blank[:-1]
+    stop[:-1] &= blank[1:]
+    full = edges[:-1] < edges[1:]
+    at = edges[:-1][full]
+    start[at] = inner[at]
+    at = edges[1:][full] - 1
+    stop[at] = inner[at]
+    begin, left = np.flatnonzero(start), np.flatnonzero(stop) + 1
+    left -= begin
+    padded = np.concatenate([_LOWER[data], np.zeros(8, np.uint8)])
+    eight = np.ndarray((len(data) + 1,), "<u8", padded.data, 0, (1,))
+    h = mixed(left.astype(np.uint64) * np.uint64(_MIX[0]))
+    live = np.arange(len(begin))
+    place = begin
+    while len(live):
+        h[live] = mixed((h[live] ^ eight[place] & _KEPT[np.minimum(left, 8)]) * np.uint64(_MIX[0]))
+        more = left > 8
+        live, place, left = live[more], place[more] + 8, left[more] - 8
+    return h, np.searchsorted(begin, edges)
+
+
+def text_sets(texts: pa.Array, width: int, size: int = 4_000_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(entries, edges) of consecutive blocks of texts of about ``size`` bytes: text i's sorted distinct 64-bit n-gram
+    hashes are entries[edges[i]:edges[i + 1]].  With fewer words than ``width``, the sequence as one; without words, none."""
+    texts = texts.cast(pa.large_string())
+    places = np.frombuffer(texts.buffers()[1], "<i8", len(texts) + 1, 8 * texts.offset) if len(texts) else np.zeros(1, np.int64)
+    raw = np.frombuffer(texts.buffers()[2] or b"", np.uint8) if len(texts) else np.zeros(0, np.uint8)
+    i = 0
+    while i < len(texts):
+        j = max(i + 1, int(np.searchsorted(places, places[i] + size)) - 1)
+        h, at = word_hashes(raw[places[i] : places[j]], places[i : j + 1] - places[i])
+        words = np.diff(at)
+        used = np.minimum(words, width)
+        count = words - used + (words > 0)
+        first = np.repeat(at[:-1] - (np.cumsum(count) - count), count) + np.arange(int(count.sum()))
+        code = np.repeat(used, count).astype(np.uint64)
+        short = used < width
+        for k in range(width):  # short texts end early
+            step = mixed(code * np.uint64(_MIX[0]) + h[np.minimum(first + k, max(len(h) - 1, 0))]) if len(h) else code
+            code = np.where(np.repeat(used > k, count), step, code) if short.any() else step
+        edges = np.concatenate([[0], np.cumsum(count)])
+        for a, b in zip(edges[:-1].tolist(), edges[1:].tolist()):
+            code[a:b].sort()
+        new = np.ones(len(code), bool)
+        new[1:] = code[1:] != code[:-1]
+        new[edges[:-1][count > 0]] = True
+        yield code[new], np.concatenate([[0], np.cumsum(new)])[edges]
+        i = j
+
+
+def set_keys(entries: np.ndarray, edges: np.ndarray) -> list[int | None]:
+    """A 64-bit hash of each set; None of an empty one."""
+    data, at = memoryview(np.ascontiguousarray(entries)).cast("B") if len(entries) else b"", (8 * edges).tolist()
+    return [int.from_bytes(hashlib.blake2b(data[a:b], digest_size=8).digest(), "little", signed=True) if a < b else None for a, b in zip(at, at[1:])]
+
+
+def bucket_counts(entries: np.ndarray, edges: np.ndarray) -> pa.Array:
     """How many entries fall in each bucket; clipping at 255 keeps differences lower bounds."""
-    return np.minimum(np.bincount((grams >> np.uint64(57)).astype(np.int64), minlength=BUCKETS), 255).astype(np.uint8).tobytes()
+    n = len(edges) - 1
+    row = np.repeat(np.arange(n), np.diff(edges))
+    counts = np.bincount(row * BUCKETS + (entries >> np.uint64(57)).astype(np.int64), minlength=n * BUCKETS)
+    data = np.minimum(counts, 255).astype(np.uint8)
+    return pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer((np.arange(n + 1) * BUCKETS).astype("<i4")), pa.py_buffer(data)])
 
 
 def row_hash():
-    """A row's identity by content, as ids may be null or repeat."""
-    return F.xxhash64(F.col("doc_id").cast("long"), "text", "lang", "source").alias("row")
+    """Finds a document again by its id (which may be null or repeat) and text; a chance meeting costs a needless row, as keys are compared then."""
+    return F.xxhash64(F.col("doc_id").cast("long"), F.col("doc_id").isNull(), "text", F.col("text").isNull()).alias("row")
 
 
 SETS = "doc_id long, row long, key long, n long, counts binary, gram long, seen long"
 
 
-def set_table(docs: DataFrame, width: int) -> DataFrame:
-    """Rows with a key: a document's set (key: its hash, null without words).  Rows with a gram: an n-gram that several documents of a block hold."""
+def set_table(docs: DataFrame, width: int, held: int = 1_000_000) -> DataFrame:
+    """Rows with a key: a document's set (key: its hash, null without words).  Rows with a gram: an n-gram that several documents of a block of ``held`` entries hold."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache, names = WordHashes(), [f.split()[0] for f in SETS.split(", ")]
+        lean()
+        names = [f.split()[0] for f in SETS.split(", ")]
         kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64()]
         block: list[np.ndarray] = []
-        held = 0
 
         def common() -> pa.RecordBatch:
-            g, c = np.unique(np.concatenate(block), return_counts=True) if block else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-            g, c = g[c > 2], c[c > 2]
-            cols = [pa.nulls(len(g), k) for k in kinds[:5]] + [pa.array(g.view(np.int64)), pa.array(c.astype(np.int64))]
+            flat = np.sort(np.concatenate(block)) if block else np.zeros(0, np.uint64)
+            flat = flat[2:][flat[2:] == flat[:-2]]  # those met three times or more, once less two
+            g, c = np.unique(flat, return_counts=True)
+            cols = [pa.nulls(len(g), k) for k in kinds[:5]] + [pa.array(g.view(np.int64)), pa.array(c.astype(np.int64) + 2)]
             return pa.RecordBatch.from_arrays(cols, names)
 
         for b in batches:
-            for at in range(0, b.num_rows, 500):
-                part = b.slice(at, 500)
-                sets = ngram_sets(part.column("text").to_pylist(), width, cache)
-                keys = pa.array([set_key(s) for s in sets], pa.int64())
-                counts = pa.array([bucket_counts(s) for s in sets], pa.binary())
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("row"), keys, pa.array([len(s) for s in sets], pa.int64()), counts, pa.nulls(len(sets), pa.int64()), pa.nulls(len(sets), pa.int64())], names)
-                block += sets
-                held += sum(map(len, sets))
-                if held > 2_000_000:
+            done = 0
+            for entries, edges in text_sets(b.column("text"), width):
+                n = len(edges) - 1
+                part = b.slice(done, n)
+                done += n
+                cols = [part.column("doc_id"), part.column("row"), pa.array(set_keys(entries, edges), pa.int64()), pa.array(np.diff(edges)), bucket_counts(entries, edges)]
+                yield pa.RecordBatch.from_arrays([*cols, pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64())], names)
+                block.append(entries)
+                if sum(map(len, block)) > held:
                     yield common()
-                    block, held = [], 0
+                    block.clear()
         yield common()
 
     return texts_of(docs, row_hash()).mapInArrow(run, SETS)
@@ -127,43 +171,38 @@ def prefixes(docs: DataFrame, width: int, percent: int, common: tuple[np.ndarray
     shared = docs.sparkSession.sparkContext.broadcast(common)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lean()
         often, times = shared.value
         met: set[int] = set()
-        cache = WordHashes()
         for b in batches:
-            for at in range(0, b.num_rows, 500):
-                grams, keys, sizes = [np.zeros(0, np.uint64)], [], []
-                for g in ngram_sets(b.slice(at, 500).column("text").to_pylist(), width, cache):
-                    key = set_key(g)
-                    if key is None or key in met:  # copies in this split meet the same columns
-                        continue
-                    if len(met) < 1_000_000:
-                        met.add(key)
-                    n = len(g)
-                    if len(often):
-                        spot = np.minimum(np.searchsorted(often, g), len(often) - 1)
-                        heat = np.where(often[spot] == g, times[spot], 0)
-                        if heat.any():
-                            g = g[np.argsort(heat, kind="stable")]
-                    g = g[: n - (percent * n + 99) // 100 + 1]
-                    grams.append(g)
-                    keys.append(key)
-                    sizes.append(len(g))
-                flat = np.concatenate(grams).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(flat), pa.array(np.repeat(np.array(keys, np.int64), np.array(sizes, np.int64)))], ["gram", "key"])
+            for entries, edges in text_sets(b.column("text"), width):
+                keys = set_keys(entries, edges)
+                fresh = np.array([k is not None and k not in met and not (len(met) < 200_000 and met.add(k)) for k in keys], bool)  # copies in this split meet the same columns
+                n = np.diff(edges)
+                row = np.repeat(np.arange(len(n)), n)
+                if len(often):
+                    spot = np.minimum(np.searchsorted(often, entries), len(often) - 1)
+                    heat = np.where(often[spot] == entries, times[spot], 0)
+                    if heat.any():
+                        entries = entries[np.argsort((row << 40) + heat, kind="stable")]
+                length = np.where(fresh, n - (percent * n + 99) // 100 + 1, 0)
+                kept = np.arange(len(entries)) - np.repeat(edges[:-1], n) < length[row]
+                key = np.array([k or 0 for k in keys], np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(entries[kept].view(np.int64)), pa.array(key[row[kept]])], ["gram", "key"])
 
     return texts_of(docs).mapInArrow(run, "gram long, key long")
 
 
-def _whole_columns(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
-    """Batches sorted by gram, cut anew so that no column of the matrix is split."""
+def _whole_units(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[pa.Table]:
+    """Batches whose rows with equal ``names`` are adjacent, cut anew so that none of these units is split."""
     held: list[pa.RecordBatch] = []
     for b in batches:
         if not b.num_rows:
             continue
-        g = b.column("gram").to_numpy()
-        last = int(np.flatnonzero(np.diff(g))[-1]) + 1 if g[0] != g[-1] else 0
-        if held and g[0] != held[-1].column("gram")[-1].as_py():
+        marks = [b.column(k).to_numpy() for k in names]
+        differ = np.flatnonzero(np.logical_or.reduce([m[1:] != m[:-1] for m in marks]))
+        last = int(differ[-1]) + 1 if len(differ) else 0
+        if held and any(held[-1].column(k)[-1].as_py() != m[0] for k, m in zip(names, marks)):
             yield pa.Table.from_batches(held)
             held = []
         if last:
@@ -175,106 +214,240 @@ def _whole_columns(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(held)
 
 
-def meeting_pairs(shared: DataFrame, percent: int, near: int | None) -> DataFrame:
-    """(a, b): pairs that meet in a column, with differing labels, that sizes and bucket counts allow.
+def _fixed(column: pa.ChunkedArray, size: int) -> np.ndarray:
+    """A column of binaries of ``size`` bytes each as a matrix."""
+    c = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    c = pa.concat_arrays(c.chunks) if isinstance(c, pa.ChunkedArray) else c
+    at = np.frombuffer(c.buffers()[1], "<i4", 1, 4 * c.offset)[0]
+    return np.frombuffer(c.buffers()[2], np.uint8, len(c) * size, at).reshape(-1, size)
 
-    ``near``: for each row one pair, with the nearest by bucket counts of so many predecessors by size in any column (the skeleton).  None:
-    all pairs, found from the rows outside their column's commonest label, so that a column whose
-    rows are nearly all of one component costs little.
-    """
 
-    names = ["a", "b", "d"] if near else ["a", "b"]
+MEETINGS = "a long, b long, unit long, n long, counts binary"
+
+
+def _edges(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+
+class Bounds:
+    """Which pairs of rows their sizes and bucket counts allow."""
+
+    def __init__(self, key, n, counts, percent: int):
+        self.key, self.n, self.counts, self.percent = key, n, counts, percent
+
+    def passing(self, row: np.ndarray, low: np.ndarray, high: np.ndarray, label: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Pairs (x, y) with y from ``low`` to ``high`` of each x in ``row``, of differing labels, by blocks of about 100,000."""
+        width = np.maximum(high - low, 0)
+        ends = np.cumsum(width)
+        i = 0
+        while i < len(row):
+            j = max(i + 1, int(np.searchsorted(ends, (ends[i - 1] if i else 0) + 100_000)))
+            w = width[i:j]
+            x = np.repeat(row[i:j], w)
+            y = np.arange(len(x)) - np.repeat(np.cumsum(w) - w, w) + np.repeat(low[i:j], w)
+            i = j
+            other = (label[x] != label[y]) & (self.key[x] != self.key[y])
+            x, y = x[other], y[other]
+            for s in range(0, len(x), 100_000):
+                p, q = x[s : s + 100_000], y[s : s + 100_000]
+                n, m, percent = self.n[p], self.n[q], self.percent
+                d = np.abs(self.counts[p].astype(np.int16) - self.counts[q]).sum(1, dtype=np.int64)
+                ok = ((100 + percent) * d <= (100 - percent) * (n + m)) & (100 * np.minimum(n, m) >= percent * np.maximum(n, m))
+                if ok.any():
+                    yield p[ok], q[ok]
+
+
+def _labels(key: np.ndarray, node: np.ndarray, root: np.ndarray) -> np.ndarray:
+    """Each key's root in a forest, or itself."""
+    if not len(node):
+        return key
+    spot = np.minimum(np.searchsorted(node, key), len(node) - 1)
+    return np.where(node[spot] == key, root[spot], key)
+
+
+def meetings(columns: DataFrame, percent: int, near: int) -> DataFrame:
+    """(a, b): a spanning forest, for each task, of the pairs in columns (gram, chunk) that sizes and bucket counts allow.
+
+    Each row is compared with ``near`` predecessors by size; then those outside their column's commonest
+    component with all rows of the column of other components.  Rows of a column of several
+    chunks are handed on, too: a is the key then, b null, unit the column.
+    """
+    names = [f.split()[0] for f in MEETINGS.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in _whole_columns(batches):
-            gram, key, n, label = (t[k].to_numpy() for k in ("gram", "key", "n", "label"))
-            counts = np.frombuffer(b"".join(t["counts"].to_pylist()), np.uint8).reshape(-1, BUCKETS)
-            column = np.cumsum(np.concatenate([[0], np.diff(gram) != 0])).astype(np.int64) << 40
+        lean()
+        for t in _whole_units(batches, ["gram", "chunk"]):
+            gram, chunk, key, n = (t[k].to_numpy() for k in ("gram", "chunk", "key", "n"))
+            bounds = Bounds(key, n, _fixed(t["counts"], BUCKETS), percent)
+            new = np.concatenate([[True], (np.diff(gram) != 0) | (np.diff(chunk) != 0)])
+            first = np.flatnonzero(new)
+            column = np.cumsum(new).astype(np.int64) << 40
             place = column + 100 * n  # rows are sorted by it
             row = np.arange(len(n))
             low = np.searchsorted(place, column + percent * n)  # the first row of the column that is large enough
-            if near:
-                low, high = np.maximum(low, row - near), row
-            else:
-                high = np.searchsorted(place, column + 100 * (100 * n // percent), side="right")
-                _, which, times = np.unique(np.stack([column, label]), axis=1, return_inverse=True, return_counts=True)
-                first = np.flatnonzero(np.concatenate([[True], np.diff(gram) != 0]))
-                most = np.repeat(np.maximum.reduceat(times[which.ravel()], first), np.diff(np.append(first, len(gram))))
-                tops = np.where(times[which.ravel()] == most, label, np.iinfo(np.int64).min)
-                top = np.repeat(np.maximum.reduceat(tops, first), np.diff(np.append(first, len(gram))))
-                low, high, row = (v[label != top] for v in (low, high, row))
-            width = high - low
-            ends = np.cumsum(width)
-            i = 0
-            while i < len(row):  # blocks of about 100,000 pairs; one row's partners can be more
-                j = max(i + 1, int(np.searchsorted(ends, (ends[i - 1] if i else 0) + 100_000)))
-                w = width[i:j]
-                x = np.repeat(row[i:j], w)
-                y = np.arange(len(x)) - np.repeat(np.cumsum(w) - w, w) + np.repeat(low[i:j], w)
-                i = j
-                differ = (label[x] != label[y]) & (key[x] != key[y])
-                x, y = x[differ], y[differ]
-                for s in range(0, len(x), 100_000):
-                    p, q = x[s : s + 100_000], y[s : s + 100_000]
-                    d = np.abs(counts[p].astype(np.int16) - counts[q]).sum(1, dtype=np.int64)
-                    ok = (100 + percent) * d <= (100 - percent) * (n[p] + n[q])
-                    p, q, d = p[ok], q[ok], d[ok]
-                    if near and len(p):
-                        best = np.lexsort((d, p))
-                        best = best[np.concatenate([[True], np.diff(p[best]) > 0])]
-                        p, q, d = p[best], q[best], d[best]
-                        yield pa.RecordBatch.from_arrays([pa.array(key[p]), pa.array(key[q]), pa.array(d)], names)
-                    elif len(p):
-                        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(key[p], key[q])), pa.array(np.maximum(key[p], key[q]))], names)
-
-    laid = shared.repartition(parts(shared), "gram").sortWithinPartitions("gram", "n", "key")
-    if near:
-        return laid.mapInArrow(run, "a long, b long, d long").groupBy("a").agg(F.min(F.struct("d", "b")).alias("best")).select("a", "best.b")
-    return laid.mapInArrow(run, "a long, b long").dropDuplicates()
-
-
-def verified(pairs: DataFrame, docs: DataFrame, sets: DataFrame, width: int, percent: int, broadcast_rows: int = 500_000) -> DataFrame:
-    """The pairs whose sets' exact overlap reaches the threshold; only their documents' sets are made again."""
-    pairs = staged(pairs, "ngram-pairs")
-    keys = pairs.select(F.col("a").alias("key")).union(pairs.select("b")).dropDuplicates()
-    one = staged(sets.groupBy("key").agg(F.min("row").alias("row")).join(keys, "key", "left_semi").select("row"), "ngram-wanted")
-    if one.count() <= broadcast_rows:  # 8 bytes a row; else Spark joins by shuffle
-        one = F.broadcast(one)
+            node = root = np.zeros(0, np.int64)
+            for x, y in bounds.passing(row, np.maximum(low, row - near), row, key):
+                node, root = forest(np.concatenate([node, key[x]]), np.concatenate([root, key[y]]))
+            label = _labels(key, *_sorted(node, root))
+            order = np.lexsort((label, column))
+            run_start = np.concatenate([[True], (np.diff(column[order]) != 0) | (np.diff(label[order]) != 0)])
+            number = np.cumsum(run_start) - 1
+            times = np.bincount(number)[number]
+            of = np.empty(len(row), np.int64)
+            of[order] = times
+            most = np.repeat(np.maximum.reduceat(of, first), np.diff(np.append(first, len(row))))
+            tops = np.where(of == most, label, np.iinfo(np.int64).min)
+            top = np.repeat(np.maximum.reduceat(tops, first), np.diff(np.append(first, len(row))))
+            stray = label != top
+            high = np.searchsorted(place, column + 100 * (100 * n // percent), side="right")
+            for x, y in bounds.passing(row[stray], low[stray], high[stray], label):
+                node, root = forest(np.concatenate([node, key[x]]), np.concatenate([root, key[y]]))
+            if len(node):
+                yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(root), *(pa.nulls(len(node), k) for k in (pa.int64(), pa.int64(), pa.binary()))], names)
+            hot = t.filter(t["hot"])
+            for b in hot.to_batches():
+                yield pa.RecordBatch.from_arrays([b.column("key"), pa.nulls(b.num_rows, pa.int64()), b.column("gram"), b.column("n"), b.column("counts")], names)
+
+    return columns.mapInArrow(run, MEETINGS)
+
+
+def stray_meetings(rows: DataFrame, percent: int) -> DataFrame:
+    """(a, b): the same for pairs of blocks of a hot column: rows of differing labels, ``stray`` ones against the others."""
 
-    def again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache, met = WordHashes(), set()
-        for b in batches:
-            fresh = [r not in met and not met.add(r) for r in b.column("row").to_pylist()]  # wholly equal rows
-            b = b.filter(pa.array(fresh, pa.bool_()))
-            for at in range(0, b.num_rows, 500):
-                made = ngram_sets(b.slice(at, 500).column("text").to_pylist(), width, cache)
-                yield pa.RecordBatch.from_arrays([pa.array([set_key(g) for g in made], pa.int64()), pa.array([g.tobytes() for g in made], pa.binary())], ["key", "grams"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lean()
+        for t in _whole_units(batches, ["unit", "i", "j"]):
+            marks = [t[k].to_numpy() for k in ("unit", "i", "j")]
+            key, n, label, stray = (t[k].to_numpy(zero_copy_only=False) for k in ("key", "n", "label", "stray"))
+            bounds = Bounds(key, n, _fixed(t["counts"], BUCKETS), percent)
+            at = np.flatnonzero(np.concatenate([[True], np.logical_or.reduce([np.diff(m) != 0 for m in marks]), [True]])).tolist()
+            node = root = np.zeros(0, np.int64)
+            for s, e in zip(at, at[1:]):  # within a unit, others come first
+                row = np.flatnonzero(stray[s:e]) + s
+                for x, y in bounds.passing(row, np.full(len(row), s), np.full(len(row), e - len(row)), label):
+                    node, root = forest(np.concatenate([node, key[x]]), np.concatenate([root, key[y]]))
+            if len(node):
+                yield _edges(node, root)
+
+    return rows.mapInArrow(run, "a long, b long")
+
+
+def _sorted(node: np.ndarray, root: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    order = np.argsort(node)
+    return node[order], root[order]
+
+
+def strays(rows: DataFrame, unit: str, blocks: DataFrame) -> DataFrame:
+    """Of rows (unit, key, label, ...): those outside their unit's commonest label (left) against all rows of the unit, dealt out in pairs of blocks (i, j).
+
+    ``blocks``: (unit, q), in how many blocks a unit's rows lie.
+    """
+    count = rows.groupBy(unit, "label").agg(F.count("*").alias("c"))
+    sums = count.groupBy(unit).agg(F.max(F.struct("c", "label")).alias("m"), F.sum("c").alias("all"))
+    own = rows.join(blocks.join(sums, unit), unit).withColumn("outside", F.col("all") - F.col("m.c")).withColumn("top", F.col("m.label"))
+    own = own.where("outside > 0").withColumn("s", F.greatest(F.lit(1), F.ceil(F.col("q") * F.col("outside") / F.col("all"))).cast("int")).drop("m")
+    each = lambda c: F.explode(F.sequence(F.lit(0), F.col(c).cast("int") - 1))
+    mine = lambda c: F.pmod(F.xxhash64("key", F.lit(3)), F.col(c)).cast("int")
+    left = own.where("label <> top").withColumn("stray", F.lit(True)).withColumn("i", mine("s")).withColumn("j", each("q"))
+    right = own.withColumn("stray", F.lit(False)).withColumn("j", mine("q")).withColumn("i", each("s"))
+    return left.unionByName(right.select(left.columns)).drop("all", "outside", "top", "s", "q")
+
+
+def products(grams: list[np.ndarray], percent: int, left: int = 0, width: int = 4096) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (x, y) of rows whose overlap reaches the threshold: x below ``left`` and y from it on, or all x < y when ``left`` is 0.
 
-    wanted = texts_of(docs, row_hash()).join(one, "row", "left_semi").select("row", "text")
-    rows = staged(wanted.mapInArrow(again, "key long, grams binary"), "ngram-rows")
-    both = pairs.join(rows.toDF("a", "ga"), "a").join(rows.toDF("b", "gb"), "b")
+    Entries of columns that two rows or more hold are multiplied in blocks of ``width`` columns.
+    """
+    n = np.fromiter(map(len, grams), np.int64, len(grams))
+    flat, row = np.concatenate(grams), np.repeat(np.arange(len(n)), n)
+    order = np.argsort(flat, kind="stable")
+    flat, row = flat[order], row[order]
+    new = np.concatenate([[True], flat[1:] != flat[:-1]])
+    column = np.cumsum(new) - 1
+    held = np.bincount(column)[column] > 1
+    row, column = row[held], column[held]
+    if not len(row):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    column = np.cumsum(np.concatenate([[True], column[1:] != column[:-1]])) - 1
+    a, b = (np.arange(left), np.arange(left, len(n))) if left else (np.arange(len(n)), np.arange(len(n)))
+    need = (percent * (n[a][:, None] + n[b]) + 99 + percent) // (100 + percent)
+    rest = np.bincount(row, minlength=len(n))
+    live = (need <= np.minimum(rest[a][:, None], rest[b])) & (a[:, None] < b)
+    kind = np.float64 if n.max() >= 1 << 24 else np.float32
+    overlap = np.zeros(live.shape, kind)
+    edges = np.searchsorted(column, np.arange(0, int(column[-1]) + width, width))
+    for lo, hi in zip(edges, edges[1:]):
+        if not live.any():
+            break
+        ra, rb = np.flatnonzero(live.any(1)), np.flatnonzero(live.any(0))
+        r, c = row[lo:hi], column[lo:hi] - column[lo]
+        some = np.zeros((len(n), int(c[-1]) + 1), kind)
+        some[r, c] = 1
+        overlap[np.ix_(ra, rb)] += some[a[ra]] @ some[b[rb]].T
+        rest = rest - np.bincount(r, minlength=len(n))
+        live &= overlap + np.minimum(rest[a][:, None], rest[b]) >= need
+    x, y = np.nonzero(live & (overlap >= need))
+    return a[x], b[y]
+
+
+def group_links(rows: DataFrame, percent: int) -> DataFrame:
+    """(a, b): for each block of a group (adjacent rows with equal unit and i) a spanning forest of its links."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lean()
+        for t in _whole_units(batches, ["unit", "i"]):
+            unit, i, key = (t[k].to_numpy() for k in ("unit", "i", "key"))
+            grams = [np.frombuffer(x.as_buffer(), "<u8") for x in t["grams"]]
+            at = np.flatnonzero(np.concatenate([[True], (np.diff(unit) != 0) | (np.diff(i) != 0), [True]])).tolist()
+            found = []
+            for s, e in zip(at, at[1:]):
+                if e - s > 1:
+                    x, y = products(grams[s:e], percent)
+                    if len(x):
+                        found.append(forest(key[s + x], key[s + y]))
+            if found:
+                yield _edges(*map(np.concatenate, zip(*found)))
+
+    return rows.mapInArrow(run, "a long, b long")
+
+
+def stray_links(rows: DataFrame, percent: int) -> DataFrame:
+    """(a, b): the same for pairs of blocks of a large group: ``stray`` rows against others of differing labels."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = []
-            for x, y in zip(batch.column("ga"), batch.column("gb")):
-                x, y = np.frombuffer(x.as_buffer(), "<u8"), np.frombuffer(y.as_buffer(), "<u8")
-                z = np.concatenate([x, y])
-                z.sort(kind="stable")
-                overlap = int((z[1:] == z[:-1]).sum())
-                keep.append(100 * overlap >= percent * (len(x) + len(y) - overlap))
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+        lean()
+        for t in _whole_units(batches, ["unit", "i", "j"]):
+            marks = [t[k].to_numpy() for k in ("unit", "i", "j")]
+            key, label, stray = (t[k].to_numpy(zero_copy_only=False) for k in ("key", "label", "stray"))
+            grams = [np.frombuffer(x.as_buffer(), "<u8") for x in t["grams"]]
+            at = np.flatnonzero(np.concatenate([[True], np.logical_or.reduce([np.diff(m) != 0 for m in marks]), [True]])).tolist()
+            for s, e in zip(at, at[1:]):  # within a unit, others come first
+                others = int((~stray[s:e]).sum())
+                if 0 < others < e - s:
+                    x, y = products(grams[s:e], percent, others)
+                    differ = label[s + x] != label[s + y]
+                    if differ.any():
+                        yield _edges(*forest(key[s + x[differ]], key[s + y[differ]]))
 
-    return both.mapInArrow(run, "a long, b long")
+    return rows.mapInArrow(run, "a long, b long")
 
 
-def similar_documents(docs: DataFrame, width: int = 4, percent: int = 85, common: int = 200_000, near: int = 32, rows: bool = False) -> DataFrame:
+def _dealt(rows: DataFrame, *by: str) -> DataFrame:
+    """Units side by side, in order, in as many tasks as the session asks for."""
+    return rows.repartition(parts(rows), *by)
+
+
+def similar_documents(docs: DataFrame, width: int = 4, percent: int = 85, common: int = 200_000, near: int = 32, rows: bool = False, chunk: int = 4096, most_rows: int = 1024, most_entries: int = 1_000_000, broadcast_rows: int = 500_000) -> DataFrame:
     """doc_id, n_shingles, component_id: the least doc_id reachable by links of Jaccard >= ``percent`` / 100.
 
     A document without words (or null text) has no n-grams and is its own component.  Equal sets
     link, repeated rows too.  A row with null doc_id links others as any row does; among ids nulls
     are passed over, and a component of such rows alone has a null id.  An empty table gives no
-    rows.  N-grams are compared by 64-bit hashes.  ``rows`` adds group (the component, never null) and row.
+    rows.  Only doc_id and text are read, so further columns can't clash.  N-grams and sets are compared
+    by 64-bit hashes.  ``rows`` adds group (the component, never null) and row.
+
+    ``chunk``: rows of a column in one block; ``most_rows``, ``most_entries``: rows and entries of a
+    group in one block.  They set what a task holds, not what is found.
     """
     sets = staged(set_table(docs, width), "ngram-sets")
     own = sets.where("gram IS NULL")
@@ -282,18 +455,52 @@ def similar_documents(docs: DataFrame, width: int = 4, percent: int = 85, common
     grams = often["gram"].to_numpy().view(np.uint64)
     order = np.argsort(grams)
     filled = own.where("key IS NOT NULL")
+    classes = filled.groupBy("key").agg(F.first("n").alias("n"), F.min("row").alias("row"))
+
     met = prefixes(docs, width, percent, (grams[order], often["seen"].to_numpy()[order]))
     column = Window.partitionBy("gram")
-    met = met.withColumn("lo", F.min("key").over(column)).withColumn("hi", F.max("key").over(column)).where("lo <> hi").select("gram", "key").dropDuplicates()
-    row = filled.groupBy("key").agg(F.first("n").alias("n"), F.first("counts").alias("counts"))
-    shared = staged(met.join(row, "key"), "ngram-shared")
-    check = lambda pairs: staged(verified(pairs, docs, filled, width, percent), "ngram-links")
-    skeleton = check(meeting_pairs(shared.withColumn("label", F.col("key")), percent, near))
-    label = components(skeleton).withColumnRenamed("id", "key")
-    labelled = shared.join(label, "key", "left").select("gram", "key", "n", "counts", F.coalesce("component", "key").alias("label"))
-    rest = check(meeting_pairs(labelled, percent, None))
-    final = components(skeleton.union(rest)).withColumnRenamed("id", "key")
-    classes = own.where("key IS NOT NULL").groupBy("key").agg(F.min("doc_id").alias("least")).join(final, "key", "left").withColumn("component", F.coalesce("component", "key"))
+    met = met.withColumn("lo", F.min("key").over(column)).withColumn("hi", F.max("key").over(column)).withColumn("hot", F.count("*").over(column) > chunk)
+    met = met.where("lo <> hi").select("gram", "key", "hot").dropDuplicates()
+    shared = _dealt(met.join(filled.groupBy("key").agg(F.first("n").alias("n"), F.first("counts").alias("counts")), "key"), "gram")
+    columns = shared.withColumn("chunk", F.floor((F.row_number().over(column.orderBy("n", "key")) - 1) / F.lit(chunk)).cast("long"))
+    found = staged(meetings(columns.select("gram", "chunk", "key", "n", "hot", "counts"), percent, near), "ngram-meetings")
+    near_rows = found.where("b IS NOT NULL").select("a", "b")
+    group = components(near_rows)
+    hot = found.where("b IS NULL").select("unit", F.col("a").alias("key"), "n", "counts")
+    if hot.limit(1).count():
+        hot = hot.join(group.withColumnRenamed("id", "key"), "key", "left").withColumn("label", F.coalesce("component", "key")).drop("component")
+        blocks = hot.groupBy("unit").agg(F.ceil(F.count("*") / F.lit(chunk)).alias("q"))
+        dealt = _dealt(strays(hot, "unit", blocks), "unit", "i", "j").sortWithinPartitions("unit", "i", "j", "stray", "key")
+        group = components(near_rows.union(stray_meetings(dealt, percent)))
+
+    group = staged(group.toDF("key", "unit").join(filled.groupBy("key").agg(F.first("n").alias("n"), F.min("row").alias("row")), "key"), "ngram-groups")
+    size = group.groupBy("unit").agg(F.greatest(F.ceil(F.count("*") / F.lit(most_rows)), F.ceil(F.sum("n") / F.lit(most_entries))).cast("int").alias("q"))
+    wanted = group.select("row")
+    if wanted.count() <= broadcast_rows:  # 8 bytes a row; else Spark joins by shuffle
+        wanted = F.broadcast(wanted)
+
+    def again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lean()
+        met: set[int] = set()
+        for b in batches:
+            fresh = [r not in met and not met.add(r) for r in b.column("row").to_pylist()]  # wholly equal rows
+            for entries, edges in text_sets(b.filter(pa.array(fresh, pa.bool_())).column("text"), width):
+                at = edges.tolist()
+                yield pa.RecordBatch.from_arrays([pa.array(set_keys(entries, edges), pa.int64()), pa.array([entries[x:y].tobytes() for x, y in zip(at, at[1:])], pa.binary())], ["key", "grams"])
+
+    made = texts_of(docs, row_hash()).join(wanted, "row", "left_semi").select("row", "text").mapInArrow(again, "key long, grams binary")
+    whole = made.join(group.join(size, "unit").select("key", "unit", "q"), "key").withColumn("i", F.pmod(F.xxhash64("key", F.lit(3)), F.col("q")).cast("int"))
+    whole = staged(whole, "ngram-rows")
+    dealt = _dealt(whole.select("unit", "i", "key", "grams"), "unit", "i").sortWithinPartitions("unit", "i", "key")
+    links = staged(group_links(dealt, percent), "ngram-links")
+    final = components(links)
+    large = whole.where("q > 1")
+    if large.limit(1).count():
+        large = large.drop("i").dropDuplicates(["unit", "key"]).join(final.withColumnRenamed("id", "key"), "key", "left").withColumn("label", F.coalesce("component", "key")).drop("component")
+        dealt = _dealt(strays(large.drop("q"), "unit", large.groupBy("unit").agg(F.first("q").alias("q"))), "unit", "i", "j").sortWithinPartitions("unit", "i", "j", "stray", "key")
+        final = components(links.union(stray_links(dealt, percent)))
+
+    classes = filled.groupBy("key").agg(F.min("doc_id").alias("least")).join(final.withColumnRenamed("id", "key"), "key", "left").withColumn("component", F.coalesce("component", "key"))
     least = classes.groupBy("component").agg(F.min("least").alias("component_id"))
     named = classes.join(least, "component").select("key", "component", "component_id")
     out = own.select("doc_id", "row", "key", "n").join(named, "key", "left")
@@ -304,12 +511,13 @@ def similar_documents(docs: DataFrame, width: int = 4, percent: int = 85, common
 def one_of_each(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """The columns of documents; of each component the row with the least doc_id (null ids last).
 
-    Rows without words are components of their own; of wholly equal rows one stays.
+    Rows without words are components of their own; of wholly equal rows one stays.  Columns that the table
+    lacks are null; further columns are left out.
     """
     found = similar_documents(docs, width, percent, rows=True)
-    best = found.groupBy("group").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("best")).select("best.row")
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang", "source", F.col("n_chars").cast("long").alias("n_chars"), row_hash())
-    return own.join(best, "row", "left_semi").dropDuplicates(["row"]).drop("row")
+    best = found.groupBy("group").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("best")).select("best.doc_id", "best.row")
+    own = document_columns(docs).withColumn("row", row_hash())
+    return own.join(best, own["doc_id"].eqNullSafe(best["doc_id"]) & (own["row"] == best["row"]), "left_semi").dropDuplicates(["row", "doc_id"]).drop("row")
 
 
 def op5_ngram_join(spark, sf_dir: str) -> DataFrame:

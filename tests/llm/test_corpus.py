@@ -78,15 +78,44 @@ def near_copies():
     return out + [shared + " " + " ".join(f"u{i}v{k}" for i in range(25 * (k + 1))) for k in range(8)] + ["A b", "a  B", "a b c d", "a b c d e", "a b c d"]
 
 
-@pytest.mark.parametrize("width,percent", [(4, 85), (5, 80)])
-def test_ngram_join(spark, width, percent):
+@pytest.mark.parametrize("width,percent,sizes", [(4, 85, {}), (5, 80, {"chunk": 5, "most_rows": 3, "most_entries": 400}), (3, 60, {"chunk": 2, "most_rows": 2, "near": 1})])
+def test_ngram_join(spark, width, percent, sizes):
     odd = table(spark, TEXTS + near_copies() + TEXTS[-4:])
     for df in (odd.repartition(5), spark.read.parquet(f"{SF}/documents.parquet"), odd.limit(0)):
         rows = [(r.doc_id, r.text) for r in df.collect()]
-        got = Counter(tuple(r) for r in ngram_join.similar_documents(df, width, percent, common=20, near=2).collect())
+        got = Counter(tuple(r) for r in ngram_join.similar_documents(df, width, percent, **{"common": 20, "near": 2, **sizes}).collect())
         assert got == plain_join(rows, width, percent)
 
 
+def test_word_hashes():
+    """Hashes depend on the lower-cased word alone, wherever it stands."""
+    import numpy as np
+
+    raw = ["A b\tlonger-than-eight-bytes É", "", "  x", "b a longer-than-eight-byteS", "é É longer-than-eight-bytes ", "a\x0b\x0cb\x00 b"]
+    data = [t.encode() for t in raw]
+    edges = np.cumsum([0, *map(len, data)])
+    h, at = ngram_join.word_hashes(np.frombuffer(b"".join(data), np.uint8), edges)
+    found = {}
+    assert list(np.diff(at)) == [len(words(t)) for t in raw]
+    for x, w in zip(h.tolist(), [w for t in raw for w in words(t)], strict=True):
+        assert found.setdefault(w, x) == x
+    assert len(set(found.values())) == len(found)
+
+
+def test_products():
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    base = rng.permutation(4000).astype(np.uint64)
+    grams = [np.sort(rng.choice(base[: 40 * (1 + k % 3)], 20 * (1 + k % 3), replace=False)) for k in range(30)]
+    over = lambda a, b: 100 * (k := len(np.intersect1d(a, b))) >= 40 * (len(a) + len(b) - k)
+    want = {(i, j) for i in range(30) for j in range(i + 1, 30) if over(grams[i], grams[j])}
+    assert want and len(want) < 400
+    for width in (7, 4096):
+        assert set(zip(*map(np.ndarray.tolist, ngram_join.products(grams, 40, 0, width)))) == want
+        assert set(zip(*map(np.ndarray.tolist, ngram_join.products(grams, 40, 10, width)))) == {(i, j) for i, j in want if i < 10 <= j}
+
+
 def test_ngram_query_matches_sql(spark):
     got = sorted(tuple(r) for r in ngram_join.op5_ngram_join(spark, SF).collect())
     assert got == sorted(sql(ngram_join.OP5_SQL, "documents")[1])
