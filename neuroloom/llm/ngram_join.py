@@ -8,7 +8,7 @@ Documents with equal n-gram sets are one row of the matrix (a class).
    discarded when its sizes rule the threshold out, or when the difference of their bucket
    counts, which bounds the sets' symmetric difference from below, does.  What is left joins rows
    into candidate groups; each task returns a spanning forest, never pairs.
-2. The whole sets of a group's rows are brought together once, and the group's rows are multiplied
+2. The whole sets of a group's rows are brought together once, and its rows are multiplied
    with themselves: overlap counts are accumulated over blocks of columns, and a pair is discarded
    as soon as its count and what its rows have left cannot reach the bound that their sizes set.
    Pairs that reach it are links; a task returns their spanning forest.
@@ -36,7 +36,6 @@ from pyspark.sql import functions as F
 from .common import UPPER, document_columns, lean, parts, read, staged, texts_of
 from .components import components, forest
 
-BUCKETS = 128
 _MIX = (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)
 _LOWER = np.frombuffer(UPPER, np.uint8)
 _BLANK = np.zeros(256, bool)
@@ -116,13 +115,19 @@ def set_keys(entries: np.ndarray, edges: np.ndarray) -> list[int | None]:
     return [int.from_bytes(hashlib.blake2b(data[a:b], digest_size=8).digest(), "little", signed=True) if a < b else None for a, b in zip(at, at[1:])]
 
 
+def count_bits(n: np.ndarray) -> np.ndarray:
+    """A set of n entries is counted in 2**bits buckets, so that buckets hold few: then sets that share little differ by more than the bound."""
+    return np.clip(np.ceil(np.log2(np.maximum(n, 1) / 12)), 7, 16).astype(np.int64)
+
+
 def bucket_counts(entries: np.ndarray, edges: np.ndarray) -> pa.Array:
-    """How many entries fall in each bucket; clipping at 255 keeps differences lower bounds."""
-    n = len(edges) - 1
-    row = np.repeat(np.arange(n), np.diff(edges))
-    counts = np.bincount(row * BUCKETS + (entries >> np.uint64(57)).astype(np.int64), minlength=n * BUCKETS)
-    data = np.minimum(counts, 255).astype(np.uint8)
-    return pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer((np.arange(n + 1) * BUCKETS).astype("<i4")), pa.py_buffer(data)])
+    """How many entries of each set fall in each of its buckets; a count of 255 may stand for more."""
+    n = np.diff(edges)
+    bits = count_bits(n)
+    at = np.concatenate([[0], np.cumsum(1 << bits)])
+    place = np.repeat(at[:-1], n) + (entries >> np.repeat(64 - bits, n).astype(np.uint64)).astype(np.int64)
+    data = np.minimum(np.bincount(place, minlength=int(at[-1])), 255).astype(np.uint8)
+    return pa.Array.from_buffers(pa.large_binary(), len(n), [None, pa.py_buffer(at.astype("<i8")), pa.py_buffer(data)]).cast(pa.binary())
 
 
 def row_hash():
@@ -214,14 +219,6 @@ def _whole_units(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterato
         yield pa.Table.from_batches(held)
 
 
-def _fixed(column: pa.ChunkedArray, size: int) -> np.ndarray:
-    """A column of binaries of ``size`` bytes each as a matrix."""
-    c = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
-    c = pa.concat_arrays(c.chunks) if isinstance(c, pa.ChunkedArray) else c
-    at = np.frombuffer(c.buffers()[1], "<i4", 1, 4 * c.offset)[0]
-    return np.frombuffer(c.buffers()[2], np.uint8, len(c) * size, at).reshape(-1, size)
-
-
 MEETINGS = "a long, b long, unit long, n long, counts binary"
 
 
@@ -229,30 +226,82 @@ def _edges(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
 
+class Forest:
+    """A spanning forest of the edges met so far, made anew now and then; ``full`` when it is to be handed on."""
+
+    def __init__(self):
+        self.edges: list[tuple[np.ndarray, np.ndarray]] = []
+        self.size = self.made = 0
+
+    def add(self, a: np.ndarray, b: np.ndarray) -> None:
+        self.edges.append((a, b))
+        self.size += len(a)
+        if self.size > 2 * self.made + 50_000:
+            self.edges = [forest(*map(np.concatenate, zip(*self.edges)))]
+            self.size = self.made = len(self.edges[0][0])
+
+    @property
+    def full(self) -> bool:
+        return self.made > 1_000_000
+
+    def taken(self) -> tuple[np.ndarray, np.ndarray]:
+        out = forest(*map(np.concatenate, zip(*self.edges))) if self.edges else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+        self.__init__()
+        return out
+
+
 class Bounds:
     """Which pairs of rows their sizes and bucket counts allow."""
 
-    def __init__(self, key, n, counts, percent: int):
-        self.key, self.n, self.counts, self.percent = key, n, counts, percent
+    def __init__(self, key: np.ndarray, n: np.ndarray, counts: pa.ChunkedArray, percent: int):
+        self.key, self.n, self.percent, self.bits = key, n, percent, count_bits(n)
+        c = pa.concat_arrays(counts.chunks)
+        at, data = np.frombuffer(c.buffers()[1], "<i4", len(c) + 1, 4 * c.offset)[:-1], np.frombuffer(c.buffers()[2], np.uint8)
+        self.spot, self.full = np.zeros(len(n), np.int64), np.zeros(len(n), bool)
+        self.of: dict[int, np.ndarray] = {}
+        for bits in np.unique(self.bits).tolist():
+            own = np.flatnonzero(self.bits == bits)
+            self.spot[own] = np.arange(len(own))
+            self.of[bits] = m = data[at[own][:, None] + np.arange(1 << bits)]
+            self.full[own] = (m == 255).any(1)
+
+    def _folded(self, rows: np.ndarray, bits: int, to: int) -> np.ndarray:
+        m = self.of[bits][self.spot[rows]]
+        return m.astype(np.int16) if bits == to else m.reshape(len(rows), 1 << to, -1).sum(2, dtype=np.int16)
+
+    def differences(self, p: np.ndarray, q: np.ndarray) -> np.ndarray:
+        """For each pair a lower bound of how many entries only one of both has."""
+        out = np.zeros(len(p), np.int64)
+        kind = self.bits[p] << 8 | self.bits[q]
+        for k in np.unique(kind).tolist():
+            a, b = k >> 8, k & 255
+            where = np.flatnonzero((kind == k) & ~self.full[p] & ~self.full[q])
+            step = max(1, 4_000_000 >> max(a, b))
+            for s in range(0, len(where), step):
+                w = where[s : s + step]
+                out[w] = np.abs(self._folded(p[w], a, min(a, b)) - self._folded(q[w], b, min(a, b))).sum(1, dtype=np.int64)
+        return out
 
     def passing(self, row: np.ndarray, low: np.ndarray, high: np.ndarray, label: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """Pairs (x, y) with y from ``low`` to ``high`` of each x in ``row``, of differing labels, by blocks of about 100,000."""
+        """Pairs (x, y) with y from ``low`` to ``high`` of each x in ``row``, of differing labels, by blocks of about 30,000."""
+        step = 30_000
         width = np.maximum(high - low, 0)
         ends = np.cumsum(width)
         i = 0
         while i < len(row):
-            j = max(i + 1, int(np.searchsorted(ends, (ends[i - 1] if i else 0) + 100_000)))
+            j = max(i + 1, int(np.searchsorted(ends, (ends[i - 1] if i else 0) + step)))
             w = width[i:j]
             x = np.repeat(row[i:j], w)
             y = np.arange(len(x)) - np.repeat(np.cumsum(w) - w, w) + np.repeat(low[i:j], w)
             i = j
             other = (label[x] != label[y]) & (self.key[x] != self.key[y])
             x, y = x[other], y[other]
-            for s in range(0, len(x), 100_000):
-                p, q = x[s : s + 100_000], y[s : s + 100_000]
+            for s in range(0, len(x), step):
+                p, q = x[s : s + step], y[s : s + step]
                 n, m, percent = self.n[p], self.n[q], self.percent
-                d = np.abs(self.counts[p].astype(np.int16) - self.counts[q]).sum(1, dtype=np.int64)
-                ok = ((100 + percent) * d <= (100 - percent) * (n + m)) & (100 * np.minimum(n, m) >= percent * np.maximum(n, m))
+                ok = 100 * np.minimum(n, m) >= percent * np.maximum(n, m)
+                p, q, n, m = p[ok], q[ok], n[ok], m[ok]
+                ok = (100 + percent) * self.differences(p, q) <= (100 - percent) * (n + m)
                 if ok.any():
                     yield p[ok], q[ok]
 
@@ -276,9 +325,15 @@ def meetings(columns: DataFrame, percent: int, near: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lean()
+        met = Forest()
+
+        def whole() -> pa.RecordBatch:
+            node, root = met.taken()
+            return pa.RecordBatch.from_arrays([pa.array(node), pa.array(root), *(pa.nulls(len(node), k) for k in (pa.int64(), pa.int64(), pa.binary()))], names)
+
         for t in _whole_units(batches, ["gram", "chunk"]):
             gram, chunk, key, n = (t[k].to_numpy() for k in ("gram", "chunk", "key", "n"))
-            bounds = Bounds(key, n, _fixed(t["counts"], BUCKETS), percent)
+            bounds = Bounds(key, n, t["counts"], percent)
             new = np.concatenate([[True], (np.diff(gram) != 0) | (np.diff(chunk) != 0)])
             first = np.flatnonzero(new)
             column = np.cumsum(new).astype(np.int64) << 40
@@ -302,11 +357,13 @@ def meetings(columns: DataFrame, percent: int, near: int) -> DataFrame:
             high = np.searchsorted(place, column + 100 * (100 * n // percent), side="right")
             for x, y in bounds.passing(row[stray], low[stray], high[stray], label):
                 node, root = forest(np.concatenate([node, key[x]]), np.concatenate([root, key[y]]))
-            if len(node):
-                yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(root), *(pa.nulls(len(node), k) for k in (pa.int64(), pa.int64(), pa.binary()))], names)
+            met.add(node, root)
+            if met.full:
+                yield whole()
             hot = t.filter(t["hot"])
             for b in hot.to_batches():
                 yield pa.RecordBatch.from_arrays([b.column("key"), pa.nulls(b.num_rows, pa.int64()), b.column("gram"), b.column("n"), b.column("counts")], names)
+        yield whole()
 
     return columns.mapInArrow(run, MEETINGS)
 
@@ -319,7 +376,7 @@ def stray_meetings(rows: DataFrame, percent: int) -> DataFrame:
         for t in _whole_units(batches, ["unit", "i", "j"]):
             marks = [t[k].to_numpy() for k in ("unit", "i", "j")]
             key, n, label, stray = (t[k].to_numpy(zero_copy_only=False) for k in ("key", "n", "label", "stray"))
-            bounds = Bounds(key, n, _fixed(t["counts"], BUCKETS), percent)
+            bounds = Bounds(key, n, t["counts"], percent)
             at = np.flatnonzero(np.concatenate([[True], np.logical_or.reduce([np.diff(m) != 0 for m in marks]), [True]])).tolist()
             node = root = np.zeros(0, np.int64)
             for s, e in zip(at, at[1:]):  # within a unit, others come first
@@ -353,6 +410,27 @@ def strays(rows: DataFrame, unit: str, blocks: DataFrame) -> DataFrame:
     return left.unionByName(right.select(left.columns)).drop("all", "outside", "top", "s", "q")
 
 
+def _dealt(rows: DataFrame, *by: str) -> DataFrame:
+    """Units side by side, in as many tasks as the session asks for."""
+    return rows.repartition(parts(rows), *by)
+
+
+def candidate_groups(columns: DataFrame, percent: int, near: int, chunk: int) -> DataFrame:
+    """(key, unit): the component of every row that meets another one, of columns (gram, key, n, hot, counts); ``hot``: the column may not fit in a chunk."""
+    place = F.row_number().over(Window.partitionBy("gram").orderBy("n", "key")) - 1
+    columns = _dealt(columns, "gram").withColumn("chunk", F.floor(place / F.lit(chunk)).cast("long"))
+    found = staged(meetings(columns.select("gram", "chunk", "key", "n", "hot", "counts"), percent, near), "ngram-meetings")
+    pairs = found.where("b IS NOT NULL").select("a", "b")
+    group = components(pairs)
+    hot = found.where("b IS NULL").select("unit", F.col("a").alias("key"), "n", "counts")
+    if hot.limit(1).count():
+        hot = hot.join(group.withColumnRenamed("id", "key"), "key", "left").withColumn("label", F.coalesce("component", "key")).drop("component")
+        blocks = hot.groupBy("unit").agg(F.ceil(F.count("*") / F.lit(chunk)).alias("q"))
+        dealt = _dealt(strays(hot, "unit", blocks), "unit", "i", "j").sortWithinPartitions("unit", "i", "j", "stray", "key")
+        group = components(pairs.union(stray_meetings(dealt, percent)))
+    return group.toDF("key", "unit")
+
+
 def products(grams: list[np.ndarray], percent: int, left: int = 0, width: int = 4096) -> tuple[np.ndarray, np.ndarray]:
     """Pairs (x, y) of rows whose overlap reaches the threshold: x below ``left`` and y from it on, or all x < y when ``left`` is 0.
 
@@ -432,11 +510,6 @@ def stray_links(rows: DataFrame, percent: int) -> DataFrame:
     return rows.mapInArrow(run, "a long, b long")
 
 
-def _dealt(rows: DataFrame, *by: str) -> DataFrame:
-    """Units side by side, in order, in as many tasks as the session asks for."""
-    return rows.repartition(parts(rows), *by)
-
-
 def similar_documents(docs: DataFrame, width: int = 4, percent: int = 85, common: int = 200_000, near: int = 32, rows: bool = False, chunk: int = 4096, most_rows: int = 1024, most_entries: int = 1_000_000, broadcast_rows: int = 500_000) -> DataFrame:
     """doc_id, n_shingles, component_id: the least doc_id reachable by links of Jaccard >= ``percent`` / 100.
 
@@ -461,20 +534,9 @@ def similar_documents(docs: DataFrame, width: int = 4, percent: int = 85, common
     column = Window.partitionBy("gram")
     met = met.withColumn("lo", F.min("key").over(column)).withColumn("hi", F.max("key").over(column)).withColumn("hot", F.count("*").over(column) > chunk)
     met = met.where("lo <> hi").select("gram", "key", "hot").dropDuplicates()
-    shared = _dealt(met.join(filled.groupBy("key").agg(F.first("n").alias("n"), F.first("counts").alias("counts")), "key"), "gram")
-    columns = shared.withColumn("chunk", F.floor((F.row_number().over(column.orderBy("n", "key")) - 1) / F.lit(chunk)).cast("long"))
-    found = staged(meetings(columns.select("gram", "chunk", "key", "n", "hot", "counts"), percent, near), "ngram-meetings")
-    near_rows = found.where("b IS NOT NULL").select("a", "b")
-    group = components(near_rows)
-    hot = found.where("b IS NULL").select("unit", F.col("a").alias("key"), "n", "counts")
-    if hot.limit(1).count():
-        hot = hot.join(group.withColumnRenamed("id", "key"), "key", "left").withColumn("label", F.coalesce("component", "key")).drop("component")
-        blocks = hot.groupBy("unit").agg(F.ceil(F.count("*") / F.lit(chunk)).alias("q"))
-        dealt = _dealt(strays(hot, "unit", blocks), "unit", "i", "j").sortWithinPartitions("unit", "i", "j", "stray", "key")
-        group = components(near_rows.union(stray_meetings(dealt, percent)))
-
-    group = staged(group.toDF("key", "unit").join(filled.groupBy("key").agg(F.first("n").alias("n"), F.min("row").alias("row")), "key"), "ngram-groups")
-    size = group.groupBy("unit").agg(F.greatest(F.ceil(F.count("*") / F.lit(most_rows)), F.ceil(F.sum("n") / F.lit(most_entries))).cast("int").alias("q"))
+    columns = met.join(filled.groupBy("key").agg(F.first("n").alias("n"), F.first("counts").alias("counts")), "key")
+    group = candidate_groups(columns, percent, near, chunk)
+    group = staged(group.join(filled.groupBy("key").agg(F.first("n").alias("n"), F.min("row").alias("row")), "key"), "ngram-groups")
     wanted = group.select("row")
     if wanted.count() <= broadcast_rows:  # 8 bytes a row; else Spark joins by shuffle
         wanted = F.broadcast(wanted)
@@ -489,14 +551,16 @@ def similar_documents(docs: DataFrame, width: int = 4, percent: int = 85, common
                 yield pa.RecordBatch.from_arrays([pa.array(set_keys(entries, edges), pa.int64()), pa.array([entries[x:y].tobytes() for x, y in zip(at, at[1:])], pa.binary())], ["key", "grams"])
 
     made = texts_of(docs, row_hash()).join(wanted, "row", "left_semi").select("row", "text").mapInArrow(again, "key long, grams binary")
-    whole = made.join(group.join(size, "unit").select("key", "unit", "q"), "key").withColumn("i", F.pmod(F.xxhash64("key", F.lit(3)), F.col("q")).cast("int"))
-    whole = staged(whole, "ngram-rows")
+    blocks = lambda rows: F.greatest(F.ceil(F.count("*") / F.lit(most_rows)), F.ceil(F.sum("n") / F.lit(most_entries))).cast("int").alias("q")
+    sized = lambda rows: rows.join(rows.groupBy("unit").agg(blocks(rows)), "unit")
+    whole = staged(made.join(sized(group.select("key", "unit", "n")), "key"), "ngram-rows")
+    whole = whole.withColumn("i", F.pmod(F.xxhash64("key", F.lit(3)), F.col("q")).cast("int"))
     dealt = _dealt(whole.select("unit", "i", "key", "grams"), "unit", "i").sortWithinPartitions("unit", "i", "key")
     links = staged(group_links(dealt, percent), "ngram-links")
     final = components(links)
-    large = whole.where("q > 1")
+    large = whole.where("q > 1").drop("i")
     if large.limit(1).count():
-        large = large.drop("i").dropDuplicates(["unit", "key"]).join(final.withColumnRenamed("id", "key"), "key", "left").withColumn("label", F.coalesce("component", "key")).drop("component")
+        large = large.dropDuplicates(["unit", "key"]).join(final.withColumnRenamed("id", "key"), "key", "left").withColumn("label", F.coalesce("component", "key")).drop("component")
         dealt = _dealt(strays(large.drop("q"), "unit", large.groupBy("unit").agg(F.first("q").alias("q"))), "unit", "i", "j").sortWithinPartitions("unit", "i", "j", "stray", "key")
         final = components(links.union(stray_links(dealt, percent)))
 

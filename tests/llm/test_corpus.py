@@ -116,6 +116,21 @@ def test_products():
         assert set(zip(*map(np.ndarray.tolist, ngram_join.products(grams, 40, 10, width)))) == {(i, j) for i, j in want if i < 10 <= j}
 
 
+def test_bucket_counts_bound_from_below():
+    """Of sets of all sizes, counted in as many or in twice as many buckets."""
+    import numpy as np
+    import pyarrow as pa
+
+    rng = np.random.default_rng(4)
+    base = rng.integers(0, 1 << 63, 4000).astype(np.uint64) * np.uint64(2)
+    sets = [np.sort(rng.choice(base, n, replace=False)) for n in (5, 900, 1500, 1530, 1540, 1700, 2900, 3080, 3100, 3999)]
+    edges = np.cumsum([0, *map(len, sets)])
+    bounds = ngram_join.Bounds(np.arange(10), np.diff(edges), pa.chunked_array([ngram_join.bucket_counts(np.concatenate(sets), edges)]), 85)
+    p, q = np.triu_indices(10)
+    true = [len(np.setxor1d(sets[i], sets[j])) for i, j in zip(p, q)]
+    assert len(bounds.of) == 3 and (bounds.differences(p, q) <= true).all() and (bounds.differences(p, p) == 0).all()
+
+
 def test_ngram_query_matches_sql(spark):
     got = sorted(tuple(r) for r in ngram_join.op5_ngram_join(spark, SF).collect())
     assert got == sorted(sql(ngram_join.OP5_SQL, "documents")[1])
