@@ -172,7 +172,7 @@ def set_table(docs: DataFrame, width: int, held: int = 1_000_000) -> DataFrame:
 
 
 def prefixes(docs: DataFrame, width: int, percent: int, common: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """(gram, key): the first entries of every row under the shared order of columns."""
+    """(gram, key, n): the first entries of every row of n entries under the shared order of columns."""
     shared = docs.sparkSession.sparkContext.broadcast(common)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -193,9 +193,9 @@ def prefixes(docs: DataFrame, width: int, percent: int, common: tuple[np.ndarray
                 length = np.where(fresh, n - (percent * n + 99) // 100 + 1, 0)
                 kept = np.arange(len(entries)) - np.repeat(edges[:-1], n) < length[row]
                 key = np.array([k or 0 for k in keys], np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(entries[kept].view(np.int64)), pa.array(key[row[kept]])], ["gram", "key"])
+                yield pa.RecordBatch.from_arrays([pa.array(entries[kept].view(np.int64)), pa.array(key[row[kept]]), pa.array(n[row[kept]])], ["gram", "key", "n"])
 
-    return texts_of(docs).mapInArrow(run, "gram long, key long")
+    return texts_of(docs).mapInArrow(run, "gram long, key long, n long")
 
 
 def _whole_units(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[pa.Table]:
@@ -531,10 +531,13 @@ def similar_documents(docs: DataFrame, width: int = 4, percent: int = 85, common
     classes = filled.groupBy("key").agg(F.first("n").alias("n"), F.min("row").alias("row"))
 
     met = prefixes(docs, width, percent, (grams[order], often["seen"].to_numpy()[order]))
-    column = Window.partitionBy("gram")
-    met = met.withColumn("lo", F.min("key").over(column)).withColumn("hi", F.max("key").over(column)).withColumn("hot", F.count("*").over(column) > chunk)
-    met = met.where("lo <> hi").select("gram", "key", "hot").dropDuplicates()
-    columns = met.join(filled.groupBy("key").agg(F.first("n").alias("n"), F.first("counts").alias("counts")), "key")
+    line = Window.partitionBy("gram").orderBy("n", "key")
+    met = met.withColumn("before", F.lag("key").over(line)).where("before IS NULL OR before <> key")  # copies in other splits
+    near_size = lambda small, great: F.lit(100) * small >= F.lit(percent) * great
+    partner = F.coalesce(near_size(F.lag("n").over(line), F.col("n")), F.lit(False)) | F.coalesce(near_size(F.col("n"), F.lead("n").over(line)), F.lit(False))
+    met = met.withColumn("partner", partner).where("partner").select("gram", "key", "n")  # whose size has none in the column meets none there
+    met = met.withColumn("hot", F.count("*").over(Window.partitionBy("gram")) > chunk)
+    columns = met.join(filled.groupBy("key").agg(F.first("counts").alias("counts")), "key")
     group = candidate_groups(columns, percent, near, chunk)
     group = staged(group.join(filled.groupBy("key").agg(F.first("n").alias("n"), F.min("row").alias("row")), "key"), "ngram-groups")
     wanted = group.select("row")
