@@ -72,15 +72,17 @@ _LEAN = False
 
 
 def lean() -> None:
-    """Once in a worker: large blocks that are freed go back to the operating system at once, instead of staying with the process."""
+    """At the start of a task in a worker: what earlier tasks freed goes back to the operating system, and large blocks will at once."""
     global _LEAN
+    c = ctypes.CDLL(None)
+    if not hasattr(c, "malloc_trim"):  # not the GNU C library
+        return
     if not _LEAN:
         _LEAN = True
         pa.set_memory_pool(pa.system_memory_pool())
-        mallopt = getattr(ctypes.CDLL(None), "mallopt", None)  # of the GNU C library
-        if mallopt:
-            for option, value in ((-3, 1 << 20), (-1, 4 << 20), (-8, 2)):  # from where on blocks are mapped, what the heap keeps, arenas
-                mallopt(option, value)
+        for option, value in ((-3, 1 << 20), (-1, 4 << 20), (-8, 2)):  # from where on blocks are mapped, what the heap keeps, arenas
+            c.mallopt(option, value)
+    c.malloc_trim(0)
 
 
 DOCUMENT = {"doc_id": "long", "text": "string", "lang": "string", "source": "string", "n_chars": "long"}

@@ -1,27 +1,29 @@
 """Personal data by anchor expansion.
 
-One Aho-Corasick pass over each whole text finds anchors: at-signs, URL schemes, digits and
-identifier cues.  Local parsers then expand each anchor to its boundaries and validate it.  No
-pattern is searched for elsewhere in the text.
+One Aho-Corasick pass over each whole text (lower-cased A to Z) finds anchors: at-signs, URL schemes,
+digits, identifier cues, street words and the prefixes of issued keys.  Local parsers then expand
+each anchor to its boundaries and validate it.  No pattern is searched for elsewhere in the text.
 
 Base kinds (their rules are fixed): email, ip, card, phone.  Added kinds: iban (cue and mod-97
-check), ssn (cue and NNN-NN-NNNN), account (cue and 8 to 17 digits), login (user and password
-in a URL).  Added spans never change base spans.
+check), ssn (cue and NNN-NN-NNNN), account (cue and 8 to 17 digits, which spaces or hyphens may part),
+login (user and password in a URL), secret (a cue and an assigned value that looks random, an issued
+key's prefix and body, a private key's block, a signed token), address (house number and street).
+Added spans never change base spans.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 import re
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from .common import read, texts_of
+from .common import DOCUMENT, document_columns, lean, read, small_batches, texts_of
 
-KINDS = ("email", "ip", "card", "phone", "iban", "ssn", "account", "login")
+KINDS = ("email", "ip", "card", "phone", "iban", "ssn", "account", "login", "secret", "address")
 BASE = 4
 
 # The contract's character classes and limits.
@@ -31,14 +33,45 @@ QUAD = re.compile(r"[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+")
 DIGITS = re.compile(r"[0-9](?:[ -]?[0-9])+")
 DIAL = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 
-CUES = {"iban": ("iban",), "ssn": ("ssn", "social security"), "account": ("account", "acct")}
+CUES = {
+    "iban": ("iban",), "ssn": ("ssn", "social security"), "account": ("account", "acct"),
+    "secret": ("token", "secret", "password", "passwd", "pwd", "passphrase", "api key", "api_key", "api-key", "apikey", "access key", "access_key", "access-key", "accesskey", "private key", "private_key", "client_key", "auth_key", "bearer"),
+}
 AFTER = {
     "iban": re.compile(r"(?i:(?: number| no\.?)?(?: is)?)\W{0,3}([A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30})"),
     "ssn": re.compile(r"(?: number| no\.?)?(?: is)?\W{0,3}([0-9]{3}-[0-9]{2}-[0-9]{4})(?![0-9-])", re.I),
-    "account": re.compile(r"(?: number| no\.?| #)?(?: is)?\W{0,3}([0-9]{8,17})(?![0-9-])", re.I),
+    "account": re.compile(r"(?: number| no\.?| #)?(?: is)?\W{0,3}([0-9](?:[ -]?[0-9]){7,16})(?![0-9-])", re.I),
+    "secret": re.compile(r"(?:[_ -](?:key|id|token|value))?[\"']?(?: is|[ \t]*(?::=|=>|[:=]))?[ \t]*[\"'`]?([^\s\"'`<>,;]{8,})", re.I),
 }
+ASSIGNED = re.compile(r" is|[:=]")
+# Prefixes of issued keys (lower-cased, as anchors) and what follows them.
+ISSUED = {
+    "akia": re.compile(r"AKIA[0-9A-Z]{16}(?![0-9A-Za-z])"), "asia": re.compile(r"ASIA[0-9A-Z]{16}(?![0-9A-Za-z])"), "aiza": re.compile(r"AIza[0-9A-Za-z_-]{35}(?![0-9A-Za-z_-])"),
+    "ghp_": re.compile(r"ghp_[0-9A-Za-z]{36,}"), "gho_": re.compile(r"gho_[0-9A-Za-z]{36,}"), "github_pat_": re.compile(r"github_pat_[0-9A-Za-z_]{22,}"), "glpat-": re.compile(r"glpat-[0-9A-Za-z_-]{20,}"),
+    "sk-": re.compile(r"sk-[0-9A-Za-z_-]{20,}"), "sk_live_": re.compile(r"sk_live_[0-9A-Za-z]{16,}"), "xoxb-": re.compile(r"xoxb-[0-9A-Za-z-]{20,}"), "xoxp-": re.compile(r"xoxp-[0-9A-Za-z-]{20,}"),
+    "eyj": re.compile(r"eyJ[0-9A-Za-z_-]{8,}\.[0-9A-Za-z_-]{8,}\.[0-9A-Za-z_-]{8,}"),
+    "-----begin": re.compile(r"-----BEGIN [A-Z ]*PRIVATE KEY-----[0-9A-Za-z+/=\s:,-]*?-----END [A-Z ]*PRIVATE KEY-----"),
+}
+# Words for a street, those that stand after its name and those before it.
+STREETS = ("street", "avenue", "road", "boulevard", "lane", "drive", " st.", " ave.", " rd.", " blvd.")
+RUES = ("rue ", "avenue ", "boulevard ", "place ", "calle ", "plaza ")
+BEFORE = re.compile(r"(?:[0-9]{1,5}[A-Za-z]?,? (?:[NSEW]\.? )?(?:[A-Z][\w'’.-]* ){1,4})\Z")
+HOUSE = re.compile(r"([0-9]{1,5}(?: ?(?:bis|ter))?,? )\Z", re.I)
+NAME = re.compile(r"(?:(?:de|du|des|del|la|las|le|les|los|l'|d') ?)*[A-ZÀ-Þ][\w'’-]*(?: (?:(?:de|du|des|del|la|le|les|los) )*[A-ZÀ-Þ][\w'’-]*){0,3}")
+STRASSE = re.compile(r"[ .]?[ ]?([0-9]{1,4}[a-z]?)(?![0-9A-Za-z])")
 LOWER = {k: k + 32 for k in range(65, 91)}  # A to Z only, so that offsets stay
-LOGIN = re.compile(r"([^\s/@:]{1,64}:[^\s/@]{1,128})@[A-Za-z0-9.-]+")
+LOGIN = re.compile(r"([^\s/@:]+:[^\s/@]+)@[A-Za-z0-9.-]+")
+
+
+def random_looking(value: str) -> bool:
+    """At least 16 characters of a key's alphabet, letters and digits mixed, of three bits or more a character; one of eight with all four sorts will do."""
+    body = value.strip(".-_=:()[]{}")
+    sorts = (any(c.isdigit() for c in body), any(c.islower() for c in body), any(c.isupper() for c in body), any(not c.isalnum() for c in body))
+    if len(body) < 16:
+        return len(body) >= 8 and all(sorts)
+    if not sorts[0] or not (sorts[1] or sorts[2]) or not re.fullmatch(r"[0-9A-Za-z+/_=.:~-]+", body):
+        return False
+    return -sum((n := body.count(c)) / len(body) * math.log2(n / len(body)) for c in set(body)) >= 3.0
 
 
 def luhn(digits: str) -> bool:
@@ -62,9 +95,12 @@ def automaton():
         a.add_word(c, ("digit", 1))
     a.add_word("@", ("at", 1))
     a.add_word("://", ("scheme", 3))
-    for kind, cues in CUES.items():
+    words: dict[str, list[str]] = {}  # a word may be an anchor of several parsers
+    for kind, cues in [*CUES.items(), ("issued", ISSUED), ("street", STREETS), ("rue", RUES), ("strasse", ("straße", "strasse", "str."))]:
         for cue in cues:
-            a.add_word(cue, (kind, len(cue)))
+            words.setdefault(cue, []).append(kind)
+    for cue, kinds in words.items():
+        a.add_word(cue, ("+".join(kinds), len(cue)))
     a.make_automaton()
     return a
 
@@ -72,6 +108,42 @@ def automaton():
 _AC = None
 
 
+def added(kind: str, text: str, start: int, end: int) -> tuple[int, int, int] | None:
+    """(kind number, start, end) of what an anchor at start to end expands to, or nothing."""
+    if kind == "issued":
+        m = ISSUED[text[start:end].lower()].match(text, start)
+        return (8, m.start(), m.end()) if m and not text[start - 1 : start].isalnum() else None
+    if kind == "street":
+        if text[end : end + 1].isalnum() or not text[start : start + 1].strip() and not text[start + 1 : start + 2].isupper():
+            return None
+        low = text[max(0, start + (text[start] == " ") - 120) : start + (text[start] == " ")]
+        m = BEFORE.search(low)
+        return (9, start + (text[start] == " ") - len(m[0]), end) if m and not low[: m.start()][-1:].isalnum() and (text[start] == " " or text[start].isupper()) else None
+    if kind == "rue":
+        m, n = HOUSE.search(text[max(0, start - 12) : start]), NAME.match(text, end)
+        return (9, start - len(m[0]), n.end()) if m and n else None
+    if kind == "strasse":
+        m, first = STRASSE.match(text, end), start
+        while first and text[first - 1].isalpha():
+            first -= 1
+        return (9, first, m.end()) if m and text[first].isupper() else None
+    m = AFTER[kind].match(text, end)
+    if not m:
+        return None
+    a, value = m.start(1), m[1]
+    if kind == "iban":
+        while value and not iban_ok(value) and len(value) > 15:
+            value = value[:-1].rstrip()
+        if not iban_ok(value):
+            return None
+    if kind == "secret":
+        value = value.rstrip(".)]}:")
+        assigned = ASSIGNED.search(text, end, a) or text[start:end].lower() == "bearer" or text[a - 1] in "\"'`"
+        if text[start - 1 : start].isalpha() or not assigned or not random_looking(value):
+            return None
+    return KINDS.index(kind), a, a + len(value)
+
+
 def spans(text: str) -> list[tuple[int, int, int]]:
     """(start, end, kind number) of all kinds by start, then kind; code points, end exclusive."""
     global _AC
@@ -107,16 +179,13 @@ def spans(text: str) -> list[tuple[int, int, int]]:
         elif kind == "scheme":
             if m := LOGIN.match(text, at + 1):
                 out.append((m.start(1), m.end(1), 7))
-        elif m := AFTER[kind].match(text, at + 1):
-            k, value = KINDS.index(kind), m[1]
-            if kind == "iban":
-                while value and not iban_ok(value) and len(value) > 15:
-                    value = value[:-1].rstrip()
-                if not iban_ok(value):
-                    continue
-            if m.start(1) >= ends[k]:
-                ends[k] = m.start(1) + len(value)
-                out.append((m.start(1), ends[k], k))
+        else:
+            for one in kind.split("+"):
+                if span := added(one, text, at + 1 - size, at + 1):
+                    k, a, z = span
+                    if a >= ends[k]:
+                        ends[k] = z
+                        out.append((a, z, k))
     out.sort(key=lambda s: (s[0], s[2]))
     return out
 
@@ -138,7 +207,7 @@ def redact(text: str, found: list[tuple[int, int, int]]) -> str:
 
 
 def detect(docs: DataFrame) -> DataFrame:
-    """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans.
+    """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_added (spans of added kinds), found (whether there is any span).
 
     Null and empty texts have no spans (the hash is that of no bytes).  Rows are judged apart, so
     repeated rows and ties each give a row, and an empty table gives none.  Work is linear in the text.
@@ -150,25 +219,30 @@ def detect(docs: DataFrame) -> DataFrame:
             base = [[s for s in f if s[2] < BASE] for f in found]
             counts = [pa.array([sum(s[2] == k for s in f) for f in base], pa.int64()) for k in range(BASE)]
             yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id"), *counts, pa.array([hashlib.sha256(joined(f).encode()).hexdigest() for f in base]), pa.array([joined(f) for f in found])],
-                ["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans"],
+                [b.column("doc_id"), *counts, pa.array([hashlib.sha256(joined(f).encode()).hexdigest() for f in base]), pa.array([joined(f) for f in found]), pa.array([len(f) - len(x) for f, x in zip(found, base)], pa.int64()), pa.array([bool(f) for f in found], pa.bool_())],
+                ["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "n_added", "found"],
             )
 
-    return texts_of(docs).mapInArrow(run, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string")
+    return texts_of(docs).mapInArrow(run, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long, found boolean")
 
 
 def redacted(docs: DataFrame) -> DataFrame:
-    """The columns of documents with personal data replaced in text; n_chars follows the new text; null text stays null."""
-    fields = ["doc_id", "text", "lang", "source", "n_chars"]
+    """The columns of documents with personal data replaced in text; n_chars follows the new text; null text stays null.
+
+    Columns that the table lacks are null, further ones are left out.  Rows are changed apart, so repeated
+    rows stay, and an empty table gives none.
+    """
+    small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lean()
         for b in batches:
             old = b.column("text").to_pylist()
             new = [t if not t else redact(t, spans(t)) for t in old]
             size = [n if t is None else len(t) for t, n in zip(new, b.column("n_chars").to_pylist())]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(new, pa.string()), b.column("lang"), b.column("source"), pa.array(size, pa.int64())], fields)
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(new, pa.string()), b.column("lang"), b.column("source"), pa.array(size, pa.int64())], list(DOCUMENT))
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang", "source", F.col("n_chars").cast("long").alias("n_chars")).mapInArrow(run, "doc_id long, text string, lang string, source string, n_chars long")
+    return document_columns(docs).mapInArrow(run, ", ".join(f"{c} {t}" for c, t in DOCUMENT.items()))
 
 
 def op2_pii(spark, sf_dir: str) -> DataFrame:
