@@ -1,11 +1,12 @@
 """Byte-level BPE encoding and decoding.
 
-Boundaries come from arrays, not from a regular expression: every code point is mapped to a
-class, and each position carries a transition function on the splitter's state.  Those functions
-are constant (what a character's class alone decides) or the identity (the token goes on), and
-their composition "the last constant one wins" is associative, so one running maximum scans a
-whole batch of texts at once.  Slices between boundaries feed a cache of merged pairs; token
-byte offsets are kept, and decoding joins the tokens' bytes.
+Boundaries come from arrays, not from a regular expression.  Every code point is mapped to a class,
+which with the class of its successor selects a transition function on the splitter's eight states.
+These functions and all their compositions form a small monoid, whose elements are numbered and
+whose product is a table; a work-efficient scan with that associative product gives, for each
+position of a whole batch of texts side by side, the function composed of all before it, so its
+state and whether a token starts there.  Slices between boundaries feed a cache of merged pairs;
+token byte offsets are kept, and decoding places the tokens' bytes by them.
 """
 
 from __future__ import annotations
@@ -22,52 +23,103 @@ from pyspark.sql import DataFrame
 
 from .common import read, texts_of
 
-SPACE, LETTER, NUMBER, OTHER, NONE = 0, 1, 2, 3, 9
 #: The code points that have Unicode's White_Space property.
 WHITE = [*range(9, 14), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
 
+#: What a code point is: other white space, the space, a letter of some use in contractions or another, a number, an apostrophe, all else.
+BLANK, SPACE, LETTER, SHORT, R, V, L, E, NUMBER, QUOTE, OTHER, NONE = range(12)
+#: What a code point is with its successor: the last of a run of white space before something else, or not; a letter that ends or opens a contraction.
+LAST_BLANK, LAST_SPACE, INNER_BLANK, ANY_LETTER, ONE, TWO, DIGIT, APOSTROPHE, MARK = range(9)
+#: The splitter's states: what the token so far is.  NEW: ended; LEAD: a space that may lead; QUOTED: an apostrophe; PENDING: that and the first of two letters.
+NEW, LEAD, WHITES, LETTERS, NUMBERS, MARKS, QUOTED, PENDING = range(8)
+
 
 def class_table() -> np.ndarray:
     kinds = {"L": LETTER, "N": NUMBER}
     table = np.fromiter((kinds.get(unicodedata.category(chr(c))[0], OTHER) for c in range(0x110000)), np.uint8, 0x110000)
-    table[WHITE] = SPACE
+    table[WHITE] = BLANK
+    for c, kind in ((" ", SPACE), ("'", QUOTE), ("r", R), ("v", V), ("l", L), ("e", E), *((x, SHORT) for x in "sdmt")):
+        table[ord(c)] = kind
     return table
 
 
+def _with_successor(kind: int, after: int) -> int:
+    if kind in (BLANK, SPACE):
+        return INNER_BLANK if after in (BLANK, SPACE, NONE) else LAST_SPACE if kind == SPACE else LAST_BLANK
+    if kind == SHORT:
+        return ONE
+    if (kind, after) in ((R, E), (V, E), (L, L)):
+        return TWO
+    return {NUMBER: DIGIT, QUOTE: APOSTROPHE, OTHER: MARK}.get(kind, ANY_LETTER)
+
+
+def _step(state: int, c: int) -> tuple[int, bool]:
+    """(next state, whether a token starts here)."""
+    if c in (LAST_BLANK, LAST_SPACE):  # by itself, or led by
+        return (LEAD if c == LAST_SPACE else NEW), True
+    if c == INNER_BLANK:
+        return WHITES, state != WHITES
+    if c in (ANY_LETTER, ONE, TWO):
+        if state == PENDING:
+            return NEW, False
+        if state == QUOTED and c != ANY_LETTER:
+            return (NEW if c == ONE else PENDING), False
+        return LETTERS, state not in (LEAD, LETTERS)
+    if c == DIGIT:
+        return NUMBERS, state not in (LEAD, NUMBERS)
+    goes_on = state in (LEAD, MARKS, QUOTED)
+    return (MARKS if c == MARK or goes_on else QUOTED), not goes_on
+
+
+def monoid() -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(element of each class, then of each class at a text's start; product of any two; each element's image of NEW; START[state, class])."""
+    base = [tuple(_step(s, c)[0] for s in range(8)) for c in range(9)]
+    base += [(f[NEW],) * 8 for f in base]
+    found = {f: i for i, f in enumerate(dict.fromkeys(base))}
+    queue = list(found)
+    for f in queue:  # grows while it is read: compositions with each generator, until there is no new one
+        for g in base:
+            h = tuple(g[x] for x in f)
+            if h not in found:
+                found[h] = len(found)
+                queue.append(h)
+    size = len(found)
+    assert size <= 256
+    product = np.zeros((256, 256), np.uint8)
+    for f, i in found.items():
+        for g, j in found.items():
+            product[i, j] = found[tuple(g[x] for x in f)]
+    return np.array([found[f] for f in base], np.uint8), product.ravel(), np.array([f[NEW] for f in found], np.uint8), np.array([[_step(s, c)[1] for c in range(9)] for s in range(8)], bool)
+
+
+ELEMENT, PRODUCT, IMAGE, START = monoid()
+SUCCEEDED = np.array([[_with_successor(k, a) for a in range(12)] for k in range(11)], np.uint8).ravel()
+
+
+def scanned(x: np.ndarray) -> np.ndarray:
+    """For each place the product of all elements up to it: pairs are multiplied, their scan taken, and the places between filled in."""
+    if len(x) < 2:
+        return x
+    even, odd = x[0::2], x[1::2]
+    pairs = scanned(PRODUCT[even[: len(odd)].astype(np.uint16) << 8 | odd])
+    out = np.empty_like(x)
+    out[1::2] = pairs
+    out[0] = x[0]
+    out[2::2] = PRODUCT[pairs[: len(even) - 1].astype(np.uint16) << 8 | even[1:]]
+    return out
+
+
 def boundaries(points: np.ndarray, first: np.ndarray, table: np.ndarray) -> np.ndarray:
     """Where pre-tokens start.  points: code points of texts laid end to end; first: True where a text starts."""
-    n = len(points)
-    cls = table[points]
-    before = np.empty(n, np.uint8)
-    before[0], before[1:] = NONE, cls[:-1]
-    before[first] = NONE
-    after = np.empty(n, np.uint8)
-    after[-1], after[:-1] = NONE, cls[1:]
+    kind = table[points]
+    after = np.empty(len(points), np.uint8)
+    after[-1], after[:-1] = NONE, kind[1:]
     after[:-1][first[1:]] = NONE
-    blank = np.zeros(n, bool)  # the character before is the one that can lead a token
-    blank[1:] = points[:-1] == 0x20
-    blank[first] = False
-    # Constant transitions start a token; all else is the identity.
-    start = np.where(cls == SPACE, (before != SPACE) | (after != SPACE) & (after != NONE), (before != cls) & ~blank)
-    start |= first
-    # The running maximum composes the transitions: for each position the last start at or before it.
-    quotes = np.flatnonzero((points == 0x27) & start & (after == LETTER))
-    if len(quotes):
-        text_of = np.cumsum(first)
-        for q in quotes.tolist():
-            one = points[q + 1]
-            two = points[q + 2] if q + 2 < n and text_of[q + 2] == text_of[q] else 0
-            if one in (0x73, 0x74, 0x6D, 0x64):  # s t m d
-                size = 2
-            elif (one, two) in ((0x72, 0x65), (0x76, 0x65), (0x6C, 0x6C)):  # re ve ll
-                size = 3
-            else:
-                continue
-            start[q + 1] = False
-            if q + size < n:
-                start[q + size] |= cls[q + size] == LETTER
-    last = np.maximum.accumulate(np.where(start, np.arange(n), 0))
-    return np.flatnonzero(np.diff(last, prepend=-1))
+    c = SUCCEEDED[kind * np.uint8(12) + after]
+    state = IMAGE[scanned(ELEMENT[c + first * np.uint8(9)])]
+    before = np.empty_like(state)
+    before[0], before[1:] = NEW, state[:-1]
+    return np.flatnonzero(START.ravel()[before * np.uint8(9) + c] | first)
 
 
 class Merger(dict):
@@ -81,6 +133,7 @@ class Merger(dict):
         for token, rank in self.ranks.items():
             self.bytes_of[rank] = token
         self.sizes = np.array([len(t) for t in self.bytes_of], np.int64)
+        self.places, self.data = np.cumsum(self.sizes) - self.sizes, np.frombuffer(b"".join(self.bytes_of), np.uint8)
         self.table, self.entries, self.longest = class_table(), entries, longest
 
     def __missing__(self, piece: str) -> bytes:
@@ -159,8 +212,9 @@ class Merger(dict):
         lows, highs = np.searchsorted(at, ends - sizes).tolist(), np.searchsorted(at, ends).tolist()
         return [b"".join(merged[a:b]) for a, b in zip(lows, highs)]
 
-    def decode(self, ids: bytes) -> bytes:
-        return b"".join(map(self.bytes_of.__getitem__, np.frombuffer(ids, "<u4").tolist()))
+    def decode(self, ids: bytes, offsets: np.ndarray) -> bytes:
+        """The bytes of all tokens, each put where its offset says."""
+        return self.data[np.repeat(self.places[np.frombuffer(ids, "<u4")] - offsets[:-1], np.diff(offsets)) + np.arange(offsets[-1])].tobytes()
 
     def offsets(self, ids: bytes) -> np.ndarray:
         """Each token's first byte in the text's UTF-8, and the end."""
@@ -193,14 +247,14 @@ def encoded(docs: DataFrame, ranks_path: str) -> DataFrame:
 
 
 def round_trip(docs: DataFrame, ranks_path: str) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256: encodes, then decodes the ids alone."""
+    """doc_id, n_tokens, ids_sha256, decoded_sha256: encodes, then decodes the ids by their offsets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = merger(ranks_path)
         sha = lambda x: hashlib.sha256(x).hexdigest()
         for b in batches:
             ids = m.encode(b.column("text").to_pylist())
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array([sha(x) for x in ids]), pa.array([sha(m.decode(x)) for x in ids])], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array([sha(x) for x in ids]), pa.array([sha(m.decode(x, m.offsets(x))) for x in ids])], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return texts_of(docs).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
