@@ -8,6 +8,7 @@ neither as lost nor as part of the document; one of nothing else is rejected.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,16 +16,26 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import read, split_words
+from .common import document_columns, lean, read, small_batches, split_words
 
 SYMBOLS = "#*$%&|<>"
 MARKS = "#*$%&<>"
-SEPARATORS = frozenset(("|", "»", "›", "•", "·"))
+SEPARATORS = frozenset(("|", "»", "›", "•", "·", "→", "←", "«", "‹", "::"))
+#: What ends a sentence, in several scripts, closing quotes and brackets included.
+ENDS = frozenset(".!?…:;。！？؟।։\"'”’»)]」』")
+NOT_WORD = re.compile(r"[^\w\s]")
+LINK = re.compile(r"(?:https?://|www\.)\S+", re.I)
+RIGHTS = re.compile(r"(?:©|\(c\)|copyright) ?(?:©|\(c\))? ?(?:19|20)[0-9]{2}", re.I)
+# Stock phrases by language (en, fr, de, es); a licence's or rights' notice first.
+LICENCE = (
+    "licensed under", "released under the", "all rights reserved", "tous droits réservés", "sous licence", "alle rechte vorbehalten", "lizenziert unter",
+    "todos los derechos reservados", "bajo la licencia",
+)
 PHRASES = (
-    "licensed under", "released under the", "all rights reserved", "privacy policy", "cookie policy", "uses cookies",
-    "terms of service", "terms of use", "enable javascript", "lorem ipsum", "click here to", "subscribe to our",
+    *LICENCE, "privacy policy", "cookie policy", "uses cookies", "terms of service", "terms of use", "enable javascript", "lorem ipsum", "click here to", "subscribe to our",
+    "politique de confidentialité", "utilise des cookies", "conditions d'utilisation", "activer javascript", "cliquez ici", "datenschutzerklärung", "verwendet cookies",
+    "nutzungsbedingungen", "javascript aktivieren", "klicken sie hier", "política de privacidad", "utiliza cookies", "términos de uso", "activar javascript", "haga clic aquí",
 )
-LICENCE = ("licensed under", "released under the", "all rights reserved")
 SPACE = str.maketrans("", "", " \t\n\x0b\x0c\r")
 
 
@@ -55,17 +66,31 @@ FAILS, LICENSES = 1, 2
 
 
 def bad_line(line: str, marked: bool, phrased: bool) -> int:
-    """Whether a line fails: navigation (separators are an eighth of its words), punctuation (marks are a tenth of its characters) or
-    boilerplate (stock phrases are an eighth of its characters); LICENSES if by a licence's phrase alone."""
+    """Whether a line fails, by the first rule that holds, all of them by shares of the line.
+
+    Navigation: separators are an eighth of its words; or less than three words of under 20 characters
+    in all that end no sentence; or links are half of its characters.  Punctuation: marks are a tenth of its characters, or
+    all that is neither letter nor digit is four tenths.  Boilerplate: stock phrases are an eighth of
+    its characters, or a short line claims copyright; LICENSES if a licence's or rights' notice alone.
+    """
     words = line.split()
+    size = sum(map(len, words))
     if 8 * sum(w in SEPARATORS for w in words) >= max(1, len(words)):
         return FAILS
-    if marked and 10 * sum(map(line.count, MARKS)) >= sum(map(len, words)) > 0:
+    if len(words) < 3 and size < 20 and words and words[-1][-1] not in ENDS:
+        return FAILS
+    if marked and 10 * sum(map(line.count, MARKS)) >= size > 0:
+        return FAILS
+    if 10 * len(NOT_WORD.findall(line)) >= 4 * size > 0:
+        return FAILS
+    if phrased and 2 * sum(map(len, LINK.findall(line))) >= size > 0:
         return FAILS
     if not phrased:
         return 0
     low = " ".join(words).lower()
     found = {p: low.count(p) * len(p) for p in PHRASES if p in low}
+    if RIGHTS.search(low) and len(words) <= 25:
+        found["all rights reserved"] = len(low)
     if 8 * sum(found.values()) < len(low) or not found:
         return 0
     return LICENSES if all(p in LICENCE for p in found) else FAILS
@@ -80,8 +105,7 @@ def judged(text: str, max_lost: float) -> tuple[int, int, int, int, int, bool, b
     n_symbols = sum(map(text.count, SYMBOLS))
     repeated = repeat_words(ids) if len(number) < len(words) else 0
     low = text.lower()
-    phrased, marked = any(p in low for p in PHRASES), n_symbols > 0
-    odd = marked or phrased or any(s in text for s in SEPARATORS)
+    phrased, marked = "www." in low or "http" in low or RIGHTS.search(low) is not None or any(p in low for p in PHRASES), n_symbols > 0
     seen: set[str] = set()
     good, duplicates, removed, lost, licence = [], 0, 0, 0, 0
     for line in text.split("\n"):
@@ -91,7 +115,7 @@ def judged(text: str, max_lost: float) -> tuple[int, int, int, int, int, bool, b
         again = line in seen
         seen.add(line)
         duplicates += again
-        bad = FAILS if again else bad_line(line, marked, phrased) if odd else 0
+        bad = FAILS if again else bad_line(line, marked, phrased)
         if bad:
             removed += 1
             size = len(line) - sum(map(line.count, " \t\x0b\x0c\r"))
@@ -109,12 +133,13 @@ def judge(docs: DataFrame, max_lost: float = 0.3) -> DataFrame:
 
     Null text: no words, so base_failed, and clean_text is empty.  A repeated line counts as
     boilerplate from its second time on.  Rows are judged apart: repeated rows each give a row, an
-    empty table gives none.
+    empty table gives none.  Columns of documents that the table lacks are null, further ones are left out.
     """
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "clean_text"]
-    own = [F.col("doc_id").cast("long").alias("doc_id"), "text", "lang", "source", F.col("n_chars").cast("long").alias("n_chars")]
+    small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lean()
         for b in batches:
             rows = [judged(t or "", max_lost) for t in b.column("text").to_pylist()]
             cols = list(zip(*rows)) if rows else [()] * len(names)
@@ -122,7 +147,7 @@ def judge(docs: DataFrame, max_lost: float = 0.3) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*b.columns, *(pa.array(c, k) for c, k in zip(cols, kinds))], [*b.schema.names, *names])
 
     schema = "doc_id long, text string, lang string, source string, n_chars long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, clean_text string"
-    return docs.select(*own).mapInArrow(run, schema)
+    return document_columns(docs).mapInArrow(run, schema)
 
 
 def cleaned(docs: DataFrame, max_lost: float = 0.3) -> DataFrame:

@@ -269,6 +269,22 @@ def test_quality(spark, docs):
     assert not quality.judged("a### b$$$ c%%% d*** e### f### g### h### i### j### k###", 0.3)[6]
 
 
+def test_quality_line_rules():
+    clean, night = "The quick fox ran over the hill, and then it slept for a day.", "Nobody saw it come home again that night."
+    for bad in ("Home", "About us", "=== --- ***", "Accueil → Produits → Contact", "https://example.com/a/b see", "Politique de confidentialité", "Alle Rechte vorbehalten.", "© 2024 Example Inc.", "Utiliza cookies propias."):
+        assert quality.judged(f"{clean}\n{bad}\n{night}", 0.5)[6:] == (True, f"{clean}\n{night}"), bad
+    for good in ("Why not?", "“Stop!”", "A heading of four words", "这是一个没有空格的很长的句子它不应该被删除因为它有很多字", "See https://example.com for the whole story of the fox and the hill."):
+        assert quality.judged(f"{clean}\n{good}", 0.5)[6:] == (True, f"{clean}\n{good}"), good
+
+
+def test_quality_verdict_on_odd_rows(spark, docs):
+    """Null and empty texts fail; long, repeated and clashing rows are judged by their text alone."""
+    got = Counter((r.doc_id, r.kept, r.clean_text) for r in quality.judge(docs).collect())
+    assert got == Counter((d, *quality.judged(t, 0.3)[6:]) for d, t in texts(docs))
+    assert quality.judge(docs.select("text", "doc_id")).count() == docs.count() and quality.judge(docs.limit(0)).collect() == []
+    assert not quality.judged("", 0.3)[6] and quality.op6_quality_rules(spark, SF).where("kept and base_failed").count() == 0
+
+
 def test_quality_stock_phrases():
     clean = "The quick fox ran over the hill, and then it slept for a day."
     licence = "Licensed under the Apache License, Version 2.0."
