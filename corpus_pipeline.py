@@ -9,25 +9,42 @@ from neuroloom.llm.common import read, staged
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass the rules, without the lines that fail them."""
+    """Documents that pass the rules, without the lines that fail them.
+
+    Null and empty texts have no words and go.  Rows are judged apart: repeated rows and rows with a null
+    doc_id stay if their text does.  Texts of any length are judged whole.  An empty table gives none.
+    Columns that the table lacks are null, further ones are left out (as in all stages but the last).
+    """
     return quality.cleaned(docs)
 
 
 def near_duplicates_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group whose sets of five-word n-grams have a Jaccard similarity of 0.8 or more."""
+    """One document of each group whose sets of five-word n-grams have a Jaccard similarity of 0.8 or more: that of least doc_id.
+
+    Null doc_ids come last in that order; of wholly equal rows one stays.  Rows without words (null or
+    empty text) have no copies but wholly equal ones.  An empty table gives none.
+    """
     return ngram_join.one_of_each(docs, width=5, percent=80)
 
 
 def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The same documents, personal data replaced by its kind."""
+    """The same documents, personal data replaced by its kind.
+
+    Null texts stay null.  Rows are changed apart: repeats, null doc_ids and long texts need no rule.
+    An empty table gives none.
+    """
     return pii.redacted(docs)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of sequences of 2048 tokens, with their ids; few words are kept, as other stages share the workers' memory."""
+    """Pieces of sequences of 2048 tokens, with their ids; few words are kept, as other stages share the workers' memory.
+
+    Null and empty texts are the end id alone.  Repeated rows are packed as often as they occur, null
+    doc_ids stay null, and a long document becomes several pieces.  An empty table gives none.
+    """
     import public_tokenizers as P
 
-    return packing.pack(docs, P.path("byte_bpe_50k.json"), with_ids=True, entries=100_000)
+    return packing.pack(docs, P.path("byte_bpe_50k.json"), with_ids=True, entries=100_000, block=4_000_000)
 
 
 STAGES = [("quality", quality_stage), ("near_duplicates", near_duplicates_stage), ("pii", pii_stage), ("packing", packing_stage)]
