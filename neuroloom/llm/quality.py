@@ -70,7 +70,7 @@ def bad_line(line: str, marked: bool, phrased: bool) -> int:
 
     Navigation: separators are an eighth of its words; or less than three words of under 20 characters
     in all that end no sentence; or links are half of its characters.  Punctuation: marks are a tenth of its characters, or
-    all that is neither letter nor digit is four tenths.  Boilerplate: stock phrases are an eighth of
+    all that is neither letter nor digit is half.  Boilerplate: stock phrases are an eighth of
     its characters, or a short line claims copyright; LICENSES if a licence's or rights' notice alone.
     """
     words = line.split()
@@ -81,7 +81,7 @@ def bad_line(line: str, marked: bool, phrased: bool) -> int:
         return FAILS
     if marked and 10 * sum(map(line.count, MARKS)) >= size > 0:
         return FAILS
-    if 10 * len(NOT_WORD.findall(line)) >= 4 * size > 0:
+    if 2 * len(NOT_WORD.findall(line)) >= size > 0:
         return FAILS
     if phrased and 2 * sum(map(len, LINK.findall(line))) >= size > 0:
         return FAILS
