@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from statistics import NormalDist
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -104,3 +105,72 @@ def bootstrap_median(df: DataFrame, keys: list[str], value: str, draws: int = 10
 
     schema = ", ".join(f"{k} {dict(df.dtypes)[k]}" for k in keys) + ", median double, low double, high double"
     return df.select(*keys, value).groupBy(*keys).applyInPandas(run, schema)
+
+
+def shapiro_wilk(x) -> tuple[float, float]:
+    """(W, p) by Royston's approximation (1995), for 3 to 5,000 values that are not all equal; else NaN."""
+    x = sorted(x)
+    n = len(x)
+    mean = sum(x) / n if n else 0.0
+    spread = sum((v - mean) ** 2 for v in x)
+    if n < 3 or n > 5000 or not spread:
+        return math.nan, math.nan
+    m = [NormalDist().inv_cdf((i - 0.375) / (n + 0.25)) for i in range(1, n + 1)]
+    norm = sum(v * v for v in m)
+    u = 1 / math.sqrt(n)
+    poly = lambda c, at: sum(k * at**i for i, k in enumerate(c))
+    # Royston's polynomials.
+    last = m[-1] / math.sqrt(norm) + poly((0, 0.221157, -0.147981, -2.07119, 4.434685, -2.706056), u)
+    if n == 3:
+        a = [-math.sqrt(0.5), 0.0, math.sqrt(0.5)]
+    elif n <= 5:
+        phi = (norm - 2 * m[-1] ** 2) / (1 - 2 * last**2)
+        a = [-last, *(v / math.sqrt(phi) for v in m[1:-1]), last]
+    else:
+        second = m[-2] / math.sqrt(norm) + poly((0, 0.042981, -0.293762, -1.752461, 5.682633, -3.582633), u)
+        phi = (norm - 2 * m[-1] ** 2 - 2 * m[-2] ** 2) / (1 - 2 * last**2 - 2 * second**2)
+        a = [-last, -second, *(v / math.sqrt(phi) for v in m[2:-2]), second, last]
+    w = min(1.0, sum(p * q for p, q in zip(a, x)) ** 2 / spread)
+    if n == 3:
+        return w, max(0.0, 6 / math.pi * (math.asin(math.sqrt(w)) - math.asin(math.sqrt(0.75))))
+    if w == 1.0:
+        return w, 1.0
+    if n <= 11:
+        y, at = poly((-2.273, 0.459), n), n
+        if y <= math.log(1 - w):
+            return w, 0.0
+        y, mu, sd = -math.log(y - math.log(1 - w)), poly((0.544, -0.39978, 0.025054, -0.0006714), at), math.exp(poly((1.3822, -0.77857, 0.062767, -0.0020322), at))
+    else:
+        at = math.log(n)
+        y, mu, sd = math.log(1 - w), poly((-1.5861, -0.31082, -0.083751, 0.0038915), at), math.exp(poly((-0.4803, -0.082676, 0.0030302), at))
+    return w, normal_sf((y - mu) / sd)
+
+
+def shapiro(df: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """By group: n, W and p of the Shapiro-Wilk test; nulls are passed over."""
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        x = rows[value].dropna().tolist()
+        return pd.DataFrame([[*rows[keys].iloc[0], len(x), *shapiro_wilk(x)]], columns=[*keys, "n", "w", "p"])
+
+    schema = ", ".join(f"{k} {dict(df.dtypes)[k]}" for k in keys) + ", n long, w double, p double"
+    return df.select(*keys, value).groupBy(*keys).applyInPandas(run, schema)
+
+
+def regression_p(fits: DataFrame) -> DataFrame:
+    """Adds t and the two-sided p of the correlation to a table with n and r; null where r is 1 or n below 3."""
+    df = F.when(F.col("n") > 2, (F.col("n") - 2).cast("double"))
+    t = F.when(F.abs("r") < 1, F.col("r") * F.sqrt(df / (1 - F.col("r") * F.col("r"))))
+    return fits.withColumn("t", t).withColumn("p", 2 * t_p(F.abs(F.col("t")), df))
+
+
+# A Gaussian kernel's density on a grid from -1 to 1, by class of pair; its width is n ** (-1/5) deviations.
+kde = operator("kde", """
+WITH g AS (SELECT DISTINCT session, stimulus FROM {edges}),
+d AS (SELECT g.session, g.stimulus, i, j, r FROM g CROSS JOIN {scorr} s WHERE r IS NOT NULL),
+x AS (SELECT d.stimulus, CASE WHEN e.weight > 0 OR f.weight > 0 THEN 'excitatory' WHEN e.weight < 0 OR f.weight < 0 THEN 'inhibitory' ELSE 'disconnected' END AS class, r FROM d
+  LEFT JOIN {edges} e ON e.session = d.session AND e.stimulus = d.stimulus AND e.src = i AND e.dst = j LEFT JOIN {edges} f ON f.session = d.session AND f.stimulus = d.stimulus AND f.src = j AND f.dst = i),
+h AS (SELECT stimulus, class, power(CAST(count(*) AS DOUBLE), -0.2) * stddev_samp(r) AS h FROM x GROUP BY stimulus, class),
+grid AS (SELECT SERIES(0, 20) AS step)
+SELECT x.stimulus, x.class, CAST(step AS BIGINT) AS step, round(avg(exp(-0.5 * power((step / 10.0 - 1 - r) / h, 2))) / (max(h) * sqrt(2 * pi())), 6) AS density
+FROM x JOIN h ON h.stimulus = x.stimulus AND h.class = x.class CROSS JOIN grid WHERE h > 0 GROUP BY x.stimulus, x.class, step""")

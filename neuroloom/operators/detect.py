@@ -1,42 +1,56 @@
 """Sharp peaks and intervals in cross-correlograms.
 
 For a duration d the statistic at a lag is the sum of the d + 1 values from it on.  Mean and
-deviation are over all lags; the extreme is sought in lags 0 to ``MAXLAG`` - d, the least on ties.
+deviation are over all lags; the extreme is sought in lags 0 to ``maxlag`` - d, the least on ties.
 """
 
 from __future__ import annotations
 
-from .sql import operator
+from functools import cache
 
-MAX_DURATION, MAXLAG, LEVEL = 6, 12, 2.5
+from .sql import SqlOperator, operator
 
-_SUMS = ", ".join(f"sum(value) OVER (PARTITION BY src, dst ORDER BY lag ROWS BETWEEN CURRENT ROW AND {d} FOLLOWING) AS i{d}" for d in range(MAX_DURATION + 1))
-_ALL = " UNION ALL ".join(f"SELECT src, dst, CAST({d} AS BIGINT) AS d, lag, i{d} AS v FROM w WHERE lag + {d} <= top" for d in range(MAX_DURATION + 1))
-_BOX = f"""w AS (SELECT src, dst, lag, max(lag) OVER (PARTITION BY src, dst) AS top, {_SUMS} FROM {{ccg}}),
-i AS ({_ALL}),
+_OUT = "round(v, 6) AS value, round(z, 6) AS z, lag AS peak_offset"
+
+
+@cache
+def detectors(level: float = 2.5, maxlag: int = 12, max_duration: int = 6) -> dict[str, SqlOperator]:
+    """All operators of this module for a level of Z, a greatest lag and a longest duration."""
+    durations = range(max_duration + 1)
+    sums = ", ".join(f"sum(value) OVER (PARTITION BY src, dst ORDER BY lag ROWS BETWEEN CURRENT ROW AND {d} FOLLOWING) AS i{d}" for d in durations)
+    every = " UNION ALL ".join(f"SELECT src, dst, CAST({d} AS BIGINT) AS d, lag, i{d} AS v FROM w WHERE lag + {d} <= top" for d in durations)
+    box = f"""w AS (SELECT src, dst, lag, max(lag) OVER (PARTITION BY src, dst) AS top, {sums} FROM {{ccg}}),
+i AS ({every}),
 s AS (SELECT *, avg(v) OVER (PARTITION BY src, dst, d) AS mu, stddev_pop(v) OVER (PARTITION BY src, dst, d) AS sd FROM i)"""
-_EXTREME = f"""{_BOX},
+    extreme = f"""{box},
 e AS (SELECT src, dst, d, lag, v, (v - mu) / sd AS z, row_number() OVER (PARTITION BY src, dst, d ORDER BY round(abs(v - mu), 9) DESC, lag) AS rk
-  FROM s WHERE sd > 0 AND lag <= {MAXLAG} - d)"""
-_PEAK = f"""{_EXTREME},
+  FROM s WHERE sd > 0 AND lag <= {maxlag} - d)"""
+    peak = f"""{extreme},
 p AS (SELECT a.src, a.dst, a.d, a.lag AS lag1, a.v AS v1, a.z AS z1, b.lag AS lag2, b.v AS v2, b.z AS z2 FROM e a JOIN e b ON a.src = b.src AND a.dst = b.dst AND a.d = b.d AND b.rk = 2 WHERE a.rk = 1),
-g AS (SELECT * FROM p WHERE abs(z1) > {LEVEL}),
+g AS (SELECT * FROM p WHERE abs(z1) > {level}),
 r AS (SELECT x.*, CASE WHEN x.lag1 = 0 AND y.lag1 = 0 AND sign(x.z1) = sign(y.z1) AND (x.z1 > 0 AND round(x.v2, 9) >= round(y.v2, 9) OR x.z1 < 0 AND round(x.v2, 9) <= round(y.v2, 9)) THEN 1 ELSE 0 END AS gone
   FROM g x LEFT JOIN g y ON y.src = x.dst AND y.dst = x.src AND y.d = x.d),
 k AS (SELECT src, dst, d, CASE WHEN gone = 0 THEN lag1 ELSE lag2 END AS lag, CASE WHEN gone = 0 THEN v1 ELSE v2 END AS v, CASE WHEN gone = 0 THEN z1 ELSE z2 END AS z
-  FROM r WHERE gone = 0 OR abs(z2) > {LEVEL} AND sign(z2) = sign(z1))"""
-_OUT = "round(v, 6) AS value, round(z, 6) AS z, lag AS peak_offset"
-_FULL = f"{_EXTREME}, o AS (SELECT src, dst, d, lag, v, z, row_number() OVER (PARTITION BY src, dst ORDER BY round(abs(z), 9) DESC, d DESC) AS best FROM e WHERE rk = 1)"
-
-boxcar = operator("boxcar", f"WITH {_BOX} SELECT src, dst, d AS duration, lag, round(v, 6) AS total, round(mu, 6) AS mean, round(sd, 6) AS deviation FROM s")
-extreme_offset = operator("extreme_offset", f"WITH {_EXTREME} SELECT src, dst, d AS duration, {_OUT} FROM e WHERE rk = 1")
-second_extreme = operator("second_extreme", f"WITH {_EXTREME} SELECT src, dst, d AS duration, {_OUT} FROM e WHERE rk = 2")
-second_peak = operator("second_peak", f"WITH {_EXTREME} SELECT src, dst, d AS duration, {_OUT} FROM e WHERE rk = 2 AND abs(z) > {LEVEL}")
-sharp_peak_d = operator("sharp_peak_d", f"WITH {_PEAK} SELECT src, dst, d AS duration, {_OUT} FROM k")
-significant_ccg = operator("significant_ccg", f"""WITH {_PEAK},
+  FROM r WHERE gone = 0 OR abs(z2) > {level} AND sign(z2) = sign(z1))"""
+    full = f"{extreme}, o AS (SELECT src, dst, d, lag, v, z, row_number() OVER (PARTITION BY src, dst ORDER BY round(abs(z), 9) DESC, d DESC) AS best FROM e WHERE rk = 1)"
+    return {o.name: o for o in (
+        operator("boxcar", f"WITH {box} SELECT src, dst, d AS duration, lag, round(v, 6) AS total, round(mu, 6) AS mean, round(sd, 6) AS deviation FROM s"),
+        operator("extreme_offset", f"WITH {extreme} SELECT src, dst, d AS duration, {_OUT} FROM e WHERE rk = 1"),
+        operator("second_extreme", f"WITH {extreme} SELECT src, dst, d AS duration, {_OUT} FROM e WHERE rk = 2"),
+        operator("second_peak", f"WITH {extreme} SELECT src, dst, d AS duration, {_OUT} FROM e WHERE rk = 2 AND abs(z) > {level}"),
+        operator("sharp_peak_d", f"WITH {peak} SELECT src, dst, d AS duration, {_OUT} FROM k"),
+        operator("significant_ccg", f"""WITH {peak},
 o AS (SELECT *, row_number() OVER (PARTITION BY src, dst ORDER BY round(abs(z), 9) DESC, d DESC) AS best FROM k),
 f AS (SELECT * FROM o WHERE best = 1)
 SELECT x.src, x.dst, round(x.v, 6) AS weight, round(x.z, 6) AS confidence, x.lag AS edge_offset, x.d AS duration
-FROM f x LEFT JOIN f y ON y.src = x.dst AND y.dst = x.src WHERE NOT (x.lag = 0 AND coalesce(y.lag, 1) = 0 AND x.d >= y.d)""")
-full_ccg = operator("full_ccg", f"WITH {_FULL} SELECT src, dst, d AS duration, {_OUT} FROM o WHERE best = 1")
-ccg_zscore = operator("ccg_zscore", f"WITH {_FULL}, pair AS (SELECT DISTINCT src, dst FROM {{ccg}}) SELECT pair.src, pair.dst, round(coalesce(z, 0), 6) AS z, round(coalesce(v, 0), 6) AS value, coalesce(d, 0) AS duration FROM pair LEFT JOIN o ON pair.src = o.src AND pair.dst = o.dst AND best = 1")
+FROM f x LEFT JOIN f y ON y.src = x.dst AND y.dst = x.src WHERE NOT (x.lag = 0 AND coalesce(y.lag, 1) = 0 AND x.d >= y.d)"""),
+        operator("full_ccg", f"WITH {full} SELECT src, dst, d AS duration, {_OUT} FROM o WHERE best = 1"),
+        operator("ccg_zscore", f"WITH {full}, pair AS (SELECT DISTINCT src, dst FROM {{ccg}}) SELECT pair.src, pair.dst, round(coalesce(z, 0), 6) AS z, round(coalesce(v, 0), 6) AS value, coalesce(d, 0) AS duration FROM pair LEFT JOIN o ON pair.src = o.src AND pair.dst = o.dst AND best = 1"),
+    )}
+
+
+def detector(name: str, level: float = 2.5, maxlag: int = 12, max_duration: int = 6) -> SqlOperator:
+    return detectors(level, maxlag, max_duration)[name]
+
+
+boxcar, extreme_offset, second_extreme, second_peak, sharp_peak_d, significant_ccg, full_ccg, ccg_zscore = detectors().values()

@@ -8,19 +8,38 @@ _KEYS = "session, stimulus"
 _N = "k AS (SELECT count(*) AS n FROM {nodes})"
 
 graph_edges = operator("graph_edges", "SELECT session, stimulus, src, dst, weight, confidence FROM {edges} WHERE weight <> 0")
-session_stimulus = operator("session_stimulus", "SELECT session, stimulus, row_number() OVER (PARTITION BY session ORDER BY stimulus) AS place FROM (SELECT DISTINCT session, stimulus FROM {edges}) d")
-combined_stimulus = operator("combined_stimulus", """
-WITH m AS (SELECT * FROM (VALUES ('1-URGENT', 0, 'fast'), ('2-HIGH', 0, 'fast'), ('3-MEDIUM', 1, 'plain'), ('4-NOT SPECIFIED', 2, 'slow'), ('5-LOW', 2, 'slow')) AS t(stimulus, place, combined))
-SELECT session, combined, CAST(place AS BIGINT) AS place, count(*) AS edges FROM {edges} e JOIN m ON e.stimulus = m.stimulus GROUP BY session, combined, place""")
+# In the canonical order if all stimuli are known to it, else by name; the last known one is left out.
+session_stimulus = operator("session_stimulus", """
+WITH known AS (SELECT * FROM (VALUES ('3-MEDIUM', 1), ('1-URGENT', 2), ('2-HIGH', 3), ('5-LOW', 4), ('4-NOT SPECIFIED', 5)) AS t(stimulus, rank)),
+d AS (SELECT DISTINCT session, stimulus FROM {edges}),
+a AS (SELECT d.session, d.stimulus, rank, min(CASE WHEN rank IS NULL THEN 0 ELSE 1 END) OVER () AS sure FROM d LEFT JOIN known ON known.stimulus = d.stimulus)
+SELECT session, stimulus, row_number() OVER (PARTITION BY session ORDER BY CASE WHEN sure = 1 THEN rank END, stimulus) AS place FROM a WHERE coalesce(rank, 0) <> 5""")
+# Which stimuli count as one, and the order they are told in.
+COMBINED = """comb AS (SELECT * FROM (VALUES ('1-URGENT', 0, 'fast'), ('2-HIGH', 0, 'fast'), ('3-MEDIUM', 1, 'plain'), ('4-NOT SPECIFIED', 2, 'slow'), ('5-LOW', 2, 'slow')) AS t(stimulus, place, combined))"""
+combined_stimulus = operator("combined_stimulus", f"""
+WITH {COMBINED}
+SELECT session, combined, CAST(place AS BIGINT) AS place, count(*) AS edges FROM {{edges}} e JOIN comb m ON e.stimulus = m.stimulus GROUP BY session, combined, place""")
 edge_sign = operator("edge_sign", "SELECT session, stimulus, src, dst, CAST(sign(weight) AS BIGINT) AS edge_sign FROM {edges}")
 edge_delay = operator("edge_delay", "SELECT session, stimulus, src, dst, edge_offset, duration, edge_offset + duration AS delay FROM {edges}")
 binary_edges = operator("binary_edges", "SELECT session, stimulus, src, dst, 1 AS weight FROM {edges} WHERE weight <> 0")
-scale_interval = operator("scale_interval", """
-SELECT session, stimulus, src, dst, round(CASE WHEN hi = lo THEN 1 ELSE 1 + (abs(weight) - lo) / (hi - lo) * 4 END, 6) AS width
-FROM (SELECT *, min(abs(weight)) OVER (PARTITION BY session, stimulus) AS lo, max(abs(weight)) OVER (PARTITION BY session, stimulus) AS hi FROM {edges}) s""")
+
+
+def scaling(name: str, low: float, high: float, logscale: bool = False):
+    """Sizes of weights, or 2 to their power, stretched to low .. high within a graph; a graph of equal sizes has ``low``."""
+    size = "power(2.0, abs(weight))" if logscale else "abs(weight)"
+    return operator(name, f"""
+SELECT session, stimulus, src, dst, round(CASE WHEN hi = lo THEN {low} ELSE {low} + (x - lo) / (hi - lo) * {high - low} END, 6) AS width
+FROM (SELECT *, min(x) OVER (PARTITION BY session, stimulus) AS lo, max(x) OVER (PARTITION BY session, stimulus) AS hi FROM (SELECT *, {size} AS x FROM {{edges}}) y) s""")
+
+
+scale_interval, scale_interval_log = scaling("scale_interval", 1.0, 5.0), scaling("scale_interval_log", 0.0, 1.0, logscale=True)
 log2_signed = operator("log2_signed", "SELECT session, stimulus, src, dst, round(log2(abs(weight)) * CASE WHEN weight >= 0 THEN 1 ELSE -1 END, 6) AS value FROM {edges} WHERE weight <> 0")
+# What each of two stimuli of a session has and the other lacks.
 edge_difference = operator("edge_difference", """
-SELECT a.session, a.stimulus, a.src, a.dst FROM {edges} a WHERE NOT EXISTS (SELECT 1 FROM {edges} b WHERE b.session = a.session AND b.stimulus = a.stimulus AND b.src = a.dst AND b.dst = a.src)""")
+WITH g AS (SELECT DISTINCT session, stimulus FROM {edges}),
+p AS (SELECT a.session, a.stimulus AS own, b.stimulus AS other FROM g a JOIN g b ON a.session = b.session AND a.stimulus <> b.stimulus)
+SELECT p.session, own, other, e.src, e.dst FROM p JOIN {edges} e ON e.session = p.session AND e.stimulus = p.own
+WHERE NOT EXISTS (SELECT 1 FROM {edges} f WHERE f.session = p.session AND f.stimulus = p.other AND f.src = e.src AND f.dst = e.dst)""")
 
 _PAIRS = """p AS (SELECT e.session, e.stimulus, least(src, dst) AS a, greatest(src, dst) AS b, count(*) AS m,
   CAST(sum(CASE WHEN weight > 0 THEN 1 ELSE 0 END) AS BIGINT) AS plus FROM {edges} e GROUP BY e.session, e.stimulus, least(src, dst), greatest(src, dst))"""
@@ -36,8 +55,8 @@ signed_pair_unordered = operator("signed_pair_unordered", f"WITH {_SIGNED} SELEC
 signed_pair_ordered = operator("signed_pair_ordered", f"WITH {_SIGNED} SELECT session, stimulus, CAST(2 * pairs AS BIGINT) AS ordered_pairs, {_SHARES} FROM q")
 relative_pair_count = operator("relative_pair_count", f"""WITH {_SIGNED},
 d AS (SELECT session, stimulus, sum(CASE WHEN weight > 0 THEN 1 ELSE 0 END) / (max(n) * (max(n) - 1.0)) AS p, sum(CASE WHEN weight > 0 THEN 0 ELSE 1 END) / (max(n) * (max(n) - 1.0)) AS q FROM {{edges}} CROSS JOIN k GROUP BY session, stimulus)
-SELECT q.session, q.stimulus, round((1 - linked / pairs) / ((1 - d.p - d.q) * (1 - d.p - d.q)), 6) AS none, round(c1 / pairs / nullif(2 * d.p * (1 - d.p - d.q), 0), 6) AS plus, round(c2 / pairs / nullif(2 * d.q * (1 - d.p - d.q), 0), 6) AS minus,
-  round(c3 / pairs / nullif(d.p * d.p, 0), 6) AS plus_plus, round(c4 / pairs / nullif(2 * d.p * d.q, 0), 6) AS plus_minus, round(c5 / pairs / nullif(d.q * d.q, 0), 6) AS minus_minus
+SELECT q.session, q.stimulus, round(CASE WHEN ((1 - d.p - d.q) * (1 - d.p - d.q)) = 0 THEN 0 ELSE (1 - linked / pairs) / nullif(((1 - d.p - d.q) * (1 - d.p - d.q)), 0) END, 6) AS none, round(CASE WHEN (2 * d.p * (1 - d.p - d.q)) = 0 THEN 0 ELSE (c1 / pairs) / nullif((2 * d.p * (1 - d.p - d.q)), 0) END, 6) AS plus, round(CASE WHEN (2 * d.q * (1 - d.p - d.q)) = 0 THEN 0 ELSE (c2 / pairs) / nullif((2 * d.q * (1 - d.p - d.q)), 0) END, 6) AS minus,
+  round(CASE WHEN (d.p * d.p) = 0 THEN 0 ELSE (c3 / pairs) / nullif((d.p * d.p), 0) END, 6) AS plus_plus, round(CASE WHEN (2 * d.p * d.q) = 0 THEN 0 ELSE (c4 / pairs) / nullif((2 * d.p * d.q), 0) END, 6) AS plus_minus, round(CASE WHEN (d.q * d.q) = 0 THEN 0 ELSE (c5 / pairs) / nullif((d.q * d.q), 0) END, 6) AS minus_minus
 FROM q JOIN d ON q.session = d.session AND q.stimulus = d.stimulus""")
 
 ex_in_density = operator("ex_in_density", f"""WITH {_N}
@@ -73,8 +92,10 @@ x AS (SELECT e.session, e.stimulus, so.n AS src_out, coalesce(si.n, 0) AS src_in
   JOIN o so ON so.session = e.session AND so.stimulus = e.stimulus AND so.node = e.src LEFT JOIN i si ON si.session = e.session AND si.stimulus = e.stimulus AND si.node = e.src
   LEFT JOIN o tout ON tout.session = e.session AND tout.stimulus = e.stimulus AND tout.node = e.dst JOIN i di ON di.session = e.session AND di.stimulus = e.stimulus AND di.node = e.dst)
 SELECT session, stimulus, round(corr(src_out, dst_in), 6) AS out_in, round(corr(src_in, dst_out), 6) AS in_out, round(corr(src_in, dst_in), 6) AS in_in, round(corr(src_out, dst_out), 6) AS out_out FROM x GROUP BY session, stimulus""")
-percentile_limits = operator("percentile_limits", """
-SELECT session, stimulus, round(percentile_cont(0.2) WITHIN GROUP (ORDER BY CASE WHEN weight < 0 THEN weight END), 6) AS low, round(percentile_cont(0.85) WITHIN GROUP (ORDER BY CASE WHEN weight > 0 THEN weight END), 6) AS high FROM {edges} GROUP BY session, stimulus""")
+_LIMITS = ", ".join(f"round(percentile_cont({low}) WITHIN GROUP (ORDER BY CASE WHEN weight < 0 THEN weight END), 6) AS low_{k}, round(percentile_cont({high}) WITHIN GROUP (ORDER BY CASE WHEN weight > 0 THEN weight END), 6) AS high_{k}" for k, low, high in (("wide", 0.2, 0.85), ("narrow", 0.005, 0.992), ("usual", 0.02, 0.98)))
+percentile_limits = operator("percentile_limits", f"SELECT session, stimulus, {_LIMITS} FROM {{edges}} GROUP BY session, stimulus")
+weight_mode = operator("weight_mode", """
+SELECT session, stimulus, edge_offset, n FROM (SELECT session, stimulus, edge_offset, count(*) AS n, row_number() OVER (PARTITION BY session, stimulus ORDER BY count(*) DESC, edge_offset) AS k FROM {edges} GROUP BY session, stimulus, edge_offset) q WHERE k = 1""")
 density_regression = operator("density_regression", f"""WITH {_N},
 d AS (SELECT session, stimulus, count(*) / (max(n) * (max(n) - 1.0)) AS x, avg(CASE WHEN a.area = b.area THEN 1.0 ELSE 0.0 END) AS y FROM {{edges}} e JOIN {{nodes}} a ON e.src = a.node JOIN {{nodes}} b ON e.dst = b.node CROSS JOIN k GROUP BY session, stimulus)
 SELECT session, count(*) AS n, round(regr_slope(y, x), 6) AS slope, round(regr_intercept(y, x), 6) AS intercept, round(corr(x, y), 6) AS r, round(regr_slope(y, log10(x)), 6) AS log_slope FROM d GROUP BY session""")

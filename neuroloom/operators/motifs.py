@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import nullmodels
+from .graph import COMBINED
 from .sql import operator
 from .triad_table import table_sql, vocabulary, vocabulary_sql
 
@@ -61,19 +62,30 @@ region AS (SELECT session, stimulus, v, u, w, smt, kind, CASE sorts WHEN 'xo' TH
   WHEN 'all' THEN concat_ws('_', least(rp, rx, ro), rp + rx + ro - least(rp, rx, ro) - greatest(rp, rx, ro), greatest(rp, rx, ro))
   WHEN 'turn' THEN least(concat_ws('_', rp, rx, ro), concat_ws('_', rx, ro, rp), concat_ws('_', ro, rp, rx)) ELSE concat_ws('_', rp, rx, ro) END AS region FROM b)"""
 motif_region = operator("motif_region", f"WITH {_REGION} SELECT session, stimulus, v, u, w, smt, region FROM region")
-motif_region_census = operator("motif_region_census", f"WITH {_REGION} SELECT session, stimulus, smt, region, count(*) AS n FROM region GROUP BY session, stimulus, smt, region")
+motif_region_census = operator("motif_region_census", f"WITH {_REGION} SELECT session, stimulus, smt, region, count(*) AS n FROM region GROUP BY session, stimulus, smt, region ORDER BY count(*) DESC")
 motif_region_fraction = operator("motif_region_fraction", f"""WITH {_REGION},
 f AS (SELECT session, stimulus, smt, count(*) AS n, avg(CASE WHEN x.area = y.area AND y.area = z.area THEN 1.0 ELSE 0.0 END) AS same, avg(CASE WHEN x.area = 0 OR y.area = 0 OR z.area = 0 THEN 1.0 ELSE 0.0 END) AS touch
   FROM region JOIN {{nodes}} x ON v = x.node JOIN {{nodes}} y ON u = y.node JOIN {{nodes}} z ON w = z.node GROUP BY session, stimulus, smt HAVING count(*) >= 5)
 SELECT stimulus, smt, count(*) AS sessions, round(avg(same), 6) AS same_mean, round(stddev_samp(same), 6) AS same_std, round(avg(touch), 6) AS touch_mean FROM f GROUP BY stimulus, smt""")
-motif_ids = operator("motif_ids", f"WITH {_MOTIFS} SELECT session, smt, v, u, w, count(*) AS stimuli FROM m GROUP BY session, smt, v, u, w")
-motif_upset = operator("motif_upset", f"""WITH {_MOTIFS}, g AS (SELECT session, smt, v, u, w, TEXT_LIST(stimulus) AS stimuli FROM m GROUP BY session, smt, v, u, w)
-SELECT smt, stimuli, count(*) AS triples FROM g GROUP BY smt, stimuli HAVING count(*) >= 2""")
+# Triples are told apart by session, so that sessions can be merged.
+motif_ids = operator("motif_ids", f"WITH {_MOTIFS}, {COMBINED} SELECT DISTINCT session, combined, smt, v, u, w FROM m JOIN comb ON comb.stimulus = m.stimulus")
+
+
+def upset(name: str, least: int):
+    """By type and set of combined stimuli: triples that occur in exactly these; sets of ``least`` triples or more."""
+    return operator(name, f"""WITH {_MOTIFS}, {COMBINED}, d AS (SELECT DISTINCT session, combined, smt, v, u, w FROM m JOIN comb ON comb.stimulus = m.stimulus),
+g AS (SELECT session, smt, v, u, w, TEXT_LIST(combined) AS stimuli FROM d GROUP BY session, smt, v, u, w)
+SELECT smt, stimuli, count(*) AS triples FROM g GROUP BY smt, stimuli HAVING count(*) >= {least}""")
+
+
+motif_upset = upset("motif_upset", 2)
 signal_corr_motif = operator("signal_corr_motif", f"""WITH {_MOTIFS},
 e AS (SELECT DISTINCT session, stimulus, least(a, b) AS a, greatest(a, b) AS b FROM (SELECT session, stimulus, v AS a, u AS b FROM m WHERE smt LIKE '%+' AND smt NOT LIKE '%-%' UNION ALL SELECT session, stimulus, v, w FROM m WHERE smt LIKE '%+' AND smt NOT LIKE '%-%' UNION ALL SELECT session, stimulus, u, w FROM m WHERE smt LIKE '%+' AND smt NOT LIKE '%-%') q),
 g AS (SELECT DISTINCT session, stimulus FROM {{edges}})
 SELECT g.session, g.stimulus, CASE WHEN e.a IS NULL THEN 'rest' ELSE 'motif' END AS part, count(*) AS pairs, round(avg(r), 6) AS mean_r FROM g CROSS JOIN {{scorr}} s LEFT JOIN e ON e.session = g.session AND e.stimulus = g.stimulus AND e.a = s.i AND e.b = s.j GROUP BY g.session, g.stimulus, CASE WHEN e.a IS NULL THEN 'rest' ELSE 'motif' END""")
 
+GIVEN = ("030T+++", "120D++++", "120U++++", "120C++++", "210+++++", "300++++++")  # all-excitatory types with a feed-forward loop
+
 # Z against a null model: the census of a graph and those of its replicas (with rep).  As above, a type absent in all
 # replicas has the deviation of one 4 among zeros; the stored form has the mean and deviation of one 5.
 _NULL_Z = """r AS (SELECT session, stimulus, smt, count(*) AS reps, avg(intensity) AS mean, stddev_samp(intensity) AS dev FROM {replicas} GROUP BY session, stimulus, smt),
@@ -87,9 +99,27 @@ q AS (SELECT c.session, c.stimulus, c.smt, (intensity - CASE WHEN top = 0 THEN 5
   WHERE c.smt IN (SELECT smt FROM {replicas} WHERE n > 0 UNION SELECT smt FROM {census} WHERE n > 0))
 SELECT stimulus, smt, count(z) AS sessions, round(avg(z), 5) AS mean_z, round(stddev_samp(z), 5) AS std_z FROM q GROUP BY stimulus, smt"""),
     operator("null_z_density", f"WITH {_NULL_Z} SELECT session, stimulus, count(*) AS types, round(avg(abs(z)), 5) AS mean_abs_z FROM zs GROUP BY session, stimulus"),
-    operator("null_mean_z", f"WITH {_NULL_Z} SELECT stimulus, smt, round(avg(z), 5) AS mean_z FROM zs GROUP BY stimulus, smt"),
-    operator("null_z_corr", f"""WITH {_NULL_Z}, a AS (SELECT stimulus, smt, avg(z) AS z FROM zs GROUP BY stimulus, smt)
-SELECT x.stimulus AS first, y.stimulus AS second, count(*) AS types, round(corr(x.z, y.z), 5) AS r FROM a x JOIN a y ON x.smt = y.smt AND x.stimulus <> y.stimulus GROUP BY x.stimulus, y.stimulus"""),
+    operator("null_mean_z", f"WITH {_NULL_Z}, {COMBINED} SELECT combined, smt, round(avg(z), 5) AS mean_z FROM zs JOIN comb ON comb.stimulus = zs.stimulus GROUP BY combined, smt"),
+    operator("null_z_corr", f"""WITH {_NULL_Z}, {COMBINED}, a AS (SELECT combined, smt, avg(z) AS z FROM zs JOIN comb ON comb.stimulus = zs.stimulus GROUP BY combined, smt)
+SELECT x.combined AS first, y.combined AS second, count(*) AS types, round(corr(x.z, y.z), 5) AS r FROM a x JOIN a y ON x.smt = y.smt AND x.combined <> y.combined GROUP BY x.combined, y.combined"""),
+    operator("null_log2_z", f"WITH {_NULL_Z} SELECT session, stimulus, smt, round(log2(nullif(abs(z), 0)) * CASE WHEN z >= 0 THEN 1 ELSE -1 END, 5) AS value FROM zs"),
+    # Of types with five triples or more and Z above 1.96: the share of triples all in area 0, or touching it; 0 where no graph is left.
+    operator("null_region_fraction", f"""WITH {_REGION}, {_NULL_Z}, {COMBINED},
+f AS (SELECT region.session, region.stimulus, region.smt, avg(CASE WHEN x.area = 0 AND y.area = 0 AND z.area = 0 THEN 1.0 ELSE 0.0 END) AS same, avg(CASE WHEN x.area = 0 OR y.area = 0 OR z.area = 0 THEN 1.0 ELSE 0.0 END) AS touch
+  FROM region JOIN {{nodes}} x ON v = x.node JOIN {{nodes}} y ON u = y.node JOIN {{nodes}} z ON w = z.node GROUP BY region.session, region.stimulus, region.smt HAVING count(*) >= 5),
+t AS (SELECT combined, f.smt, same, touch FROM f JOIN zs ON zs.session = f.session AND zs.stimulus = f.stimulus AND zs.smt = f.smt AND zs.z > 1.96 JOIN comb ON comb.stimulus = f.stimulus)
+SELECT c.combined, c.smt, count(same) AS graphs, round(coalesce(avg(same), 0), 6) AS same_mean, round(stddev_samp(same), 6) AS same_std, round(coalesce(avg(touch), 0), 6) AS touch_mean, round(stddev_samp(touch), 6) AS touch_std
+FROM (SELECT DISTINCT combined, smt FROM comb CROSS JOIN {vocabulary_sql()} v) c LEFT JOIN t ON t.combined = c.combined AND t.smt = c.smt GROUP BY c.combined, c.smt"""),
+    # Signal correlation of pairs in triples of the given types, of other types whose mean Z is above 2.576, and of all other pairs.
+    operator("null_signal_corr_motif", f"""WITH {_MOTIFS}, {_NULL_Z},
+given AS (SELECT * FROM (VALUES {", ".join(f"('{k}')" for k in GIVEN)}) AS t(smt)),
+high AS (SELECT stimulus, smt FROM zs WHERE smt NOT IN (SELECT smt FROM given) GROUP BY stimulus, smt HAVING avg(z) > 2.576),
+side AS (SELECT m.session, m.stimulus, m.smt, v AS a, u AS b FROM m UNION ALL SELECT session, stimulus, smt, v, w FROM m UNION ALL SELECT session, stimulus, smt, u, w FROM m),
+within AS (SELECT side.session, side.stimulus, 'given' AS part, a, b FROM side JOIN given ON given.smt = side.smt UNION ALL SELECT side.session, side.stimulus, 'other', a, b FROM side JOIN high ON high.smt = side.smt AND high.stimulus = side.stimulus),
+gr AS (SELECT DISTINCT session, stimulus FROM {{edges}}),
+rest AS (SELECT gr.session, gr.stimulus, 'rest' AS part, s.i AS a, s.j AS b FROM gr CROSS JOIN {{scorr}} s LEFT JOIN (SELECT DISTINCT session, stimulus, a, b FROM within) x ON x.session = gr.session AND x.stimulus = gr.stimulus AND x.a = s.i AND x.b = s.j WHERE x.a IS NULL),
+both AS (SELECT * FROM within UNION ALL SELECT * FROM rest)
+SELECT both.session, both.stimulus, part, count(*) AS pairs, round(avg(r), 6) AS mean_r FROM both JOIN {{scorr}} s ON s.i = a AND s.j = b WHERE r IS NOT NULL GROUP BY both.session, both.stimulus, part"""),
 )}
 
 
@@ -100,10 +130,10 @@ def replica_census(replicas: DataFrame) -> DataFrame:
     return motif_census(edges=graphs).select("session", stimulus.alias("stimulus"), rep.alias("rep"), "smt", "n", "intensity", "coherence")
 
 
-def null_z(name: str, edges: DataFrame, nodes: DataFrame, model: str = "signed_pair", replicas: int = 200) -> DataFrame:
-    """One of ``NULL_Z`` for every graph against its own replicas."""
+def null_z(name: str, edges: DataFrame, nodes: DataFrame, model: str = "signed_pair", replicas: int = 200, **more: DataFrame) -> DataFrame:
+    """One of ``NULL_Z`` for every graph against its own replicas; ``more``: further tables that it reads."""
     graphs = nullmodels.random_graphs(edges, nodes, model, replicas)
-    return NULL_Z[name](census=motif_census(edges=edges), replicas=replica_census(graphs))
+    return NULL_Z[name](census=motif_census(edges=edges), replicas=replica_census(graphs), edges=edges, nodes=nodes, **more)
 
 
 assert len(vocabulary()) == 132

@@ -13,7 +13,7 @@ import zlib
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .sql import operator
@@ -21,17 +21,9 @@ from .sql import operator
 SCHEMA = "session string, stimulus string, rep int, src long, dst long, weight double, swaps long"
 
 
-def _rewired(src, dst, weight, nodes, model, swaps, rng):
+def _rewired(src, dst, weight, model, swaps, rng):
     src, dst, weight, n = src.copy(), dst.copy(), weight.copy(), len(src)
     done = 0
-    if model == "random":
-        seen: dict[tuple[int, int], None] = {}
-        while len(seen) < n:
-            a, b = (int(x) for x in rng.choice(nodes, 2))
-            if a != b:
-                seen[a, b] = None
-        pairs = np.array(list(seen), np.int64).reshape(-1, 2)
-        return pairs[:, 0], pairs[:, 1], rng.permutation(weight), n
     ids, flat = np.unique(np.concatenate([src, dst]), return_inverse=True)
     size, sign = len(ids), np.sign(weight).tolist()
     src, dst = flat[:n].tolist(), flat[n:].tolist()
@@ -86,19 +78,54 @@ def _rewired(src, dst, weight, nodes, model, swaps, rng):
     return src, dst, weight if model == "signed_pair" else rng.permutation(weight), done
 
 
+def erdos_renyi(edges: DataFrame, nodes: DataFrame, replicas: int = 200, seed: int = 3) -> DataFrame:
+    """Replicas with the nodes, the number of edges and the weights of every graph, edges drawn uniformly without repeats.
+
+    Pairs are numbered; each replica draws a third more numbers than it needs plus sixty-four, keeps distinct ones in a random order and
+    tops up from all numbers only if it has too few, which a dense graph does from the start.
+    """
+    spark = edges.sparkSession
+    place = nodes.select("node").dropDuplicates().withColumn("k", F.row_number().over(Window.orderBy("node")) - 1)  # as many rows as nodes
+    n = nodes.select("node").dropDuplicates().count()
+    pairs = n * (n - 1)
+    own = edges.groupBy("session", "stimulus").agg(F.count("*").cast("long").alias("m"))
+    if own.where(F.col("m") > pairs).limit(1).count():
+        raise ValueError("a graph has more edges than there are pairs of nodes")
+    reps = spark.range(replicas).select(F.col("id").cast("int").alias("rep"))
+    want = own.crossJoin(F.broadcast(reps))
+    id_of = F.xxhash64(F.lit(seed), "session", "stimulus", "rep", "draw")
+    sparse = want.where(F.col("m") * 4 < pairs).withColumn("draw", F.explode(F.sequence(F.lit(0), (F.col("m") * F.lit(4) / 3 + 64).cast("int"))))
+    sparse = sparse.withColumn("pair", F.pmod(id_of, F.lit(max(pairs, 1)))).groupBy("session", "stimulus", "rep", "m", "pair").agg(F.min(id_of).alias("mark"))
+    short = sparse.groupBy("session", "stimulus", "rep", "m").count().where("count < m").select("session", "stimulus", "rep")
+    dense = want.where(F.col("m") * 4 >= pairs).select("session", "stimulus", "rep", "m").union(want.join(short, ["session", "stimulus", "rep"], "left_semi").select("session", "stimulus", "rep", "m"))
+    dense = dense.withColumn("pair", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(max(pairs, 1) - 1).cast("long"))))
+    dense = dense.withColumn("mark", F.xxhash64(F.lit(seed), "session", "stimulus", "rep", "pair"))
+    both = sparse.join(short, ["session", "stimulus", "rep"], "left_anti").select(*dense.columns).union(dense)
+    group = Window.partitionBy("session", "stimulus", "rep").orderBy("mark", "pair")
+    drawn = both.withColumn("k", F.row_number().over(group)).where("k <= m")
+    line = Window.partitionBy("session", "stimulus").orderBy("src", "dst")
+    weights = edges.select("session", "stimulus", "weight", F.row_number().over(line).alias("k"))
+    drawn = drawn.join(weights, ["session", "stimulus", "k"])  # in the random order of the draws
+    a, b = F.floor(F.col("pair") / F.lit(max(n - 1, 1))).cast("long"), F.pmod("pair", F.lit(max(n - 1, 1)))
+    drawn = drawn.withColumn("a", a).withColumn("b", b).withColumn("b", F.col("b") + (F.col("b") >= F.col("a")).cast("long"))
+    src, dst = place.select(F.col("k").cast("long").alias("a"), F.col("node").alias("src")), place.select(F.col("k").cast("long").alias("b"), F.col("node").alias("dst"))
+    return drawn.join(src, "a").join(dst, "b").select("session", "stimulus", "rep", "src", "dst", "weight", F.col("m").alias("swaps"))
+
+
 def random_graphs(edges: DataFrame, nodes: DataFrame, model: str, replicas: int = 200, rounds: int = 100, seed: int = 3) -> DataFrame:
     """Replicas of every graph; ``model``: random (nodes and edges kept), degree, pair or signed_pair."""
     if model not in ("random", "degree", "pair", "signed_pair"):
         raise ValueError(model)
-    all_nodes = nodes.agg(F.sort_array(F.collect_set("node")).alias("all_nodes"))  # one small row
+    if model == "random":
+        return erdos_renyi(edges, nodes, replicas, seed)
     reps = edges.sparkSession.range(replicas).select(F.col("id").cast("int").alias("rep"))
-    rows = edges.select("session", "stimulus", "src", "dst", "weight").crossJoin(reps).crossJoin(F.broadcast(all_nodes))
+    rows = edges.select("session", "stimulus", "src", "dst", "weight").crossJoin(F.broadcast(reps))
 
     def run(g: pd.DataFrame) -> pd.DataFrame:
         g = g.sort_values(["src", "dst"])
         first = g.iloc[0]
         rng = np.random.default_rng([seed, int(first["rep"]), zlib.crc32(f"{first['session']}|{first['stimulus']}".encode())])
-        s, d, w, done = _rewired(g["src"].to_numpy(), g["dst"].to_numpy(), g["weight"].to_numpy(), np.array(first["all_nodes"]), model, rounds * len(g), rng)
+        s, d, w, done = _rewired(g["src"].to_numpy(), g["dst"].to_numpy(), g["weight"].to_numpy(), model, rounds * len(g), rng)
         return pd.DataFrame({"session": first["session"], "stimulus": first["stimulus"], "rep": first["rep"], "src": s, "dst": d, "weight": w, "swaps": done})
 
     groups = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -107,25 +134,41 @@ def random_graphs(edges: DataFrame, nodes: DataFrame, model: str, replicas: int
 
 
 def verify(edges: DataFrame, replicas: DataFrame) -> DataFrame:
-    """By session, stimulus and replica: whether edges, weights, degrees, pairs and signed pairs are kept."""
-    own = edges.select("session", "stimulus", "src", "dst", "weight")
-
-    def marks(df: DataFrame, keys: list[str]) -> DataFrame:
-        back = df.select(*keys, F.col("dst").alias("src"), F.col("src").alias("dst"), F.col("weight").alias("other"))
-        x = df.join(back, [*keys, "src", "dst"], "left")
-        deg = lambda c: df.groupBy(*keys, c).count().groupBy(*keys).agg(F.sum(F.xxhash64(c, "count") % 1_000_003).alias(f"deg_{c}"))
-        out = x.groupBy(*keys).agg(
-            F.count("*").alias("m"), F.round(F.sum("weight"), 4).alias("total"), F.count("other").alias("mutual"),
-            F.sum(F.when(F.col("other").isNull() & (F.col("weight") > 0), 1).otherwise(0)).alias("plus"), F.sum(F.when((F.col("other") > 0) & (F.col("weight") > 0), 1).otherwise(0)).alias("plus_plus"),
-        )
-        return out.join(deg("src"), keys).join(deg("dst"), keys)
-
-    g = ["session", "stimulus"]
-    a, b = marks(own, g), marks(replicas.drop("swaps"), [*g, "rep"])
-    for c in ("m", "total", "mutual", "plus", "plus_plus", "deg_src", "deg_dst"):
-        a = a.withColumnRenamed(c, f"{c}_0")
-    same = lambda *c: F.min(F.lit(True) & (sum((F.abs(F.col(x) - F.col(f"{x}_0")) for x in c), F.lit(0.0)) < 0.001))
-    return a.join(b, g).groupBy(*g, "rep").agg(same("m").alias("edges"), same("total").alias("weights"), same("deg_src", "deg_dst").alias("degrees"), same("mutual").alias("pairs"), same("plus", "plus_plus").alias("signed_pairs"))
+    """By session, stimulus and replica: whether edges, weights, degrees, pairs and signed pairs are kept, each compared in full."""
+    graph = ["session", "stimulus"]
+    rep = [*graph, "rep"]
+    reps = replicas.select(*rep).dropDuplicates()
+    own = edges.select(*graph, "src", "dst", "weight")
+    new = replicas.select(*rep, "src", "dst", "weight")
+
+    def differ(mark: str, tell) -> DataFrame:
+        """Replicas in which some value of ``tell`` (name, value) is not the graph's."""
+        a = tell(own, graph).join(reps, graph)
+        b = tell(new, rep).withColumnRenamed("value", "got")
+        both = a.join(b, [*rep, "name"], "full").where(~F.col("value").eqNullSafe(F.col("got")))
+        return both.select(*rep).dropDuplicates().withColumn(mark, F.lit(False))
+
+    named = lambda df, keys, name, value: df.groupBy(*keys, name.alias("name")).agg(value.alias("value"))
+    number, one = F.count("*").cast("string"), F.lit("all")
+    tests = {
+        "edges": lambda d, k: named(d.where("src <> dst").dropDuplicates([*k, "src", "dst"]), k, one, number),
+        "weights": lambda d, k: named(d, k, F.round("weight", 9).cast("string"), number),
+        "degrees": lambda d, k: named(d, k, F.concat(F.lit("out "), "src"), number).union(named(d, k, F.concat(F.lit("in "), "dst"), number)),
+    }
+
+    def classes(signed: bool):
+        def tell(d: DataFrame, k: list[str]) -> DataFrame:
+            sign = F.sign("weight").cast("int") if signed else F.lit(0)
+            pair = d.groupBy(*k, F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).agg(F.sort_array(F.collect_list(sign)).cast("string").alias("class"))
+            return named(pair, k, F.col("class"), number)
+
+        return tell
+
+    tests |= {"pairs": classes(False), "signed_pairs": classes(True)}
+    out = reps
+    for mark, tell in tests.items():
+        out = out.join(differ(mark, tell), rep, "left").withColumn(mark, F.coalesce(mark, F.lit(True)))
+    return out
 
 
 # Weights dealt anew over the same edges, by rank of a hash: the multiset stays.

@@ -16,6 +16,10 @@ C, VR, VT, K, A, B, RESET, D, PEAK = 100.0, -60.0, -40.0, 0.7, 0.03, -2.0, -50.0
 def izhikevich(spark: SparkSession, links: list[tuple[int, int, float, int]], neurons: int, trials: int = 40, bins: int = 250, current: float = 112.0, noise: float = 1.0, seed: int = 0) -> DataFrame:
     """(neuron_id, trial_id, t): spikes of cells joined by (src, dst, strength, delay), one task a trial."""
 
+    by_source: dict[int, list[tuple[int, float, int]]] = {}
+    for a, b, strength, delay in links:
+        by_source.setdefault(a, []).append((b, strength, delay))
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = []
@@ -29,14 +33,47 @@ def izhikevich(spark: SparkSession, links: list[tuple[int, int, float, int]], ne
                     for i in np.flatnonzero(v >= PEAK).tolist():
                         out.append((i, trial, t))
                         v[i], u[i] = RESET, u[i] + D
-                        for a, b, strength, delay in links:
-                            if a == i:
-                                due[t + delay, b] += strength
+                        for b, strength, delay in by_source.get(i, ()):
+                            due[t + delay, b] += strength
             yield pd.DataFrame(out, columns=["neuron_id", "trial_id", "t"]).astype("int64")
 
     return spark.range(trials).repartition(min(trials, spark.sparkContext.defaultParallelism)).mapInPandas(run, "neuron_id long, trial_id long, t long")
 
 
+def izhikevich_variable(spark: SparkSession, links: list[tuple[int, int, float]], neurons: int, trials: int = 40, bins: int = 250, delays: tuple[int, int] = (2, 5), currents: tuple[int, int] = (115, 124), noise: float = 0.25, seed: int = 0) -> tuple[DataFrame, list[tuple[int, int, int]]]:
+    """((neuron_id, trial_id, t), (src, dst, delay)): the same cells with a random delay for each link and a random current for each cell.
+
+    A cell's current in a bin is its own times a uniform number; the noise of a bin, one normal number, is added to all
+    potentials.  Delays and currents are drawn from ``seed`` alone, so all trials share them.
+    """
+    rng = np.random.default_rng(seed)
+    drawn = [(a, b, int(d)) for (a, b, _), d in zip(links, rng.integers(delays[0], delays[1] + 1, len(links)))]
+    own = rng.integers(currents[0], currents[1] + 1, neurons)
+    by_source: dict[int, list[tuple[int, float, int]]] = {}
+    for (a, b, strength), (_, _, d) in zip(links, drawn):
+        by_source.setdefault(a, []).append((b, strength, d))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for trial in batch["id"].tolist():
+                rng = np.random.default_rng([seed, trial])
+                v, u = np.full(neurons, VR), np.zeros(neurons)
+                drive, due = own[:, None] * rng.random((neurons, bins)), np.zeros((bins + delays[1] + 2, neurons))
+                for t in range(bins - 1):
+                    dv = (K * (v - VR) * (v - VT) - u + drive[:, t] + due[t]) / C + noise * rng.standard_normal()
+                    v, u = v + dv, u + A * (B * (v - VR) - u)
+                    for i in np.flatnonzero(v >= PEAK).tolist():
+                        out.append((i, trial, t + 1))
+                        v[i], u[i] = RESET, u[i] + D
+                        for b, strength, delay in by_source.get(i, ()):
+                            due[t + 1 + delay, b] += strength
+            yield pd.DataFrame(out, columns=["neuron_id", "trial_id", "t"]).astype("int64")
+
+    rows = spark.range(trials).repartition(min(trials, spark.sparkContext.defaultParallelism)).mapInPandas(run, "neuron_id long, trial_id long, t long")
+    return rows, drawn
+
+
 def random_delays(edges: DataFrame, low: int = 2, high: int = 5, seed: int = 0) -> DataFrame:
     return edges.withColumn("delay", (F.floor(F.rand(seed) * (high - low + 1)) + low).cast("int"))
 

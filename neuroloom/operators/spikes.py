@@ -50,13 +50,15 @@ place AS (SELECT trial_id, size, coalesce(sum(size + 50) OVER (ORDER BY trial_id
 SELECT s.neuron_id, s.trial_id, CAST(base + s.t AS BIGINT) AS at, n.area FROM {spikes} s JOIN place p ON s.trial_id = p.trial_id AND s.t < p.size JOIN {nodes} n ON n.node = s.neuron_id""")
 
 
-def surrogates(spikes: DataFrame, samples: int = 10, length: int = 25, bins: int = BINS, seed: int = 42) -> DataFrame:
+def surrogates(spikes: DataFrame, samples: int = 10, length: int = 25, bins: int = BINS, seed: int = 42, memory: bool = False, burst: int = 10) -> DataFrame:
     """(sample, neuron_id, trial_id, t): jittered trains by a chain of random moves, one generator a trial.
 
     Each spike's window has ``length`` places about it.  A neuron's samples share one random start
     distribution and one random row-stochastic matrix for each later spike: the next place is drawn
-    from the row of the place before.  A place already taken is drawn anew among the free ones, so
-    spike counts stay.  Trials are independent groups; a trial with a seed gives the same trains
+    from the row of the place before.  With ``memory`` a spike at most ``burst`` bins after another
+    keeps that interval; a burst's head has the window of the grid cell it lies in, the others follow it.
+    A time already taken is drawn anew among the window's free ones, or, if there is none, is the nearest free one
+    of the trial, so spike counts stay.  Trials are independent groups; a trial with a seed gives the same trains
     wherever it runs.
     """
 
@@ -66,31 +68,39 @@ def surrogates(spikes: DataFrame, samples: int = 10, length: int = 25, bins: int
         out = []
         for neuron, times in sorted(rows.groupby("neuron_id")["t"]):
             times = np.sort(times.to_numpy())
-            lows = np.clip(times - (length + 1) // 2 + 1, 0, bins - length)
+            gaps = np.diff(times)
+            lows = times - (length + 1) // 2 + 1
+            if memory:
+                head = np.maximum.accumulate(np.where(np.concatenate([[True], gaps > burst]), times, -1))
+                lows = head // length * length + times - head
+            lows = np.clip(lows, 0, bins - length)
             start = np.cumsum(rng.random(length))
             moves = np.cumsum(rng.random((len(times) - 1, length, length)), axis=2)
             for s in range(samples):
                 used: set[int] = set()
-                place = 0
+                now = 0
                 for k, low in enumerate(lows.tolist()):
-                    line = start if k == 0 else moves[k - 1, place]
-                    place = min(int(np.searchsorted(line, rng.random() * line[-1], side="right")), length - 1)
-                    if low + place in used:
-                        free = [p for p in range(length) if low + p not in used]
-                        place = int(rng.choice(free)) if free else place
-                    used.add(low + place)
-                    out.append((s, neuron, trial, low + place))
+                    if k and memory and gaps[k - 1] <= burst:
+                        now = min(now + int(gaps[k - 1]), bins - 1)
+                    else:
+                        line = moves[k - 1, min(max(now - int(lows[k - 1]), 0), length - 1)] if k else start
+                        now = low + min(int(np.searchsorted(line, rng.random() * line[-1], side="right")), length - 1)
+                    if now in used:
+                        free = [p for p in range(low, low + length) if p not in used]
+                        now = int(rng.choice(free)) if free else min((p for p in range(bins) if p not in used), key=lambda p: (abs(p - now), p))
+                    used.add(now)
+                    out.append((s, neuron, trial, now))
         return pd.DataFrame(out, columns=["sample", "neuron_id", "trial_id", "t"])
 
     return spikes.groupBy("trial_id").applyInPandas(run, "sample int, neuron_id long, trial_id long, t long")
 
 
-def ccg_corrected(spikes: DataFrame, samples: int = 10, seed: int = 42) -> DataFrame:
+def ccg_corrected(spikes: DataFrame, samples: int = 10, seed: int = 42, memory: bool = False) -> DataFrame:
     """(src, dst, lag, ccg): the mean correlogram less that of jittered trains, by the original rates."""
     from pyspark.sql import functions as F
 
     raw = ccg_normalised(spikes=spikes)
-    jittered = surrogates(spikes, samples, seed=seed)
+    jittered = surrogates(spikes, samples, seed=seed, memory=memory)
     rates = firing_rate(spikes=spikes)
     many = jittered.select("neuron_id", (F.col("trial_id") * samples + F.col("sample")).alias("trial_id"), "t").dropDuplicates()
     trials = spikes.agg(F.countDistinct("trial_id").alias("trials"))
@@ -101,3 +111,10 @@ def ccg_corrected(spikes: DataFrame, samples: int = 10, seed: int = 42) -> DataF
     value = F.col("n") / (F.col("trials") * samples * (BINS - F.col("lag")) / 1000.0 * F.sqrt(rate("n_src") * rate("n_dst")))
     both = raw.join(scaled.select("src", "dst", "lag", value.alias("mean")), ["src", "dst", "lag"], "left")
     return both.select("src", "dst", "lag", F.round(F.col("ccg") - F.coalesce("mean", F.lit(0.0)), 6).alias("ccg"))
+
+
+def network(spikes: DataFrame, samples: int = 10, seed: int = 42, memory: bool = False, level: float = 2.5, maxlag: int = 12, max_duration: int = 6) -> DataFrame:
+    """From spikes to edges: the significant peaks and intervals of the jitter-corrected correlograms (src, dst, weight, confidence, edge_offset, duration)."""
+    from .detect import detector
+
+    return detector("significant_ccg", level, maxlag, max_duration)(ccg=ccg_corrected(spikes, samples, seed, memory).withColumnRenamed("ccg", "value"))

@@ -1,7 +1,7 @@
 """All queries by name, with their DuckDB SQL.
 
-A query loads the model tables that its operator names; its SQL is the operator's text over the
-same tables made by DuckDB.
+A query loads the model tables that its operator names.  Its SQL is a text of its own (``oracles``) or, where
+there is none yet, the operator's text over the same tables made by DuckDB, which shows that both engines agree but no more.
 """
 
 from __future__ import annotations
@@ -9,12 +9,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import stats
-from ..operators import detect, graph, modules, motifs, nullmodels, paths, simulate, spikes
+from ..operators import centrality, detect, graph, modules, motifs, nullmodels, paths, simulate, spikes
 from ..operators.sql import SqlOperator
 from ..sources.tables import BASE, load
+from . import oracles
 
 OPERATORS: dict[str, SqlOperator] = {
-    op.name: op for m in (spikes, detect, graph, motifs, modules, nullmodels, stats) for op in vars(m).values() if isinstance(op, SqlOperator)
+    op.name: op for m in (spikes, detect, graph, motifs, modules, nullmodels, centrality, stats) for op in vars(m).values() if isinstance(op, SqlOperator)
 }
 
 
@@ -37,7 +38,8 @@ def _verified(spark, d):
 
 
 def _null_z(name: str):
-    return lambda spark, d: motifs.null_z(name, load(spark, d, "edges"), load(spark, d, "nodes"))
+    more = [k for k in motifs.NULL_Z[name].inputs if k not in ("census", "replicas", "edges", "nodes")]
+    return lambda spark, d: motifs.null_z(name, load(spark, d, "edges"), load(spark, d, "nodes"), **{k: load(spark, d, k) for k in more})
 
 
 #: Iterative, random or with p-values: beyond SQL, held against invariants and brute force in tests.
@@ -50,6 +52,13 @@ OTHERS = {
     "largest_wcc": lambda s, d: paths.largest_component(load(s, d, "edges")),
     "distances": lambda s, d: paths.distances(load(s, d, "edges")),
     "path_metrics": lambda s, d: paths.path_metrics(load(s, d, "edges"), load(s, d, "nodes")),
+    "closeness": lambda s, d: centrality.closeness(load(s, d, "edges"), load(s, d, "nodes")),
+    "betweenness": lambda s, d: centrality.betweenness(load(s, d, "edges"), load(s, d, "nodes")),
+    "surrogates_memory": lambda s, d: spikes.surrogates(load(s, d, "spikes"), memory=True),
+    "network": lambda s, d: spikes.network(load(s, d, "spikes")),
+    "shapiro": lambda s, d: stats.shapiro(load(s, d, "edges"), ["session", "stimulus"], "weight"),
+    "density_regression_p": lambda s, d: stats.regression_p(graph.density_regression(edges=load(s, d, "edges"), nodes=load(s, d, "nodes"))),
+    "simulated_spikes_variable": lambda s, d: simulate.izhikevich_variable(s, [(0, 1, 10000.0), (1, 2, 10000.0)], 3)[0],
     "flow_hierarchy": lambda s, d: paths.flow_hierarchy(load(s, d, "edges")),
     "t_test_p": lambda s, d: stats.with_p_values(stats.t_test(edges=load(s, d, "edges"))),
     "z_test_p": lambda s, d: stats.with_p_values(stats.z_test(edges=load(s, d, "edges"))),
@@ -62,15 +71,11 @@ OTHERS = {
     "block_model": lambda s, d: simulate.block_model(s), "random_train": lambda s, d: simulate.random_train(s),
 }
 
-_DISTANCE = """d AS (SELECT session, stimulus, src, dst, 1 AS hops FROM edges UNION SELECT d.session, d.stimulus, d.src, e.dst, d.hops + 1 FROM d JOIN edges e ON e.session = d.session AND e.stimulus = d.stimulus AND e.src = d.dst AND e.dst <> d.src WHERE d.hops < 12),
-s AS (SELECT session, stimulus, src, dst, CAST(min(hops) AS BIGINT) AS hops FROM d GROUP BY ALL)"""
 _WEAK = """b AS (SELECT session, stimulus, src AS x, dst AS y FROM edges UNION SELECT session, stimulus, dst, src FROM edges),
 r AS (SELECT session, stimulus, x AS node, x AS y FROM b UNION SELECT r.session, r.stimulus, r.node, b.y FROM r JOIN b ON b.session = r.session AND b.stimulus = r.stimulus AND b.x = r.y),
 c AS (SELECT session, stimulus, node, min(y) AS component FROM r GROUP BY ALL)"""
 OTHER_SQL = {
-    "distances": f"{_DISTANCE} SELECT * FROM s",
     "weak_components": f"{_WEAK} SELECT * FROM c",
-    "flow_hierarchy": f"{_DISTANCE} SELECT e.session, e.stimulus, round(avg(CASE WHEN s.src IS NULL THEN 1.0 ELSE 0.0 END), 6) AS hierarchy FROM edges e LEFT JOIN s ON s.session = e.session AND s.stimulus = e.stimulus AND s.src = e.dst AND s.dst = e.src GROUP BY e.session, e.stimulus",
 }
 
 
@@ -80,4 +85,4 @@ def queries() -> dict:
 
 def oracle_sql() -> dict[str, str]:
     edges = f"WITH RECURSIVE edges AS ({BASE['edges'].duckdb()}), "
-    return {name: _sql(op) for name, op in OPERATORS.items()} | {k: edges + v for k, v in OTHER_SQL.items()}
+    return {name: _sql(op) for name, op in OPERATORS.items()} | {k: edges + v for k, v in OTHER_SQL.items()} | oracles.texts()

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from neuroloom.functions import stats
-from neuroloom.operators import detect, motifs, nullmodels, paths, simulate, spikes
+from neuroloom.operators import centrality, detect, modules, motifs, nullmodels, paths, simulate, spikes
 from neuroloom.operators.triad_table import table, vocabulary
 from neuroloom.plans import registry
 from neuroloom.sources.tables import load, read_edges, write_edges
@@ -52,15 +52,19 @@ def test_motifs_do_not_depend_on_labels(spark, random_links):
 
 
 PEAKS = [
-    ("sharp peak", {3: 1}, {15: 1}, 20, (1, 3, 0), None), ("sharp interval", {3: 1, 4: 1, 5: 1}, {15: 1}, 20, (3, 3, 2), None), ("negative", {3: -1}, {15: 1}, 20, (-1, 3, 0), None), ("tie", {0: 1}, {0: 1}, 20, None, None),
+    ("sharp peak", {3: 1}, {15: 1}, 20, 4, 6, (1, 4.472136, 3, 0), None), ("sharp interval", {3: 1, 4: 1, 5: 1}, {15: 1}, 20, 2.5, 6, (3, 2.868549, 3, 2), None),
+    ("negative", {3: -1}, {15: 1}, 20, 4, 6, (-1, -4.472136, 3, 0), None), ("tie", {0: 1}, {0: 1}, 20, 4, 6, None, None),
+    ("zero lag, second significant", {0: 1, 5: 0.8}, {0: 1}, 100, 4, 0, (0.8, 6.199178, 5, 0), (1, 10, 0, 0)), ("zero lag, second weak", {0: 1, 5: 0.2}, {0: 1}, 100, 4, 0, None, (1, 10, 0, 0)),
 ]
 
 
-@pytest.mark.parametrize("name,ab,ba,window,want_ab,want_ba", PEAKS)
-def test_peaks(spark, name, ab, ba, window, want_ab, want_ba):
+@pytest.mark.parametrize("name,ab,ba,window,level,longest,want_ab,want_ba", PEAKS)
+def test_peaks(spark, name, ab, ba, window, level, longest, want_ab, want_ba):
     rows = [(x, y, k, float(c.get(k, 0))) for x, y, c in ((1, 2, ab), (2, 1, ba)) for k in range(window + 1)]
-    got = {(r.src, r.dst): (r.weight, r.edge_offset, r.duration) for r in detect.significant_ccg(ccg=spark.createDataFrame(rows, "src long, dst long, lag long, value double")).collect()}
-    assert got.get((1, 2)) == want_ab and got.get((2, 1)) == want_ba
+    found = detect.detector("significant_ccg", level, 12, longest)(ccg=spark.createDataFrame(rows, "src long, dst long, lag long, value double"))
+    got = {(r.src, r.dst): (r.weight, r.confidence, r.edge_offset, r.duration) for r in found.collect()}
+    for pair, want in (((1, 2), want_ab), ((2, 1), want_ba)):
+        assert (pair in got) == (want is not None) and (want is None or got[pair] == pytest.approx(want, abs=2e-6))
 
 
 def test_ccg_fixture(spark):
@@ -69,6 +73,134 @@ def test_ccg_fixture(spark):
     assert got == {(0, 1, 3): 2, (0, 1, 43): 1, (1, 0, 37): 1}
 
 
+def test_ccg_fixture_values(spark):
+    """Rates of 20 Hz in 100 bins; the operator's trial is longer, so values follow its own length."""
+    df = spark.createDataFrame([(0, 0, 10), (0, 0, 50), (1, 0, 13), (1, 0, 53)], "neuron_id long, trial_id long, t long")
+    got = {(r.src, r.dst, r.lag): r.ccg for r in spikes.ccg_normalised(spikes=df).collect()}
+    rate = 2 / (spikes.BINS / 1000)
+    for (a, b, lag), n in {(0, 1, 3): 2, (0, 1, 43): 1, (1, 0, 37): 1, (0, 1, 4): 0}.items():
+        assert math.isclose(got[a, b, lag], n / ((spikes.BINS - lag) / 1000 * rate), abs_tol=1e-6)
+
+
+def test_jitter_windows(spark):
+    df = spark.createDataFrame([(0, 0, t) for t in (0, 10, 30, 36, 60, 1439)], "neuron_id long, trial_id long, t long")
+    assert {r.t: (r.first, r["last"]) for r in spikes.omega_windows(spikes=df).collect()} == {0: (0, 4), 10: (8, 12), 30: (28, 32), 36: (34, 38), 60: (58, 62), 1439: (1435, 1439)}
+    assert {r.t: r.first for r in spikes.gamma_windows(spikes=df.where("t in (30, 36, 60)")).collect()} == {30: 25, 36: 31, 60: 50}
+
+
+def test_memory_keeps_bursts(spark):
+    rng = np.random.default_rng(3)
+    times = sorted(set(np.cumsum(rng.choice([3, 6, 10, 40, 70], 25)).tolist()))
+    df = spark.createDataFrame([(n, k, int(t)) for n in range(3) for k in range(2) for t in times], "neuron_id long, trial_id long, t long")
+    got = {}
+    for r in spikes.surrogates(df, samples=4, memory=True).collect():
+        got.setdefault((r.sample, r.neuron_id, r.trial_id), []).append(r.t)
+    kept = all_gaps = 0
+    for v in got.values():
+        assert len(set(v)) == len(times) and min(v) >= 0 and max(v) < spikes.BINS
+        gaps = Counter(np.diff(sorted(v)).tolist())
+        for g in (3, 6, 10):
+            want = int((np.diff(times) == g).sum())
+            kept, all_gaps = kept + min(gaps[g], want), all_gaps + want
+    assert kept >= 0.8 * all_gaps  # a time already taken moves a spike now and then
+    crowded = spark.createDataFrame([(0, 0, t) for t in range(60)], "neuron_id long, trial_id long, t long")
+    assert spikes.surrogates(crowded, samples=2, length=5, bins=60).dropDuplicates().count() == 120  # full windows lose no spike
+
+
+def test_betweenness_and_cycles(spark, random_links):
+    edges = graph(spark, random_links)
+    nodes = spark.createDataFrame([(i, 0) for i in range(15)], "node long, area long")
+    length = {(a, b): abs(w) for a, b, w in random_links}
+    inf = math.inf
+    far = {(a, b): 0 if a == b else length.get((a, b), inf) for a in range(15) for b in range(15)}
+    for k in range(15):
+        for a in range(15):
+            for b in range(15):
+                far[a, b] = min(far[a, b], far[a, k] + far[k, b])
+    paths_of = {}
+
+    def number(a, b):
+        if a == b:
+            return 1
+        if (a, b) not in paths_of:
+            paths_of[a, b] = sum(number(a, x) for (x, y), w in length.items() if y == b and far[a, x] + w == far[a, b] < inf)
+        return paths_of[a, b]
+
+    want = {v: sum(number(a, v) * number(v, b) / number(a, b) for a in range(15) for b in range(15) if v not in (a, b) and a != b and far[a, b] < inf and far[a, v] + far[v, b] == far[a, b]) / (14 * 13) for v in range(15)}
+    assert {r.node: r.betweenness for r in centrality.betweenness(edges, nodes).collect()} == pytest.approx(want, abs=1e-8)
+    linked = {(a, b) for a, b, _ in random_links}
+    cycles = {k: sum(p[0] == min(p) and all(e in linked for e in zip(p, (*p[1:], p[0]))) for p in permutations(range(14), k)) for k in (2, 3, 4)}
+    assert {r["size"]: r.cycles for r in centrality.short_cycles(edges=edges).collect()} == {k: n for k, n in cycles.items() if n}
+
+
+def test_shapiro():
+    w, p = stats.shapiro_wilk([148, 154, 158, 160, 161, 162, 166, 170, 182, 195, 236])
+    assert math.isclose(w, 0.78881, abs_tol=2e-4) and math.isclose(p, 0.006704, abs_tol=2e-4)
+    rng = np.random.default_rng(1)
+    ps = [stats.shapiro_wilk(rng.standard_normal(n).tolist())[1] for n in (3, 4, 5, 8, 30, 200) for _ in range(60)]
+    assert 0.02 < np.mean(np.array(ps) < 0.1) < 0.2 and stats.shapiro_wilk(rng.exponential(size=200).tolist())[1] < 1e-6
+    assert math.isnan(stats.shapiro_wilk([1, 1, 1, 1])[0]) and math.isnan(stats.shapiro_wilk([1, 2])[1])
+
+
+def test_regression_p(spark):
+    df = spark.createDataFrame([(12, 0.5), (2, 0.9), (8, 1.0)], "n long, r double")
+    got = [r.p for r in stats.regression_p(df).collect()]
+    assert math.isclose(got[0], 0.0978, abs_tol=2e-4) and got[1] is None and got[2] is None
+
+
+def test_verify_sees_each_change(spark, random_links):
+    edges = graph(spark, random_links)
+    marks = lambda links: {k: v for k, v in nullmodels.verify(edges, graph(spark, links).selectExpr("session", "stimulus", "1 AS rep", "src", "dst", "weight", "0 AS swaps")).first().asDict().items() if k not in ("session", "stimulus", "rep")}
+    assert all(marks(random_links).values())
+    (a, b, w), *rest = random_links
+    assert not marks([*rest, (a, b, w + 1e-3)])["weights"] and not marks(rest)["edges"]
+    flipped = marks([*rest, (a, b, -w)])
+    assert flipped["pairs"] and flipped["degrees"] and not flipped["signed_pairs"]
+    assert not marks([*rest, (90, b, w)])["degrees"]
+
+
+def test_random_graphs_are_uniform(spark):
+    """Over all pairs, in sparse and dense graphs; too many edges are an error."""
+    nodes = spark.createDataFrame([(10 * i, 0) for i in range(6)], "node long, area long")
+    for m in (4, 20, 30):
+        links = [(10 * a, 10 * b, i + 1) for i, (a, b) in enumerate(list(permutations(range(6), 2))[:m])]
+        rows = nullmodels.random_graphs(graph(spark, links), nodes, "random", replicas=300).collect()
+        times = Counter((r.src, r.dst) for r in rows)
+        assert len(rows) == 300 * m and len(times) == 30 and len({(r.rep, r.src, r.dst) for r in rows}) == 300 * m
+        assert all(abs(n - 10 * m) < 5 * math.sqrt(10 * m + 1) for n in times.values()) and Counter(r.weight for r in rows) == {float(i + 1): 300 for i in range(m)}
+    with pytest.raises(ValueError):
+        nullmodels.random_graphs(graph(spark, [(a, b, 1) for a, b in permutations(range(8), 2)]), nodes, "random", replicas=1)
+
+
+def test_module_area_data(spark):
+    """Two modules of one area, one of another and a small one, by hand."""
+    comms = spark.createDataFrame([(0, c, n) for c, ns in enumerate([range(0, 4), range(4, 8), range(8, 12), range(12, 14)]) for n in ns], "run long, comm long, node long")
+    nodes = spark.createDataFrame([(n, 1 if n < 8 else 2) for n in range(14)], "node long, area long")
+    edges = graph(spark, [(0, 1, 1), (1, 0, -1), (0, 4, 1), (4, 0, -1), (5, 1, 2), (0, 12, 1), (9, 0, 1)])
+    scorr = spark.createDataFrame([(0, 1, 0.5), (2, 3, 0.1), (0, 4, 0.2), (0, 8, 0.4)], "i long, j long, r double")
+    got = {(r.part, r.area): tuple(r)[5:] for r in modules.module_area_data(edges=edges, nodes=nodes, comms=comms, scorr=scorr).collect()}
+    assert got["within", 1] == (2, 0.3, pytest.approx(2 / 12 / 2, abs=1e-6), 0.5, 0.5) and got["within", 2] == (1, None, 0.0, None, None)
+    assert got["between", 1] == (1, 0.2, pytest.approx(2 / 16), pytest.approx(2 / 3, abs=1e-6), pytest.approx(1 / 3, abs=1e-6))
+    assert got["any", None] == (3, 0.3, pytest.approx((2 / 16 + 1 / 16) / 3, abs=1e-6), pytest.approx((2 / 3 + 1) / 2, abs=1e-6), pytest.approx(1 / 6, abs=1e-6))
+
+
+def test_variable_simulator(spark):
+    got, drawn = simulate.izhikevich_variable(spark, [(0, 1, 10000.0), (1, 2, 10000.0)], 3, trials=20)
+    rows = got.collect()
+    assert all(2 <= d <= 5 for *_, d in drawn) and rows and max(r.t for r in rows) < 250
+    times = {(r.neuron_id, r.trial_id, r.t) for r in rows}
+    a, b, d = drawn[0]
+    sent = [(k, t) for n, k, t in times if n == a and t + d + 2 < 250]
+    assert sum((b, k, t + d + e) in times for k, t in sent for e in (0, 1, 2)) >= 0.8 * len(sent)
+
+
+def test_network_finds_the_link(spark):
+    """Spikes to edges: the simulated link is the strongest edge found, at its delay."""
+    df = simulate.izhikevich(spark, [(0, 1, 10000.0, 3)], 2, trials=60, current=130.0)
+    best = spikes.network(df, samples=4, level=3.0, max_duration=0).orderBy(F.desc("confidence")).first()
+    assert (best.src, best.dst) == (0, 1) and best.edge_offset in (3, 4) and best.weight > 0
+
+
 @pytest.mark.parametrize("model", ["random", "degree", "pair", "signed_pair"])
 def test_null_models(spark, random_links, model):
     edges = graph(spark, random_links)
