@@ -44,6 +44,56 @@ def largest_component(edges: DataFrame) -> DataFrame:
     return edges.join(kept, [*KEYS, "src"], "left_semi")
 
 
+def strong_components(edges: DataFrame) -> DataFrame:
+    """(session, stimulus, node, component): strongly connected components, each named by its least node.
+
+    Rounds of colouring: every node takes the least node that reaches it; the nodes that reach their colour's node back, within the
+    colour, are its component and leave.  Nodes that cannot be on a cycle leave at the start of a round.
+    """
+    left = _cut(edges.select(*KEYS, "src", "dst").where("src <> dst").dropDuplicates())
+    every = edges.select(*KEYS, F.col("src").alias("node")).union(edges.select(*KEYS, "dst")).dropDuplicates()
+    done = None
+    ends = lambda e, c: e.select(*KEYS, F.col(c).alias("node")).dropDuplicates()
+    while left.limit(1).count():
+        inner = ends(left, "src").join(ends(left, "dst"), [*KEYS, "node"], "left_semi")  # the others are components by themselves
+        on = lambda e, c: e.join(inner.withColumnRenamed("node", c), [*KEYS, c], "left_semi")
+        kept = _cut(on(on(left, "src"), "dst"))
+        if kept.count() < left.count():
+            left = kept
+            continue
+        colour = _cut(inner.withColumn("colour", F.col("node")))
+        while True:  # forward: the least node that reaches each
+            seen = left.join(colour.withColumnRenamed("node", "src"), [*KEYS, "src"]).groupBy(*KEYS, F.col("dst").alias("node")).agg(F.min("colour").alias("near"))
+            new = _cut(colour.join(seen, [*KEYS, "node"], "left").withColumn("less", F.least("colour", F.coalesce("near", "colour"))))
+            same = not new.where("less < colour").limit(1).count()
+            colour = new.select(*KEYS, "node", F.col("less").alias("colour"))
+            if same:
+                break
+        own = lambda end: colour.withColumnRenamed("node", end).withColumnRenamed("colour", f"{end}_colour")
+        inside = _cut(left.join(own("src"), [*KEYS, "src"]).join(own("dst"), [*KEYS, "dst"]).where("src_colour = dst_colour").select(*KEYS, "src", "dst"))
+        back = front = _cut(colour.where("node = colour"))
+        while front.limit(1).count():  # backward: who reaches its colour's node
+            step = inside.join(front.withColumnRenamed("node", "dst"), [*KEYS, "dst"]).select(*KEYS, F.col("src").alias("node"), "colour").dropDuplicates()
+            front = _cut(step.join(back, [*KEYS, "node", "colour"], "left_anti"))
+            back = _cut(back.union(front))
+        done = back if done is None else _cut(done.union(back))
+        out = lambda c: back.select(*KEYS, F.col("node").alias(c))
+        left = _cut(left.join(out("src"), [*KEYS, "src"], "left_anti").join(out("dst"), [*KEYS, "dst"], "left_anti"))
+    if done is None:
+        return every.withColumn("component", F.col("node"))
+    return every.join(done.withColumnRenamed("colour", "component"), [*KEYS, "node"], "left").select(*KEYS, "node", F.coalesce("component", "node").alias("component"))
+
+
+def largest_strong(edges: DataFrame) -> DataFrame:
+    """The edges inside each graph's largest strongly connected component (the one with the least node on ties)."""
+    label = strong_components(edges)
+    best = label.groupBy(*KEYS, "component").count().groupBy(*KEYS).agg(F.max(F.struct("count", (-F.col("component")).alias("c"))).alias("m")).select(*KEYS, (-F.col("m.c")).alias("component"))
+    kept = label.join(best, [*KEYS, "component"]).select(*KEYS, "node")
+    for end in ("src", "dst"):
+        edges = edges.join(kept.withColumnRenamed("node", end), [*KEYS, end], "left_semi")
+    return edges
+
+
 def distances(edges: DataFrame) -> DataFrame:
     """(session, stimulus, src, dst, hops): shortest directed paths between all pairs that have one, breadth first."""
     step = _cut(edges.select(*KEYS, "src", "dst").dropDuplicates())
@@ -69,6 +119,8 @@ def path_metrics(edges: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def flow_hierarchy(edges: DataFrame) -> DataFrame:
-    """By graph: the share of edges on no cycle."""
-    d = distances(edges).select(*KEYS, F.col("src").alias("dst"), F.col("dst").alias("src"), F.lit(1).alias("back"))
-    return edges.join(d, [*KEYS, "src", "dst"], "left").groupBy(*KEYS).agg(F.round(F.avg(F.when(F.col("back").isNull(), 1.0).otherwise(0.0)), 6).alias("hierarchy"))
+    """By graph: the share of edges on no cycle, which are those between strongly connected components."""
+    label = strong_components(edges)
+    ends = lambda c: label.select(*KEYS, F.col("node").alias(c), F.col("component").alias(f"{c}_part"))
+    both = edges.join(ends("src"), [*KEYS, "src"]).join(ends("dst"), [*KEYS, "dst"])
+    return both.groupBy(*KEYS).agg(F.round(F.avg(F.when(F.col("src_part") == F.col("dst_part"), 0.0).otherwise(1.0)), 6).alias("hierarchy"))

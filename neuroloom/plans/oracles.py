@@ -86,6 +86,7 @@ SELECT session, stimulus, v, u, w, smt, round(g, 6) AS intensity, round(g / m, 6
 SELECT wk.session, wk.stimulus, CAST(len(way) AS BIGINT) AS size, count(*) AS cycles FROM wk JOIN edges e ON e.session = wk.session AND e.stimulus = wk.stimulus AND e.src = way[-1] AND e.dst = way[1] GROUP BY ALL""",
     "distances": f"{_HOPS} SELECT * FROM dist",
     "flow_hierarchy": f"{_HOPS} SELECT e.session, e.stimulus, round(avg(if(d.hops IS NULL, 1, 0)), 6) AS hierarchy FROM edges e LEFT JOIN dist d ON (d.session, d.stimulus, d.src, d.dst) = (e.session, e.stimulus, e.dst, e.src) GROUP BY ALL",
+    "strong_components": f"{_HOPS}, nd AS (SELECT session, stimulus, src AS node FROM edges UNION SELECT session, stimulus, dst FROM edges), mt AS (SELECT d.session, d.stimulus, d.src AS node, min(d.dst) AS least FROM dist d JOIN dist e ON (e.session, e.stimulus, e.src, e.dst) = (d.session, d.stimulus, d.dst, d.src) GROUP BY ALL) SELECT nd.*, least(nd.node, coalesce(least, nd.node)) AS component FROM nd LEFT JOIN mt USING (session, stimulus, node)",
     "closeness": f"{_HOPS}, n AS (SELECT count(*) AS n FROM nodes), c AS (SELECT session, stimulus, dst, count(*) * count(*) / (sum(hops) * (any_value(n) - 1)) AS c FROM dist, n GROUP BY ALL) SELECT session, stimulus, round(sum(c) / any_value(n), 6) AS closeness FROM c, n GROUP BY ALL",
     "path_metrics": f"""{_HOPS}, n AS (SELECT count(*) AS n FROM nodes), f AS (SELECT session, stimulus, src, max(hops) AS ecc, count(*) AS reach FROM dist GROUP BY ALL), o AS (SELECT session, stimulus, min(ecc) AS radius, list(reach) AS reached FROM f GROUP BY ALL)
 SELECT d.session, d.stimulus, count(*) AS pairs, max(hops) AS diameter, any_value(radius) AS radius, round(avg(hops), 6) AS mean_path, round(sum(1 / hops) / any_value(n * (n - 1)), 6) AS efficiency, CAST(sum(hops) AS BIGINT) AS wiener,

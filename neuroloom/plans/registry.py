@@ -52,6 +52,9 @@ OTHERS = {
     "largest_wcc": lambda s, d: paths.largest_component(load(s, d, "edges")),
     "distances": lambda s, d: paths.distances(load(s, d, "edges")),
     "path_metrics": lambda s, d: paths.path_metrics(load(s, d, "edges"), load(s, d, "nodes")),
+    "strong_components": lambda s, d: paths.strong_components(load(s, d, "edges")),
+    "largest_scc": lambda s, d: paths.largest_strong(load(s, d, "edges")),
+    "corrected_zscore": lambda s, d: detect.detector("ccg_zscore", max_duration=11)(ccg=spikes.ccg_corrected(load(s, d, "spikes")).withColumnRenamed("ccg", "value")),
     "closeness": lambda s, d: centrality.closeness(load(s, d, "edges"), load(s, d, "nodes")),
     "betweenness": lambda s, d: centrality.betweenness(load(s, d, "edges"), load(s, d, "nodes")),
     "surrogates_memory": lambda s, d: spikes.surrogates(load(s, d, "spikes"), memory=True),

@@ -12,6 +12,7 @@ from neuroloom.functions import stats
 from neuroloom.operators import centrality, detect, modules, motifs, nullmodels, paths, simulate, spikes
 from neuroloom.operators.triad_table import table, vocabulary
 from neuroloom.plans import registry
+from neuroloom.sources import matrices
 from neuroloom.sources.tables import load, read_edges, write_edges
 
 SF = "/root/testdata/sf0.001"
@@ -282,6 +283,49 @@ def test_paths(spark, random_links):
     assert paths.largest_component(two).count() == len(random_links)
 
 
+def test_strong_components(spark):
+    rng = np.random.default_rng(8)
+    links = [(a, b, 1.0) for a in range(40) for b in range(40) if a != b and rng.random() < 0.03] + [(50, 51, 1.0), (51, 50, 1.0), (60, 61, 1.0)]
+    reach = {}
+    for s in {x for a, b, _ in links for x in (a, b)}:
+        seen, front = {s}, [s]
+        while front:
+            front = [b for a in front for x, b, _ in links if x == a and b not in seen and not seen.add(b)]
+        reach[s] = seen
+    want = {v: min(u for u in reach[v] if v in reach[u]) for v in reach}
+    assert {r.node: r.component for r in paths.strong_components(graph(spark, links)).collect()} == want
+    top = max(Counter(want.values()).items(), key=lambda x: (x[1], -x[0]))[0]
+    assert {(r.src, r.dst) for r in paths.largest_strong(graph(spark, links)).collect()} == {(a, b) for a, b, _ in links if want[a] == want[b] == top}
+    assert paths.strong_components(graph(spark, [(0, 1, 1.0)])).count() == 2
+
+
+def test_matrices(spark, tmp_path):
+    """Dense, by coordinates, by compressed rows and columns, and a cube; graphs with their side files."""
+    m = np.array([[0, 2.0, np.nan], [-1, 0, 0], [0, 5, 0]])
+    i, j = np.nonzero(m)
+    csr = {"data": m[i, j], "indices": j, "indptr": np.searchsorted(i, range(4)), "shape": np.array(m.shape)}
+    tj, ti = np.nonzero(m.T)
+    csc = {"data": m[ti, tj], "indices": ti, "indptr": np.searchsorted(tj, range(4)), "shape": np.array(m.shape), "format": np.array(b"csc")}
+    for k, parts in enumerate(({"arr_0": m}, {"row": i, "col": j, "data": m[i, j]}, csr, csc)):
+        buffer = __import__("io").BytesIO()
+        np.savez(buffer, **parts)
+        a, b, v = matrices.entries(buffer.getvalue())
+        assert sorted(zip(a.tolist(), b.tolist(), np.nan_to_num(v, nan=9).tolist())) == [(0, 1, 2.0), (0, 2, 9.0), (1, 0, -1.0), (2, 1, 5.0)], k
+    cube = np.zeros((2, 3, 4))
+    cube[1, 2, 3], cube[0, 1, 0] = 7, 8
+    buffer = __import__("io").BytesIO()
+    np.savez(buffer, arr_0=cube.reshape(2, 12), ndim=np.array(cube.shape))
+    assert sorted(zip(*map(np.ndarray.tolist, matrices.entries(buffer.getvalue())))) == [(1, 0, 8.0), (5, 3, 7.0)]
+    np.savez(tmp_path / "7_gray_screen.npz", arr_0=m)
+    np.savez(tmp_path / "7_gray_screen_confidence.npz", arr_0=np.where(m == 5, np.nan, np.abs(m) + 3))
+    np.savez(tmp_path / "7_gray_screen_offset.npz", arr_0=np.nan_to_num(np.abs(m)))
+    areas = spark.createDataFrame([(7, 30, "a", True), (7, 10, "a", True), (7, 15, "a", False), (7, 20, "b", True)], "session int, node long, area string, is_active boolean")
+    read = matrices.read_matrices(spark, str(tmp_path))
+    got = {(r.session, r.stimulus, r.src, r.dst): (r.weight, r.confidence, r.edge_offset, r.duration) for r in matrices.graphs(read, areas).collect()}
+    assert got == {("7", "gray_screen", 10, 20): (2.0, 5.0, 2, None), ("7", "gray_screen", 20, 10): (-1.0, 4.0, 1, None), ("7", "gray_screen", 30, 20): (5.0, None, 5, None)}
+    assert {(r.src, r.dst, r.weight) for r in matrices.graphs(read, areas, weighted=False, cc=True).collect()} == {(10, 20, 1.0), (20, 10, 1.0)}
+
+
 def test_distribution_functions():
     assert math.isclose(stats.normal_sf(1.959963984540054), 0.025, rel_tol=1e-9)
     assert math.isclose(stats.t_sf(2.2281388519649385, 10), 0.025, rel_tol=1e-9) and math.isclose(stats.t_sf(-1.0, 1), 0.75, rel_tol=1e-9)
@@ -309,6 +353,6 @@ def test_edges_round_trip(spark, tmp_path):
     assert "PartitionFilters: [isnotnull(session" in back._jdf.queryExecution().toString()
 
 
-@pytest.mark.parametrize("name", sorted(set(registry.OTHERS) - {"distances", "weak_components", "flow_hierarchy", "surrogates"}))
+@pytest.mark.parametrize("name", sorted(set(registry.OTHERS) - set(registry.oracle_sql()) - {"surrogates"}))
 def test_other_queries_run(spark, name):
     assert registry.queries()[name](spark, SF).limit(5).count() > 0
