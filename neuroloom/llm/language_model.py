@@ -15,8 +15,8 @@ word's hash with their counts, and its tokens become numbers of those entries.
 its customers in the parent and its tables there are all in one bucket, so seating needs nothing
 of other buckets but the tables and customers of the contexts it has entries of and of the parent.
 The former are summed by buckets of the context's hash: each bucket of words sends its sums there and
-gets the totals back in the same order.  Each sweep of the sampler unseats every dish and reseats its customers by the Chinese
-restaurant's probabilities, all dishes of a bucket side by side.  Predictive probabilities are
+gets the totals back in the same order.  Each sweep of the sampler unseats every dish and reseats its customers one by one by the Chinese
+restaurant's probabilities, all dishes side by side; the tables of other dishes are those of the sweep before.  Predictive probabilities are
 averaged over ``samples`` sweeps after the first ``burn`` and go back to the blocks that asked.
 
 Hot words are summed in their block first, and one word has no more entries than there are words
@@ -186,29 +186,41 @@ def context_totals(state: DataFrame, width: int) -> DataFrame:
     return sent.repartition(width, "part").groupBy("part").applyInPandas(summed, "bucket int, part int, tables binary, customers binary")
 
 
-def seated(customers: np.ndarray, base: np.ndarray, others: np.ndarray, strength: float, discount: float, rng: np.random.Generator) -> np.ndarray:
+def mixed(x: np.ndarray) -> np.ndarray:
+    """A bijection of 64-bit integers that scatters them."""
+    x = (x ^ x >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ x >> np.uint64(27)) * np.uint64(0x94D049BB133111EB)
+    return x ^ x >> np.uint64(31)
+
+
+def uniform(keys: np.ndarray, seed: int, k: int) -> np.ndarray:
+    """The k-th number between 0 and 1 of each key's own stream: the same wherever and beside whatever it is drawn."""
+    salt = np.uint64((0x9E3779B97F4A7C15 * (seed * 0x1000003 + k + 1)) & 0xFFFFFFFFFFFFFFFF)
+    return ((mixed(mixed(keys ^ salt) + salt) >> np.uint64(11)).astype(np.float64) + 0.5) * 2.0**-53
+
+
+def seated(customers: np.ndarray, base: np.ndarray, others: np.ndarray, strength: float, discount: float, keys: np.ndarray, seed: int) -> np.ndarray:
     """Tables after seating each dish's customers one after another: ``others`` tables hold other dishes.
 
-    The first customer opens a table; customer i + 1 opens one with the weight (strength + discount *
-    tables) * base against i - discount * own tables.  From 33 customers on they sit in groups of an
-    eighth of those seated, for whom the weights hardly change: the steps grow as the logarithm of
-    the count.
+    The first customer opens a table; one that finds i seated at t tables opens another with the probability
+    p(i) = new / (new + i - discount * t), new = (strength + discount * all tables) * base.  While no table opens, p falls with i, so
+    the customers who might open one are drawn by a geometric gap at the present rate, and each then does with the
+    ratio of its own rate to that: the very law of asking every customer, in steps that grow with tables, not customers.
     """
     tables = np.minimum(customers, 1).astype(np.int64)
-    order = np.argsort(-customers, kind="stable")
-    counts = customers[order]
-    t, base, others = tables[order], base[order], others[order]
-    i = 1
-    top = int(counts[0]) if len(counts) else 0
-    while i < top:
-        step = max(1, i // 8) if i > 32 else 1
-        live = int(np.searchsorted(-counts, -i))  # those with more than i customers
-        own = t[:live]
-        new = (strength + discount * (others[:live] + own)) * base[:live]
-        p = new / (new + i - discount * own)
-        own += rng.binomial(np.minimum(step, counts[:live] - i), p)
-        i += step
-    tables[order] = t
+    live = np.flatnonzero(customers > 1)
+    seats, k = np.ones(len(live), np.int64), 0
+    while len(live):
+        t = tables[live]
+        new = (strength + discount * (others[live] + t)) * base[live]
+        rate = np.minimum(new / (new + seats - discount * t), 1 - 2.0**-53)
+        gap = np.floor(np.log(uniform(keys[live], seed, k)) / np.log1p(-rate))
+        come = gap < customers[live] - seats
+        live, seats, rate, new, t = live[come], seats[come] + gap[come].astype(np.int64), rate[come], new[come], t[come]
+        tables[live] += uniform(keys[live], seed, k + 1) * rate < new / (new + seats - discount * t)
+        seats += 1
+        more = seats < customers[live]
+        live, seats, k = live[more], seats[more], k + 2
     return tables
 
 
@@ -226,11 +238,11 @@ def sweep(state: DataFrame, contexts: DataFrame, totals: dict, model: dict, keep
             n = len(r["words"]) // 8
             word, place, count = np.repeat(np.arange(n), np.frombuffer(r["per_word"], "<u4")), np.frombuffer(r["place"], "<u4"), np.frombuffer(r["counts"], "<i8")
             tables, roots = np.frombuffer(r["tables"], "<i4").astype(np.int64), np.frombuffer(r["roots"], "<i4").astype(np.int64)
-            rng = np.random.default_rng([seed, int(r["bucket"])])
+            dish = mixed(np.frombuffer(r["words"], "<u8"))
             parent = parent_probability(np.bincount(word, tables, n), roots, totals, model)
-            tables = seated(count, parent[word], tables_of[place] - tables, model["strength"], model["discount"], rng)
+            tables = seated(count, parent[word], tables_of[place] - tables, model["strength"], model["discount"], mixed(dish[word] ^ np.frombuffer(r["places"], "<u8")[place]), 2 * seed)
             own = np.bincount(word, tables, n).astype(np.int64)
-            roots = seated(own, np.full(n, totals["uniform"]), totals["parent_tables"] - roots, model["parent_strength"], model["parent_discount"], rng)
+            roots = seated(own, np.full(n, totals["uniform"]), totals["parent_tables"] - roots, model["parent_strength"], model["parent_discount"], dish, 2 * seed + 1)
             r |= _moved(tables, roots)
         return pd.DataFrame([r])
 
@@ -286,19 +298,8 @@ def answers(asked: DataFrame, state: DataFrame, samples: list[dict], model: dict
     return asked.groupBy("bucket").cogroup(state.groupBy("bucket")).applyInPandas(run, ANSWER)
 
 
-def score(docs: DataFrame, held_out=None, strength: float = 5.0, discount: float = 0.7, parent_strength: float = 5.0, parent_discount: float = 0.6, burn: int = 1, samples: int = 2, seed: int = 11) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for every row.
-
-    Null and empty texts are the end token alone.  A null doc_id counts as its text "" for the split.
-    Repeated rows each count in training and are each scored.  An empty table gives no rows.  When
-    no row is for training, N and V are 0 and each token has the probability 1.
-    """
-    if held_out is None:
-        held_out = F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), F.lit(7)) == 2
-    model = {"strength": strength, "discount": discount, "parent_strength": parent_strength, "parent_discount": parent_discount}
-    width = parts(docs)
-    buckets = 4 * width  # a bucket is a group in a worker's memory
-    table = staged(requests(docs, held_out, buckets), "lm-blocks")
+def fitted(table: DataFrame, width: int, model: dict, burn: int, samples: int, seed: int) -> tuple[DataFrame, list[dict]]:
+    """The state of all buckets after the sampler's sweeps, and the totals of each sample kept; ``table``: ``requests``."""
     asked = table.where("kind = 1").repartition(width, "bucket")
     state = staged(merged(asked, width), "lm-state")
     kept = []
@@ -309,6 +310,24 @@ def score(docs: DataFrame, held_out=None, strength: float = 5.0, discount: float
         after = staged(sweep(state, context_totals(state, width), totals, model, i > burn, i < burn + samples, seed + i), "lm-state")
         discard(state)
         state = after
+    return state, kept
+
+
+def score(docs: DataFrame, held_out=None, strength: float = 5.0, discount: float = 0.7, parent_strength: float = 5.0, parent_discount: float = 0.6, burn: int = 1, samples: int = 2, seed: int = 11) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for every row.
+
+    Null and empty texts are the end token alone.  A null doc_id counts as its text "" for the split.
+    Repeated rows each count in training and are each scored.  An empty table gives no rows.  When
+    no row is for training, N and V are 0 and each token has the probability 1.  Random numbers belong to
+    words and contexts, so the session's number of partitions changes nothing; a word's log10 is kept in 32 bits before it is summed.
+    """
+    if held_out is None:
+        held_out = F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), F.lit(7)) == 2
+    model = {"strength": strength, "discount": discount, "parent_strength": parent_strength, "parent_discount": parent_discount}
+    width = parts(docs)
+    table = staged(requests(docs, held_out, 4 * width), "lm-blocks")  # a bucket is a group in a worker's memory
+    state, kept = fitted(table, width, model, burn, samples, seed)
+    totals = kept[-1]
     asked = table.where("kind = 1").drop("e").repartition(width, "bucket")
     replies = answers(asked, state, kept, model)
     own = table.where("kind = 0").select("block", F.lit(-1).alias("bucket"), F.lit(None).cast("binary").alias("logp"), F.lit(None).cast("binary").alias("count"), F.col("a").alias("ids"), F.col("b").alias("sizes"), F.col("c").alias("entries"), F.col("d").alias("per_word"))

@@ -166,16 +166,42 @@ def test_language_model(spark):
 
 
 def test_language_model_is_a_distribution(spark):
-    """Over all known words and the unknown one, a context's probabilities sum to 1."""
-    df = spark.createDataFrame([(i, t) for i, t in enumerate(["a b a c b", "b a", "c c c a b", "a"])], "doc_id long, text string")
+    """In every context, met or not, the probabilities of all known words, the end and one unknown word sum to 1."""
+    import numpy as np
+    import xxhash
     from pyspark.sql import functions as F
 
-    probe = ["", *[w for w in ("a", "b", "c", "zzz")]]
-    both = df.union(spark.createDataFrame([(100 + i, w) for i, w in enumerate(probe)], "doc_id long, text string"))
-    got = {r.doc_id: 10**r.score for r in language_model.score(both, F.col("doc_id") >= 100).collect()}
-    firsts = got[100]
-    nexts = {w: got[101 + i] for i, w in enumerate(probe[1:])}
-    assert 0 < firsts < 1 and all(0 < p < 1 for p in nexts.values()) and nexts["a"] > nexts["zzz"]
+    corpus = ["a b a c b", "b a", "c c c a b", "a"] + ["a b"] * 40
+    rows = lambda texts: spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    model = {"strength": 5.0, "discount": 0.7, "parent_strength": 5.0, "parent_discount": 0.6}
+    probe = [" ".join(f"{u} {w}" for w in ("a", "b", "c", "unknown")) + f" {u}" for u in ("a", "b", "c", "unknown")] + ["", "a", "b", "c", "unknown"]
+    table = language_model.requests(rows(corpus + probe), F.col("doc_id") >= len(corpus), 8)
+    state, kept = language_model.fitted(table, 2, model, 1, 2, 11)
+    asked = table.where("kind = 1")
+    got = {(r.block, r.bucket): np.frombuffer(r.logp, "<f4") for r in language_model.answers(asked.drop("e"), state, kept, model).collect()}
+    hashed = {xxhash.xxh64_intdigest(w.encode()): w for w in ("", "a", "b", "c", "unknown")}
+    sums: dict = {}
+    for r in asked.collect():
+        w, entry, places, place = language_model.unpacked(r)
+        for e, p, x in zip(entry, place, got[r.block, r.bucket]):
+            sums.setdefault(hashed[int(places[p])], {})[hashed[int(w[e])]] = 10.0 ** float(x)
+    assert set(sums) == {"", "a", "b", "c", "unknown"}
+    for u, by in sums.items():
+        assert len(by) == 5 and math.isclose(sum(by.values()), 1, rel_tol=1e-5), (u, by)
+    assert sums["a"]["b"] > sums["a"]["c"] > sums["a"]["unknown"] > 0
+
+
+def test_language_model_does_not_depend_on_partitions(spark):
+    df = spark.read.parquet(f"{SF}/documents.parquet")
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    got = []
+    try:
+        for n in ("4", "7"):
+            spark.conf.set("spark.sql.shuffle.partitions", n)
+            got.append(sorted((r.doc_id, r.score) for r in language_model.score(df).collect()))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert all(a == c and math.isclose(b, d, rel_tol=1e-6) for (a, b), (c, d) in zip(*got, strict=True))
 
 
 def test_language_model_tells_contexts_apart(spark):
@@ -191,19 +217,23 @@ def test_language_model_tells_contexts_apart(spark):
     assert got[100] > got[101] + 1 and got[103] > got[102] + 1
 
 
-def test_seating_bounds():
+def test_seating_follows_the_restaurant():
+    """Against customers asked one by one, few and many."""
     import numpy as np
 
     rng = np.random.default_rng(1)
+    keys = rng.integers(0, 1 << 63, 20_000).astype(np.uint64)
     c = np.array([0, 1, 2, 5, 40, 100_000])
-    t = language_model.seated(c, np.full(6, 0.01), np.full(6, 50), 5.0, 0.7, rng)
+    t = language_model.seated(c, np.full(6, 0.01), np.full(6, 50), 5.0, 0.7, keys[:6], 3)
     assert t[0] == 0 and t[1] == 1 and (t <= c).all() and (t[1:] >= 1).all()
-    many = language_model.seated(np.full(20_000, 3), np.full(20_000, 0.05), np.full(20_000, 9), 2.0, 0.5, rng)
-    p1 = (2 + 0.5 * 10) * 0.05
-    p1 /= p1 + 1 - 0.5
-    stay, go = (2 + 0.5 * 10) * 0.05, (2 + 0.5 * 11) * 0.05
-    mean = 1 + p1 + (1 - p1) * stay / (stay + 2 - 0.5) + p1 * go / (go + 2 - 1.0)
-    assert abs(many.mean() - mean) < 0.02
+    for customers, base, n in ((3, 0.05, 20_000), (60, 0.2, 4000), (400, 0.01, 2000)):
+        many = language_model.seated(np.full(n, customers), np.full(n, base), np.full(n, 9), 2.0, 0.5, keys[:n], 5)
+        plain = np.ones(n)
+        for i in range(1, customers):
+            new = (2 + 0.5 * (9 + plain)) * base
+            plain += rng.random(n) < new / (new + i - 0.5 * plain)
+        error = math.sqrt((many.var() + plain.var()) / n)
+        assert abs(many.mean() - plain.mean()) < 4.5 * error and 0.8 < many.std() / plain.std() < 1.25
 
 
 def test_vectors_match_sql(spark):
