@@ -6,14 +6,16 @@ half-width ``width`` r catches it with a known probability, and the number of wi
 the pair collides is binomial.  The least count that keeps ``recall`` of such pairs is the
 calibrated count; pairs that reach it are verified by their exact cosine.
 
-Two further, wide windows cut space into cells: a vector lies in one cell and queries the few
-cells its window touches.  A cell with many vectors is dealt out in blocks, each query block
+Further, wide windows cut space into cells, along more directions the more vectors the commonest label has, so that a
+cell of scattered vectors holds about as many at any size: a vector lies in one cell and queries the
+few cells its windows touch.  A cell with many vectors all the same is dealt out in blocks, each query block
 against each data block, so no task holds more than a block of either.  Equal vectors are one
 class with a count.  A task returns sums of links and a spanning forest, never lists of pairs.
 """
 
 from __future__ import annotations
 
+import itertools
 import math
 
 import numpy as np
@@ -53,7 +55,7 @@ def collisions(queries: np.ndarray, data: np.ndarray, half: float) -> np.ndarray
     return counts
 
 
-def near_vectors(vectors: DataFrame, cosine: float = 0.98, projections: int = 32, width: float = 1.0, lead_width: float = 4.0, recall: float = 0.9999, block: int = 4096, seed: int = 7) -> DataFrame:
+def near_vectors(vectors: DataFrame, cosine: float = 0.98, projections: int = 32, width: float = 1.0, lead_width: float = 4.0, recall: float = 0.9999, block: int = 4096, cell_rows: int = 1024, seed: int = 7) -> DataFrame:
     """vec_id, n_links, component_id, kept for every row of (vec_id, embedding, label).
 
     Vectors are compared when labels and lengths are equal.  A null label or vector, an empty or
@@ -71,26 +73,31 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.98, projections: int = 32
     own = own.withColumn("key", F.when(F.col("label").isNotNull() & F.coalesce(finite, F.lit(False)), F.xxhash64("label", "v")))
     classes = own.where("key IS NOT NULL").groupBy("key").agg(F.first("label").alias("label"), F.first("v").alias("v"), F.count("*").alias("n"), F.min("vec_id").alias("least"))
 
+    most = classes.groupBy("label").count().agg(F.max("count")).first()[0] or 0
+    leads = max(2, math.ceil(math.log(max(most, 1) / cell_rows) / math.log(2.5)))  # a direction's cells part scattered vectors by about 2.5
+
     def directions(size: int) -> np.ndarray:
-        return np.random.default_rng([seed, size]).standard_normal((size, projections + 2))
+        return np.random.default_rng([seed, size]).standard_normal((size, projections + leads))
 
-    @F.pandas_udf("array<int>")
+    @F.pandas_udf("array<long>")
     def cells(vs: pd.Series) -> pd.Series:
-        """Own cell, and how far the window reaches in each lead direction: home1, low1, high1, home2, low2, high2."""
+        """The number of its own cell, then those of all cells its windows touch."""
+        reach = lead_width * radius
+        weights = np.random.default_rng([seed, 1]).integers(0, 1 << 63, leads).astype(np.uint64) * np.uint64(2) + np.uint64(1)
+        number = lambda at: int(((at.astype(np.int64).view(np.uint64) * weights).sum(dtype=np.uint64)).view(np.int64))
         out = []
         for x in vs:
             x = np.asarray(x, np.float64)
-            p = (x / np.abs(x).max() @ directions(len(x))[:, :2]) / np.linalg.norm(x / np.abs(x).max())
-            reach = lead_width * radius
-            out.append([int(math.floor(y / (2 * reach))) for q in p for y in (q, q - reach, q + reach)])
+            p = (x / np.abs(x).max() @ directions(len(x))[:, :leads]) / np.linalg.norm(x / np.abs(x).max())
+            home, low, high = (np.floor(y / (2 * reach)) for y in (p, p - reach, p + reach))
+            touched = itertools.product(*[range(int(a), int(b) + 1) for a, b in zip(low, high)])
+            out.append([number(home), *sorted({number(np.array(t)) for t in touched})])
         return pd.Series(out)
 
     placed = staged(classes.withColumn("dim", F.size("v")).withColumn("c", cells("v")), "vectors")
-    at = lambda i: F.col("c")[i]
-    homes = placed.select("label", "dim", at(0).alias("x"), at(3).alias("y"), "key", "v", "n")
-    asked = placed.select("label", "dim", F.explode(F.sequence(at(1), at(2))).alias("x"), at(4).alias("low"), at(5).alias("high"), "key", "v", "n")
-    asked = asked.select("label", "dim", "x", F.explode(F.sequence("low", "high")).alias("y"), "key", "v", "n")
-    cell = ["label", "dim", "x", "y"]
+    homes = placed.select("label", "dim", F.col("c")[0].alias("cell"), "key", "v", "n")
+    asked = placed.select("label", "dim", F.explode(F.slice("c", 2, F.size("c"))).alias("cell"), "key", "v", "n")
+    cell = ["label", "dim", "cell"]
     blocks = lambda c: F.ceil(F.col(c) / F.lit(block)).cast("int")
     sizes = homes.groupBy(*cell).count().select(*cell, blocks("count").alias("d")).join(asked.groupBy(*cell).count().select(*cell, blocks("count").alias("q")), cell)
     mine = lambda c: F.pmod("key", F.col(c)).cast("int")
@@ -105,7 +112,7 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.98, projections: int = 32
         unit = lambda r: (m := np.stack(r["v"].to_list())) / np.abs(m).max(1, keepdims=True)
         uq, ux = unit(q), unit(x)
         uq, ux = uq / np.linalg.norm(uq, axis=1, keepdims=True), ux / np.linalg.norm(ux, axis=1, keepdims=True)
-        lines = directions(uq.shape[1])[:, 2:]
+        lines = directions(uq.shape[1])[:, leads:]
         pq, px, kq, kx, nx = uq @ lines, ux @ lines, q["key"].to_numpy(), x["key"].to_numpy(), x["n"].to_numpy()
         out, a, b = [], np.zeros(0, np.int64), np.zeros(0, np.int64)
         for s in range(0, len(q), 512):

@@ -260,5 +260,6 @@ def test_vector_blocks(spark):
     df = spark.createDataFrame([(i, v.tolist(), i % 2) for i, v in enumerate(x)], "vec_id long, embedding array<double>, label int")
     u = x / np.linalg.norm(x, axis=1, keepdims=True)
     links = (u @ u.T >= 0.98) & (np.arange(300)[:, None] % 2 == np.arange(300) % 2)
-    got = vector_dedup.near_vectors(df, block=16).collect()
-    assert {r.vec_id: r.n_links for r in got} == {i: int(links[i].sum()) - 1 for i in range(300)}
+    for sizes in ({"block": 16}, {"cell_rows": 4}, {"block": 7, "cell_rows": 1}):  # two, four and six directions of cells
+        got = vector_dedup.near_vectors(df, **sizes).collect()
+        assert {r.vec_id: r.n_links for r in got} == {i: int(links[i].sum()) - 1 for i in range(300)}
