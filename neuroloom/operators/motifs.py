@@ -14,10 +14,9 @@ from .triad_table import table_sql, vocabulary, vocabulary_sql
 _TRIADS = """u AS (SELECT DISTINCT session, stimulus, a, b FROM (SELECT session, stimulus, src AS a, dst AS b FROM {edges} UNION ALL SELECT session, stimulus, dst, src FROM {edges}) x WHERE a <> b),
 h AS (SELECT x.session, x.stimulus, x.a AS m, x.b AS p, y.b AS q FROM u x JOIN u y ON x.session = y.session AND x.stimulus = y.stimulus AND x.a = y.a AND x.b < y.b),
 t AS (SELECT DISTINCT session, stimulus, least(m, p) AS v, CASE WHEN m < p THEN p WHEN m < q THEN m ELSE q END AS u, greatest(m, q) AS w FROM h),
-arc AS (SELECT t.session, t.stimulus, t.v, t.u, t.w, weight, CASE WHEN src = v AND dst = u THEN 1 WHEN src = u AND dst = v THEN 2 WHEN src = v AND dst = w THEN 3 WHEN src = w AND dst = v THEN 4 WHEN src = u AND dst = w THEN 5 ELSE 6 END AS slot
-  FROM t JOIN {edges} e ON e.session = t.session AND e.stimulus = t.stimulus AND e.src = t.v AND e.dst IN (t.u, t.w)
-  UNION ALL SELECT t.session, t.stimulus, t.v, t.u, t.w, weight, CASE WHEN dst = v THEN 2 ELSE 5 END FROM t JOIN {edges} e ON e.session = t.session AND e.stimulus = t.stimulus AND e.src = t.u AND e.dst IN (t.v, t.w)
-  UNION ALL SELECT t.session, t.stimulus, t.v, t.u, t.w, weight, CASE WHEN dst = v THEN 4 ELSE 6 END FROM t JOIN {edges} e ON e.session = t.session AND e.stimulus = t.stimulus AND e.src = t.w AND e.dst IN (t.v, t.u)),
+pair AS (SELECT session, stimulus, v, u, w, pos, CASE pos WHEN 3 THEN u ELSE v END AS p, CASE pos WHEN 1 THEN u ELSE w END AS q FROM t CROSS JOIN (VALUES (1), (2), (3)) AS x(pos)),
+line AS (SELECT session, stimulus, src, least(src, dst) AS p, greatest(src, dst) AS q, weight FROM {edges}),
+arc AS (SELECT pair.session, pair.stimulus, v, u, w, weight, 2 * pos - CASE WHEN src = pair.p THEN 1 ELSE 0 END AS slot FROM pair JOIN line ON line.session = pair.session AND line.stimulus = pair.stimulus AND line.p = pair.p AND line.q = pair.q),
 c AS (SELECT session, stimulus, v, u, w, CAST(sum(CASE slot WHEN 1 THEN 1 WHEN 2 THEN 2 WHEN 3 THEN 4 WHEN 4 THEN 8 WHEN 5 THEN 16 ELSE 32 END) AS INT) AS code,
   max(CASE WHEN slot = 1 THEN sg END) AS g1, max(CASE WHEN slot = 2 THEN sg END) AS g2, max(CASE WHEN slot = 3 THEN sg END) AS g3, max(CASE WHEN slot = 4 THEN sg END) AS g4, max(CASE WHEN slot = 5 THEN sg END) AS g5, max(CASE WHEN slot = 6 THEN sg END) AS g6,
   exp(avg(ln(abs(weight)))) AS intensity, avg(abs(weight)) AS mean FROM (SELECT *, CASE WHEN weight > 0 THEN '+' ELSE '-' END AS sg FROM arc) z GROUP BY session, stimulus, v, u, w)"""
