@@ -106,9 +106,9 @@ SELECT x.combined AS first, y.combined AS second, count(*) AS types, round(corr(
     operator("null_region_fraction", f"""WITH {_REGION}, {_NULL_Z}, {COMBINED},
 f AS (SELECT region.session, region.stimulus, region.smt, avg(CASE WHEN x.area = 0 AND y.area = 0 AND z.area = 0 THEN 1.0 ELSE 0.0 END) AS same, avg(CASE WHEN x.area = 0 OR y.area = 0 OR z.area = 0 THEN 1.0 ELSE 0.0 END) AS touch
   FROM region JOIN {{nodes}} x ON v = x.node JOIN {{nodes}} y ON u = y.node JOIN {{nodes}} z ON w = z.node GROUP BY region.session, region.stimulus, region.smt HAVING count(*) >= 5),
-t AS (SELECT combined, f.smt, same, touch FROM f JOIN zs ON zs.session = f.session AND zs.stimulus = f.stimulus AND zs.smt = f.smt AND zs.z > 1.96 JOIN comb ON comb.stimulus = f.stimulus)
+picked AS (SELECT combined, f.smt, same, touch FROM f JOIN zs ON zs.session = f.session AND zs.stimulus = f.stimulus AND zs.smt = f.smt AND zs.z > 1.96 JOIN comb ON comb.stimulus = f.stimulus)
 SELECT c.combined, c.smt, count(same) AS graphs, round(coalesce(avg(same), 0), 6) AS same_mean, round(stddev_samp(same), 6) AS same_std, round(coalesce(avg(touch), 0), 6) AS touch_mean, round(stddev_samp(touch), 6) AS touch_std
-FROM (SELECT DISTINCT combined, smt FROM comb CROSS JOIN {vocabulary_sql()} v) c LEFT JOIN t ON t.combined = c.combined AND t.smt = c.smt GROUP BY c.combined, c.smt"""),
+FROM (SELECT DISTINCT combined, smt FROM comb CROSS JOIN {vocabulary_sql()} v) c LEFT JOIN picked t ON t.combined = c.combined AND t.smt = c.smt GROUP BY c.combined, c.smt"""),
     # Signal correlation of pairs in triples of the given types, of other types whose mean Z is above 2.576, and of all other pairs.
     operator("null_signal_corr_motif", f"""WITH {_MOTIFS}, {_NULL_Z},
 given AS (SELECT * FROM (VALUES {", ".join(f"('{k}')" for k in GIVEN)}) AS t(smt)),
@@ -117,8 +117,8 @@ side AS (SELECT m.session, m.stimulus, m.smt, v AS a, u AS b FROM m UNION ALL SE
 within AS (SELECT side.session, side.stimulus, 'given' AS part, a, b FROM side JOIN given ON given.smt = side.smt UNION ALL SELECT side.session, side.stimulus, 'other', a, b FROM side JOIN high ON high.smt = side.smt AND high.stimulus = side.stimulus),
 gr AS (SELECT DISTINCT session, stimulus FROM {{edges}}),
 rest AS (SELECT gr.session, gr.stimulus, 'rest' AS part, s.i AS a, s.j AS b FROM gr CROSS JOIN {{scorr}} s LEFT JOIN (SELECT DISTINCT session, stimulus, a, b FROM within) x ON x.session = gr.session AND x.stimulus = gr.stimulus AND x.a = s.i AND x.b = s.j WHERE x.a IS NULL),
-both AS (SELECT * FROM within UNION ALL SELECT * FROM rest)
-SELECT both.session, both.stimulus, part, count(*) AS pairs, round(avg(r), 6) AS mean_r FROM both JOIN {{scorr}} s ON s.i = a AND s.j = b WHERE r IS NOT NULL GROUP BY both.session, both.stimulus, part"""),
+every AS (SELECT * FROM within UNION ALL SELECT * FROM rest)
+SELECT every.session, every.stimulus, part, count(*) AS pairs, round(avg(x.r), 6) AS mean_r FROM every JOIN {{scorr}} x ON x.i = every.a AND x.j = every.b WHERE x.r IS NOT NULL GROUP BY every.session, every.stimulus, part"""),
 )}
 
 

@@ -258,6 +258,17 @@ def test_null_z_against_replicas(spark, random_links):
         assert math.isclose(r.deviation, sd, abs_tol=1e-4) and math.isclose(r.z, (own[smt] - np.mean(x)) / sd, abs_tol=1e-3, rel_tol=1e-3)
 
 
+def test_null_classes_and_fractions(spark):
+    """R2 and G10 on a graph of one feed-forward loop and a chain, against replicas of its own."""
+    links = [(0, 1, 2), (1, 2, 4), (0, 2, 8), (4, 5, 1), (5, 6, 1)]
+    edges = graph(spark, links).withColumn("stimulus", F.lit("3-MEDIUM"))
+    nodes, scorr = spark.createDataFrame([(i, 0) for i in range(8)], "node long, area long"), spark.createDataFrame([(i, j, 0.1 * (i + j)) for i, j in combinations(range(8), 2)], "i long, j long, r double")
+    got = {r.part: (r.pairs, r.mean_r) for r in motifs.null_z("null_signal_corr_motif", edges, nodes, replicas=3, scorr=scorr).collect()}
+    assert got["given"] == (3, pytest.approx(0.2)) and got["given"][0] + got["rest"][0] + got.get("other", (0,))[0] == 28
+    rows = motifs.null_z("null_region_fraction", edges, nodes, replicas=3).collect()
+    assert len(rows) == 3 * 132 and all(r.graphs == 0 and r.same_mean == 0 for r in rows)  # no type has five triples
+
+
 def test_registered_sizes(spark):
     """Registered queries run at their operators' own sizes."""
     made = registry.queries()
