@@ -46,10 +46,10 @@ def staged(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def discard(table: DataFrame) -> None:
-    """Delete the files of a staged table that nothing reads any more."""
+def discard(table: DataFrame, part: str = "") -> None:
+    """Delete the files of a staged table that nothing reads any more, or those of one partition ("kind=1")."""
     jvm = table.sparkSession.sparkContext._jvm
-    for f in table.inputFiles()[:1]:
+    for f in [f for f in table.inputFiles() if not part or f"/{part}/" in f][:1]:
         folder = jvm.org.apache.hadoop.fs.Path(f).getParent()
         folder.getFileSystem(table.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
 

@@ -1,6 +1,6 @@
 """A hierarchical Pitman-Yor language model, sampled across a cluster.
 
-Restaurants: one for each context, where a context is the word before (its 64-bit hash; at the start
+Restaurants: one for each context, where a context is the word before (48 bits of its hash; at the start
 of a text that of the end token); all share one parent, the restaurant of words without
 context, whose base is uniform over the known words and one unknown.  The probability of word w
 in context u is
@@ -10,14 +10,22 @@ in context u is
 with customers c, tables t, and the parent's P(w) of the same form over its customers, which are
 the tables of its children.
 
-Texts are read once, in blocks: a block's distinct (word, context) entries go to a bucket of the
+Texts are read once, in blocks, equal texts of a block once: a block's distinct (word, context) entries go to a bucket of the
 word's hash with their counts, and its tokens become numbers of those entries.  A word's entries,
-its customers in the parent and its tables there are all in one bucket, so seating needs nothing
-of other buckets but the tables and customers of the contexts it has entries of and of the parent.
-The former are summed by buckets of the context's hash: each bucket of words sends its sums there and
-gets the totals back in the same order.  Each sweep of the sampler unseats every dish and reseats its customers one by one by the Chinese
-restaurant's probabilities, all dishes side by side; the tables of other dishes are those of the sweep before.  Predictive probabilities are
-averaged over ``samples`` sweeps after the first ``burn`` and go back to the blocks that asked.
+its customers in the parent and its tables there are all in one bucket.
+
+A dish with one customer has one table whatever is drawn, and most dishes have one: they are counted by
+word and context, and only dishes of two customers or more are kept and seated.  A context's tables are
+
+    t_u = entries of u, summed over the blocks + (tables - blocks that have it), summed over its dishes of two or more
+
+A block sends the first sum, and c_u, with the word u itself; the second is summed over the buckets in each sweep,
+at the bucket of u's hash, and the totals go back in the order asked.  Each sweep of the sampler unseats every dish and reseats its
+customers one by one by the Chinese restaurant's probabilities, all dishes side by side; the tables of other dishes are
+those of the sweep before.
+
+At the end each block gets back what probabilities consist of: for an entry its customers and tables, for a word its customers and tables
+in the parent and, as a context, its totals.  Predictive probabilities are averaged over ``samples`` sweeps after the first ``burn``.
 
 Hot words are summed in their block first, and one word has no more entries than there are words
 met before it, so no bucket depends on a word's frequency; a hot context has one sum a bucket.
@@ -25,6 +33,7 @@ met before it, so no bucket depends on a word's frequency; a hot context has one
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,7 +43,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import UPPER, discard, parts, read, split_words, staged
+from .common import UPPER, discard, parts, read, shared_dir, split_words
 
 END = b""  # the token after the last word; no word is empty
 
@@ -45,31 +54,54 @@ class Numbers(dict):
         return n
 
 
-REQUESTS = "kind int, block long, bucket int, a binary, b binary, c binary, d binary, e binary"
+def context(hashes: np.ndarray) -> np.ndarray:
+    """What stands for a word as a context: 48 bits of its hash."""
+    return hashes >> np.uint64(16)
 
 
-def by_bucket(hashes: np.ndarray, buckets: int) -> np.ndarray:
-    """The order of hashes by bucket, then hash."""
-    return np.lexsort((hashes, hashes % np.uint64(buckets)))
+def packed(contexts: np.ndarray) -> bytes:
+    """Contexts in six bytes each."""
+    return np.ascontiguousarray(contexts.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]).tobytes()
 
 
-def cuts(hashes: np.ndarray, buckets: int) -> np.ndarray:
-    """Where each bucket starts among hashes in the order of ``by_bucket``."""
-    return np.searchsorted((hashes % np.uint64(buckets)).astype(np.int64), np.arange(buckets + 1))
+def contexts_of(data: bytes) -> np.ndarray:
+    out = np.zeros((len(data) // 6, 8), np.uint8)
+    out[:, :6] = np.frombuffer(data, np.uint8).reshape(-1, 6)
+    return out.view("<u8").ravel()
+
+
+def cuts(contexts: np.ndarray, buckets: int) -> np.ndarray:
+    """Where each bucket starts among contexts in order of bucket."""
+    return np.searchsorted((contexts % np.uint64(buckets)).astype(np.int64), np.arange(buckets + 1))
+
+
+def places_in(words: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """The place of each wanted one among sorted words, or their number where it is none of them."""
+    if not len(words):
+        return np.zeros(len(wanted), np.int64)
+    at = np.minimum(np.searchsorted(words, wanted), len(words) - 1)
+    return np.where(words[at] == wanted, at, len(words))
+
+
+REQUESTS = "kind int, block long, bucket int, a binary, b binary, c binary, d binary, e binary"
 
 
 def block_rows(block: int, docs: list, held: list[bool], texts: list[str], buckets: int) -> list[tuple]:
-    """Kind 1, one for each bucket: word hashes, entries of each word, the contexts' hashes, each entry's context among them, training counts.
-    Kind 0: doc_ids with a null mark and held_out, tokens of each text, the tokens' entry numbers, entries of each word of all buckets."""
+    """Kind 1, one for each bucket: word hashes, entries of each word, the entries' contexts, their training counts, and of
+    each word as a context its customers and its distinct training entries in this block.
+    Kind 0: doc_ids with a null mark and held_out, tokens of each distinct text, the tokens' entry numbers, entries of each word of all buckets,
+    the end token's number and each document's text."""
     import xxhash
 
-    number = Numbers()
-    tokens = [[number[w] for w in split_words(t.encode().translate(UPPER))] + [number[END]] for t in texts]
+    number, distinct = Numbers(), Numbers()
+    which = np.fromiter((distinct[t] for t in texts), np.int64, len(texts))
+    copies = np.bincount(which, ~np.array(held, bool), len(distinct)).astype(np.int64)
+    tokens = [[number[w] for w in split_words(t.encode().translate(UPPER))] + [number[END]] for t in distinct]
     sizes = np.fromiter(map(len, tokens), np.int64, len(tokens))
     word = np.fromiter((x for t in tokens for x in t), np.int64, int(sizes.sum()))
     del tokens
     hashes = np.fromiter(map(xxhash.xxh64_intdigest, number), np.uint64, len(number))
-    order = by_bucket(hashes, buckets)
+    order = np.lexsort((hashes, context(hashes) % np.uint64(buckets)))
     rank = np.empty(len(order), np.int64)
     rank[order] = np.arange(len(order))
     hashes, word, end, n = hashes[order], rank[word], rank[number[END]], len(order)
@@ -77,20 +109,20 @@ def block_rows(block: int, docs: list, held: list[bool], texts: list[str], bucke
     code[0] += end
     code[1:] += word[:-1]  # a text's first word comes after the end of the text before
     code, entry = np.unique(code, return_inverse=True)
-    train = np.repeat(~np.array(held, bool), sizes)
-    count = np.bincount(entry[train], minlength=len(code))
+    count = np.bincount(entry, np.repeat(copies, sizes), len(code)).astype(np.int64)
     entry_word, before = code // n, code % n
-    at = cuts(hashes, buckets)
+    customers, entries = np.bincount(before, count, n), np.bincount(before[count > 0], minlength=n)
+    contexts = context(hashes)
+    at = cuts(contexts, buckets)
     per_word = np.bincount(entry_word, minlength=n).astype("<u4")
     edge = np.searchsorted(entry_word, at)
     out = []
     for k in range(buckets):
         w, e = slice(at[k], at[k + 1]), slice(edge[k], edge[k + 1])
         if at[k] < at[k + 1]:
-            places, place = np.unique(before[e], return_inverse=True)
-            out.append((1, block, k, hashes[w].tobytes(), per_word[w].tobytes(), hashes[places].tobytes(), place.astype("<u4").tobytes(), count[e].astype("<u4").tobytes()))
+            out.append((1, block, k, hashes[w].tobytes(), per_word[w].tobytes(), packed(contexts[before[e]]), count[e].astype("<u4").tobytes(), np.array([customers[w], entries[w]], "<u4").tobytes()))
     ids = np.array([[d or 0, d is None, h] for d, h in zip(docs, held)], "<i8")
-    out.append((0, block, -1, ids.tobytes(), sizes.astype("<i8").tobytes(), entry.astype("<u4").tobytes(), per_word.tobytes(), None))
+    out.append((0, block, -1, ids.tobytes(), sizes.astype("<i8").tobytes(), entry.astype("<u4").tobytes(), per_word.tobytes(), np.append(end, which).astype("<u4").tobytes()))
     return out
 
 
@@ -122,68 +154,116 @@ def requests(docs: DataFrame, held_out, buckets: int, tokens: int = 3_000_000) -
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), held_out.alias("held")).mapInArrow(run, REQUESTS)
 
 
-def unpacked(row) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Word hashes, each entry's word (number in the row), the contexts' hashes and each entry's context (number in the row)."""
-    words = np.frombuffer(row["a"], "<u8")
-    return words, np.repeat(np.arange(len(words)), np.frombuffer(row["b"], "<u4")), np.frombuffer(row["c"], "<u8"), np.frombuffer(row["d"], "<u4").astype(np.int64)
+def kept(df: DataFrame, tag: str, by: str | None = None) -> DataFrame:
+    """``df`` written to the shared folder and read back; its shuffle files go as soon as it is written."""
+    spark, name = df.sparkSession, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    path, before = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}", spark.conf.get(name, None)
+    out = df.write.option("compression", "zstd")
+    spark.conf.set(name, "true")
+    try:
+        (out.partitionBy(by) if by else out).parquet(path)
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+    return spark.read.schema(df.schema).parquet(path)
+
 
+STATE = (
+    "bucket int, words binary, occurs binary, singles binary, customers binary, entries binary, per_word binary, places binary, place binary, counts binary, blocks binary, "
+    "tables binary, roots binary, kept_tables array<binary>, kept_roots array<binary>, kept_totals array<binary>, parent_tables long, parent_customers long, n_words long, tokens long"
+)
+ASKED = "block long, word binary, codes binary, dishes binary"
+NAMES = [f.split()[0] for f in STATE.split(", ")]
 
-STATE = "bucket int, words binary, per_word binary, places binary, place binary, counts binary, tables binary, roots binary, kept_tables array<binary>, kept_roots array<binary>, kept_totals array<binary>, customers_of binary, parent_tables long, parent_customers long, n_words long, tokens long"
 
+def _moved(tables, roots, singles) -> dict:
+    return {"tables": tables.astype("<i4").tobytes(), "roots": roots.astype("<i4").tobytes(), "parent_tables": int(roots.sum()), "parent_customers": int(tables.sum() + singles.sum())}
 
-def _moved(tables, roots) -> dict:
-    return {"tables": tables.astype("<i4").tobytes(), "roots": roots.astype("<i4").tobytes(), "parent_tables": int(roots.sum()), "parent_customers": int(tables.sum())}
 
+def _steps(x: np.ndarray) -> bytes:
+    """A rising row of numbers as its steps, which take less room."""
+    return np.diff(x, prepend=0).astype("<u4").tobytes()
 
-def merged(asked: DataFrame, width: int) -> DataFrame:
-    """One row a bucket: all contexts asked for (``places``), the training counts of its entries over all blocks, every dish at one table."""
+
+def merged(asked: DataFrame, buckets: int) -> DataFrame:
+    """One row a bucket with block -1: its words, the number of their dishes with one customer, their dishes of two or more (``place``
+    among the contexts ``places``), every dish at one table.
+    And one for each block that asked: its words, whether an entry has no, one or more customers, and the dishes of the last kind."""
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        got = [(*unpacked(r), np.frombuffer(r["e"], "<u4").astype(np.int64)) for _, r in rows.iterrows()]
-        words = np.unique(np.concatenate([w[np.unique(e[c > 0])] for w, e, _, _, c in got]))
-        places = np.unique(np.concatenate([p for _, _, p, _, _ in got]))
-        order = by_bucket(places, width)
+        got = []
+        for r in rows.itertuples():
+            w, per = np.frombuffer(r.a, "<u8"), np.frombuffer(r.b, "<u4")
+            entry = np.repeat(np.arange(len(w)), per)
+            count = np.frombuffer(r.d, "<u4").astype(np.int64)
+            got.append((w, entry, contexts_of(r.c), count, np.frombuffer(r.e, "<u4").reshape(2, -1)))
+        words = np.unique(np.concatenate([w[entry[count > 0]] for w, entry, _, count, _ in got]))
+        n = len(words)
+        at = [places_in(words, w) for w, *_ in got]
+        word = np.concatenate([a[g[1]] for a, g in zip(at, got)])
+        count = np.concatenate([g[3] for g in got])
+        places, place = np.unique(np.concatenate([g[2] for g in got]), return_inverse=True)
+        order = np.lexsort((places, places % np.uint64(buckets)))  # the order of entries in blocks
         rank = np.empty(len(order), np.int64)
         rank[order] = np.arange(len(order))
-        code = np.concatenate([np.searchsorted(words, w[e[c > 0]]) * len(places) + rank[np.searchsorted(places, p)][u[c > 0]] for w, e, p, u, c in got])
-        code, inverse = np.unique(code, return_inverse=True)
-        count = np.bincount(inverse, np.concatenate([c[c > 0] for *_, c in got]), len(code)).astype(np.int64)
-        tables, roots = np.ones(len(code), np.int64), np.ones(len(words), np.int64)
-        return pd.DataFrame([{
-            "bucket": rows["bucket"].iloc[0], "words": words.tobytes(), "per_word": np.bincount(code // len(places), minlength=len(words)).astype("<u4").tobytes(),
-            "places": places[order].tobytes(), "place": (code % len(places)).astype("<u4").tobytes(), "counts": count.astype("<i8").tobytes(),
-            **_moved(tables, roots), "kept_tables": [], "kept_roots": [], "kept_totals": [], "customers_of": b"", "n_words": len(words), "tokens": int(count.sum()),
-        }])[[f.split()[0] for f in STATE.split(", ")]]
-
-    return asked.groupBy("bucket").applyInPandas(run, STATE)
-
-
-SHARES = "bucket int, part int, places binary, tables binary, customers binary"
-
-
-def context_totals(state: DataFrame, width: int) -> DataFrame:
-    """For every bucket, in parts by the context's hash: tables and customers of its places over all buckets, in the order of its places."""
+        places = places[order]
+        code, inverse = np.unique(word * len(places) + rank[place], return_inverse=True)
+        total = np.bincount(inverse, count, len(code)).astype(np.int64)
+        blocks = np.bincount(inverse[count > 0], minlength=len(code))
+        dish_word, dish_place = code // len(places), code % len(places)
+        dish = total > 1
+        sums = np.zeros((2, n + 1), np.int64)
+        for a, g in zip(at, got):
+            sums[:, a] += g[4]  # a block's words differ, but for those unknown, which are never contexts of training texts
+        singles = np.bincount(dish_word[total == 1], minlength=n)
+        used, own = np.unique(dish_place[dish], return_inverse=True)
+        tables, roots = np.ones(int(dish.sum()), np.int64), np.ones(n, np.int64)
+        none = {"block": -1, "word": b"", "codes": b"", "dishes": b""}
+        out = [{
+            "bucket": rows["bucket"].iloc[0], "words": words.tobytes(), "occurs": np.bincount(dish_word, total, n)[:n].astype("<i8").tobytes(), "singles": singles.astype("<i8").tobytes(),
+            "customers": sums[0, :n].astype("<i8").tobytes(), "entries": sums[1, :n].astype("<i8").tobytes(), "per_word": np.bincount(dish_word[dish], minlength=n).astype("<u4").tobytes(),
+            "places": packed(places[used]), "place": own.astype("<u4").tobytes(), "counts": total[dish].astype("<i8").tobytes(), "blocks": blocks[dish].astype("<i8").tobytes(),
+            **_moved(tables, roots, singles), "kept_tables": [], "kept_roots": [], "kept_totals": [], "n_words": n, "tokens": int(total.sum()), **none,
+        }]
+        codes, number, edge = np.minimum(total, 2).astype(np.uint8), np.cumsum(dish) - 1, 0
+        for block, a, g in zip(rows["block"], at, got):
+            mine = inverse[edge : edge + len(g[1])]
+            edge += len(g[1])
+            out.append(dict.fromkeys(NAMES, b"") | {
+                "bucket": rows["bucket"].iloc[0], "kept_tables": [], "kept_roots": [], "kept_totals": [], "parent_tables": 0, "parent_customers": 0, "n_words": 0, "tokens": 0,
+                "block": block, "word": a.astype("<u4").tobytes(), "codes": codes[mine].tobytes(), "dishes": _steps(number[mine[dish[mine]]]),
+            })
+        return pd.DataFrame(out)[[f.split()[0] for f in f"{STATE}, {ASKED}".split(", ")]]
+
+    return asked.groupBy("bucket").applyInPandas(run, f"{STATE}, {ASKED}")
+
+
+SHARES = "bucket int, part int, own boolean, places binary, sums binary"
+
+
+def context_totals(state: DataFrame, buckets: int, width: int) -> DataFrame:
+    """For every bucket, in parts by the context: the tables of its places, in their order, over all buckets; and (``own``) those of its words as contexts."""
 
     def shares(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
-            for _, r in rows.iterrows():
-                places, place = np.frombuffer(r["places"], "<u8"), np.frombuffer(r["place"], "<u4")
-                sums = [np.bincount(place, np.frombuffer(r[k], t), len(places)).astype("<i8") for k, t in (("tables", "<i4"), ("counts", "<i8"))]
-                at = cuts(places, width)
+            for r in rows.itertuples():
+                places, place = contexts_of(r.places), np.frombuffer(r.place, "<u4")
+                sums = np.bincount(place, np.frombuffer(r.tables, "<i4") - np.frombuffer(r.blocks, "<i8"), len(places)).astype("<i8")
+                at = cuts(places, buckets)
                 cut = [slice(a, b) for a, b in zip(at, at[1:])]
-                yield pd.DataFrame([(r["bucket"], j, places[c].tobytes(), *(x[c].tobytes() for x in sums)) for j, c in enumerate(cut) if c.start < c.stop], columns=[f.split()[0] for f in SHARES.split(", ")])
+                out = [(r.bucket, j, False, packed(places[c]), sums[c].tobytes()) for j, c in enumerate(cut) if c.start < c.stop]
+                out.append((r.bucket, r.bucket, True, packed(context(np.frombuffer(r.words, "<u8"))), r.entries))
+                yield pd.DataFrame(out, columns=[f.split()[0] for f in SHARES.split(", ")])
 
     def summed(rows: pd.DataFrame) -> pd.DataFrame:
-        places, inverse = np.unique(np.frombuffer(b"".join(rows["places"]), "<u8"), return_inverse=True)
-        edge = np.cumsum(rows["places"].map(len).to_numpy() // 8)[:-1]
-        out = rows[["bucket", "part"]].copy()
-        for k in ("tables", "customers"):
-            total = np.bincount(inverse, np.frombuffer(b"".join(rows[k]), "<i8"), len(places)).astype("<i8")[inverse]
-            out[k] = [x.tobytes() for x in np.split(total, edge)]
+        places, inverse = np.unique(contexts_of(b"".join(rows["places"])), return_inverse=True)
+        edge = np.cumsum(rows["places"].map(len).to_numpy() // 6)[:-1]
+        out = rows[["bucket", "part", "own"]].copy()
+        total = np.bincount(inverse, np.frombuffer(b"".join(rows["sums"]), "<i8"), len(places)).astype("<i8")[inverse]
+        out["totals"] = [x.tobytes() for x in np.split(total, edge)]
         return out
 
-    sent = state.select("bucket", "places", "place", "tables", "counts").mapInPandas(shares, SHARES)
-    return sent.repartition(width, "part").groupBy("part").applyInPandas(summed, "bucket int, part int, tables binary, customers binary")
+    sent = state.select("bucket", "words", "entries", "places", "place", "tables", "blocks").mapInPandas(shares, SHARES)
+    return sent.repartition(width, "part").groupBy("part").applyInPandas(summed, "bucket int, part int, own boolean, totals binary")
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -229,21 +309,19 @@ def sweep(state: DataFrame, contexts: DataFrame, totals: dict, model: dict, keep
 
     def run(rows: pd.DataFrame, shares: pd.DataFrame) -> pd.DataFrame:
         r, shares = rows.iloc[0].to_dict(), shares.sort_values("part")
-        tables_of = np.frombuffer(b"".join(shares["tables"]), "<i8")
-        r["customers_of"] = b"".join(shares["customers"])
         if keep:
-            for k, x in (("tables", r["tables"]), ("roots", r["roots"]), ("totals", tables_of.tobytes())):
+            for k, x in (("tables", r["tables"]), ("roots", r["roots"]), ("totals", b"".join(shares["totals"][shares["own"]]))):
                 r[f"kept_{k}"] = [*r[f"kept_{k}"], x]
         if move:
-            n = len(r["words"]) // 8
+            n, tables_of, singles = len(r["words"]) // 8, np.frombuffer(b"".join(shares["totals"][~shares["own"]]), "<i8"), np.frombuffer(r["singles"], "<i8")
             word, place, count = np.repeat(np.arange(n), np.frombuffer(r["per_word"], "<u4")), np.frombuffer(r["place"], "<u4"), np.frombuffer(r["counts"], "<i8")
             tables, roots = np.frombuffer(r["tables"], "<i4").astype(np.int64), np.frombuffer(r["roots"], "<i4").astype(np.int64)
             dish = mixed(np.frombuffer(r["words"], "<u8"))
-            parent = parent_probability(np.bincount(word, tables, n), roots, totals, model)
-            tables = seated(count, parent[word], tables_of[place] - tables, model["strength"], model["discount"], mixed(dish[word] ^ np.frombuffer(r["places"], "<u8")[place]), 2 * seed)
-            own = np.bincount(word, tables, n).astype(np.int64)
+            parent = parent_probability(singles + np.bincount(word, tables, n), roots, totals, model)
+            tables = seated(count, parent[word], tables_of[place] - tables, model["strength"], model["discount"], mixed(dish[word] ^ contexts_of(r["places"])[place]), 2 * seed)
+            own = singles + np.bincount(word, tables, n).astype(np.int64)
             roots = seated(own, np.full(n, totals["uniform"]), totals["parent_tables"] - roots, model["parent_strength"], model["parent_discount"], dish, 2 * seed + 1)
-            r |= _moved(tables, roots)
+            r |= _moved(tables, roots, singles)
         return pd.DataFrame([r])
 
     return state.groupBy("bucket").cogroup(contexts.groupBy("bucket")).applyInPandas(run, STATE)
@@ -260,57 +338,72 @@ def totals_of(state: DataFrame) -> dict:
     return {"parent_tables": one["pt"] or 0, "parent_customers": one["pc"] or 0, "words": one["v"] or 0, "uniform": 1 / ((one["v"] or 0) + 1), "tokens": one["n"] or 0}
 
 
-ANSWER = "block long, bucket int, logp binary, count binary, ids binary, sizes binary, entries binary, per_word binary"
+ANSWER = "block long, bucket int, of_words binary, codes binary, of_dishes binary, ids binary, sizes binary, tokens binary, per_word binary, which binary"
 
 
-def answers(asked: DataFrame, state: DataFrame, samples: list[dict], model: dict) -> DataFrame:
-    """For every block and bucket: each entry's log10 of the averaged predictive probability, and each word's training count."""
-    strength, discount = model["strength"], model["discount"]
+def answers(asked: DataFrame, state: DataFrame) -> DataFrame:
+    """For every block and bucket: of each word its training count, its customers as a context, and by sample its customers and tables in the
+    parent and its tables as a context; whether an entry has no, one or more customers; of the last kind customers and, by sample, tables."""
 
     def run(rows: pd.DataFrame, states: pd.DataFrame) -> pd.DataFrame:
         r = states.iloc[0]
-        words, places, count = np.frombuffer(r["words"], "<u8"), np.frombuffer(r["places"], "<u8"), np.frombuffer(r["counts"], "<i8")
-        word = np.repeat(np.arange(len(words)), np.frombuffer(r["per_word"], "<u4"))
-        code = word * len(places) + np.frombuffer(r["place"], "<u4")
-        of_word = np.append(np.bincount(word, count, len(words)).astype("<i4"), np.int32(0))
-        customers_of = np.frombuffer(r["customers_of"], "<i8")
-        order = np.argsort(places)
-        seats = []
-        for i, totals in enumerate(samples):
-            tables, roots, tables_of = np.frombuffer(r["kept_tables"][i], "<i4"), np.frombuffer(r["kept_roots"][i], "<i4"), np.frombuffer(r["kept_totals"][i], "<i8")
-            parent = parent_probability(np.bincount(word, tables, len(words)), roots, totals, model)
-            seats.append((np.append(count - discount * tables, 0.0), np.append(parent, parent_probability(0.0, 0.0, totals, model)), strength + discount * tables_of))
+        of = {k: np.frombuffer(r[k], t) for k, t in (("occurs", "<i8"), ("customers", "<i8"), ("singles", "<i8"), ("counts", "<i8"), ("per_word", "<u4"))}
+        n = len(of["per_word"])
+        word = np.repeat(np.arange(n), of["per_word"])
+        words, dishes = [of["occurs"], of["customers"]], [of["counts"]]
+        for tables, roots, totals in zip(r["kept_tables"], r["kept_roots"], r["kept_totals"]):
+            tables = np.frombuffer(tables, "<i4")
+            words += [of["singles"] + np.bincount(word, tables, n).astype(np.int64), np.frombuffer(roots, "<i4"), np.frombuffer(totals, "<i8")]
+            dishes.append(tables)
+        words, dishes = np.pad(np.array(words, "<i8"), ((0, 0), (0, 1))), np.array(dishes, "<i8")  # the last place is the unknown word's
         out = []
-        for _, a in rows.iterrows():
-            w, entry, asked_places, place = unpacked(a)
-            at = np.minimum(np.searchsorted(words, w), max(len(words) - 1, 0))
-            known = words[at] == w if len(words) else np.zeros(len(w), bool)
-            found = np.where(known, at, len(words))  # the last place is the unknown word's
-            at = found[entry]
-            place = order[np.searchsorted(places, asked_places, sorter=order)][place]
-            want = at * len(places) + place
-            seat = np.minimum(np.searchsorted(code, want), max(len(code) - 1, 0))
-            seat = np.where(code[seat] == want, seat, len(code)) if len(code) else np.zeros(len(want), np.int64)
-            p = sum(own[seat] + new[place] * parent[at] for own, parent, new in seats) / (strength + customers_of[place])
-            out.append((a["block"], a["bucket"], np.log10(p / len(samples)).astype("<f4").tobytes(), of_word[found].tobytes(), None, None, None, None))
+        for a in rows.itertuples():
+            mine = np.cumsum(np.frombuffer(a.dishes, "<u4").astype(np.int64))
+            out.append((a.block, a.bucket, np.ascontiguousarray(words[:, np.frombuffer(a.word, "<u4")]).tobytes(), a.codes, np.ascontiguousarray(dishes[:, mine]).tobytes(), *[None] * 5))
         return pd.DataFrame(out, columns=[f.split()[0] for f in ANSWER.split(", ")])
 
     return asked.groupBy("bucket").cogroup(state.groupBy("bucket")).applyInPandas(run, ANSWER)
 
 
-def fitted(table: DataFrame, width: int, model: dict, burn: int, samples: int, seed: int) -> tuple[DataFrame, list[dict]]:
-    """The state of all buckets after the sampler's sweeps, and the totals of each sample kept; ``table``: ``requests``."""
-    asked = table.where("kind = 1").repartition(width, "bucket")
-    state = staged(merged(asked, width), "lm-state")
-    kept = []
+def questions(table: DataFrame) -> DataFrame:
+    """The blocks' own rows (kind 0 of ``requests``) beside the answers."""
+    none = [F.lit(None).cast("binary").alias(k) for k in ("of_words", "codes", "of_dishes")]
+    return table.where("kind = 0").select("block", F.lit(-1).alias("bucket"), *none, F.col("a").alias("ids"), F.col("b").alias("sizes"), F.col("c").alias("tokens"), F.col("d").alias("per_word"), F.col("e").alias("which"))
+
+
+def probabilities(rows: pd.DataFrame, samples: list[dict], model: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of a block's entries: word, context (both numbers of the block's words), averaged predictive probability; and its words' training counts."""
+    own, got = rows.iloc[0], rows.iloc[1:]
+    words = np.concatenate([np.frombuffer(x, "<i8").reshape(2 + 3 * len(samples), -1) for x in got["of_words"]], axis=1)
+    dishes = np.concatenate([np.frombuffer(x, "<i8").reshape(1 + len(samples), -1) for x in got["of_dishes"]], axis=1)
+    codes = np.frombuffer(b"".join(got["codes"]), np.uint8)
+    word = np.repeat(np.arange(words.shape[1]), np.frombuffer(own["per_word"], "<u4"))
+    tokens, end = np.frombuffer(own["tokens"], "<u4"), int(np.frombuffer(own["which"], "<u4")[0])
+    before = np.empty(len(word), np.int64)
+    before[tokens] = np.append(end, word[tokens[:-1]])
+    p, several = np.zeros(len(word)), np.flatnonzero(codes == 2)
+    for i, totals in enumerate(samples):
+        customers, roots, tables = words[2 + 3 * i : 5 + 3 * i]
+        seats = (codes == 1) * (1 - model["discount"])
+        seats[several] = dishes[0] - model["discount"] * dishes[1 + i]
+        p += seats + (model["strength"] + model["discount"] * tables)[before] * parent_probability(customers, roots, totals, model)[word]
+    return word, before, p / len(samples) / (model["strength"] + words[1])[before], words[0]
+
+
+def fitted(table: DataFrame, buckets: int, width: int, model: dict, burn: int, samples: int, seed: int) -> tuple[DataFrame, DataFrame, list[dict]]:
+    """What blocks asked, the state of all buckets after the sampler's sweeps, and the totals of each sample kept; ``table``: ``requests``."""
+    first = kept(merged(table.where("kind = 1").repartition(width, "bucket"), buckets), "lm-state")
+    asked, state = first.where("block >= 0").select("bucket", *[f.split()[0] for f in ASKED.split(", ")]), first.where("block < 0").select(*NAMES)
+    sampled = []
     for i in range(burn + samples + 1):
         totals = totals_of(state)
         if i > burn:
-            kept.append(totals)
-        after = staged(sweep(state, context_totals(state, width), totals, model, i > burn, i < burn + samples, seed + i), "lm-state")
-        discard(state)
+            sampled.append(totals)
+        after = kept(sweep(state, context_totals(state, buckets, width), totals, model, i > burn, i < burn + samples, seed + i), "lm-state")
+        if i:
+            discard(state)
         state = after
-    return state, kept
+    return asked, state, sampled
 
 
 def score(docs: DataFrame, held_out=None, strength: float = 5.0, discount: float = 0.7, parent_strength: float = 5.0, parent_discount: float = 0.6, burn: int = 1, samples: int = 2, seed: int = 11) -> DataFrame:
@@ -319,37 +412,34 @@ def score(docs: DataFrame, held_out=None, strength: float = 5.0, discount: float
     Null and empty texts are the end token alone.  A null doc_id counts as its text "" for the split.
     Repeated rows each count in training and are each scored.  An empty table gives no rows.  When
     no row is for training, N and V are 0 and each token has the probability 1.  Random numbers belong to
-    words and contexts, so the session's number of partitions changes nothing; a word's log10 is kept in 32 bits before it is summed.
+    words and contexts, so the session's number of partitions changes nothing.
     """
     if held_out is None:
         held_out = F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), F.lit(7)) == 2
     model = {"strength": strength, "discount": discount, "parent_strength": parent_strength, "parent_discount": parent_discount}
     width = parts(docs)
-    table = staged(requests(docs, held_out, 4 * width), "lm-blocks")  # a bucket is a group in a worker's memory
-    state, kept = fitted(table, width, model, burn, samples, seed)
-    totals = kept[-1]
-    asked = table.where("kind = 1").drop("e").repartition(width, "bucket")
-    replies = answers(asked, state, kept, model)
-    own = table.where("kind = 0").select("block", F.lit(-1).alias("bucket"), F.lit(None).cast("binary").alias("logp"), F.lit(None).cast("binary").alias("count"), F.col("a").alias("ids"), F.col("b").alias("sizes"), F.col("c").alias("entries"), F.col("d").alias("per_word"))
-    tokens, v = totals["tokens"], totals["words"]
+    buckets = 2 * width  # a bucket is a group in a worker's memory
+    table = kept(requests(docs, held_out, buckets), "lm-blocks", by="kind")
+    asked, state, samples_kept = fitted(table, buckets, width, model, burn, samples, seed)
+    discard(table, "kind=1")
+    tokens, v = samples_kept[-1]["tokens"], samples_kept[-1]["words"]
 
     def total(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("bucket")
-        logp = np.frombuffer(b"".join(rows["logp"].iloc[1:]), "<f4").astype(np.float64)
+        word, _, p, occurs = probabilities(rows, samples_kept, model)
         own = rows.iloc[0]
-        count = np.repeat(np.frombuffer(b"".join(rows["count"].iloc[1:]), "<i4").astype(np.int64), np.frombuffer(own["per_word"], "<u4"))
-        ids = np.frombuffer(own["ids"], "<i8").reshape(-1, 3)
-        sizes, entries = np.frombuffer(own["sizes"], "<i8"), np.frombuffer(own["entries"], "<u4")
-        base = np.log10((count + 1) / (tokens + v + 1))
+        ids, which = np.frombuffer(own["ids"], "<i8").reshape(-1, 3), np.frombuffer(own["which"], "<u4")[1:]
+        sizes, entries = np.frombuffer(own["sizes"], "<i8"), np.frombuffer(own["tokens"], "<u4")
+        count = occurs[word]
         starts = np.cumsum(sizes) - sizes
-        sums = lambda x: np.add.reduceat(x[entries], starts)
+        sums = lambda x: np.add.reduceat(x[entries], starts)[which]
         return pd.DataFrame({
-            "doc_id": pd.Series(ids[:, 0]).astype("Int64").mask(ids[:, 1] == 1), "held_out": ids[:, 2] == 1, "n_tokens": sizes, "n_known": sums((count > 0).astype(np.int64)),
-            "train_tokens": tokens, "base_score": sums(base), "score": sums(logp),
+            "doc_id": pd.Series(ids[:, 0]).astype("Int64").mask(ids[:, 1] == 1), "held_out": ids[:, 2] == 1, "n_tokens": sizes[which], "n_known": sums((count > 0).astype(np.int64)),
+            "train_tokens": tokens, "base_score": sums(np.log10((count + 1) / (tokens + v + 1))), "score": sums(np.log10(p)),
         })
 
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return own.unionByName(replies).repartition(width, "block").groupBy("block").applyInPandas(total, schema)
+    return questions(table).unionByName(answers(asked, state)).repartition(width, "block").groupBy("block").applyInPandas(total, schema)
 
 
 def op4_language_model(spark, sf_dir: str) -> DataFrame:

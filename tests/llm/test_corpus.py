@@ -175,19 +175,20 @@ def test_language_model_is_a_distribution(spark):
     rows = lambda texts: spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
     model = {"strength": 5.0, "discount": 0.7, "parent_strength": 5.0, "parent_discount": 0.6}
     probe = [" ".join(f"{u} {w}" for w in ("a", "b", "c", "unknown")) + f" {u}" for u in ("a", "b", "c", "unknown")] + ["", "a", "b", "c", "unknown"]
-    table = language_model.requests(rows(corpus + probe), F.col("doc_id") >= len(corpus), 8)
-    state, kept = language_model.fitted(table, 2, model, 1, 2, 11)
-    asked = table.where("kind = 1")
-    got = {(r.block, r.bucket): np.frombuffer(r.logp, "<f4") for r in language_model.answers(asked.drop("e"), state, kept, model).collect()}
+    table = language_model.kept(language_model.requests(rows(corpus + probe), F.col("doc_id") >= len(corpus), 8), "lm-blocks", by="kind")
+    asked, state, kept = language_model.fitted(table, 8, 2, model, 1, 2, 11)
     hashed = {xxhash.xxh64_intdigest(w.encode()): w for w in ("", "a", "b", "c", "unknown")}
+    hashes = {(r.block, r.bucket): [hashed[int(h)] for h in np.frombuffer(r.a, "<u8")] for r in table.where("kind = 1").collect()}
     sums: dict = {}
-    for r in asked.collect():
-        w, entry, places, place = language_model.unpacked(r)
-        for e, p, x in zip(entry, place, got[r.block, r.bucket]):
-            sums.setdefault(hashed[int(places[p])], {})[hashed[int(w[e])]] = 10.0 ** float(x)
+    for block, got in language_model.questions(table).unionByName(language_model.answers(asked, state)).toPandas().groupby("block"):
+        got = got.sort_values("bucket")
+        names = [w for k in got["bucket"].iloc[1:] for w in hashes[block, k]]
+        word, before, p, _ = language_model.probabilities(got, kept, model)
+        for w, u, x in zip(word, before, p):
+            sums.setdefault(names[u], {})[names[w]] = float(x)
     assert set(sums) == {"", "a", "b", "c", "unknown"}
     for u, by in sums.items():
-        assert len(by) == 5 and math.isclose(sum(by.values()), 1, rel_tol=1e-5), (u, by)
+        assert len(by) == 5 and math.isclose(sum(by.values()), 1, rel_tol=1e-9), (u, by)
     assert sums["a"]["b"] > sums["a"]["c"] > sums["a"]["unknown"] > 0
 
 
