@@ -70,6 +70,21 @@ def contexts_of(data: bytes) -> np.ndarray:
     return out.view("<u8").ravel()
 
 
+def small(numbers: np.ndarray) -> bytes:
+    """Integers byte plane by byte plane, compressed: most are small, so most planes vanish."""
+    x = np.ascontiguousarray(numbers, "<i8").ravel()
+    planes = np.ascontiguousarray(x.view(np.uint8).reshape(-1, 8).T)
+    return x.size.to_bytes(8, "little") + pa.compress(planes.tobytes(), codec="zstd", asbytes=True)
+
+
+def ints(data: bytes) -> np.ndarray:
+    n = int.from_bytes(data[:8], "little")
+    if not n:
+        return np.zeros(0, np.int64)
+    planes = np.frombuffer(pa.decompress(data[8:], 8 * n, codec="zstd", asbytes=True), np.uint8).reshape(8, n)
+    return np.ascontiguousarray(planes.T).view("<i8").ravel()
+
+
 def cuts(contexts: np.ndarray, buckets: int) -> np.ndarray:
     """Where each bucket starts among contexts in order of bucket."""
     return np.searchsorted((contexts % np.uint64(buckets)).astype(np.int64), np.arange(buckets + 1))
@@ -114,15 +129,15 @@ def block_rows(block: int, docs: list, held: list[bool], texts: list[str], bucke
     customers, entries = np.bincount(before, count, n), np.bincount(before[count > 0], minlength=n)
     contexts = context(hashes)
     at = cuts(contexts, buckets)
-    per_word = np.bincount(entry_word, minlength=n).astype("<u4")
+    per_word = np.bincount(entry_word, minlength=n)
     edge = np.searchsorted(entry_word, at)
     out = []
     for k in range(buckets):
         w, e = slice(at[k], at[k + 1]), slice(edge[k], edge[k + 1])
         if at[k] < at[k + 1]:
-            out.append((1, block, k, hashes[w].tobytes(), per_word[w].tobytes(), packed(contexts[before[e]]), count[e].astype("<u4").tobytes(), np.array([customers[w], entries[w]], "<u4").tobytes()))
+            out.append((1, block, k, hashes[w].tobytes(), small(per_word[w]), packed(contexts[before[e]]), small(count[e]), small(np.array([customers[w], entries[w]]))))
     ids = np.array([[d or 0, d is None, h] for d, h in zip(docs, held)], "<i8")
-    out.append((0, block, -1, ids.tobytes(), sizes.astype("<i8").tobytes(), entry.astype("<u4").tobytes(), per_word.tobytes(), np.append(end, which).astype("<u4").tobytes()))
+    out.append((0, block, -1, small(ids.T), small(sizes), small(entry), small(per_word), small(np.append(end, which))))
     return out
 
 
@@ -176,12 +191,12 @@ NAMES = [f.split()[0] for f in STATE.split(", ")]
 
 
 def _moved(tables, roots, singles) -> dict:
-    return {"tables": tables.astype("<i4").tobytes(), "roots": roots.astype("<i4").tobytes(), "parent_tables": int(roots.sum()), "parent_customers": int(tables.sum() + singles.sum())}
+    return {"tables": small(tables), "roots": small(roots), "parent_tables": int(roots.sum()), "parent_customers": int(tables.sum() + singles.sum())}
 
 
 def _steps(x: np.ndarray) -> bytes:
-    """A rising row of numbers as its steps, which take less room."""
-    return np.diff(x, prepend=0).astype("<u4").tobytes()
+    """A mostly rising row of numbers as its steps, which take less room."""
+    return small(np.diff(x, prepend=0))
 
 
 def merged(asked: DataFrame, buckets: int) -> DataFrame:
@@ -192,10 +207,8 @@ def merged(asked: DataFrame, buckets: int) -> DataFrame:
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         got = []
         for r in rows.itertuples():
-            w, per = np.frombuffer(r.a, "<u8"), np.frombuffer(r.b, "<u4")
-            entry = np.repeat(np.arange(len(w)), per)
-            count = np.frombuffer(r.d, "<u4").astype(np.int64)
-            got.append((w, entry, contexts_of(r.c), count, np.frombuffer(r.e, "<u4").reshape(2, -1)))
+            w = np.frombuffer(r.a, "<u8")
+            got.append((w, np.repeat(np.arange(len(w)), ints(r.b)), contexts_of(r.c), ints(r.d), ints(r.e).reshape(2, -1)))
         words = np.unique(np.concatenate([w[entry[count > 0]] for w, entry, _, count, _ in got]))
         n = len(words)
         at = [places_in(words, w) for w, *_ in got]
@@ -219,9 +232,9 @@ def merged(asked: DataFrame, buckets: int) -> DataFrame:
         tables, roots = np.ones(int(dish.sum()), np.int64), np.ones(n, np.int64)
         none = {"block": -1, "word": b"", "codes": b"", "dishes": b""}
         out = [{
-            "bucket": rows["bucket"].iloc[0], "words": words.tobytes(), "occurs": np.bincount(dish_word, total, n)[:n].astype("<i8").tobytes(), "singles": singles.astype("<i8").tobytes(),
-            "customers": sums[0, :n].astype("<i8").tobytes(), "entries": sums[1, :n].astype("<i8").tobytes(), "per_word": np.bincount(dish_word[dish], minlength=n).astype("<u4").tobytes(),
-            "places": packed(places[used]), "place": own.astype("<u4").tobytes(), "counts": total[dish].astype("<i8").tobytes(), "blocks": blocks[dish].astype("<i8").tobytes(),
+            "bucket": rows["bucket"].iloc[0], "words": words.tobytes(), "occurs": small(np.bincount(dish_word, total, n)[:n]), "singles": small(singles),
+            "customers": small(sums[0, :n]), "entries": small(sums[1, :n]), "per_word": small(np.bincount(dish_word[dish], minlength=n)),
+            "places": packed(places[used]), "place": small(own), "counts": small(total[dish]), "blocks": small(blocks[dish]),
             **_moved(tables, roots, singles), "kept_tables": [], "kept_roots": [], "kept_totals": [], "n_words": n, "tokens": int(total.sum()), **none,
         }]
         codes, number, edge = np.minimum(total, 2).astype(np.uint8), np.cumsum(dish) - 1, 0
@@ -230,7 +243,7 @@ def merged(asked: DataFrame, buckets: int) -> DataFrame:
             edge += len(g[1])
             out.append(dict.fromkeys(NAMES, b"") | {
                 "bucket": rows["bucket"].iloc[0], "kept_tables": [], "kept_roots": [], "kept_totals": [], "parent_tables": 0, "parent_customers": 0, "n_words": 0, "tokens": 0,
-                "block": block, "word": a.astype("<u4").tobytes(), "codes": codes[mine].tobytes(), "dishes": _steps(number[mine[dish[mine]]]),
+                "block": block, "word": _steps(a), "codes": small(codes[mine]), "dishes": _steps(number[mine[dish[mine]]]),
             })
         return pd.DataFrame(out)[[f.split()[0] for f in f"{STATE}, {ASKED}".split(", ")]]
 
@@ -246,11 +259,11 @@ def context_totals(state: DataFrame, buckets: int, width: int) -> DataFrame:
     def shares(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
             for r in rows.itertuples():
-                places, place = contexts_of(r.places), np.frombuffer(r.place, "<u4")
-                sums = np.bincount(place, np.frombuffer(r.tables, "<i4") - np.frombuffer(r.blocks, "<i8"), len(places)).astype("<i8")
+                places, place = contexts_of(r.places), ints(r.place)
+                sums = np.bincount(place, ints(r.tables) - ints(r.blocks), len(places)).astype(np.int64)
                 at = cuts(places, buckets)
                 cut = [slice(a, b) for a, b in zip(at, at[1:])]
-                out = [(r.bucket, j, False, packed(places[c]), sums[c].tobytes()) for j, c in enumerate(cut) if c.start < c.stop]
+                out = [(r.bucket, j, False, packed(places[c]), small(sums[c])) for j, c in enumerate(cut) if c.start < c.stop]
                 out.append((r.bucket, r.bucket, True, packed(context(np.frombuffer(r.words, "<u8"))), r.entries))
                 yield pd.DataFrame(out, columns=[f.split()[0] for f in SHARES.split(", ")])
 
@@ -258,8 +271,8 @@ def context_totals(state: DataFrame, buckets: int, width: int) -> DataFrame:
         places, inverse = np.unique(contexts_of(b"".join(rows["places"])), return_inverse=True)
         edge = np.cumsum(rows["places"].map(len).to_numpy() // 6)[:-1]
         out = rows[["bucket", "part", "own"]].copy()
-        total = np.bincount(inverse, np.frombuffer(b"".join(rows["sums"]), "<i8"), len(places)).astype("<i8")[inverse]
-        out["totals"] = [x.tobytes() for x in np.split(total, edge)]
+        total = np.bincount(inverse, np.concatenate([ints(x) for x in rows["sums"]]), len(places)).astype(np.int64)[inverse]
+        out["totals"] = [small(x) for x in np.split(total, edge)]
         return out
 
     sent = state.select("bucket", "words", "entries", "places", "place", "tables", "blocks").mapInPandas(shares, SHARES)
@@ -310,12 +323,11 @@ def sweep(state: DataFrame, contexts: DataFrame, totals: dict, model: dict, keep
     def run(rows: pd.DataFrame, shares: pd.DataFrame) -> pd.DataFrame:
         r, shares = rows.iloc[0].to_dict(), shares.sort_values("part")
         if keep:
-            for k, x in (("tables", r["tables"]), ("roots", r["roots"]), ("totals", b"".join(shares["totals"][shares["own"]]))):
+            for k, x in (("tables", r["tables"]), ("roots", r["roots"]), ("totals", shares["totals"][shares["own"]].iloc[0])):
                 r[f"kept_{k}"] = [*r[f"kept_{k}"], x]
         if move:
-            n, tables_of, singles = len(r["words"]) // 8, np.frombuffer(b"".join(shares["totals"][~shares["own"]]), "<i8"), np.frombuffer(r["singles"], "<i8")
-            word, place, count = np.repeat(np.arange(n), np.frombuffer(r["per_word"], "<u4")), np.frombuffer(r["place"], "<u4"), np.frombuffer(r["counts"], "<i8")
-            tables, roots = np.frombuffer(r["tables"], "<i4").astype(np.int64), np.frombuffer(r["roots"], "<i4").astype(np.int64)
+            n, tables_of = len(r["words"]) // 8, np.concatenate([np.zeros(0, np.int64), *map(ints, shares["totals"][~shares["own"]])])
+            word, place, count, singles, tables, roots = np.repeat(np.arange(n), ints(r["per_word"])), *(ints(r[k]) for k in ("place", "counts", "singles", "tables", "roots"))
             dish = mixed(np.frombuffer(r["words"], "<u8"))
             parent = parent_probability(singles + np.bincount(word, tables, n), roots, totals, model)
             tables = seated(count, parent[word], tables_of[place] - tables, model["strength"], model["discount"], mixed(dish[word] ^ contexts_of(r["places"])[place]), 2 * seed)
@@ -347,19 +359,18 @@ def answers(asked: DataFrame, state: DataFrame) -> DataFrame:
 
     def run(rows: pd.DataFrame, states: pd.DataFrame) -> pd.DataFrame:
         r = states.iloc[0]
-        of = {k: np.frombuffer(r[k], t) for k, t in (("occurs", "<i8"), ("customers", "<i8"), ("singles", "<i8"), ("counts", "<i8"), ("per_word", "<u4"))}
+        of = {k: ints(r[k]) for k in ("occurs", "customers", "singles", "counts", "per_word")}
         n = len(of["per_word"])
         word = np.repeat(np.arange(n), of["per_word"])
         words, dishes = [of["occurs"], of["customers"]], [of["counts"]]
         for tables, roots, totals in zip(r["kept_tables"], r["kept_roots"], r["kept_totals"]):
-            tables = np.frombuffer(tables, "<i4")
-            words += [of["singles"] + np.bincount(word, tables, n).astype(np.int64), np.frombuffer(roots, "<i4"), np.frombuffer(totals, "<i8")]
+            tables = ints(tables)
+            words += [of["singles"] + np.bincount(word, tables, n).astype(np.int64), ints(roots), ints(totals)]
             dishes.append(tables)
         words, dishes = np.pad(np.array(words, "<i8"), ((0, 0), (0, 1))), np.array(dishes, "<i8")  # the last place is the unknown word's
         out = []
         for a in rows.itertuples():
-            mine = np.cumsum(np.frombuffer(a.dishes, "<u4").astype(np.int64))
-            out.append((a.block, a.bucket, np.ascontiguousarray(words[:, np.frombuffer(a.word, "<u4")]).tobytes(), a.codes, np.ascontiguousarray(dishes[:, mine]).tobytes(), *[None] * 5))
+            out.append((a.block, a.bucket, small(words[:, np.cumsum(ints(a.word))]), a.codes, small(dishes[:, np.cumsum(ints(a.dishes))]), *[None] * 5))
         return pd.DataFrame(out, columns=[f.split()[0] for f in ANSWER.split(", ")])
 
     return asked.groupBy("bucket").cogroup(state.groupBy("bucket")).applyInPandas(run, ANSWER)
@@ -374,11 +385,11 @@ def questions(table: DataFrame) -> DataFrame:
 def probabilities(rows: pd.DataFrame, samples: list[dict], model: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Of a block's entries: word, context (both numbers of the block's words), averaged predictive probability; and its words' training counts."""
     own, got = rows.iloc[0], rows.iloc[1:]
-    words = np.concatenate([np.frombuffer(x, "<i8").reshape(2 + 3 * len(samples), -1) for x in got["of_words"]], axis=1)
-    dishes = np.concatenate([np.frombuffer(x, "<i8").reshape(1 + len(samples), -1) for x in got["of_dishes"]], axis=1)
-    codes = np.frombuffer(b"".join(got["codes"]), np.uint8)
-    word = np.repeat(np.arange(words.shape[1]), np.frombuffer(own["per_word"], "<u4"))
-    tokens, end = np.frombuffer(own["tokens"], "<u4"), int(np.frombuffer(own["which"], "<u4")[0])
+    words = np.concatenate([ints(x).reshape(2 + 3 * len(samples), -1) for x in got["of_words"]], axis=1)
+    dishes = np.concatenate([ints(x).reshape(1 + len(samples), -1) for x in got["of_dishes"]], axis=1)
+    codes = np.concatenate([ints(x) for x in got["codes"]])
+    word = np.repeat(np.arange(words.shape[1]), ints(own["per_word"]))
+    tokens, end = ints(own["tokens"]), int(ints(own["which"])[0])
     before = np.empty(len(word), np.int64)
     before[tokens] = np.append(end, word[tokens[:-1]])
     p, several = np.zeros(len(word)), np.flatnonzero(codes == 2)
@@ -428,13 +439,12 @@ def score(docs: DataFrame, held_out=None, strength: float = 5.0, discount: float
         rows = rows.sort_values("bucket")
         word, _, p, occurs = probabilities(rows, samples_kept, model)
         own = rows.iloc[0]
-        ids, which = np.frombuffer(own["ids"], "<i8").reshape(-1, 3), np.frombuffer(own["which"], "<u4")[1:]
-        sizes, entries = np.frombuffer(own["sizes"], "<i8"), np.frombuffer(own["tokens"], "<u4")
+        ids, which, sizes, entries = ints(own["ids"]).reshape(3, -1), ints(own["which"])[1:], ints(own["sizes"]), ints(own["tokens"])
         count = occurs[word]
         starts = np.cumsum(sizes) - sizes
         sums = lambda x: np.add.reduceat(x[entries], starts)[which]
         return pd.DataFrame({
-            "doc_id": pd.Series(ids[:, 0]).astype("Int64").mask(ids[:, 1] == 1), "held_out": ids[:, 2] == 1, "n_tokens": sizes[which], "n_known": sums((count > 0).astype(np.int64)),
+            "doc_id": pd.Series(ids[0]).astype("Int64").mask(ids[1] == 1), "held_out": ids[2] == 1, "n_tokens": sizes[which], "n_known": sums((count > 0).astype(np.int64)),
             "train_tokens": tokens, "base_score": sums(np.log10((count + 1) / (tokens + v + 1))), "score": sums(np.log10(p)),
         })
 
