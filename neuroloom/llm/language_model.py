@@ -417,19 +417,21 @@ def fitted(table: DataFrame, buckets: int, width: int, model: dict, burn: int, s
     return asked, state, sampled
 
 
-def score(docs: DataFrame, held_out=None, strength: float = 5.0, discount: float = 0.7, parent_strength: float = 5.0, parent_discount: float = 0.6, burn: int = 1, samples: int = 2, seed: int = 11) -> DataFrame:
+def score(docs: DataFrame, held_out=None, strength: float = 5.0, discount: float = 0.7, parent_strength: float = 5.0, parent_discount: float = 0.6, burn: int = 1, samples: int = 2, seed: int = 11, bucket_bytes: int = 7_000_000) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for every row.
 
     Null and empty texts are the end token alone.  A null doc_id counts as its text "" for the split.
     Repeated rows each count in training and are each scored.  An empty table gives no rows.  When
     no row is for training, N and V are 0 and each token has the probability 1.  Random numbers belong to
-    words and contexts, so the session's number of partitions changes nothing.
+    words and contexts, so neither the session's number of partitions
+    nor that of buckets, one for every ``bucket_bytes`` of text, changes anything.
     """
     if held_out is None:
         held_out = F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), F.lit(7)) == 2
     model = {"strength": strength, "discount": discount, "parent_strength": parent_strength, "parent_discount": parent_discount}
     width = parts(docs)
-    buckets = 2 * width  # a bucket is a group in a worker's memory
+    size = docs.agg(F.sum(F.octet_length(F.col("text").cast("string"))).alias("n")).first()["n"] or 0
+    buckets = 1 + size // bucket_bytes  # a bucket is a group in a worker's memory
     table = kept(requests(docs, held_out, buckets), "lm-blocks", by="kind")
     asked, state, samples_kept = fitted(table, buckets, width, model, burn, samples, seed)
     discard(table, "kind=1")

@@ -197,9 +197,9 @@ def test_language_model_does_not_depend_on_partitions(spark):
     before = spark.conf.get("spark.sql.shuffle.partitions")
     got = []
     try:
-        for n in ("4", "7"):
+        for n, size in (("4", 7_000_000), ("7", 20_000)):
             spark.conf.set("spark.sql.shuffle.partitions", n)
-            got.append(sorted((r.doc_id, r.score) for r in language_model.score(df).collect()))
+            got.append(sorted((r.doc_id, r.score) for r in language_model.score(df, bucket_bytes=size).collect()))
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", before)
     assert all(a == c and math.isclose(b, d, rel_tol=1e-6) for (a, b), (c, d) in zip(*got, strict=True))
