@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..staging import staged
 from . import nullmodels
 from .graph import COMBINED
 from .sql import operator
@@ -86,10 +87,10 @@ SELECT g.session, g.stimulus, CASE WHEN e.a IS NULL THEN 'rest' ELSE 'motif' END
 GIVEN = ("030T+++", "120D++++", "120U++++", "120C++++", "210+++++", "300++++++")  # all-excitatory types with a feed-forward loop
 
 # Z against a null model: the census of a graph and those of its replicas (with rep).  As above, a type absent in all
-# replicas has the deviation of one 4 among zeros; the stored form has the mean and deviation of one 5.
+# replicas has the deviation of one 4 among zeros, and one whose replicas all agree otherwise has a null Z, which means and correlations pass over; the stored form has the mean and deviation of one 5.
 _NULL_Z = """r AS (SELECT session, stimulus, smt, count(*) AS reps, avg(intensity) AS mean, stddev_samp(intensity) AS dev FROM {replicas} GROUP BY session, stimulus, smt),
 y AS (SELECT *, CASE WHEN mean = 0 AND dev = 0 THEN sqrt(16.0 / reps - 16.0 / (reps * reps)) ELSE dev END AS sd FROM r),
-zs AS (SELECT c.session, c.stimulus, c.smt, c.n, c.intensity, mean, sd, (c.intensity - mean) / nullif(sd, 0) AS z FROM {census} c JOIN y ON c.session = y.session AND c.stimulus = y.stimulus AND c.smt = y.smt WHERE sd > 0.000001)"""
+zs AS (SELECT c.session, c.stimulus, c.smt, c.n, c.intensity, mean, sd, CASE WHEN sd > 0.000001 THEN (c.intensity - mean) / sd END AS z FROM {census} c JOIN y ON c.session = y.session AND c.stimulus = y.stimulus AND c.smt = y.smt)"""
 NULL_Z = {o.name: o for o in (
     operator("null_zscore", f"WITH {_NULL_Z} SELECT session, stimulus, smt, round(intensity, 6) AS intensity, round(mean, 6) AS mean, round(sd, 6) AS deviation, round(z, 5) AS z FROM zs"),
     operator("null_zscore_stored", """WITH
@@ -97,10 +98,10 @@ b AS (SELECT session, stimulus, smt, avg(intensity) AS mean, stddev_pop(intensit
 q AS (SELECT c.session, c.stimulus, c.smt, (intensity - CASE WHEN top = 0 THEN 5.0 / reps ELSE mean END) / nullif(CASE WHEN top = 0 THEN sqrt(25.0 / reps - 25.0 / (reps * reps)) ELSE dev END, 0) AS z FROM {census} c JOIN b ON c.session = b.session AND c.stimulus = b.stimulus AND c.smt = b.smt
   WHERE c.smt IN (SELECT smt FROM {replicas} WHERE n > 0 UNION SELECT smt FROM {census} WHERE n > 0))
 SELECT stimulus, smt, count(z) AS sessions, round(avg(z), 5) AS mean_z, round(stddev_samp(z), 5) AS std_z FROM q GROUP BY stimulus, smt"""),
-    operator("null_z_density", f"WITH {_NULL_Z} SELECT session, stimulus, count(*) AS types, round(avg(abs(z)), 5) AS mean_abs_z FROM zs GROUP BY session, stimulus"),
+    operator("null_z_density", f"WITH {_NULL_Z} SELECT session, stimulus, count(z) AS types, round(avg(abs(z)), 5) AS mean_abs_z FROM zs GROUP BY session, stimulus"),
     operator("null_mean_z", f"WITH {_NULL_Z}, {COMBINED} SELECT combined, smt, round(avg(z), 5) AS mean_z FROM zs JOIN comb ON comb.stimulus = zs.stimulus GROUP BY combined, smt"),
     operator("null_z_corr", f"""WITH {_NULL_Z}, {COMBINED}, a AS (SELECT combined, smt, avg(z) AS z FROM zs JOIN comb ON comb.stimulus = zs.stimulus GROUP BY combined, smt)
-SELECT x.combined AS first, y.combined AS second, count(*) AS types, round(corr(x.z, y.z), 5) AS r FROM a x JOIN a y ON x.smt = y.smt AND x.combined <> y.combined GROUP BY x.combined, y.combined"""),
+SELECT x.combined AS first, y.combined AS second, count(x.z + y.z) AS types, round(corr(x.z, y.z), 5) AS r FROM a x JOIN a y ON x.smt = y.smt AND x.combined <> y.combined GROUP BY x.combined, y.combined"""),
     operator("null_log2_z", f"WITH {_NULL_Z} SELECT session, stimulus, smt, round(log2(nullif(abs(z), 0)) * CASE WHEN z >= 0 THEN 1 ELSE -1 END, 5) AS value FROM zs"),
     # Of types with five triples or more and Z above 1.96: the share of triples all in area 0, or touching it; 0 where no graph is left.
     operator("null_region_fraction", f"""WITH {_REGION}, {_NULL_Z}, {COMBINED},
@@ -124,7 +125,7 @@ SELECT every.session, every.stimulus, part, count(*) AS pairs, round(avg(x.r), 6
 
 def replica_census(replicas: DataFrame) -> DataFrame:
     """The census of every replica of ``random_graphs``: session, stimulus, rep, smt, n, intensity, coherence."""
-    graphs = replicas.select("session", F.concat_ws(":", "rep", "stimulus").alias("stimulus"), "src", "dst", "weight").checkpoint()  # read several times, drawn once
+    graphs = staged(replicas.select("session", F.concat_ws(":", "rep", "stimulus").alias("stimulus"), "src", "dst", "weight"), "replicas")  # read several times, drawn once
     rep, stimulus = F.substring_index("stimulus", ":", 1).cast("int"), F.expr("substr(stimulus, instr(stimulus, ':') + 1)")
     return motif_census(edges=graphs).select("session", stimulus.alias("stimulus"), rep.alias("rep"), "smt", "n", "intensity", "coherence")
 

@@ -16,6 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..staging import staged
 from .sql import operator
 
 SCHEMA = "session string, stimulus string, rep int, src long, dst long, weight double, swaps long"
@@ -137,6 +138,7 @@ def verify(edges: DataFrame, replicas: DataFrame) -> DataFrame:
     """By session, stimulus and replica: whether edges, weights, degrees, pairs and signed pairs are kept, each compared in full."""
     graph = ["session", "stimulus"]
     rep = [*graph, "rep"]
+    replicas = staged(replicas, "replicas")  # read by every test, drawn once
     reps = replicas.select(*rep).dropDuplicates()
     own = edges.select(*graph, "src", "dst", "weight")
     new = replicas.select(*rep, "src", "dst", "weight")

@@ -1,39 +1,40 @@
-"""Reachability and distances by rounds of joins; every round is checkpointed, so lineage stays short."""
+"""Reachability and distances by rounds of joins; every round is written to the shared folder, so lineage stays short."""
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..staging import staged
+
 KEYS = ["session", "stimulus"]
 
 
 def _cut(df: DataFrame) -> DataFrame:
-    """A checkpoint in the folder of ``spark.checkpoint.dir``; only on one machine, where it is unset, in a folder made here."""
-    spark = df.sparkSession
-    if not spark.sparkContext.getCheckpointDir():
-        found = spark.conf.get("spark.checkpoint.dir", None)
-        if not found:
-            if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
-                raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
-            found = "file://" + tempfile.gettempdir() + "/checkpoints"
-        spark.sparkContext.setCheckpointDir(found)
-    return df.checkpoint()
+    return staged(df, "rounds")
 
 
 def weak_components(edges: DataFrame) -> DataFrame:
-    """(session, stimulus, node, component): the least node reachable along edges of either direction."""
-    both = edges.select(*KEYS, F.col("src").alias("a"), F.col("dst").alias("b"))
-    both = _cut(both.union(both.select(*KEYS, "b", "a")).dropDuplicates())
-    label = _cut(both.groupBy(*KEYS, F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("node")).alias("component")))
+    """(session, stimulus, node, component): the least node reachable along edges of either direction.
+
+    Large-star and small-star rounds (Kiveris et al. 2014): as many as the logarithm of the longest path, not as its length.
+    """
+    every = edges.select(*KEYS, F.col("src").alias("node")).union(edges.select(*KEYS, "dst")).dropDuplicates()
+    high, low = F.greatest("src", "dst").alias("a"), F.least("src", "dst").alias("b")
+    now, mark = _cut(edges.where("src <> dst").select(*KEYS, high, low).dropDuplicates()), None
     while True:
-        seen = both.join(label.withColumnRenamed("node", "b"), [*KEYS, "b"]).groupBy(*KEYS, F.col("a").alias("node")).agg(F.min("component").alias("near"))
-        new = _cut(label.join(seen, [*KEYS, "node"]).withColumn("less", F.least("component", "near")))
-        if not new.where("less < component").limit(1).count():
-            return label
-        label = new.select(*KEYS, "node", F.col("less").alias("component"))
+        got = tuple(now.agg(F.count("*"), F.bit_xor(F.xxhash64(*KEYS, "a", "b"))).first())
+        if got == mark or not got[0]:
+            break
+        mark = got
+        both = now.union(now.select(*KEYS, "b", "a")).toDF(*KEYS, "u", "v")
+        least = both.groupBy(*KEYS, "u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        large = both.where("v > u").join(least, [*KEYS, "u"]).select(*KEYS, F.col("v").alias("a"), F.col("m").alias("b")).dropDuplicates()
+        tied = large.join(large.groupBy(*KEYS, "a").agg(F.min("b").alias("m")), [*KEYS, "a"])
+        ends = F.explode(F.array(F.struct("b", "m"), F.struct(F.col("a").alias("b"), "m"))).alias("e")
+        now = _cut(tied.select(*KEYS, ends).select(*KEYS, F.col("e.b").alias("a"), F.col("e.m").alias("b")).where("a <> b").dropDuplicates())
+    found = now.select(*KEYS, F.col("a").alias("node"), F.col("b").alias("component"))
+    return every.join(found, [*KEYS, "node"], "left").withColumn("component", F.coalesce("component", "node"))
 
 
 def largest_component(edges: DataFrame) -> DataFrame:

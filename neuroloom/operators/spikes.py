@@ -6,48 +6,64 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
-from .sql import operator
+from .sql import SqlOperator, operator
 
 BINS, WINDOW = 1440, 100
 
-firing_rate = operator("firing_rate", f"""
-SELECT neuron_id, count(*) AS spikes, round(count(*) / (max(n) * {BINS} / 1000.0), 6) AS rate
-FROM {{spikes}} CROSS JOIN (SELECT count(DISTINCT trial_id) AS n FROM {{spikes}}) k GROUP BY neuron_id""")
 
-# A range join: spikes meet in their own time bucket and the one before, so the join has equal keys.
-_COUNTS = f"""
-a AS (SELECT trial_id, neuron_id, t, CAST(floor(t / {WINDOW + 1}) AS BIGINT) AS bucket FROM {{spikes}}),
+def correlograms(bins: int = BINS, window: int = WINDOW, length: int = 5, burst_length: int = 25, burst: int = 10) -> dict[str, SqlOperator]:
+    """The operators on trials of ``bins`` milliseconds: rates, coincidences at lags 0 to ``window``, normalised correlograms, jitter windows.
+
+    ``length``: places of a spike's window without memory; ``burst_length``: the grid in which bursts are placed; ``burst``: the longest gap inside one.
+    """
+    if not 0 <= window < bins or not 0 < length <= bins or not 0 < burst_length <= bins:
+        raise ValueError("lags and windows lie inside a trial")
+    # A range join: spikes meet in their own time bucket and the one before, so the join has equal keys.
+    counts = f"""
+a AS (SELECT trial_id, neuron_id, t, CAST(floor(t / {window + 1}) AS BIGINT) AS bucket FROM {{spikes}}),
 b AS (SELECT trial_id, neuron_id, t, bucket FROM a UNION ALL SELECT trial_id, neuron_id, t, bucket - 1 FROM a),
 c AS (SELECT a.neuron_id AS src, b.neuron_id AS dst, b.t - a.t AS lag, count(*) AS n FROM a JOIN b
-  ON a.trial_id = b.trial_id AND a.bucket = b.bucket AND b.t - a.t BETWEEN 0 AND {WINDOW} AND a.neuron_id <> b.neuron_id GROUP BY a.neuron_id, b.neuron_id, b.t - a.t)"""
-ccg_pairs = operator("ccg_pairs", f"WITH {_COUNTS} SELECT src, dst, lag, n FROM c")
-
-_NORMAL = f"""{_COUNTS},
+  ON a.trial_id = b.trial_id AND a.bucket = b.bucket AND b.t - a.t BETWEEN 0 AND {window} AND a.neuron_id <> b.neuron_id GROUP BY a.neuron_id, b.neuron_id, b.t - a.t)"""
+    normal = f"""{counts},
 k AS (SELECT count(DISTINCT trial_id) AS trials FROM {{spikes}}),
-r AS (SELECT neuron_id, count(*) / (max(trials) * {BINS} / 1000.0) AS f FROM {{spikes}} CROSS JOIN k GROUP BY neuron_id),
-l AS (SELECT SERIES(0, {WINDOW}) AS lag),
+r AS (SELECT neuron_id, count(*) / (max(trials) * {bins} / 1000.0) AS f FROM {{spikes}} CROSS JOIN k GROUP BY neuron_id),
+l AS (SELECT SERIES(0, {window}) AS lag),
 g AS (SELECT x.neuron_id AS src, y.neuron_id AS dst, CAST(lag AS BIGINT) AS lag, x.f AS fa, y.f AS fb FROM r x JOIN r y ON x.neuron_id <> y.neuron_id CROSS JOIN l)
-SELECT g.src, g.dst, g.lag, round(coalesce(n, 0) / (trials * ({BINS} - g.lag) / 1000.0 * sqrt(fa * fb)), 6) AS ccg
+SELECT g.src, g.dst, g.lag, round(coalesce(n, 0) / (trials * ({bins} - g.lag) / 1000.0 * sqrt(fa * fb)), 6) AS ccg
 FROM g LEFT JOIN c ON g.src = c.src AND g.dst = c.dst AND g.lag = c.lag CROSS JOIN k"""
-ccg_normalised = operator("ccg_normalised", f"WITH {_NORMAL}")
-
-# The window a spike may move in without memory: length 5 about it, clamped to the trial.
-omega_windows = operator("omega_windows", f"SELECT neuron_id, trial_id, t, greatest(0, least(t - 2, {BINS} - 5)) AS first, greatest(0, least(t - 2, {BINS} - 5)) + 4 AS last FROM {{spikes}}")
-
-# With memory: a gap of more than 10 starts a burst, whose head is placed in a grid of 25 and whose other spikes follow it.
-gamma_windows = operator("gamma_windows", f"""
-WITH g AS (SELECT *, CASE WHEN t - lag(t) OVER (PARTITION BY neuron_id, trial_id ORDER BY t) <= 10 THEN 0 ELSE 1 END AS starts FROM {{spikes}}),
+    low = f"greatest(0, least(t - {(length + 1) // 2 - 1}, {bins} - {length}))"
+    return {o.name: o for o in (
+        operator("firing_rate", f"""
+SELECT neuron_id, count(*) AS spikes, round(count(*) / (max(n) * {bins} / 1000.0), 6) AS rate
+FROM {{spikes}} CROSS JOIN (SELECT count(DISTINCT trial_id) AS n FROM {{spikes}}) k GROUP BY neuron_id"""),
+        operator("ccg_pairs", f"WITH {counts} SELECT src, dst, lag, n FROM c"),
+        operator("ccg_normalised", f"WITH {normal}"),
+        # The window a spike may move in without memory, clamped to the trial.
+        operator("omega_windows", f"SELECT neuron_id, trial_id, t, {low} AS first, {low} + {length - 1} AS last FROM {{spikes}}"),
+        # With memory: a longer gap starts a burst, whose head is placed in a grid and whose other spikes follow it.
+        operator("gamma_windows", f"""
+WITH g AS (SELECT *, CASE WHEN t - lag(t) OVER (PARTITION BY neuron_id, trial_id ORDER BY t) <= {burst} THEN 0 ELSE 1 END AS starts FROM {{spikes}}),
 b AS (SELECT *, sum(starts) OVER (PARTITION BY neuron_id, trial_id ORDER BY t) AS burst FROM g),
 h AS (SELECT neuron_id, trial_id, t, CAST(burst AS BIGINT) AS burst, min(t) OVER (PARTITION BY neuron_id, trial_id, burst) AS head FROM b)
-SELECT neuron_id, trial_id, t, burst, head, greatest(0, least(CAST(floor(head / 25) * 25 AS BIGINT) + t - head, {BINS} - 25)) AS first FROM h""")
+SELECT neuron_id, trial_id, t, burst, head, greatest(0, least(CAST(floor(head / {burst_length}) * {burst_length} AS BIGINT) + t - head, {bins} - {burst_length})) AS first FROM h"""),
+    )}
+
+
+def correlogram(name: str, bins: int = BINS, window: int = WINDOW, **more: int) -> SqlOperator:
+    return correlograms(bins, window, **more)[name]
+
+
+firing_rate, ccg_pairs, ccg_normalised, omega_windows, gamma_windows = correlograms().values()
 
 burst_sizes = operator("spike_times", "SELECT neuron_id, trial_id, count(*) AS spikes, min(t) AS first, max(t) AS last, max(gap) AS longest_gap FROM (SELECT *, t - lag(t) OVER (PARTITION BY neuron_id, trial_id ORDER BY t) AS gap FROM {spikes}) s GROUP BY neuron_id, trial_id")
 
-# The first trials end to end, with blanks of 50 between them.
-raster = operator("raster", """
-WITH len AS (SELECT trial_id, 100 + (trial_id % 7) * 50 AS size FROM (SELECT DISTINCT trial_id FROM {spikes}) d),
-place AS (SELECT trial_id, size, coalesce(sum(size + 50) OVER (ORDER BY trial_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS base FROM len)
-SELECT s.neuron_id, s.trial_id, CAST(base + s.t AS BIGINT) AS at, n.area FROM {spikes} s JOIN place p ON s.trial_id = p.trial_id AND s.t < p.size JOIN {nodes} n ON n.node = s.neuron_id""")
+# Every spike of every neuron and trial with its place in the train and the gap before it (null for the first).
+spike_train = operator("spike_train", "SELECT neuron_id, trial_id, t, CAST(row_number() OVER (PARTITION BY neuron_id, trial_id ORDER BY t) AS BIGINT) AS place, CAST(t - lag(t) OVER (PARTITION BY neuron_id, trial_id ORDER BY t) AS BIGINT) AS gap FROM {spikes}")
+
+# All trials end to end, with blanks of 50 between them.
+raster = operator("raster", f"""
+WITH place AS (SELECT trial_id, (row_number() OVER (ORDER BY trial_id) - 1) * {BINS + 50} AS base FROM (SELECT DISTINCT trial_id FROM {{spikes}}) d)
+SELECT s.neuron_id, s.trial_id, CAST(base + s.t AS BIGINT) AS at, n.area FROM {{spikes}} s JOIN place p ON s.trial_id = p.trial_id JOIN {{nodes}} n ON n.node = s.neuron_id""")
 
 
 def surrogates(spikes: DataFrame, samples: int = 10, length: int = 25, bins: int = BINS, seed: int = 42, memory: bool = False, burst: int = 10) -> DataFrame:
@@ -87,7 +103,7 @@ def surrogates(spikes: DataFrame, samples: int = 10, length: int = 25, bins: int
                         now = low + min(int(np.searchsorted(line, rng.random() * line[-1], side="right")), length - 1)
                     if now in used:
                         free = [p for p in range(low, low + length) if p not in used]
-                        now = int(rng.choice(free)) if free else min((p for p in range(bins) if p not in used), key=lambda p: (abs(p - now), p))
+                        now = int(rng.choice(free)) if free else next(p for d in range(bins) for p in (now - d, now + d) if 0 <= p < bins and p not in used)
                     used.add(now)
                     out.append((s, neuron, trial, now))
         return pd.DataFrame(out, columns=["sample", "neuron_id", "trial_id", "t"])
@@ -95,26 +111,30 @@ def surrogates(spikes: DataFrame, samples: int = 10, length: int = 25, bins: int
     return spikes.groupBy("trial_id").applyInPandas(run, "sample int, neuron_id long, trial_id long, t long")
 
 
-def ccg_corrected(spikes: DataFrame, samples: int = 10, seed: int = 42, memory: bool = False) -> DataFrame:
-    """(src, dst, lag, ccg): the mean correlogram less that of jittered trains, by the original rates."""
+def ccg_corrected(spikes: DataFrame, samples: int = 10, seed: int = 42, memory: bool = False, bins: int = BINS, window: int = WINDOW, length: int = 25, burst: int = 10) -> DataFrame:
+    """(src, dst, lag, ccg): the mean correlogram of trials of ``bins`` at lags 0 to ``window``, less that of jittered trains, by the original rates.
+
+    ``length`` and ``burst`` are those of ``surrogates``.
+    """
     from pyspark.sql import functions as F
 
-    raw = ccg_normalised(spikes=spikes)
-    jittered = surrogates(spikes, samples, seed=seed, memory=memory)
-    rates = firing_rate(spikes=spikes)
+    ops = correlograms(bins, window)
+    raw = ops["ccg_normalised"](spikes=spikes)
+    jittered = surrogates(spikes, samples, length, bins, seed, memory, burst)
+    rates = ops["firing_rate"](spikes=spikes)
     many = jittered.select("neuron_id", (F.col("trial_id") * samples + F.col("sample")).alias("trial_id"), "t").dropDuplicates()
     trials = spikes.agg(F.countDistinct("trial_id").alias("trials"))
-    counts = ccg_pairs(spikes=many)
+    counts = ops["ccg_pairs"](spikes=many)
     f = lambda k: rates.select(F.col("neuron_id").alias(k), (F.col("spikes")).alias(f"n_{k}"))
     scaled = counts.join(f("src"), "src").join(f("dst"), "dst").crossJoin(trials)
-    rate = lambda c: F.col(c) / (F.col("trials") * BINS / 1000.0)
-    value = F.col("n") / (F.col("trials") * samples * (BINS - F.col("lag")) / 1000.0 * F.sqrt(rate("n_src") * rate("n_dst")))
+    rate = lambda c: F.col(c) / (F.col("trials") * bins / 1000.0)
+    value = F.col("n") / (F.col("trials") * samples * (bins - F.col("lag")) / 1000.0 * F.sqrt(rate("n_src") * rate("n_dst")))
     both = raw.join(scaled.select("src", "dst", "lag", value.alias("mean")), ["src", "dst", "lag"], "left")
     return both.select("src", "dst", "lag", F.round(F.col("ccg") - F.coalesce("mean", F.lit(0.0)), 6).alias("ccg"))
 
 
-def network(spikes: DataFrame, samples: int = 10, seed: int = 42, memory: bool = False, level: float = 2.5, maxlag: int = 12, max_duration: int = 6) -> DataFrame:
+def network(spikes: DataFrame, samples: int = 10, seed: int = 42, memory: bool = False, level: float = 2.5, maxlag: int = 12, max_duration: int = 6, bins: int = BINS, window: int = WINDOW, length: int = 25) -> DataFrame:
     """From spikes to edges: the significant peaks and intervals of the jitter-corrected correlograms (src, dst, weight, confidence, edge_offset, duration)."""
     from .detect import detector
 
-    return detector("significant_ccg", level, maxlag, max_duration)(ccg=ccg_corrected(spikes, samples, seed, memory).withColumnRenamed("ccg", "value"))
+    return detector("significant_ccg", level, maxlag, max_duration)(ccg=ccg_corrected(spikes, samples, seed, memory, bins, window, length).withColumnRenamed("ccg", "value"))

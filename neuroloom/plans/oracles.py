@@ -62,6 +62,16 @@ WHERE x.m.lag <> 0 OR y.src IS NULL OR y.m.lag <> 0 OR x.m.d < y.m.d""",
     "ccg_zscore": f"""{_SUMS}, b AS (SELECT src, dst, {_FIRST.format(z="z1", lag="lag1", v="v1")} AS m FROM e GROUP BY src, dst) SELECT l.src, l.dst, round(coalesce(m.z, 0), 6) AS z, round(coalesce(m.v, 0), 6) AS value, coalesce(m.d, 0) AS duration FROM l LEFT JOIN b USING (src, dst)""",
     "firing_rate": "n AS (SELECT len(list_distinct(list(trial_id))) AS n FROM spikes) SELECT neuron_id, len(list(t)) AS spikes, round(len(list(t)) / (any_value(n) * 1.44), 6) AS rate FROM spikes, n GROUP BY neuron_id",
     "ccg_pairs": "x AS (SELECT 1) SELECT a.neuron_id AS src, b.neuron_id AS dst, b.t - a.t AS lag, count(*) AS n FROM spikes a JOIN spikes b USING (trial_id) WHERE b.t >= a.t AND b.t <= a.t + 100 AND a.neuron_id <> b.neuron_id GROUP BY ALL",
+    "spike_train": "x AS (SELECT neuron_id, trial_id, list_sort(list(t)) AS ts FROM spikes GROUP BY ALL), p AS (SELECT *, unnest(range(1, len(ts) + 1)) AS place FROM x) SELECT neuron_id, trial_id, ts[place] AS t, place, if(place = 1, NULL, ts[place] - ts[place - 1]) AS gap FROM p",
+    "raster": "d AS (SELECT list_sort(list_distinct(list(trial_id))) AS ds FROM spikes) SELECT neuron_id, trial_id, 1490 * (list_position(ds, trial_id) - 1) + t AS at, area FROM spikes, d, nodes WHERE node = neuron_id",
+    "gamma_windows": """x AS (SELECT neuron_id, trial_id, list_sort(list(t)) AS ts FROM spikes GROUP BY ALL), p AS (SELECT *, unnest(ts) AS t FROM x),
+h AS (SELECT neuron_id, trial_id, t, list_filter(ts, lambda v, i: i = 1 OR v - ts[i - 1] > 10) AS heads FROM p),
+y AS (SELECT *, len(list_filter(heads, lambda v: v <= t)) AS burst, list_max(list_filter(heads, lambda v: v <= t)) AS head FROM h)
+SELECT neuron_id, trial_id, t, burst, head, greatest(0, least(head // 25 * 25 + t - head, 1415)) AS first FROM y""",
+    "ccg_normalised": """tr AS (SELECT len(list_distinct(list(trial_id))) AS trials FROM spikes), f AS (SELECT neuron_id, count(*) * 1.0e0 AS n FROM spikes GROUP BY neuron_id),
+p AS (SELECT a.neuron_id AS src, b.neuron_id AS dst, b.t - a.t AS lag, count(*) AS n FROM spikes a JOIN spikes b USING (trial_id) WHERE b.t - a.t BETWEEN 0 AND 100 GROUP BY ALL)
+SELECT a.neuron_id AS src, b.neuron_id AS dst, lag, round(coalesce(p.n, 0) * 1440.0e0 / ((1440 - lag) * sqrt(a.n * b.n)), 6) AS ccg
+FROM f a JOIN f b ON a.neuron_id <> b.neuron_id CROSS JOIN (SELECT unnest(range(0, 101)) AS lag) l LEFT JOIN p ON p.src = a.neuron_id AND p.dst = b.neuron_id AND p.lag = l.lag""",
     "omega_windows": "x AS (SELECT 1) SELECT neuron_id, trial_id, t, if(t < 2, 0, if(t > 1437, 1435, t - 2)) AS first, if(t < 2, 0, if(t > 1437, 1435, t - 2)) + 4 AS last FROM spikes",
     "pair_connection": f"{_GRID} SELECT session, stimulus, round(avg(CAST(wf IS NULL AND wb IS NULL AS INT)), 6) AS p0, round(avg(CAST((wf IS NULL) <> (wb IS NULL) AS INT)), 6) AS p1, round(avg(CAST(wf IS NOT NULL AND wb IS NOT NULL AS INT)), 6) AS p2 FROM ab WHERE a < b GROUP BY ALL",
     "signed_pair_unordered": f"{_GRID}, {_SHARE} SELECT session, stimulus, {_SIX} FROM sh",

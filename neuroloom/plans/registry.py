@@ -9,9 +9,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import stats
-from ..operators import centrality, detect, graph, modules, motifs, nullmodels, paths, simulate, spikes
+from ..operators import centrality, communities, detect, graph, modules, motifs, nullmodels, paths, simulate, spikes
 from ..operators.sql import SqlOperator
 from ..sources.tables import BASE, load
+from ..staging import staged
 from . import oracles
 
 OPERATORS: dict[str, SqlOperator] = {
@@ -42,8 +43,20 @@ def _null_z(name: str):
     return lambda spark, d: motifs.null_z(name, load(spark, d, "edges"), load(spark, d, "nodes"), **{k: load(spark, d, k) for k in more})
 
 
+def _energies(then):
+    return lambda spark, d: then(staged(communities.energies(load(spark, d, "edges"), load(spark, d, "nodes")), "energies"))
+
+
+def _louvain_purity(spark, d):
+    """Purity and coverage of areas of every partition found, instead of the given ones."""
+    comms, names = communities.numbered(staged(communities.louvain(load(spark, d, "edges"), load(spark, d, "nodes")), "partitions"))
+    return modules.purity_coverage(comms=comms, nodes=load(spark, d, "nodes")).join(names, "run").select("session", "stimulus", F.col("of").alias("run"), "nodes", "purity", "coverage")
+
+
 #: Iterative, random or with p-values: beyond SQL, held against invariants and brute force in tests.
 OTHERS = {
+    "louvain_communities": lambda s, d: communities.louvain(load(s, d, "edges"), load(s, d, "nodes")).withColumn("energy", F.round("energy", 6)),
+    "louvain_resolution": _energies(communities.resolution), "louvain_modularity_z": _energies(communities.modularity_z), "louvain_purity": _louvain_purity,
     "surrogates": lambda s, d: spikes.surrogates(load(s, d, "spikes")),
     "ccg_corrected": lambda s, d: spikes.ccg_corrected(load(s, d, "spikes")),
     "er_graph": _nulls("random"), "degree_graph": _nulls("degree"), "pair_graph": _nulls("pair"), "signed_pair_graph": _nulls("signed_pair"), "verify_null": _verified,
