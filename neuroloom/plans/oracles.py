@@ -93,6 +93,8 @@ SELECT x.session, x.stimulus, round(avg(CAST(z.a IS NOT NULL AS INT)), 6) AS tra
 sg AS (SELECT session, stimulus, v, u, w, kind || min(list_aggregate([CASE WHEN x = 7 THEN '' WHEN six[x] > 0 THEN '+' ELSE '-' END FOR x IN [s1, s2, s3, s4, s5, s6]], 'string_agg', '')) AS smt, any_value(list_product([abs(x) FOR x IN ws]) ** (1 / len(ws))) AS g, any_value(list_avg([abs(x) FOR x IN ws])) AS m FROM co JOIN k USING (code) GROUP BY session, stimulus, v, u, w, kind)
 SELECT session, stimulus, v, u, w, smt, round(g, 6) AS intensity, round(g / m, 6) AS coherence FROM sg""",
     "short_cycles": """wk AS (SELECT session, stimulus, [src, dst] AS way FROM edges WHERE src < dst UNION ALL SELECT wk.session, wk.stimulus, list_append(way, e.dst) FROM wk JOIN edges e ON e.session = wk.session AND e.stimulus = wk.stimulus AND e.src = way[-1] AND e.dst > way[1] AND NOT list_contains(way, e.dst) WHERE len(way) < 4)
+SELECT wk.session, wk.stimulus, CAST(len(way) AS BIGINT) AS size, count(*) AS cycles FROM wk JOIN edges e ON e.session = wk.session AND e.stimulus = wk.stimulus AND e.src = way[-1] AND e.dst = way[1] GROUP BY ALL""",
+    "cycles": """wk AS (SELECT session, stimulus, [src, dst] AS way FROM edges WHERE src < dst UNION ALL SELECT wk.session, wk.stimulus, list_append(way, e.dst) FROM wk JOIN edges e ON e.session = wk.session AND e.stimulus = wk.stimulus AND e.src = way[-1] AND e.dst > way[1] AND NOT list_contains(way, e.dst) WHERE len(way) < 5)
 SELECT wk.session, wk.stimulus, CAST(len(way) AS BIGINT) AS size, count(*) AS cycles FROM wk JOIN edges e ON e.session = wk.session AND e.stimulus = wk.stimulus AND e.src = way[-1] AND e.dst = way[1] GROUP BY ALL""",
     "distances": f"{_HOPS} SELECT * FROM dist",
     "flow_hierarchy": f"{_HOPS} SELECT e.session, e.stimulus, round(avg(if(d.hops IS NULL, 1, 0)), 6) AS hierarchy FROM edges e LEFT JOIN dist d ON (d.session, d.stimulus, d.src, d.dst) = (e.session, e.stimulus, e.dst, e.src) GROUP BY ALL",
@@ -113,6 +115,8 @@ SELECT stimulus, class, CAST(step AS BIGINT) AS step, round(list_sum([exp(-0.5 *
     "signal_corr_connected": "x AS (SELECT 1) SELECT session, stimulus, src, dst, r, CAST(weight > 0 AS INT) AS positive, CAST(weight < 0 AS INT) AS negative FROM edges JOIN scorr ON (i, j) = (least(src, dst), greatest(src, dst)) WHERE r IS NOT NULL",
 }
 
+TEXTS |= {f"{k}_sketch" if k == "closeness" else "path_sketch": TEXTS[k] for k in ("closeness", "path_metrics")}  # few nodes: sketches count exactly
+
 
 def texts() -> dict[str, str]:
     out = {}

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import stats
-from ..operators import centrality, communities, detect, graph, modules, motifs, nullmodels, paths, simulate, spikes
+from ..operators import centrality, communities, cycles, detect, graph, modules, motifs, nullmodels, paths, ranks, rewiring, simulate, sketches, spikes
 from ..operators.sql import SqlOperator
 from ..sources.tables import BASE, load
 from ..staging import staged
@@ -43,6 +43,11 @@ def _null_z(name: str):
     return lambda spark, d: motifs.null_z(name, load(spark, d, "edges"), load(spark, d, "nodes"), **{k: load(spark, d, k) for k in more})
 
 
+def _rank_sum(spark, d):
+    edges = load(spark, d, "edges").select("session", "confidence", (F.col("weight") > 0).alias("plus"))
+    return ranks.rank_sum(edges, ["session"], "confidence", "plus")
+
+
 def _energies(then):
     return lambda spark, d: then(staged(communities.energies(load(spark, d, "edges"), load(spark, d, "nodes")), "energies"))
 
@@ -55,6 +60,12 @@ def _louvain_purity(spark, d):
 
 #: Iterative, random or with p-values: beyond SQL, held against invariants and brute force in tests.
 OTHERS = {
+    "curveball_graph": lambda s, d: rewiring.curveball(load(s, d, "edges")),
+    "small_world": lambda s, d: rewiring.small_world(load(s, d, "edges")),
+    "cycles": lambda s, d: cycles.cycles(load(s, d, "edges"), 5),
+    "path_sketch": lambda s, d: sketches.path_sketch(load(s, d, "edges"), load(s, d, "nodes")),
+    "closeness_sketch": lambda s, d: sketches.closeness_sketch(load(s, d, "edges"), load(s, d, "nodes")),
+    "rank_sum": _rank_sum, "rank_sum_p": lambda s, d: stats.with_p_values(_rank_sum(s, d)),
     "louvain_communities": lambda s, d: communities.louvain(load(s, d, "edges"), load(s, d, "nodes")).withColumn("energy", F.round("energy", 6)),
     "louvain_resolution": _energies(communities.resolution), "louvain_modularity_z": _energies(communities.modularity_z), "louvain_purity": _louvain_purity,
     "surrogates": lambda s, d: spikes.surrogates(load(s, d, "spikes")),
@@ -78,7 +89,6 @@ OTHERS = {
     "flow_hierarchy": lambda s, d: paths.flow_hierarchy(load(s, d, "edges")),
     "t_test_p": lambda s, d: stats.with_p_values(stats.t_test(edges=load(s, d, "edges"))),
     "z_test_p": lambda s, d: stats.with_p_values(stats.z_test(edges=load(s, d, "edges"))),
-    "rank_sum_p": lambda s, d: stats.with_p_values(stats.rank_sum(edges=load(s, d, "edges"))),
     "mean_interval": lambda s, d: stats.confidence_interval(load(s, d, "edges"), ["session", "stimulus"], "weight"),
     "bootstrap_median": lambda s, d: stats.bootstrap_median(load(s, d, "edges"), ["session", "stimulus"], "weight"),
     "simulated_spikes": lambda s, d: simulate.izhikevich(s, [(0, 1, 10000.0, 3)], 2),
