@@ -70,7 +70,7 @@ y AS (SELECT *, len(list_filter(heads, lambda v: v <= t)) AS burst, list_max(lis
 SELECT neuron_id, trial_id, t, burst, head, greatest(0, least(head // 25 * 25 + t - head, 1415)) AS first FROM y""",
     "ccg_normalised": """tr AS (SELECT len(list_distinct(list(trial_id))) AS trials FROM spikes), f AS (SELECT neuron_id, count(*) * 1.0e0 AS n FROM spikes GROUP BY neuron_id),
 p AS (SELECT a.neuron_id AS src, b.neuron_id AS dst, b.t - a.t AS lag, count(*) AS n FROM spikes a JOIN spikes b USING (trial_id) WHERE b.t - a.t BETWEEN 0 AND 100 GROUP BY ALL)
-SELECT a.neuron_id AS src, b.neuron_id AS dst, lag, round(coalesce(p.n, 0) * 1440.0e0 / ((1440 - lag) * sqrt(a.n * b.n)), 6) AS ccg
+SELECT a.neuron_id AS src, b.neuron_id AS dst, l.lag, round(coalesce(p.n, 0) * 1440.0e0 / ((1440 - l.lag) * sqrt(a.n * b.n)), 6) AS ccg
 FROM f a JOIN f b ON a.neuron_id <> b.neuron_id CROSS JOIN (SELECT unnest(range(0, 101)) AS lag) l LEFT JOIN p ON p.src = a.neuron_id AND p.dst = b.neuron_id AND p.lag = l.lag""",
     "omega_windows": "x AS (SELECT 1) SELECT neuron_id, trial_id, t, if(t < 2, 0, if(t > 1437, 1435, t - 2)) AS first, if(t < 2, 0, if(t > 1437, 1435, t - 2)) + 4 AS last FROM spikes",
     "pair_connection": f"{_GRID} SELECT session, stimulus, round(avg(CAST(wf IS NULL AND wb IS NULL AS INT)), 6) AS p0, round(avg(CAST((wf IS NULL) <> (wb IS NULL) AS INT)), 6) AS p1, round(avg(CAST(wf IS NOT NULL AND wb IS NOT NULL AS INT)), 6) AS p2 FROM ab WHERE a < b GROUP BY ALL",
