@@ -9,6 +9,7 @@ import re
 
 from ..operators.triad_table import table_sql
 from ..sources.tables import BASE
+from . import motif_oracles
 
 _LAG, _LONG, _LEVEL = 12, 6, 2.5
 
@@ -117,6 +118,8 @@ SELECT stimulus, class, CAST(step AS BIGINT) AS step, round(list_sum([exp(-0.5 *
 
 TEXTS |= {f"{k}_sketch" if k == "closeness" else "path_sketch": TEXTS[k] for k in ("closeness", "path_metrics")}  # few nodes: sketches count exactly
 
+TEXTS |= motif_oracles.TEXTS
+
 
 def texts() -> dict[str, str]:
     out = {}
