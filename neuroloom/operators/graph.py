@@ -71,18 +71,21 @@ WITH g AS (SELECT DISTINCT session, stimulus FROM {edges}), o AS (SELECT session
 SELECT g.session, g.stimulus, node, coalesce(i.n, 0) AS in_degree, coalesce(o.n, 0) AS out_degree FROM g CROSS JOIN {nodes}
 LEFT JOIN o ON o.session = g.session AND o.stimulus = g.stimulus AND o.src = node LEFT JOIN i ON i.session = g.session AND i.stimulus = g.stimulus AND i.dst = node""")
 
-# (A + A^T)^3 / (2 (d (d - 1) - 2 b)): weights of undirected pairs are 1 or 2, b counts mutual partners.
-_SYM = """u AS (SELECT session, stimulus, a, b, count(*) AS w FROM (SELECT session, stimulus, src AS a, dst AS b FROM {edges} UNION ALL SELECT session, stimulus, dst, src FROM {edges}) x GROUP BY session, stimulus, a, b),
-tri AS (SELECT x.session, x.stimulus, x.a AS node, CAST(sum(x.w * y.w * z.w) AS BIGINT) AS t FROM u x JOIN u y ON x.session = y.session AND x.stimulus = y.stimulus AND x.b = y.a
-  JOIN u z ON z.session = y.session AND z.stimulus = y.stimulus AND z.a = y.b AND z.b = x.a GROUP BY x.session, x.stimulus, x.a),
-deg AS (SELECT session, stimulus, a AS node, CAST(sum(w) AS BIGINT) AS d, CAST(sum(CASE WHEN w = 2 THEN 1 ELSE 0 END) AS BIGINT) AS m FROM u GROUP BY session, stimulus, a)"""
-clustering = operator("clustering", f"""WITH {_SYM}, {_N}
+# Triangles once each: a pair goes up from the node with fewer partners, so that a hub is the middle of few wedges.
+_UP = """u AS (SELECT session, stimulus, a, b, count(*) AS w FROM (SELECT session, stimulus, src AS a, dst AS b FROM {edges} UNION ALL SELECT session, stimulus, dst, src FROM {edges}) x GROUP BY session, stimulus, a, b),
+deg AS (SELECT session, stimulus, a AS node, CAST(sum(w) AS BIGINT) AS d, CAST(sum(CASE WHEN w = 2 THEN 1 ELSE 0 END) AS BIGINT) AS m, count(*) AS partners FROM u GROUP BY session, stimulus, a),
+up AS (SELECT u.session, u.stimulus, a, b, w FROM u JOIN deg p ON p.session = u.session AND p.stimulus = u.stimulus AND p.node = a JOIN deg q ON q.session = u.session AND q.stimulus = u.stimulus AND q.node = b
+  WHERE p.partners < q.partners OR p.partners = q.partners AND a < b),
+tri AS (SELECT x.session, x.stimulus, x.a AS n1, x.b AS n2, y.b AS n3, x.w * y.w * z.w AS t FROM up x JOIN up y ON x.session = y.session AND x.stimulus = y.stimulus AND x.a = y.a AND x.b <> y.b
+  JOIN up z ON z.session = x.session AND z.stimulus = x.stimulus AND z.a = x.b AND z.b = y.b)"""
+# (A + A^T)^3 / (2 (d (d - 1) - 2 b)): weights of undirected pairs are 1 or 2, b counts mutual partners; each triangle is met from both sides.
+clustering = operator("clustering", f"""WITH {_UP}, {_N},
+own AS (SELECT session, stimulus, node, CAST(2 * sum(t) AS BIGINT) AS t FROM (SELECT session, stimulus, n1 AS node, t FROM tri UNION ALL SELECT session, stimulus, n2, t FROM tri UNION ALL SELECT session, stimulus, n3, t FROM tri) x GROUP BY session, stimulus, node)
 SELECT deg.session, deg.stimulus, round(sum(coalesce(t, 0) / (2.0 * nullif(d * (d - 1) - 2 * m, 0))) / max(n), 6) AS clustering
-FROM deg LEFT JOIN tri ON tri.session = deg.session AND tri.stimulus = deg.stimulus AND tri.node = deg.node CROSS JOIN k GROUP BY deg.session, deg.stimulus""")
-transitivity = operator("transitivity", """
-WITH u AS (SELECT DISTINCT session, stimulus, a, b FROM (SELECT session, stimulus, src AS a, dst AS b FROM {edges} UNION ALL SELECT session, stimulus, dst, src FROM {edges}) x),
-w AS (SELECT session, stimulus, CAST(sum(d * (d - 1)) AS BIGINT) AS wedges FROM (SELECT session, stimulus, a, count(*) AS d FROM u GROUP BY session, stimulus, a) q GROUP BY session, stimulus),
-t AS (SELECT x.session, x.stimulus, count(*) AS closed FROM u x JOIN u y ON x.session = y.session AND x.stimulus = y.stimulus AND x.b = y.a JOIN u z ON z.session = y.session AND z.stimulus = y.stimulus AND z.a = y.b AND z.b = x.a GROUP BY x.session, x.stimulus)
+FROM deg LEFT JOIN own ON own.session = deg.session AND own.stimulus = deg.stimulus AND own.node = deg.node CROSS JOIN k GROUP BY deg.session, deg.stimulus""")
+transitivity = operator("transitivity", f"""WITH {_UP},
+w AS (SELECT session, stimulus, CAST(sum(partners * (partners - 1)) AS BIGINT) AS wedges FROM deg GROUP BY session, stimulus),
+t AS (SELECT session, stimulus, 6 * count(*) AS closed FROM tri GROUP BY session, stimulus)
 SELECT w.session, w.stimulus, round(coalesce(closed, 0) / CAST(wedges AS DOUBLE), 6) AS transitivity FROM w LEFT JOIN t ON w.session = t.session AND w.stimulus = t.stimulus""")
 reciprocity = operator("reciprocity", """
 SELECT a.session, a.stimulus, round(count(b.src) / CAST(count(*) AS DOUBLE), 6) AS reciprocity FROM {edges} a LEFT JOIN {edges} b ON a.session = b.session AND a.stimulus = b.stimulus AND a.src = b.dst AND a.dst = b.src GROUP BY a.session, a.stimulus""")

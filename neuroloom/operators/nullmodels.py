@@ -61,7 +61,8 @@ def _rewired(src, dst, weight, model, swaps, rng):
                 break
             in_vain = 0
         k = rng.choice(len(count), 4096, p=count**2 / pairs)
-        for i, j in members[first[k] + rng.integers(0, count[k], (2, 4096))].T.tolist():
+        drawn = members[first[k] + rng.integers(0, count[k], (2, 4096))]
+        for i, j, other_end in np.vstack([drawn, rng.integers(0, 2, 4096)]).T.tolist():
             if done >= swaps:
                 break
             moved = moves(i, j)
@@ -74,6 +75,11 @@ def _rewired(src, dst, weight, model, swaps, rng):
             for e, x, y in moved:
                 src[e], dst[e] = x, y
                 where[x * size + y] = e
+            if other_end:  # weights stay with either end of what is swapped, a mutual pair's together
+                weight[[i, j]] = weight[[j, i]]
+            elif len(moved) == 4:
+                back, far = moved[2][0], moved[3][0]
+                weight[[back, far]] = weight[[far, back]]
             done += len(moved) // 2
     src, dst = ids[src], ids[dst]
     return src, dst, weight if model == "signed_pair" else rng.permutation(weight), done

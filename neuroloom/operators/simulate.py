@@ -75,7 +75,8 @@ def izhikevich_variable(spark: SparkSession, links: list[tuple[int, int, float]]
 
 
 def random_delays(edges: DataFrame, low: int = 2, high: int = 5, seed: int = 0) -> DataFrame:
-    return edges.withColumn("delay", (F.floor(F.rand(seed) * (high - low + 1)) + low).cast("int"))
+    """A delay from ``low`` to ``high`` for every edge, by a hash of its columns: the same whatever the partitions; repeated rows have the same one."""
+    return edges.withColumn("delay", (F.pmod(F.xxhash64(F.lit(seed), *edges.columns), F.lit(high - low + 1)) + low).cast("int"))
 
 
 def random_adjacency(spark: SparkSession, n: int, inhibitory: float = 0.2, p: float = 0.1, seed: int = 0) -> DataFrame:

@@ -95,6 +95,11 @@ SELECT session, stimulus, round(corr(s[1], t[2]), 6) AS out_in, round(corr(s[2],
     "t_test": f"s AS ({_SPLIT}) SELECT session, coalesce(len(x), 0) + coalesce(len(y), 0) - 2 AS df, round({_T}, 5) AS t FROM s",
     "z_test": f"s AS ({_SPLIT}) SELECT session, round({_T}, 5) AS z, round(list_avg(x) - list_avg(y), 6) AS difference FROM s",
     "weight_shuffle": f"{_KINDS} SELECT session, stimulus, src, dst, weight FROM kinds WHERE kind = 'drawn'",
+    "median_interval": """l AS (SELECT session, stimulus, list_sort(list(weight)) AS ws, count(*) AS n FROM edges GROUP BY ALL),
+r AS (SELECT session, stimulus, ws, n, unnest(ws) AS x FROM l), s AS (SELECT *, len(list_filter(ws, lambda v: v <= x)) / n AS p FROM r),
+t AS (SELECT session, stimulus, n, x, [if(p = 1, 1, list_sum([exp(lgamma(n + 1) - lgamma(k + 1) - lgamma(n - k + 1) + k * ln(p) + (n - k) * ln(1 - p)) FOR k IN range(m::BIGINT, n + 1)])) FOR m IN [(n + 1) // 2, n // 2 + 1]] AS tails FROM s),
+b AS (SELECT session, stimulus, n, [[min(x) FILTER (WHERE tails[1] >= 0.025), min(x) FILTER (WHERE tails[2] >= 0.025)], [min(x) FILTER (WHERE tails[1] >= 0.975), min(x) FILTER (WHERE tails[2] >= 0.975)]] AS b FROM t GROUP BY ALL)
+SELECT session, stimulus, n, round((SELECT median(weight) FROM edges e WHERE (e.session, e.stimulus) = (b.session, b.stimulus)), 6) AS median, round(list_avg(b[1]), 6) AS low, round(list_avg(b[2]), 6) AS high FROM b""",
     "motif_sign": f"{_NAMED} SELECT session, stimulus, v, u, w, smt FROM named",
     "motif_census": f"{_CENSUS} SELECT session, stimulus, smt, n, round(intensity, 6) AS intensity, round(coherence, 6) AS coherence FROM census",
     "motif_ids": f"{_IDS} SELECT * FROM ids",

@@ -65,6 +65,7 @@ OTHERS = {
     "cycles": lambda s, d: cycles.cycles(load(s, d, "edges"), 5),
     "path_sketch": lambda s, d: sketches.path_sketch(load(s, d, "edges"), load(s, d, "nodes")),
     "closeness_sketch": lambda s, d: sketches.closeness_sketch(load(s, d, "edges"), load(s, d, "nodes")),
+    "median_interval": lambda s, d: stats.median_interval(load(s, d, "edges"), ["session", "stimulus"], "weight"),
     "rank_sum": _rank_sum, "rank_sum_p": lambda s, d: stats.with_p_values(_rank_sum(s, d)),
     "louvain_communities": lambda s, d: communities.louvain(load(s, d, "edges"), load(s, d, "nodes")).withColumn("energy", F.round("energy", 6)),
     "louvain_resolution": _energies(communities.resolution), "louvain_modularity_z": _energies(communities.modularity_z), "louvain_purity": _louvain_purity,

@@ -178,3 +178,30 @@ def test_betweenness_by_messages_is_that_by_groups(spark):
     assert want.keys() == got.keys() and len(want) == 26
     assert all(got[k] == pytest.approx(want[k], abs=1e-8) for k in want) and max(want.values()) > 0.05
     assert got["b", 1] == got["b", 3] == pytest.approx(0.5 / (12 * 11), abs=1e-8)
+
+
+def test_shapiro_and_medians_on_any_number_of_partitions(spark):
+    from neuroloom.functions import stats
+
+    rng = np.random.default_rng(12)
+    rows = [("a", float(v)) for v in rng.normal(size=61)] + [("b", float(v)) for v in rng.exponential(size=400).round(2)] + [("c", 1.0), ("c", 2.0), ("c", 4.0), ("d", 5.0), ("d", None), ("e", float("nan"))] + [("f", 3.0)] * 9 + [("g", float(i % 5)) for i in range(4)]
+    df = spark.createDataFrame(rows, "k string, v double")
+    by = defaultdict(list)
+    for k, v in rows:
+        if v is not None and v == v:
+            by[k].append(v)
+    for parts in (1, 40):
+        got = {r.k: r for r in stats.shapiro(df.repartition(parts), ["k"], "v").collect()}
+        assert got.keys() == by.keys()
+        for k, x in by.items():
+            want = stats.shapiro_wilk(x)
+            assert got[k].n == len(x) and got[k].in_range == (3 <= len(x) <= 5000)
+            assert (got[k].w, got[k].p) == ((None, None) if want[0] != want[0] else pytest.approx(want, abs=1e-9))
+        m = {r.k: r for r in stats.median_interval(df.repartition(parts), ["k"], "v").collect()}
+        assert m.keys() == by.keys()
+        for k, x in by.items():
+            assert m[k].n == len(x) and m[k].median == pytest.approx(np.median(x), abs=1e-6)
+            draws = np.median(np.array(x)[rng.integers(0, len(x), (20_000, len(x)))], axis=1)
+            gap = (max(x) - min(x)) / len(x) * 2 + 0.02 if len(x) > 10 else max(x) - min(x) + 1e-9
+            assert m[k].low == pytest.approx(np.quantile(draws, 0.025), abs=gap) and m[k].high == pytest.approx(np.quantile(draws, 0.975), abs=gap)
+    assert stats.binomial_tail.func(*(np.array([x]) for x in (0.5, 50_000_001.0, 100_000_001.0)))[0] == pytest.approx(0.5, abs=1e-6)
