@@ -131,8 +131,11 @@ def replica_census(replicas: DataFrame) -> DataFrame:
 
 
 def null_z(name: str, edges: DataFrame, nodes: DataFrame, model: str = "signed_pair", replicas: int = 200, **more: DataFrame) -> DataFrame:
-    """One of ``NULL_Z`` for every graph against its own replicas; ``more``: further tables that it reads."""
-    graphs = nullmodels.random_graphs(edges, nodes, model, replicas)
+    """One of ``NULL_Z`` for every graph against its own replicas; ``more``: further tables that it reads.
+
+    ``model``: one of ``nullmodels.random_graphs``, or 'dealt' for weights dealt anew by an arithmetic hash.
+    """
+    graphs = nullmodels.dealt_weights(replicas)(edges=edges) if model == "dealt" else nullmodels.random_graphs(edges, nodes, model, replicas)
     return NULL_Z[name](census=motif_census(edges=edges), replicas=replica_census(graphs), edges=edges, nodes=nodes, **more)
 
 

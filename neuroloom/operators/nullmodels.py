@@ -184,3 +184,15 @@ weight_shuffle = operator("weight_shuffle", """
 WITH a AS (SELECT session, stimulus, src, dst, row_number() OVER (PARTITION BY session, stimulus ORDER BY (src * 7919 + dst * 104729) % 1009, src, dst) AS k FROM {edges}),
 b AS (SELECT session, stimulus, weight, row_number() OVER (PARTITION BY session, stimulus ORDER BY src, dst) AS k FROM {edges})
 SELECT a.session, a.stimulus, src, dst, weight FROM a JOIN b ON a.session = b.session AND a.stimulus = b.stimulus AND a.k = b.k""")
+
+
+def dealt_weights(replicas: int = 97):
+    """(session, stimulus, rep, src, dst, weight): every graph with its weights dealt anew ``replicas`` times, in the order of an arithmetic hash that any engine repeats."""
+    return operator("dealt_weights", f"""
+WITH r AS (SELECT SERIES(0, {replicas - 1}) AS rep),
+a AS (SELECT session, stimulus, rep, src, dst, row_number() OVER (PARTITION BY session, stimulus, rep ORDER BY (src * 7919 + dst * 104729 + (rep + 1) * (src * 613 + dst * 389 + 1)) % 10007 * (rep + 37) % 9973, src, dst) AS k FROM {{edges}} CROSS JOIN r),
+b AS (SELECT session, stimulus, weight, row_number() OVER (PARTITION BY session, stimulus ORDER BY src, dst) AS k FROM {{edges}})
+SELECT a.session, a.stimulus, CAST(rep AS INT) AS rep, src, dst, weight FROM a JOIN b ON a.session = b.session AND a.stimulus = b.stimulus AND a.k = b.k""")
+
+
+dealt = dealt_weights()

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from itertools import permutations
 
 from ..operators.triad_table import EDGE_ORDER, ROLES, vocabulary
@@ -75,6 +76,19 @@ h AS MATERIALIZED (SELECT kind, session, stimulus, run, pos, neg, sum(abs(weight
 cell AS (SELECT session, stimulus, pos, neg, (avg(h) FILTER (WHERE kind = 'drawn') - avg(h) FILTER (WHERE kind = 'real')) AS gap FROM h GROUP BY ALL),
 best AS (SELECT session, stimulus, list((-round(gap, 6), pos, neg, gap) ORDER BY -round(gap, 6), pos, neg)[1] AS b FROM cell GROUP BY ALL)"""
 
+# Every graph with its weights in 97 other orders (a mean of as many has no tie at six digits), as graphs of their own named rep:stimulus, and Z against them.
+_DEALT = """orders AS (SELECT session, stimulus, rep, list((src, dst) ORDER BY (src * 7919 + dst * 104729 + (rep + 1) * (src * 613 + dst * 389 + 1)) % 10007 * (rep + 37) % 9973, src, dst) AS way FROM edges, range(0, 97) t(rep) GROUP BY ALL),
+given AS (SELECT session, stimulus, list(weight ORDER BY src, dst) AS ws FROM edges GROUP BY ALL),
+dealt AS MATERIALIZED (SELECT session, stimulus, rep, p[1] AS src, p[2] AS dst, weight FROM (SELECT session, stimulus, rep, unnest(way) AS p, unnest(ws) AS weight FROM orders JOIN given USING (session, stimulus)))"""
+_NULLS = f"""{_DEALT}, replicas AS (SELECT session, rep || ':' || stimulus AS stimulus, src, dst, weight FROM dealt),
+{re.sub(r"(graphs|weights|joined|triples|laid|named|census)(?= |,|$)", r"replica_\1", _CENSUS.replace("FROM edges", "FROM replicas").replace("JOIN edges", "JOIN replicas"))},
+{_CENSUS},
+told AS MATERIALIZED (SELECT session, stimulus, smt, n, round(intensity, 6) AS intensity FROM census),
+lists AS MATERIALIZED (SELECT session, split_part(stimulus, ':', 2) AS stimulus, smt, list(round(intensity, 6)) AS xs, sum(n) AS seen FROM replica_census GROUP BY ALL),
+moments AS (SELECT c.session, c.stimulus, c.smt, c.n, c.intensity, list_avg(xs) AS mean, if(list_max(xs) = 0, list_stddev_pop(list_append(list_resize([0.0e0], len(xs) - 1, 0.0e0), 4.0e0)), list_stddev_samp(xs)) AS dev FROM told c JOIN lists USING (session, stimulus, smt)),
+zs AS MATERIALIZED (SELECT *, if(dev > 0.000001, (intensity - mean) / dev, NULL) AS z FROM moments)"""
+_GIVEN = "['030T+++', '120D++++', '120U++++', '120C++++', '210+++++', '300++++++']"
+
 _SPLIT = "SELECT session, list(confidence) FILTER (WHERE weight > 0) AS x, list(confidence) FILTER (WHERE weight < 0) AS y FROM edges GROUP BY session"
 _T = "(list_avg(x) - list_avg(y)) / sqrt(((len(x) - 1) * list_var_samp(x) + (len(y) - 1) * list_var_samp(y)) / (len(x) + len(y) - 2) * (1 / len(x) + 1 / len(y)))"
 
@@ -138,6 +152,29 @@ FROM scorr, side, (SELECT session, stimulus, list((src, dst)) AS es FROM edges G
     "threshold_curve": f"""{_LINKED}, c AS (SELECT combined, list(purity) AS ps, list(coverage) AS cs FROM linked JOIN {_COMBINED} USING (stimulus) GROUP BY combined),
 g AS (SELECT combined, count(DISTINCT (session, stimulus)) * (SELECT count(DISTINCT run) FROM comms) AS n FROM edges JOIN {_COMBINED} USING (stimulus) GROUP BY combined)
 SELECT combined, step::BIGINT AS step, round(len(list_filter(ps, lambda x: x >= step / 10)) / n, 6) AS purity, round(len(list_filter(cs, lambda x: x >= step / 10)) / n, 6) AS coverage FROM c JOIN g USING (combined), range(0, 11) t(step)""",
+    "dealt_weights": f"{_DEALT} SELECT session, stimulus, rep::INT AS rep, src, dst, weight FROM dealt",
+    "dealt_zscore": f"{_NULLS} SELECT session, stimulus, smt, round(intensity, 6) AS intensity, round(mean, 6) AS mean, round(dev, 6) AS deviation, round(z, 5) + 0e0 AS z FROM zs",
+    "dealt_zscore_stored": f"""{_NULLS}, known AS (SELECT list(DISTINCT smt) AS ks FROM (SELECT smt FROM lists WHERE seen > 0 UNION ALL SELECT smt FROM census WHERE n > 0)),
+b AS (SELECT c.stimulus, c.smt, c.intensity, if(list_max(xs) = 0, list_append(list_resize([0.0e0], len(xs) - 1, 0.0e0), 5.0e0), xs) AS base FROM told c JOIN lists USING (session, stimulus, smt), known WHERE list_contains(ks, c.smt)),
+q AS (SELECT stimulus, smt, (intensity - list_avg(base)) / nullif(list_stddev_pop(base), 0) AS z FROM b)
+SELECT stimulus, smt, count(z) AS sessions, round(avg(z), 5) + 0e0 AS mean_z, round(stddev_samp(z), 5) AS std_z FROM q GROUP BY ALL""",
+    "dealt_z_density": f"{_NULLS} SELECT session, stimulus, count(z) AS types, round(sum(abs(z)) / count(z), 5) AS mean_abs_z FROM zs GROUP BY ALL",
+    "dealt_mean_z": f"{_NULLS} SELECT combined, smt, round(list_avg(list(z) FILTER (WHERE z IS NOT NULL)), 5) + 0e0 AS mean_z FROM zs JOIN {_COMBINED} USING (stimulus) GROUP BY combined, smt",
+    "dealt_z_corr": f"""{_NULLS}, m AS (SELECT combined, map_from_entries(list((smt, z))) AS zs FROM (SELECT combined, smt, avg(z) AS z FROM zs JOIN {_COMBINED} USING (stimulus) GROUP BY ALL) GROUP BY combined),
+p AS (SELECT x.combined AS first, y.combined AS second, unnest(map_keys(x.zs)) AS smt, x.zs AS a, y.zs AS b FROM m x JOIN m y ON x.combined <> y.combined)
+SELECT first, second, count(a[smt] + b[smt]) AS types, round(corr(a[smt], b[smt]), 5) AS r FROM p GROUP BY first, second""",
+    "dealt_log2_z": f"{_NULLS} SELECT session, stimulus, smt, round(if(z = 0, NULL, ln(abs(z)) / ln(2) * if(z < 0, -1, 1)), 5) + 0e0 AS value FROM zs",
+    "dealt_region_fraction": f"""{_NULLS}, area_of AS (SELECT map_from_entries(list((node, area))) AS m FROM nodes),
+f AS (SELECT session, stimulus, smt, list([m[v], m[u], m[w]]) AS areas FROM named, area_of GROUP BY ALL HAVING count(*) > 4),
+picked AS (SELECT combined, smt, list_avg([if(a = [0, 0, 0], 1, 0) FOR a IN areas]) AS same, list_avg([if(list_contains(a, 0), 1, 0) FOR a IN areas]) AS touch FROM f JOIN zs USING (session, stimulus, smt) JOIN {_COMBINED} USING (stimulus) WHERE z > 1.96)
+SELECT c.combined, c.smt, count(same) AS graphs, round(coalesce(avg(same), 0), 6) AS same_mean, round(stddev_samp(same), 6) AS same_std, round(coalesce(avg(touch), 0), 6) AS touch_mean, round(stddev_samp(touch), 6) AS touch_std
+FROM (SELECT DISTINCT combined, smt FROM {_COMBINED}, {_VOCABULARY}) c LEFT JOIN picked p ON (p.combined, p.smt) = (c.combined, c.smt) GROUP BY c.combined, c.smt""",
+    "dealt_signal_corr_motif": f"""{_NULLS}, high AS (SELECT stimulus, smt FROM zs WHERE NOT list_contains({_GIVEN}, smt) GROUP BY ALL HAVING avg(z) > 2.576),
+parts AS (SELECT session, stimulus, v, u, w, CASE WHEN list_contains({_GIVEN}, smt) THEN 'given' WHEN EXISTS (FROM high h WHERE h.stimulus = named.stimulus AND h.smt = named.smt) THEN 'other' END AS part FROM named),
+sides AS (SELECT session, stimulus, part, unnest([[v, u], [v, w], [u, w]]) AS p FROM parts WHERE part IS NOT NULL),
+held AS (SELECT session, stimulus, list(DISTINCT p) AS ps FROM sides GROUP BY ALL),
+every AS (SELECT session, stimulus, part, p[1] AS i, p[2] AS j FROM sides UNION ALL SELECT g.session, g.stimulus, 'rest', i, j FROM graphs g LEFT JOIN held USING (session, stimulus), scorr WHERE NOT coalesce(list_contains(ps, [i, j]), false))
+SELECT session, stimulus, part, count(*) AS pairs, round(avg(r), 6) AS mean_r FROM every JOIN scorr USING (i, j) WHERE r IS NOT NULL GROUP BY ALL""",
     "modularity_score": f"{_ENERGY} SELECT session, stimulus, run, round(-h / total, 6) + 0e0 AS modularity FROM h WHERE kind = 'real' AND pos = 1 AND neg = 1",
     "resolution_choice": f"{_ENERGY} SELECT session, stimulus, round(b[2], 1) AS pos, round(b[3], 1) AS neg, round(b[4], 5) AS gap FROM best",
     "modularity_z": f"""{_ENERGY}, q AS (SELECT session, stimulus, list(-h / total) FILTER (WHERE kind = 'real') AS x, list(-h / total) FILTER (WHERE kind = 'drawn') AS y FROM h JOIN best USING (session, stimulus) WHERE pos = b[2] AND neg = b[3] GROUP BY ALL)

@@ -38,9 +38,9 @@ def _verified(spark, d):
     return nullmodels.verify(edges, nullmodels.random_graphs(edges, load(spark, d, "nodes"), "signed_pair"))
 
 
-def _null_z(name: str):
+def _null_z(name: str, model: str = "signed_pair", replicas: int = 200):
     more = [k for k in motifs.NULL_Z[name].inputs if k not in ("census", "replicas", "edges", "nodes")]
-    return lambda spark, d: motifs.null_z(name, load(spark, d, "edges"), load(spark, d, "nodes"), **{k: load(spark, d, k) for k in more})
+    return lambda spark, d: motifs.null_z(name, load(spark, d, "edges"), load(spark, d, "nodes"), model, replicas, **{k: load(spark, d, k) for k in more})
 
 
 def _rank_sum(spark, d):
@@ -73,6 +73,7 @@ OTHERS = {
     "ccg_corrected": lambda s, d: spikes.ccg_corrected(load(s, d, "spikes")),
     "er_graph": _nulls("random"), "degree_graph": _nulls("degree"), "pair_graph": _nulls("pair"), "signed_pair_graph": _nulls("signed_pair"), "verify_null": _verified,
     **{name: _null_z(name) for name in motifs.NULL_Z},
+    **{name.replace("null_", "dealt_"): _null_z(name, "dealt", 97) for name in motifs.NULL_Z},  # the same against replicas that SQL can repeat
     "weak_components": lambda s, d: paths.weak_components(load(s, d, "edges")),
     "largest_wcc": lambda s, d: paths.largest_component(load(s, d, "edges")),
     "distances": lambda s, d: paths.distances(load(s, d, "edges")),
