@@ -93,6 +93,7 @@ _SPLIT = "SELECT session, list(confidence) FILTER (WHERE weight > 0) AS x, list(
 _T = "(list_avg(x) - list_avg(y)) / sqrt(((len(x) - 1) * list_var_samp(x) + (len(y) - 1) * list_var_samp(y)) / (len(x) + len(y) - 2) * (1 / len(x) + 1 / len(y)))"
 
 TEXTS = {
+    "stored_graphs": "o AS (SELECT 1) SELECT session, stimulus, src, dst, weight, confidence, edge_offset, duration FROM edges",
     "edge_sign": "o AS (SELECT 1) SELECT session, stimulus, src, dst, CASE WHEN weight > 0 THEN 1 WHEN weight < 0 THEN -1 ELSE 0 END::BIGINT AS edge_sign FROM edges",
     "log2_signed": "o AS (SELECT 1) SELECT session, stimulus, src, dst, round(ln(weight * weight) / (2 * ln(2)) * if(weight < 0, -1, 1), 6) AS value FROM edges WHERE weight <> 0",
     "scale_interval": "l AS (SELECT session, stimulus, list(abs(weight)) AS ws FROM edges GROUP BY ALL) SELECT session, stimulus, src, dst, round(coalesce(1 + 4 * (abs(weight) - list_min(ws)) / nullif(list_max(ws) - list_min(ws), 0), 1), 6) AS width FROM edges JOIN l USING (session, stimulus)",

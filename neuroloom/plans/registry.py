@@ -6,13 +6,16 @@ there is none yet, the operator's text over the same tables made by DuckDB, whic
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions import stats
 from ..operators import centrality, communities, cycles, detect, graph, modules, motifs, nullmodels, paths, ranks, rewiring, simulate, sketches, spikes
 from ..operators.sql import SqlOperator
+from ..sources import matrices, matrix_source
 from ..sources.tables import BASE, load
-from ..staging import staged
+from ..staging import shared_dir, staged
 from . import oracles
 
 OPERATORS: dict[str, SqlOperator] = {
@@ -43,6 +46,18 @@ def _null_z(name: str, model: str = "signed_pair", replicas: int = 200):
     return lambda spark, d: motifs.null_z(name, load(spark, d, "edges"), load(spark, d, "nodes"), model, replicas, **{k: load(spark, d, k) for k in more})
 
 
+def _stored_graphs(spark, d):
+    """Graphs written as matrix archives and loaded again by the data source."""
+    matrix_source.register(spark)
+    edges, nodes = load(spark, d, "edges"), load(spark, d, "nodes")
+    folder = f"{shared_dir(spark)}/archives-{uuid.uuid4().hex}"
+    matrix_source.write_archives(edges, nodes, folder)
+    read = spark.read.format("matrices").load(folder)
+    areas = edges.select("session").dropDuplicates().crossJoin(nodes).withColumn("is_active", F.lit(True))
+    found = matrices.graphs(read, areas)
+    return found.select("session", "stimulus", "src", "dst", "weight", "confidence", *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("edge_offset", "duration")])
+
+
 def _rank_sum(spark, d):
     edges = load(spark, d, "edges").select("session", "confidence", (F.col("weight") > 0).alias("plus"))
     return ranks.rank_sum(edges, ["session"], "confidence", "plus")
@@ -60,6 +75,7 @@ def _louvain_purity(spark, d):
 
 #: Iterative, random or with p-values: beyond SQL, held against invariants and brute force in tests.
 OTHERS = {
+    "stored_graphs": _stored_graphs,
     "curveball_graph": lambda s, d: rewiring.curveball(load(s, d, "edges")),
     "small_world": lambda s, d: rewiring.small_world(load(s, d, "edges")),
     "cycles": lambda s, d: cycles.cycles(load(s, d, "edges"), 5),
