@@ -53,9 +53,15 @@ b AS (SELECT run, sum(n * (n - 1) / 2.0) AS s FROM (SELECT run, area, sum(n) AS
 SELECT i.run, round((agree - a.s * b.s / (total * (total - 1) / 2.0)) / ((a.s + b.s) / 2 - a.s * b.s / (total * (total - 1) / 2.0)), 6) AS ari FROM i JOIN a ON i.run = a.run JOIN b ON i.run = b.run""")
 area_boundary = operator("area_boundary", "SELECT session, stimulus, a.run, a.comm AS src_comm, b.comm AS dst_comm, count(*) AS edges, count(*) FILTER (WHERE weight > 0) AS positive, count(*) FILTER (WHERE weight < 0) AS negative FROM {edges} e JOIN {comms} a ON a.node = src JOIN {comms} b ON b.node = dst AND a.run = b.run GROUP BY session, stimulus, a.run, a.comm, b.comm")
 # Of modules of four nodes or more, each with the area most of its nodes lie in (the least on ties): signal correlation, density and
-# shares of signs within, between two of the same area, and over all pairs (part 'any', without an area).  Between modules the first's
-# edges all count towards density, of the second's the positive ones; in part 'any' the positive ones of both.
-module_area_data = operator("module_area_data", """
+# shares of signs within, between two of the same area, and over all pairs (part 'any', without an area).
+def module_areas(one_sided: bool = False):
+    """Density between modules counts all edges of both directions.  ``one_sided``: as in the study, all edges from the first and the positive
+    ones from the second, and in part 'any' the positive ones of both."""
+    between, whole = ("m1 + p2", "p1 + p2") if one_sided else ("m1 + m2", "m1 + m2")
+    return operator("module_area_data", _AREA_DATA.replace("BETWEEN_EDGES", between).replace("ANY_EDGES", whole))
+
+
+_AREA_DATA = """
 WITH n AS (SELECT run, comm, count(*) AS size FROM {comms} GROUP BY run, comm HAVING count(*) >= 4),
 k AS (SELECT c.run, c.comm, area, row_number() OVER (PARTITION BY c.run, c.comm ORDER BY count(*) DESC, area) AS rk FROM {comms} c JOIN {nodes} d ON d.node = c.node GROUP BY c.run, c.comm, area),
 m AS (SELECT n.run, n.comm, size, area FROM n JOIN k ON k.run = n.run AND k.comm = n.comm AND rk = 1),
@@ -70,9 +76,11 @@ pairs AS (SELECT g.session, g.stimulus, x.run, CASE WHEN x.area = y.area THEN x.
   LEFT JOIN e u ON u.session = g.session AND u.stimulus = g.stimulus AND u.run = x.run AND u.p = x.comm AND u.q = y.comm LEFT JOIN e v ON v.session = g.session AND v.stimulus = g.stimulus AND v.run = x.run AND v.p = y.comm AND v.q = x.comm),
 whole AS (SELECT a.run, avg(r) AS r FROM {scorr} JOIN {comms} a ON a.node = i JOIN {comms} b ON b.node = j AND b.run = a.run AND b.comm <> a.comm WHERE r IS NOT NULL GROUP BY a.run),
 parts AS (SELECT session, stimulus, run, 'within' AS part, area, r, density, plus, minus FROM inside
-  UNION ALL SELECT session, stimulus, run, 'between', area, r, (m1 + p2) / CAST(cells AS DOUBLE), (p1 + p2) / CAST(nullif(m1 + m2, 0) AS DOUBLE), minus / CAST(nullif(m1 + m2, 0) AS DOUBLE) FROM pairs WHERE area IS NOT NULL
-  UNION ALL SELECT session, stimulus, pairs.run, 'any', NULL, whole.r, (p1 + p2) / CAST(cells AS DOUBLE), (p1 + p2) / CAST(nullif(m1 + m2, 0) AS DOUBLE), minus / CAST(nullif(m1 + m2, 0) AS DOUBLE) FROM pairs LEFT JOIN whole ON whole.run = pairs.run)
-SELECT session, stimulus, run, part, area, count(*) AS modules, round(avg(r), 6) AS signal_corr, round(avg(density), 6) AS density, round(avg(plus), 6) AS positive, round(avg(minus), 6) AS negative FROM parts GROUP BY session, stimulus, run, part, area""")
+  UNION ALL SELECT session, stimulus, run, 'between', area, r, (BETWEEN_EDGES) / CAST(cells AS DOUBLE), (p1 + p2) / CAST(nullif(m1 + m2, 0) AS DOUBLE), minus / CAST(nullif(m1 + m2, 0) AS DOUBLE) FROM pairs WHERE area IS NOT NULL
+  UNION ALL SELECT session, stimulus, pairs.run, 'any', NULL, whole.r, (ANY_EDGES) / CAST(cells AS DOUBLE), (p1 + p2) / CAST(nullif(m1 + m2, 0) AS DOUBLE), minus / CAST(nullif(m1 + m2, 0) AS DOUBLE) FROM pairs LEFT JOIN whole ON whole.run = pairs.run)
+SELECT session, stimulus, run, part, area, count(*) AS modules, round(avg(r), 6) AS signal_corr, round(avg(density), 6) AS density, round(avg(plus), 6) AS positive, round(avg(minus), 6) AS negative FROM parts GROUP BY session, stimulus, run, part, area"""
+module_area_data = module_areas()
+region_boundary = operator("region_boundary", "SELECT session, stimulus, a.area AS src_area, b.area AS dst_area, count(*) AS edges, count(*) FILTER (WHERE weight > 0) AS positive, count(*) FILTER (WHERE weight < 0) AS negative FROM {edges} e JOIN {nodes} a ON a.node = src JOIN {nodes} b ON b.node = dst WHERE a.area <> b.area GROUP BY session, stimulus, a.area, b.area")
 
 # Energies of a partition on a grid of resolutions: -sum over inner edges of weight, less the expected share of each sign.
 _H = """r AS (SELECT SERIES(0, 20) AS step), grid AS (SELECT p.step / 10.0 AS pos, q.step / 10.0 AS neg FROM r p CROSS JOIN r q),

@@ -94,6 +94,23 @@ _T = "(list_avg(x) - list_avg(y)) / sqrt(((len(x) - 1) * list_var_samp(x) + (len
 
 TEXTS = {
     "stored_graphs": "o AS (SELECT 1) SELECT session, stimulus, src, dst, weight, confidence, edge_offset, duration FROM edges",
+    "spike_times": "l AS (SELECT neuron_id, trial_id, list_sort(list(t)) AS ts FROM spikes GROUP BY ALL) SELECT neuron_id, trial_id, len(ts) AS spikes, ts[1] AS first, ts[-1] AS last, list_max([ts[i + 1] - ts[i] FOR i IN range(1, len(ts))]) AS longest_gap FROM l",
+    "graph_edges": "o AS (SELECT 1) SELECT session, stimulus, src, dst, weight, confidence FROM edges WHERE weight > 0 UNION ALL SELECT session, stimulus, src, dst, weight, confidence FROM edges WHERE weight < 0",
+    "binary_edges": "l AS (SELECT session, stimulus, list((src, dst)) AS es FROM edges WHERE weight > 0 OR weight < 0 GROUP BY ALL), u AS (SELECT session, stimulus, unnest(es) AS e FROM l) SELECT session, stimulus, e[1] AS src, e[2] AS dst, 1 AS weight FROM u",
+    "edge_delay": "l AS (SELECT *, [edge_offset, duration] AS parts FROM edges) SELECT session, stimulus, src, dst, edge_offset, duration, list_sum(parts)::BIGINT AS delay FROM l",
+    "session_stimulus": """k AS (SELECT ['3-MEDIUM', '1-URGENT', '2-HIGH', '5-LOW', '4-NOT SPECIFIED'] AS k), sure AS (SELECT bool_and(list_contains(k, stimulus)) AS sure FROM edges, k),
+l AS (SELECT session, list_sort(list(DISTINCT [if(sure, list_position(k, stimulus), 0)::VARCHAR, stimulus])) AS ss FROM edges, sure, k WHERE stimulus <> '4-NOT SPECIFIED' GROUP BY session)
+SELECT session, unnest([s[2] FOR s IN ss]) AS stimulus, unnest(range(1, len(ss) + 1)) AS place FROM l""",
+    "combined_stimulus": f"m AS (SELECT map_from_entries(list((stimulus, combined))) AS m FROM {_COMBINED}) SELECT session, m[stimulus] AS combined, list_position(['fast', 'plain', 'slow'], m[stimulus])::BIGINT - 1 AS place, count(*) AS edges FROM edges, m WHERE m[stimulus] IS NOT NULL GROUP BY ALL",
+    "percentile_limits": f"""l AS (SELECT session, stimulus, coalesce(list_sort(list(weight) FILTER (WHERE weight < 0)), []) AS a, coalesce(list_sort(list(weight) FILTER (WHERE weight > 0)), []) AS b FROM edges GROUP BY ALL)
+SELECT session, stimulus, {", ".join(f"round({x}[floor((len({x}) - 1) * {p})::BIGINT + 1] + ((len({x}) - 1) * {p}e0 - floor((len({x}) - 1) * {p}e0)) * (coalesce({x}[floor((len({x}) - 1) * {p})::BIGINT + 2], 0) - {x}[floor((len({x}) - 1) * {p})::BIGINT + 1]), 6) AS {n}" for n, x, p in (("low_wide", "a", 0.2), ("high_wide", "b", 0.85), ("low_narrow", "a", 0.005), ("high_narrow", "b", 0.992), ("low_usual", "a", 0.02), ("high_usual", "b", 0.98)))} FROM l""",
+    "density_regression": """m AS (SELECT map_from_entries(list((node, area))) AS m, count(*) AS n FROM nodes),
+d AS (SELECT session, stimulus, count(*) / any_value(n * (n - 1)) AS x, sum(if(m[src] = m[dst], 1, 0)) / count(*) AS y FROM edges, m GROUP BY session, stimulus),
+l AS (SELECT session, list(x ORDER BY stimulus) AS x, list([ln(x) / ln(10)] ORDER BY stimulus) AS g, list(y ORDER BY stimulus) AS y FROM d GROUP BY session),
+c AS (SELECT session, len(x) AS n, list_avg(x) AS mx, list_avg(y) AS my, list_avg(flatten(g)) AS mg, x, y, flatten(g) AS g FROM l),
+s AS (SELECT session, n, mx, my, list_sum([(x[i] - mx) * (y[i] - my) FOR i IN range(1, n + 1)]) AS xy, list_sum([(v - mx) ** 2 FOR v IN x]) AS xx, list_sum([(v - my) ** 2 FOR v IN y]) AS yy,
+  list_sum([(g[i] - mg) * (y[i] - my) FOR i IN range(1, n + 1)]) AS gy, list_sum([(v - mg) ** 2 FOR v IN g]) AS gg FROM c)
+SELECT session, n, round(xy / xx, 6) AS slope, round(my - xy / xx * mx, 6) AS intercept, round(xy / sqrt(xx * yy), 6) AS r, round(gy / gg, 6) AS log_slope FROM s""",
     "edge_sign": "o AS (SELECT 1) SELECT session, stimulus, src, dst, CASE WHEN weight > 0 THEN 1 WHEN weight < 0 THEN -1 ELSE 0 END::BIGINT AS edge_sign FROM edges",
     "log2_signed": "o AS (SELECT 1) SELECT session, stimulus, src, dst, round(ln(weight * weight) / (2 * ln(2)) * if(weight < 0, -1, 1), 6) AS value FROM edges WHERE weight <> 0",
     "scale_interval": "l AS (SELECT session, stimulus, list(abs(weight)) AS ws FROM edges GROUP BY ALL) SELECT session, stimulus, src, dst, round(coalesce(1 + 4 * (abs(weight) - list_min(ws)) / nullif(list_max(ws) - list_min(ws), 0), 1), 6) AS width FROM edges JOIN l USING (session, stimulus)",
@@ -145,6 +162,16 @@ SELECT session, stimulus, i AS src, j AS dst, r, if(f > 0, 1, 0) AS positive, if
 FROM scorr, side, (SELECT session, stimulus, list((src, dst)) AS es FROM edges GROUP BY ALL) g JOIN {_COMBINED} USING (stimulus) WHERE r IS NOT NULL AND (list_contains(es, (i, j)) OR list_contains(es, (j, i))) GROUP BY ALL""",
     "between_comm_edges": f"{_SIDES} SELECT session, stimulus, run, list_sort([m[src], m[dst]])[1] AS low, list_sort([m[src], m[dst]])[2] AS high, count(*) AS edges FROM edges, side WHERE m[src] <> m[dst] GROUP BY ALL",
     "area_boundary": f"{_SIDES} SELECT session, stimulus, run, m[src] AS src_comm, m[dst] AS dst_comm, count(*) AS edges, sum(if(weight > 0, 1, 0))::BIGINT AS positive, sum(if(weight < 0, 1, 0))::BIGINT AS negative FROM edges, side GROUP BY ALL",
+    "region_boundary": "m AS (SELECT map_from_entries(list((node, area))) AS m FROM nodes), x AS (SELECT session, stimulus, m[src] AS src_area, m[dst] AS dst_area, list(weight) AS ws FROM edges, m GROUP BY ALL) SELECT session, stimulus, src_area, dst_area, len(ws) AS edges, len(list_filter(ws, lambda w: w > 0)) AS positive, len(list_filter(ws, lambda w: w < 0)) AS negative FROM x WHERE src_area <> dst_area",
+    "module_area_data": f"""{_MODULES}, {_SIDES}, {_GRAPHS},
+links AS (SELECT session, stimulus, run, list_sort([m[src], m[dst]]) AS p, list(weight) AS ws FROM edges, side GROUP BY ALL),
+corrs AS (SELECT run, list_sort([m[i], m[j]]) AS p, list(r) AS rs FROM scorr, side WHERE r IS NOT NULL GROUP BY ALL),
+apart AS (SELECT run, avg(r) AS r FROM scorr, side WHERE r IS NOT NULL AND m[i] <> m[j] GROUP BY run),
+two AS (SELECT g.session, g.stimulus, x.run, x.comm = y.comm AS own, x.area = y.area AS alike, x.area, if(x.comm = y.comm, x.size * (x.size - 1), x.size * y.size) AS cells, coalesce(ws, []) AS ws, list_avg(rs) AS r
+  FROM graphs g CROSS JOIN modules x JOIN modules y ON y.run = x.run AND x.comm <= y.comm LEFT JOIN links l ON (l.session, l.stimulus, l.run, l.p) = (g.session, g.stimulus, x.run, [x.comm, y.comm]) LEFT JOIN corrs c ON (c.run, c.p) = (x.run, [x.comm, y.comm])),
+parts AS (SELECT session, stimulus, run, if(own, 'within', 'between') AS part, area, r, cells, ws FROM two WHERE alike UNION ALL SELECT session, stimulus, two.run, 'any', NULL, apart.r, cells, ws FROM two LEFT JOIN apart USING (run) WHERE NOT own)
+SELECT session, stimulus, run, part, area, count(*) AS modules, round(avg(r), 6) AS signal_corr, round(avg(len(ws) / cells), 6) AS density, round(avg(len(list_filter(ws, lambda w: w > 0)) / nullif(len(ws), 0)), 6) AS positive,
+  round(avg(len(list_filter(ws, lambda w: w < 0)) / nullif(len(ws), 0)), 6) AS negative FROM parts GROUP BY ALL""",
     "comm_select": f"{_SIDES}, out_of AS (SELECT run, list(DISTINCT m[src]) AS cs FROM edges, side WHERE m[src] <> m[dst] GROUP BY run) SELECT run, comm, count(*) AS size FROM comms JOIN out_of USING (run) WHERE list_contains(cs, comm) GROUP BY run, comm HAVING count(*) > 5",
     "module_purity": f"{_LINKED} SELECT session, stimulus, run, comm, round(size / (SELECT count(*) FROM nodes), 6) AS relative_size, round(purity, 6) AS purity, round(coverage, 6) AS coverage FROM linked",
     "purity_coverage": f"{_MODULES} SELECT run, sum(size)::BIGINT AS nodes, round(list_sum(list(size * purity)) / sum(size), 6) AS purity, round(list_sum(list(size * coverage)) / sum(size), 6) AS coverage FROM modules GROUP BY run",

@@ -179,10 +179,11 @@ def test_module_area_data(spark):
     nodes = spark.createDataFrame([(n, 1 if n < 8 else 2) for n in range(14)], "node long, area long")
     edges = graph(spark, [(0, 1, 1), (1, 0, -1), (0, 4, 1), (4, 0, -1), (5, 1, 2), (0, 12, 1), (9, 0, 1)])
     scorr = spark.createDataFrame([(0, 1, 0.5), (2, 3, 0.1), (0, 4, 0.2), (0, 8, 0.4)], "i long, j long, r double")
-    got = {(r.part, r.area): tuple(r)[5:] for r in modules.module_area_data(edges=edges, nodes=nodes, comms=comms, scorr=scorr).collect()}
-    assert got["within", 1] == (2, 0.3, pytest.approx(2 / 12 / 2, abs=1e-6), 0.5, 0.5) and got["within", 2] == (1, None, 0.0, None, None)
-    assert got["between", 1] == (1, 0.2, pytest.approx(2 / 16), pytest.approx(2 / 3, abs=1e-6), pytest.approx(1 / 3, abs=1e-6))
-    assert got["any", None] == (3, 0.3, pytest.approx((2 / 16 + 1 / 16) / 3, abs=1e-6), pytest.approx((2 / 3 + 1) / 2, abs=1e-6), pytest.approx(1 / 6, abs=1e-6))
+    for op, between, whole in ((modules.module_areas(one_sided=True), 2, (2 / 16 + 1 / 16) / 3), (modules.module_area_data, 3, (3 / 16 + 1 / 16) / 3)):
+        got = {(r.part, r.area): tuple(r)[5:] for r in op(edges=edges, nodes=nodes, comms=comms, scorr=scorr).collect()}
+        assert got["within", 1] == (2, 0.3, pytest.approx(2 / 12 / 2, abs=1e-6), 0.5, 0.5) and got["within", 2] == (1, None, 0.0, None, None)
+        assert got["between", 1] == (1, 0.2, pytest.approx(between / 16), pytest.approx(2 / 3, abs=1e-6), pytest.approx(1 / 3, abs=1e-6))
+        assert got["any", None] == (3, 0.3, pytest.approx(whole, abs=1e-6), pytest.approx((2 / 3 + 1) / 2, abs=1e-6), pytest.approx(1 / 6, abs=1e-6))
 
 
 def test_variable_simulator(spark):
