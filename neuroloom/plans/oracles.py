@@ -117,6 +117,7 @@ SELECT stimulus, class, CAST(step AS BIGINT) AS step, round(list_sum([exp(-0.5 *
 }
 
 TEXTS |= {f"{k}_sketch" if k == "closeness" else "path_sketch": TEXTS[k] for k in ("closeness", "path_metrics")}  # few nodes: sketches count exactly
+TEXTS |= {f"stream_{k}": TEXTS[k] for k in ("ccg_pairs", "gamma_windows")}  # replayed to its end, a stream gives what the table gives
 
 TEXTS |= motif_oracles.TEXTS
 

@@ -16,6 +16,7 @@ from ..operators.sql import SqlOperator
 from ..sources import matrices, matrix_source
 from ..sources.tables import BASE, load
 from ..staging import shared_dir, staged
+from ..streaming import spikes as stream
 from . import oracles
 
 OPERATORS: dict[str, SqlOperator] = {
@@ -58,6 +59,18 @@ def _stored_graphs(spark, d):
     return found.select("session", "stimulus", "src", "dst", "weight", "confidence", *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("edge_offset", "duration")])
 
 
+def _streamed(found, shape, result):
+    """The events arrive in three parts and go through a stream that ends and starts again after each."""
+
+    def run(spark, d):
+        base = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+        spikes = stream.spike_times(spark.read.parquet(f"{d}/events.parquet"))
+        stream.replay(spikes, f"{base}/in", 3, lambda arrived: stream.into(found(arrived), f"{base}/out", f"{base}/state", shape))
+        return result(spark, f"{base}/out")
+
+    return run
+
+
 def _rank_sum(spark, d):
     edges = load(spark, d, "edges").select("session", "confidence", (F.col("weight") > 0).alias("plus"))
     return ranks.rank_sum(edges, ["session"], "confidence", "plus")
@@ -76,6 +89,7 @@ def _louvain_purity(spark, d):
 #: Iterative, random or with p-values: beyond SQL, held against invariants and brute force in tests.
 OTHERS = {
     "stored_graphs": _stored_graphs,
+    "stream_ccg_pairs": _streamed(stream.coincidences, stream.partial_counts, stream.pair_totals), "stream_gamma_windows": _streamed(stream.bursts, stream.with_neuron, stream.burst_windows),
     "curveball_graph": lambda s, d: rewiring.curveball(load(s, d, "edges")),
     "small_world": lambda s, d: rewiring.small_world(load(s, d, "edges")),
     "cycles": lambda s, d: cycles.cycles(load(s, d, "edges"), 5),
