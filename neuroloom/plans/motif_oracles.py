@@ -87,6 +87,12 @@ told AS MATERIALIZED (SELECT session, stimulus, smt, n, round(intensity, 6) AS i
 lists AS MATERIALIZED (SELECT session, split_part(stimulus, ':', 2) AS stimulus, smt, list(round(intensity, 6)) AS xs, sum(n) AS seen FROM replica_census GROUP BY ALL),
 moments AS (SELECT c.session, c.stimulus, c.smt, c.n, c.intensity, list_avg(xs) AS mean, if(list_max(xs) = 0, list_stddev_pop(list_append(list_resize([0.0e0], len(xs) - 1, 0.0e0), 4.0e0)), list_stddev_samp(xs)) AS dev FROM told c JOIN lists USING (session, stimulus, smt)),
 zs AS MATERIALIZED (SELECT *, if(dev > 0.000001, (intensity - mean) / dev, NULL) AS z FROM moments)"""
+# Whole lists of each type's intensities and coherences over the replicas, a type that none has being one 5 among zeros and all zeros.
+_BASELINES = f"""{_NULLS}, known AS (SELECT list(DISTINCT smt) AS ks FROM (SELECT smt FROM lists WHERE seen > 0 UNION ALL SELECT smt FROM census WHERE n > 0)),
+cl AS (SELECT session, split_part(stimulus, ':', 2) AS stimulus, smt, list(round(coherence, 6)) AS cs FROM replica_census GROUP BY ALL),
+bl AS (SELECT session, stimulus, smt, round(c.intensity, 6) AS x, round(c.coherence, 6) AS y, if(list_max(xs) = 0, list_append(list_resize([0.0e0], len(xs) - 1, 0.0e0), 5.0e0), xs) AS xs, cs
+  FROM census c JOIN lists USING (session, stimulus, smt) JOIN cl USING (session, stimulus, smt), known WHERE list_contains(ks, smt)),
+ms AS (SELECT *, list_avg(xs) AS xm, list_stddev_pop(xs) AS xd, list_avg(cs) AS ym, list_stddev_pop(cs) AS yd, if(xd > 0.000001, (x - xm) / xd, NULL) AS xz, if(yd > 0.000001, (y - ym) / yd, NULL) AS yz FROM bl)"""
 _GIVEN = "['030T+++', '120D++++', '120U++++', '120C++++', '210+++++', '300++++++']"
 
 _SPLIT = "SELECT session, list(confidence) FILTER (WHERE weight > 0) AS x, list(confidence) FILTER (WHERE weight < 0) AS y FROM edges GROUP BY session"
@@ -186,6 +192,10 @@ SELECT combined, step::BIGINT AS step, round(len(list_filter(ps, lambda x: x >=
 b AS (SELECT c.stimulus, c.smt, c.intensity, if(list_max(xs) = 0, list_append(list_resize([0.0e0], len(xs) - 1, 0.0e0), 5.0e0), xs) AS base FROM told c JOIN lists USING (session, stimulus, smt), known WHERE list_contains(ks, c.smt)),
 q AS (SELECT stimulus, smt, (intensity - list_avg(base)) / nullif(list_stddev_pop(base), 0) AS z FROM b)
 SELECT stimulus, smt, count(z) AS sessions, round(avg(z), 5) + 0e0 AS mean_z, round(stddev_samp(z), 5) AS std_z FROM q GROUP BY ALL""",
+    "dealt_baseline_zscore": f"""{_BASELINES} SELECT 'dealt' AS model, session, stimulus, smt, x AS intensity, round(xm, 6) AS intensity_mean, round(xd, 6) AS intensity_std, round(xz, 5) + 0e0 AS intensity_z,
+  y AS coherence, round(ym, 6) AS coherence_mean, round(yd, 6) AS coherence_std, round(yz, 5) + 0e0 AS coherence_z FROM ms""",
+    "dealt_baseline_mean": f"""{_BASELINES} SELECT 'dealt' AS model, stimulus, smt, round(avg(x), 6) AS intensity, round(avg(xm), 6) AS intensity_mean, round(avg(xd), 6) AS intensity_std, round(avg(xz), 5) + 0e0 AS intensity_z,
+  round(avg(y), 6) AS coherence, round(avg(ym), 6) AS coherence_mean, round(avg(yd), 6) AS coherence_std, round(avg(yz), 5) + 0e0 AS coherence_z, round(stddev_samp(xz), 5) AS intensity_z_std FROM ms GROUP BY stimulus, smt""",
     "dealt_z_density": f"{_NULLS} SELECT session, stimulus, count(z) AS types, round(sum(abs(z)) / count(z), 5) AS mean_abs_z FROM zs GROUP BY ALL",
     "dealt_mean_z": f"{_NULLS} SELECT combined, smt, round(list_avg(list(z) FILTER (WHERE z IS NOT NULL)), 5) + 0e0 AS mean_z FROM zs JOIN {_COMBINED} USING (stimulus) GROUP BY combined, smt",
     "dealt_z_corr": f"""{_NULLS}, m AS (SELECT combined, map_from_entries(list((smt, z))) AS zs FROM (SELECT combined, smt, avg(z) AS z FROM zs JOIN {_COMBINED} USING (stimulus) GROUP BY ALL) GROUP BY combined),

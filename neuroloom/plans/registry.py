@@ -11,7 +11,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from ..functions import stats
-from ..operators import centrality, communities, cycles, detect, graph, modules, motifs, nullmodels, paths, ranks, rewiring, simulate, sketches, spikes
+from ..operators import baselines, centrality, communities, cycles, detect, graph, modules, motifs, nullmodels, paths, ranks, rewiring, simulate, sketches, spikes
 from ..operators.sql import SqlOperator
 from ..sources import matrices, matrix_source
 from ..sources.tables import BASE, load
@@ -47,6 +47,18 @@ def _null_z(name: str, model: str = "signed_pair", replicas: int = 200):
     return lambda spark, d: motifs.null_z(name, load(spark, d, "edges"), load(spark, d, "nodes"), model, replicas, **{k: load(spark, d, k) for k in more})
 
 
+def _baseline_z(models: tuple[str, ...], replicas: int, then=lambda scores: scores):
+    """Baselines drawn, written and read again, and every graph held against them."""
+
+    def run(spark, d):
+        edges, nodes = load(spark, d, "edges"), load(spark, d, "nodes")
+        path = f"{shared_dir(spark)}/baselines-{uuid.uuid4().hex}"
+        baselines.store(edges, nodes, path, models, replicas)
+        return baselines.rounded(then(baselines.zscores(motifs.motif_census(edges=edges), baselines.stored(spark, path, *models))))
+
+    return run
+
+
 def _stored_graphs(spark, d):
     """Graphs written as matrix archives and loaded again by the data source."""
     matrix_source.register(spark)
@@ -104,6 +116,8 @@ OTHERS = {
     "er_graph": _nulls("random"), "degree_graph": _nulls("degree"), "pair_graph": _nulls("pair"), "signed_pair_graph": _nulls("signed_pair"), "verify_null": _verified,
     **{name: _null_z(name) for name in motifs.NULL_Z},
     **{name.replace("null_", "dealt_"): _null_z(name, "dealt", 97) for name in motifs.NULL_Z},  # the same against replicas that SQL can repeat
+    **{f"baseline_zscore_{m}": _baseline_z((m,), 200) for m in baselines.MODELS}, "baseline_zscore_mean": _baseline_z(("signed_pair",), 200, baselines.over_sessions),
+    "dealt_baseline_zscore": _baseline_z(("dealt",), 97), "dealt_baseline_mean": _baseline_z(("dealt",), 97, baselines.over_sessions),
     "weak_components": lambda s, d: paths.weak_components(load(s, d, "edges")),
     "largest_wcc": lambda s, d: paths.largest_component(load(s, d, "edges")),
     "distances": lambda s, d: paths.distances(load(s, d, "edges")),

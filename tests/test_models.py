@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from neuroloom.functions import stats
-from neuroloom.operators import centrality, detect, modules, motifs, nullmodels, paths, simulate, spikes
+from neuroloom.operators import baselines, centrality, detect, modules, motifs, nullmodels, paths, simulate, spikes
 from neuroloom.operators.triad_table import table, vocabulary
 from neuroloom.plans import registry
 from neuroloom.sources import matrices
@@ -368,3 +368,47 @@ def test_edges_round_trip(spark, tmp_path):
 @pytest.mark.parametrize("name", sorted(set(registry.OTHERS) - set(registry.oracle_sql()) - {"surrogates"}))
 def test_other_queries_run(spark, name):
     assert registry.queries()[name](spark, SF).limit(5).count() > 0
+
+
+def test_baselines_stored_by_model(spark, tmp_path):
+    """Z against stored censuses by hand: absent types, types that no replica varies in, types only a replica has, a graph without baselines."""
+    path = f"file://{tmp_path}/baselines"
+    kept = [("s", "a", "T+", 0, 2, 4.0, 1.0, 4), ("s", "a", "T+", 2, 1, 2.0, 0.5, 4), *[("s", "a", "S", r, 1, 3.0, 1.0, 4) for r in range(4)], ("s", "a", "R", 1, 1, 8.0, 1.0, 4)]
+    table = spark.createDataFrame(kept, baselines.STORED.removesuffix(", model string"))
+    table.write.parquet(f"{path}/model=degree")
+    table.where("smt = 'R'").write.parquet(f"{path}/model=random")
+    census = spark.createDataFrame([("s", g, t, int(x > 0), x, y) for g, t, x, y in [("a", "T+", 5.0, 1.5), ("a", "S", 6.0, 1.0), ("a", "R", 0.0, 0.0), ("a", "U", 1.0, 1.0), ("a", "V", 0.0, 0.0), ("b", "T+", 1.0, 1.0)]], "session string, stimulus string, smt string, n long, intensity double, coherence double")
+    scores = baselines.zscores(census, baselines.stored(spark, path))
+    got = {(r.model, r.stimulus, r.smt): r for r in scores.collect()}
+    assert {k[1:] for k in got if k[0] == "degree"} == {("a", "T+"), ("a", "S"), ("a", "R"), ("a", "U"), ("b", "T+")}  # V is nowhere
+    assert {k[1:] for k in got if k[0] == "random"} == {("a", "T+"), ("a", "S"), ("a", "R"), ("a", "U"), ("b", "T+")}
+    r = got["degree", "a", "T+"]
+    x, y = np.array([4.0, 0, 2, 0]), np.array([1.0, 0, 0.5, 0])
+    assert np.allclose([r.intensity_mean, r.intensity_std, r.intensity_z], [x.mean(), x.std(), (5 - x.mean()) / x.std()])
+    assert np.allclose([r.coherence_mean, r.coherence_std, r.coherence_z], [y.mean(), y.std(), (1.5 - y.mean()) / y.std()])
+    assert got["degree", "a", "S"].intensity_z is None and got["degree", "a", "S"].intensity_mean == 3.0
+    lone = np.array([5.0, 0, 0, 0])
+    for k in (("degree", "a", "U"), ("random", "a", "T+"), ("degree", "b", "T+")):
+        assert np.allclose([got[k].intensity_mean, got[k].intensity_std], [lone.mean(), lone.std()])
+        assert (got[k].coherence_mean, got[k].coherence_std, got[k].coherence_z) == (0.0, 0.0, None)
+    means = {(r.model, r.stimulus, r.smt): r for r in baselines.over_sessions(scores).collect()}
+    assert means["degree", "a", "T+"].intensity_z_std is None and math.isclose(means["degree", "a", "T+"].intensity_z, got["degree", "a", "T+"].intensity_z)
+    assert baselines.zscores(census, baselines.stored(spark, path, "pair")).count() == 0
+    plan = baselines.stored(spark, path, "random")._jdf.queryExecution().executedPlan().toString()
+    assert "model#" in plan.split("PartitionFilters: [")[1].split("]")[0]
+
+
+def test_baselines_drawn(spark, tmp_path, random_links):
+    """What is stored is the census of the replicas; a model stored again replaces itself only."""
+    edges, nodes = graph(spark, random_links), spark.range(14).select(F.col("id").alias("node"), F.lit(0).alias("area"))
+    path = f"file://{tmp_path}/drawn"
+    baselines.store(edges, nodes, path, ("degree", "dealt"), 3)
+    again = baselines.stored(spark, path, "dealt").count()
+    baselines.store(edges, nodes, path, ("degree",), 2)
+    assert {r.replicas for r in baselines.stored(spark, path, "degree").select("replicas").collect()} == {2}
+    assert baselines.stored(spark, path, "dealt").count() == again > 0
+    census = motifs.motif_census(edges=edges)
+    mine = baselines.zscores(census, baselines.stored(spark, path, "dealt"))
+    triples = motifs.replica_census(nullmodels.dealt_weights(3)(edges=edges)).groupBy("smt").agg(F.avg("intensity").alias("want"), F.sum("n").alias("n")).where("n > 0")
+    rows = mine.join(triples, "smt").collect()
+    assert rows and all(math.isclose(r.intensity_mean, r.want, abs_tol=1e-9) for r in rows)
