@@ -66,6 +66,32 @@ WITH place AS (SELECT trial_id, (row_number() OVER (ORDER BY trial_id) - 1) * {B
 SELECT s.neuron_id, s.trial_id, CAST(base + s.t AS BIGINT) AS at, n.area FROM {{spikes}} s JOIN place p ON s.trial_id = p.trial_id JOIN {{nodes}} n ON n.node = s.neuron_id""")
 
 
+def stimulus_raster(name: str, lengths: dict[str, int], blank: int = 50) -> SqlOperator:
+    """The first trial of every stimulus in ``lengths``, cut to its length and set end to end in that order with blanks between.
+
+    ``line`` is a neuron's place when neurons are sorted by area and number; those without an area, and spikes of no known neuron, are left out.
+    """
+    plan, base = [], 0
+    for stimulus, length in lengths.items():
+        quoted = stimulus.replace("'", "''")
+        plan.append(f"('{quoted}', {length}, {base})")
+        base += length + blank
+    return operator(name, f"""
+WITH plan AS (SELECT * FROM (VALUES {", ".join(plan)}) AS v(stimulus, length, base)),
+head AS (SELECT stimulus, min(trial_id) AS trial_id FROM {{stimulus_spikes}} GROUP BY stimulus),
+sizes AS (SELECT area, count(*) AS size FROM {{nodes}} WHERE area IS NOT NULL GROUP BY area),
+starts AS (SELECT area, sum(size) OVER (ORDER BY area) - size AS start FROM sizes),
+lines AS (SELECT n.node, n.area, row_number() OVER (PARTITION BY n.area ORDER BY n.node) - 1 + start AS line FROM {{nodes}} n JOIN starts ON starts.area = n.area)
+SELECT s.stimulus, s.neuron_id, area, CAST(line AS BIGINT) AS line, CAST(base + s.t AS BIGINT) AS at
+FROM {{stimulus_spikes}} s JOIN plan ON plan.stimulus = s.stimulus AND s.t < length JOIN head ON head.stimulus = s.stimulus AND head.trial_id = s.trial_id JOIN lines ON lines.node = s.neuron_id""")
+
+
+stimuli_raster = stimulus_raster("stimulus_raster", {"click": 1440, "error": 1200, "purchase": 960, "signup": 720, "view": 480})
+
+# The bands of the raster: how many neurons an area has and the line of its first.
+raster_areas = operator("raster_areas", "WITH sizes AS (SELECT area, count(*) AS size FROM {nodes} WHERE area IS NOT NULL GROUP BY area) SELECT area, size, CAST(sum(size) OVER (ORDER BY area) - size AS BIGINT) AS start FROM sizes")
+
+
 def surrogates(spikes: DataFrame, samples: int = 10, length: int = 25, bins: int = BINS, seed: int = 42, memory: bool = False, burst: int = 10) -> DataFrame:
     """(sample, neuron_id, trial_id, t): jittered trains by a chain of random moves, one generator a trial.
 

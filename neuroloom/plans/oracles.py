@@ -65,6 +65,10 @@ WHERE x.m.lag <> 0 OR y.src IS NULL OR y.m.lag <> 0 OR x.m.d < y.m.d""",
     "ccg_pairs": "x AS (SELECT 1) SELECT a.neuron_id AS src, b.neuron_id AS dst, b.t - a.t AS lag, count(*) AS n FROM spikes a JOIN spikes b USING (trial_id) WHERE b.t >= a.t AND b.t <= a.t + 100 AND a.neuron_id <> b.neuron_id GROUP BY ALL",
     "spike_train": "x AS (SELECT neuron_id, trial_id, list_sort(list(t)) AS ts FROM spikes GROUP BY ALL), p AS (SELECT *, unnest(range(1, len(ts) + 1)) AS place FROM x) SELECT neuron_id, trial_id, ts[place] AS t, place, if(place = 1, NULL, ts[place] - ts[place - 1]) AS gap FROM p",
     "raster": "d AS (SELECT list_sort(list_distinct(list(trial_id))) AS ds FROM spikes) SELECT neuron_id, trial_id, 1490 * (list_position(ds, trial_id) - 1) + t AS at, area FROM spikes, d, nodes WHERE node = neuron_id",
+    "stimulus_raster": """fs AS (SELECT stimulus, list_min(list(trial_id)) AS first FROM stimulus_spikes GROUP BY stimulus), sorted AS (SELECT list(node ORDER BY area, node) AS ns FROM nodes WHERE area IS NOT NULL),
+p AS (SELECT unnest(['click', 'error', 'purchase', 'signup', 'view']) AS stimulus, unnest([1440, 1200, 960, 720, 480]) AS length, unnest([0, 1490, 2740, 3750, 4520]) AS base)
+SELECT s.stimulus, neuron_id, area, list_position(ns, neuron_id) - 1 AS line, base + t AS at FROM stimulus_spikes s JOIN p USING (stimulus) JOIN fs ON fs.stimulus = s.stimulus AND first = trial_id JOIN nodes ON node = neuron_id, sorted WHERE t < length AND area IS NOT NULL""",
+    "raster_areas": "s AS (SELECT list(area) AS areas FROM nodes WHERE area IS NOT NULL) SELECT DISTINCT area, len(list_filter(areas, lambda a: a = area)) AS size, len(list_filter(areas, lambda a: a < area)) AS start FROM nodes, s WHERE area IS NOT NULL",
     "gamma_windows": """x AS (SELECT neuron_id, trial_id, list_sort(list(t)) AS ts FROM spikes GROUP BY ALL), p AS (SELECT *, unnest(ts) AS t FROM x),
 h AS (SELECT neuron_id, trial_id, t, list_filter(ts, lambda v, i: i = 1 OR v - ts[i - 1] > 10) AS heads FROM p),
 y AS (SELECT *, len(list_filter(heads, lambda v: v <= t)) AS burst, list_max(list_filter(heads, lambda v: v <= t)) AS head FROM h)

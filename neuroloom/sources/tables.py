@@ -1,6 +1,7 @@
 """The model's tables, and how they are read or made from the driver's tables.
 
 spikes(neuron_id, trial_id, t): one row a spike, one bin a millisecond
+stimulus_spikes(stimulus, neuron_id, trial_id, t): the same by stimulus
 edges(session, stimulus, src, dst, weight, confidence, edge_offset, duration): a signed digraph for each session and stimulus
 nodes(node, area): all nodes, isolated ones too
 ccg(src, dst, lag, value): cross-correlograms in long form, no diagonal
@@ -16,6 +17,7 @@ from ..operators.sql import SqlOperator, operator
 
 BASE = {o.name: o for o in (
     operator("spikes", "SELECT DISTINCT CAST(user_id % 20 AS BIGINT) AS neuron_id, CAST(DAY_NUMBER(ts) AS BIGINT) AS trial_id, CAST(hour(ts) * 60 + minute(ts) AS BIGINT) AS t FROM {events}"),
+    operator("stimulus_spikes", "SELECT DISTINCT event_type AS stimulus, CAST(user_id % 20 AS BIGINT) AS neuron_id, CAST(DAY_NUMBER(ts) AS BIGINT) AS trial_id, CAST(hour(ts) * 60 + minute(ts) AS BIGINT) AS t FROM {events}"),
     operator("edges", """
 WITH c AS (
   SELECT l_returnflag AS session, o_orderpriority AS stimulus, CAST(s_nationkey AS BIGINT) AS src, CAST(c_nationkey AS BIGINT) AS dst, count(*) AS n

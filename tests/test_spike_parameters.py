@@ -53,3 +53,14 @@ def test_network_of_short_trials_finds_the_delay(spark):
     assert (best.src, best.dst, best.edge_offset, best.duration) == (0, 1, 3, 0) and best.weight > 0
     lags = spikes.ccg_corrected(df, 2, bins=250, window=50).select("lag").distinct().count()
     assert lags == 51
+
+
+def test_raster_of_first_trials(spark):
+    """Lengths cut, blanks between, first trials alone, lines by area; no area, unknown neurons, stimuli not asked for and repeats are left out or kept once."""
+    rows = [("b", 5, 2, 0), ("b", 5, 2, 9), ("b", 5, 3, 1), ("a", 1, 0, 19), ("a", 1, 0, 20), ("a", 7, 0, 3), ("a", 8, 0, 4), ("a", 9, 0, 4), ("it's", 5, 4, 2), ("z", 5, 0, 0)]
+    df = spark.createDataFrame(rows, "stimulus string, neuron_id long, trial_id long, t long")
+    nodes = spark.createDataFrame([(1, 1), (5, 0), (7, 0), (8, None)], "node long, area long")
+    got = sorted(tuple(r) for r in spikes.stimulus_raster("r", {"b": 8, "a": 20, "it's": 4, "none": 9}, blank=2)(stimulus_spikes=df, nodes=nodes).collect())
+    assert got == [("a", 1, 1, 2, 10 + 19), ("a", 7, 0, 1, 10 + 3), ("b", 5, 0, 0, 0), ("it's", 5, 0, 0, 32 + 2)]
+    assert sorted(tuple(r) for r in spikes.raster_areas(nodes=nodes).collect()) == [(0, 2, 0), (1, 1, 2)]
+    assert spikes.stimuli_raster(stimulus_spikes=df.limit(0), nodes=nodes.limit(0)).count() == 0
