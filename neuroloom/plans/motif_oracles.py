@@ -100,6 +100,7 @@ _T = "(list_avg(x) - list_avg(y)) / sqrt(((len(x) - 1) * list_var_samp(x) + (len
 
 TEXTS = {
     "stored_graphs": "o AS (SELECT 1) SELECT session, stimulus, src, dst, weight, confidence, edge_offset, duration FROM edges",
+    "stored_areas": "on_edges AS (SELECT session, list(src) || list(dst) AS touched FROM edges GROUP BY session) SELECT session, node, area::VARCHAR AS area, list_contains(touched, node) AS is_active FROM on_edges, nodes",
     "spike_times": "l AS (SELECT neuron_id, trial_id, list_sort(list(t)) AS ts FROM spikes GROUP BY ALL) SELECT neuron_id, trial_id, len(ts) AS spikes, ts[1] AS first, ts[-1] AS last, list_max([ts[i + 1] - ts[i] FOR i IN range(1, len(ts))]) AS longest_gap FROM l",
     "graph_edges": "o AS (SELECT 1) SELECT session, stimulus, src, dst, weight, confidence FROM edges WHERE weight > 0 UNION ALL SELECT session, stimulus, src, dst, weight, confidence FROM edges WHERE weight < 0",
     "binary_edges": "l AS (SELECT session, stimulus, list((src, dst)) AS es FROM edges WHERE weight > 0 OR weight < 0 GROUP BY ALL), u AS (SELECT session, stimulus, unnest(es) AS e FROM l) SELECT session, stimulus, e[1] AS src, e[2] AS dst, 1 AS weight FROM u",

@@ -83,6 +83,16 @@ def _streamed(found, shape, result):
     return run
 
 
+def _stored_areas(spark, d):
+    """Areas of every session's nodes, active where an edge touches them, written and loaded again."""
+    edges = load(spark, d, "edges")
+    on = edges.select("session", F.explode(F.array("src", "dst")).alias("node")).dropDuplicates().withColumn("on", F.lit(True))
+    areas = edges.select("session").dropDuplicates().crossJoin(load(spark, d, "nodes")).join(on, ["session", "node"], "left").withColumn("is_active", F.coalesce("on", F.lit(False)))
+    path = f"{shared_dir(spark)}/areas-{uuid.uuid4().hex}"
+    matrices.write_areas(areas, path)
+    return matrices.read_areas(spark, path)
+
+
 def _rank_sum(spark, d):
     edges = load(spark, d, "edges").select("session", "confidence", (F.col("weight") > 0).alias("plus"))
     return ranks.rank_sum(edges, ["session"], "confidence", "plus")
@@ -100,7 +110,7 @@ def _louvain_purity(spark, d):
 
 #: Iterative, random or with p-values: beyond SQL, held against invariants and brute force in tests.
 OTHERS = {
-    "stored_graphs": _stored_graphs,
+    "stored_graphs": _stored_graphs, "stored_areas": _stored_areas,
     "stream_ccg_pairs": _streamed(stream.coincidences, stream.partial_counts, stream.pair_totals), "stream_gamma_windows": _streamed(stream.bursts, stream.with_neuron, stream.burst_windows),
     "curveball_graph": lambda s, d: rewiring.curveball(load(s, d, "edges")),
     "small_world": lambda s, d: rewiring.small_world(load(s, d, "edges")),

@@ -84,3 +84,26 @@ def graphs(matrices: DataFrame, areas: DataFrame, weighted: bool = True, relabel
 def active(areas: DataFrame) -> DataFrame:
     """Only active nodes, sessions as text."""
     return areas.withColumn("session", F.col("session").cast("string")).where("is_active")
+
+
+AREAS = "session string, areas map<string,string>, active array<long>"
+
+
+def write_areas(areas: DataFrame, path: str) -> None:
+    """A line of JSON a session: its nodes' areas by node, and which nodes are active.  Nodes without a number are left out; of repeated ones the last area in order stays."""
+    one = areas.where("node IS NOT NULL").groupBy(F.col("session").cast("string").alias("session"), "node").agg(F.max(F.col("area").cast("string")).alias("area"), F.max("is_active").alias("on"))
+    lines = one.groupBy("session").agg(
+        F.map_from_entries(F.sort_array(F.collect_list(F.struct(F.col("node").cast("string").alias("node"), "area")))).alias("areas"), F.sort_array(F.collect_list(F.when(F.col("on"), F.col("node").cast("long")))).alias("active")
+    )
+    lines.write.mode("overwrite").option("ignoreNullFields", "false").json(path)
+
+
+def read_areas(spark: SparkSession, path: str, session: str | None = None) -> DataFrame:
+    """session, node, area, is_active of stored areas: sessions are text and nodes numbers, whatever the file has.
+
+    A file without ``active`` makes all nodes active; nodes that are no numbers are left out.
+    """
+    found = spark.read.schema(AREAS).json(path).where("session IS NOT NULL")
+    found = found if session is None else found.where(F.col("session") == session)
+    rows = found.select("session", "active", F.explode("areas").alias("key", "area")).withColumn("node", F.col("key").try_cast("long")).where("node IS NOT NULL")
+    return rows.select("session", "node", "area", F.when(F.col("active").isNull(), F.lit(True)).otherwise(F.array_contains("active", F.col("node"))).alias("is_active"))

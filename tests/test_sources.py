@@ -52,3 +52,15 @@ def test_archives_come_back(spark, tmp_path):
 
 def test_stored_graphs_are_the_edges(spark):
     assert registry.queries()["stored_graphs"](spark, SF).count() > 100
+
+
+def test_areas_round_trip_and_odd_files(spark, tmp_path):
+    rows = [(7, 1, "V1", True), (7, 2, "LM", False), (7, 2, "AL", False), (7, 3, None, True), (7, None, "V1", True), (8, 1, "V1", None)]
+    path = f"file://{tmp_path}/areas"
+    matrices.write_areas(spark.createDataFrame(rows, "session long, node long, area string, is_active boolean"), path)
+    got = sorted((tuple(r) for r in matrices.read_areas(spark, path).collect()), key=str)
+    assert got == [("7", 1, "V1", True), ("7", 2, "LM", False), ("7", 3, None, True), ("8", 1, "V1", False)]
+    assert {r.session for r in matrices.read_areas(spark, path, "8").collect()} == {"8"}
+    odd = tmp_path / "odd.json"
+    odd.write_text('{"session": 9, "areas": {"4": "V1", "x": "V1"}}\n{"areas": {"1": "V1"}}\n{"session": "10", "areas": {}}\n')
+    assert [tuple(r) for r in matrices.read_areas(spark, f"file://{odd}").collect()] == [("9", 4, "V1", True)]
