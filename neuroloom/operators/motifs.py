@@ -135,8 +135,12 @@ def null_z(name: str, edges: DataFrame, nodes: DataFrame, model: str = "signed_p
 
     ``model``: one of ``nullmodels.random_graphs``, or 'dealt' for weights dealt anew by an arithmetic hash.
     """
+    # The last text reads each table several times: all are made once, or edges would be joined anew and replicas counted anew at every place.
+    edges = staged(edges, "edges")
+    more = {k: staged(v, k) for k, v in more.items()}
     graphs = nullmodels.dealt_weights(replicas)(edges=edges) if model == "dealt" else nullmodels.random_graphs(edges, nodes, model, replicas)
-    return NULL_Z[name](census=motif_census(edges=edges), replicas=replica_census(graphs), edges=edges, nodes=nodes, **more)
+    census, drawn = staged(motif_census(edges=edges), "census"), staged(replica_census(graphs), "replica-census")
+    return NULL_Z[name](census=census, replicas=drawn, edges=edges, nodes=nodes, **more)
 
 
 assert len(vocabulary()) == 132

@@ -259,6 +259,18 @@ def test_null_z_against_replicas(spark, random_links):
         assert math.isclose(r.deviation, sd, abs_tol=1e-4) and math.isclose(r.z, (own[smt] - np.mean(x)) / sd, abs_tol=1e-3, rel_tol=1e-3)
 
 
+def test_null_z_reads_staged_tables_alone(spark, random_links, tmp_path):
+    """Edges, census and replicas are made once: the last text, which names each several times, reads none of their sources."""
+    at = f"file://{tmp_path}/edges"
+    graph(spark, random_links).write.parquet(at)
+    nodes = spark.range(14).selectExpr("id AS node", "id % 2 AS area")
+    scorr = spark.createDataFrame([(0, 1, 0.5)], "i long, j long, r double")
+    for name in ("null_zscore_stored", "null_z_corr", "null_signal_corr_motif"):
+        more = {"scorr": scorr} if "scorr" in motifs.NULL_Z[name].inputs else {}
+        files = motifs.null_z(name, spark.read.parquet(at), nodes, "dealt", 2, **more).inputFiles()
+        assert files and not [f for f in files if str(tmp_path) in f], name
+
+
 def test_null_classes_and_fractions(spark):
     """R2 and G10 on a graph of one feed-forward loop and a chain, against replicas of its own."""
     links = [(0, 1, 2), (1, 2, 4), (0, 2, 8), (4, 5, 1), (5, 6, 1)]
