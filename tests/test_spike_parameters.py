@@ -1,6 +1,7 @@
 """Trials of any length: rates, correlograms, jitter windows and detected edges by parameters."""
 
 import math
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -55,6 +56,32 @@ def test_network_of_short_trials_finds_the_delay(spark):
     assert lags == 51
 
 
+def test_coincidences_are_counted_without_joining_spikes(spark):
+    """Against all pairs: repeats, times before 0, long trials, more neurons than a block of sources; and no plan joins spikes with spikes."""
+    rng = np.random.default_rng(8)
+    rows = [(int(n), 0, int(t)) for n, t in zip(rng.integers(0, 90, 400), rng.integers(-60, 9000, 400))]
+    rows += [(int(n), 1, int(t)) for n, t in zip(rng.integers(0, 3, 200), rng.integers(0, 40, 200))] + [(5, 2, 7)]
+    want = Counter((a, b, u - t) for a, k, t in rows for b, j, u in rows if k == j and a != b and 0 <= u - t <= 30)
+    df = spark.createDataFrame([*rows, (None, 1, 3), (1, None, 3)], SPIKES)
+    got = spikes.correlogram("ccg_pairs", bins=9000, window=30)(spikes=df)
+    assert {(r.src, r.dst, r.lag): r.n for r in got.collect()} == want
+    assert "Join" not in got._jdf.queryExecution().optimizedPlan().toString()
+    assert spikes.trial_counts(df.limit(0)).count() == 0
+
+
+def test_corrected_by_the_trains_of_surrogates(spark):
+    """The jittered part is the count over the trains that ``surrogates`` gives with the same seed."""
+    rng = np.random.default_rng(4)
+    rows = sorted({(int(n), int(k), int(t)) for n, k, t in zip(rng.integers(0, 4, 500), rng.integers(0, 3, 500), rng.integers(0, 200, 500))})
+    df = spark.createDataFrame(rows, SPIKES)
+    n, trains = Counter(r[0] for r in rows), [tuple(r) for r in spikes.surrogates(df, 2, 25, 200, 7).select("sample", "trial_id", "neuron_id", "t").collect()]
+    hits = lambda rs: Counter((a, b, u - t) for s, k, a, t in rs for q, j, b, u in rs if (s, k) == (q, j) and a != b and 0 <= u - t <= 20)
+    raw, moved = hits([(0, k, a, t) for a, k, t in rows]), hits(trains)
+    for r in spikes.ccg_corrected(df, 2, 7, bins=200, window=20, length=25).collect():
+        at, scale = (r.src, r.dst, r.lag), 200 / ((200 - r.lag) * (n[r.src] * n[r.dst]) ** 0.5)
+        assert abs(r.ccg - (raw[at] - moved[at] / 2) * scale) < 2e-6
+
+
 def test_raster_of_first_trials(spark):
     """Lengths cut, blanks between, first trials alone, lines by area; no area, unknown neurons, stimuli not asked for and repeats are left out or kept once."""
     rows = [("b", 5, 2, 0), ("b", 5, 2, 9), ("b", 5, 3, 1), ("a", 1, 0, 19), ("a", 1, 0, 20), ("a", 7, 0, 3), ("a", 8, 0, 4), ("a", 9, 0, 4), ("it's", 5, 4, 2), ("z", 5, 0, 0)]
