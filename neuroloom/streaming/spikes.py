@@ -7,13 +7,16 @@ heartbeats: they move the watermark on and are never counted.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
+from pyspark.sql.streaming.state import GroupState
 
-from ..operators.spikes import BINS, WINDOW
+from ..operators.spikes import BINS, WINDOW, lag_counts
 
 SPIKE = "neuron_id long, trial_id long, t long, at timestamp"
 
@@ -26,16 +29,37 @@ def spike_times(events: DataFrame) -> DataFrame:
 
 
 def coincidences(spikes: DataFrame, window: int = WINDOW, delay: int = 60) -> DataFrame:
-    """(src, dst, lag) for every two spikes of one trial, ``lag`` from 0 to ``window``: a stream-stream interval join with equal keys.
+    """(src, dst, lag, n): coincidences of two spikes of one trial, ``lag`` from 0 to ``window``, counted as soon as the second arrives.
 
-    Repeated spikes count once.  A pair is emitted as soon as its second spike arrives.
+    Repeated spikes count once.  State is a row a trial with the spikes that later ones may still meet; it goes when the watermark
+    has passed the last by ``window``.  Pairs are counted by trial and never leave it as rows.
     """
-    once = spikes.withWatermark("at", f"{delay} seconds").dropDuplicates(["neuron_id", "trial_id", "t", "at"])
-    bucket = F.floor(F.col("t") / (window + 1))
-    a = once.select(F.col("neuron_id").alias("src"), F.col("trial_id").alias("trial_a"), F.col("t").alias("t_a"), bucket.alias("bucket_a"), F.col("at").alias("at_a"))
-    b = once.select(F.col("neuron_id").alias("dst"), F.col("trial_id").alias("trial_b"), F.col("t").alias("t_b"), F.explode(F.array(bucket, bucket - 1)).alias("bucket_b"), F.col("at").alias("at_b"))
-    near = F.expr(f"trial_a = trial_b AND bucket_a = bucket_b AND at_b >= at_a AND at_b <= at_a + INTERVAL {window} SECONDS AND src <> dst")
-    return a.join(b, near).select("src", "dst", (F.col("t_b") - F.col("t_a")).alias("lag"))
+
+    def run(key: tuple, arrived: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        kept = np.frombuffer(state.get[0], np.int64).reshape(3, -1) if state.exists else np.empty((3, 0), np.int64)
+        rows = pd.concat(arrived)
+        seconds = rows["at"].to_numpy().astype("datetime64[s]").astype(np.int64)
+        new = np.unique(np.stack([rows["neuron_id"].to_numpy(np.int64), rows["t"].to_numpy(np.int64), seconds]), axis=1)
+        known = set(map(tuple, kept.T.tolist()))
+        new = new[:, [c not in known for c in map(tuple, new.T.tolist())]] if known else new
+        every = np.concatenate([kept, new], axis=1)
+        for found in lag_counts(every[0], every[1], window):
+            yield pd.DataFrame(found)
+        for found in lag_counts(kept[0], kept[1], window):  # told before
+            yield pd.DataFrame(found | {"n": -found["n"]})
+        now = state.getCurrentWatermarkMs()
+        every = every[:, (every[2] + window) * 1000 >= now]
+        if every.shape[1]:
+            state.update((every.tobytes(),))
+            state.setTimeoutTimestamp(max(int(every[2].max() + window) * 1000, now + 1))
+        elif state.exists:
+            state.remove()
+
+    whole = spikes.withWatermark("at", f"{delay} seconds").where("neuron_id IS NOT NULL AND trial_id IS NOT NULL AND t IS NOT NULL")
+    return whole.groupBy("trial_id").applyInPandasWithState(run, "src long, dst long, lag long, n long", "spikes binary", "append", "EventTimeTimeout")
 
 
 def bursts(spikes: DataFrame, burst: int = 10, delay: int = 60) -> DataFrame:
@@ -49,7 +73,7 @@ def bursts(spikes: DataFrame, burst: int = 10, delay: int = 60) -> DataFrame:
 
 
 def partial_counts(pairs: DataFrame) -> DataFrame:
-    return pairs.where("src IS NOT NULL").groupBy("src", "dst", "lag").agg(F.count("*").alias("n"))
+    return pairs.groupBy("src", "dst", "lag").agg(F.sum("n").alias("n")).where("n <> 0")
 
 
 def with_neuron(found: DataFrame) -> DataFrame:

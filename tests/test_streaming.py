@@ -72,6 +72,15 @@ def test_a_batch_done_twice_counts_once(spark, tmp_path):
     assert totals(spark, tmp_path) == before == expected(spark, first + then, batch.ccg_pairs)
 
 
+def test_coincidences_hold_a_row_a_trial_and_tell_counts(spark, tmp_path):
+    """Neither pairs nor spikes are rows of the state: one a trial, and a count for each pair of neurons and lag."""
+    rows = [(n, k, t) for n in range(3) for k in (1, 2) for t in range(0, 200, 2)]
+    query = arrive(spark, tmp_path, rows)
+    busy = [p for p in query.recentProgress if p["numInputRows"]]
+    assert [s["numRowsTotal"] for s in busy[0]["stateOperators"]] == [2]
+    assert totals(spark, tmp_path) == expected(spark, rows, batch.ccg_pairs)
+
+
 def test_event_times(spark):
     at = datetime(2024, 1, 2, 3, 4, 59, tzinfo=timezone.utc)
     events = spark.createDataFrame([(at, 43), (at + timedelta(seconds=1), None), (None, 1)], "ts timestamp, user_id long")
