@@ -91,3 +91,13 @@ def test_raster_of_first_trials(spark):
     assert got == [("a", 1, 1, 2, 10 + 19), ("a", 7, 0, 1, 10 + 3), ("b", 5, 0, 0, 0), ("it's", 5, 0, 0, 32 + 2)]
     assert sorted(tuple(r) for r in spikes.raster_areas(nodes=nodes).collect()) == [(0, 2, 0), (1, 1, 2)]
     assert spikes.stimuli_raster(stimulus_spikes=df.limit(0), nodes=nodes.limit(0)).count() == 0
+
+
+def test_raster_keeps_every_spike(spark):
+    """Spikes late in a trial and those without a trial stay, the latter without a place and without moving the others; places may pass 32 bits."""
+    nodes = spark.createDataFrame([(1, 0), (2, 1)], "node long, area long")
+    df = spark.createDataFrame([(1, 4, 5), (2, 4, 1439), (1, 9, 0), (2, None, None), (1, None, 3)], SPIKES)
+    got = [tuple(r) for r in spikes.raster(spikes=df, nodes=nodes).collect()]
+    assert sorted(got, key=str) == sorted([(1, 4, 5, 0), (2, 4, 1439, 1), (1, 9, 1490, 0), (2, None, None, 1), (1, None, None, 0)], key=str)
+    many = spark.range(1_500_000).selectExpr("1L AS neuron_id", "id AS trial_id", "0L AS t")
+    assert spikes.raster(spikes=many, nodes=nodes).selectExpr("max(at)").first()[0] == 1_499_999 * 1490
